@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -17,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """`df.mapInArrow` with this package on the workers' path."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

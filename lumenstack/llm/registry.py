@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, pii, quality_rules, sharding
+from . import bpe, chat_format, classifier, packing, pii, quality_rules, sharding, topk
 
 
 def queries() -> dict:
@@ -10,9 +10,13 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_packing": packing.op5_packing,
+        "op7_bpe": bpe.op7_bpe,
         "op8_pii": pii.op8_pii,
+        "op9_quality_classifier": classifier.op9_quality_classifier,
+        "op10_exact_topk": topk.op10_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat_format.ORACLE, "op4_quality_rules": quality_rules.ORACLE}
+    return {"op3_chat_format": chat_format.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op10_exact_topk": topk.ORACLE}
