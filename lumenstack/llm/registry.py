@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, classifier, packing, pii, quality_rules, sharding, topk
+from . import bpe, chat_format, classifier, ngram_join, packing, pii, quality_rules, sharding, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_packing": packing.op5_packing,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_bpe": bpe.op7_bpe,
         "op8_pii": pii.op8_pii,
         "op9_quality_classifier": classifier.op9_quality_classifier,
