@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenstack.llm import pii, quality_rules
+from lumenstack.llm import ngram_join, packing, pii, quality_rules, suffix_dedup
 from lumenstack.llm._common import table, written
 
 
@@ -13,12 +13,27 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long strings that an earlier document or place has are cut out; a document left without a character goes."""
+    return suffix_dedup.remove_repeats(docs).filter("text is null or text <> ''")
+
+
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by keyed pseudonyms of the same format."""
     return pii.pseudonymise(docs, pii.DEMO_KEY).select(*docs.columns)
 
 
-STAGES = [("quality_rules", keep_good), ("pii", hide_personal)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of every document with their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", keep_good), ("ngram_join", keep_one), ("suffix_dedup", cut_repeats), ("pii", hide_personal), ("packing", pack)]
 
 #: SQL cannot express the later stages; tests hold them against brute force.
 ORACLE_SQL = None

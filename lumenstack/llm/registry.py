@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, classifier, ngram_join, packing, pii, quality_rules, sharding, topk
+from . import bpe, chat_format, classifier, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, topk
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_packing": packing.op5_packing,
