@@ -13,8 +13,9 @@ leftmost of equal ones); equal windows have equal anchors at the same place.  So
 4. The runs of repeated windows go back to their documents.
 
 K-mers that are repeated within one batch of texts are sent once, and contexts that are equal there too, so copies and
-shared passages do not pile up in one partition.  The contexts of a k-mer that is still very common are cut into windows
-that are dealt by the hash of the whole window.  Hashes only deal out work; bytes are compared.
+shared passages do not pile up in one partition.  K-mers that are common in a bounded sample go another way: they are
+taken as repeated, and their contexts are cut into windows that are dealt by the hash of the whole window.  Which way a
+k-mer goes, and all hashes, only deal out work; bytes are compared.
 """
 
 from __future__ import annotations
@@ -37,12 +38,18 @@ PLACE_BITS = 20
 
 @dataclass(frozen=True)
 class Settings:
-    """Bytes of a match and of an anchor; windows of a batch; a k-mer in more than `common` places is dealt by windows."""
+    """Bytes of a match and of an anchor; windows of a batch; bytes of texts that are listed together.
+
+    `common`: a k-mer in more than this share of the first `sample_rows` rows, and in 8 at least, is dealt by windows; at
+    most `most_common` are.
+    """
 
     length: int = 100
     k: int = 24
     batch_windows: int = 1 << 16
-    common: int = 4096
+    common: float = 0.002
+    sample_rows: int = 4000
+    most_common: int = 4096
     chunk_bytes: int = 1 << 19
 
 
@@ -121,14 +128,27 @@ def _chunks(batch: pa.RecordBatch, at_most: int) -> Iterator[tuple[np.ndarray, l
         yield np.array(rows), texts
 
 
-def _pack(first: np.ndarray, span: np.ndarray, off: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return (first << 24) | (span << 16) | (off << 8) | known
+def _pack(first: np.ndarray, span: np.ndarray, off: np.ndarray, known: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return (first << 25) | (span << 17) | (off << 9) | (known.astype(np.int64) << 1) | common
+
+
+def _unpack(place: int) -> tuple[int, int, int, int]:
+    """(first window, run, the anchor's offset, whether its k-mer is common)."""
+    return place >> 25, (place >> 17) & 255, (place >> 9) & 255, place & 1
+
+
+def common_kmers(docs: DataFrame, s: Settings) -> np.ndarray:
+    """Hashes of the k-mers that are common in the first rows, ascending; at most `most_common` reach the driver."""
+    seen = list_anchors(docs.limit(s.sample_rows), s, np.zeros(0, np.uint64)).select("kmer", "doc_id").distinct()
+    top = seen.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 8) & (F.col("n") > s.common * s.sample_rows)).orderBy(F.desc("n"), "kmer").limit(s.most_common)
+    return np.sort(np.array([r["kmer"] for r in top.collect()], np.int64).view(np.uint64))
 
 
-def list_anchors(docs: DataFrame, s: Settings) -> DataFrame:
-    """(key, doc_id, place): key is the k-mer's hash; place packs the first window, the run, the anchor's offset and `known`.
+def list_anchors(docs: DataFrame, s: Settings, common: np.ndarray) -> DataFrame:
+    """(key, doc_id, place, kmer): key is the k-mer's hash; place packs what `_unpack` gives, and whether the k-mer is known to repeat.
 
-    A k-mer met again in a chunk of texts is known to repeat; all but one of its rows get keys of their own.
+    A k-mer met again in a chunk of texts is known to repeat; all but one of its rows get keys of their own.  Rows of
+    common k-mers all do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,15 +161,16 @@ def list_anchors(docs: DataFrame, s: Settings) -> DataFrame:
                 start = (ends - [len(t) for t in texts])[at]
                 doc = ids[rows[at]]
                 _, one, back, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                known = often[back] > 1
+                often_ = np.isin(h, common)
+                known = (often[back] > 1) | often_
                 alone = np.ones(len(h), bool)
-                alone[one] = False
+                alone[one[~often_[one]]] = False
                 # The other rows of a repeated k-mer are dealt by document and place.
                 own = (doc.astype(np.int64).view(np.uint64) * np.uint64(BASE)) ^ ((first - start).astype(np.uint64) * np.uint64(INVERSE))
                 key = np.where(alone & known, own, h).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc, pa.int64()), pa.array(_pack(first - start, last - first, place - first, known.astype(np.int64)))], ["key", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc, pa.int64()), pa.array(_pack(first - start, last - first, place - first, known, often_)), pa.array(h.view(np.int64))], ["key", "doc_id", "place", "kmer"])
 
-    return arrow_map(docs, run, "key long, doc_id long, place long")
+    return arrow_map(docs, run, "key long, doc_id long, place long, kmer long")
 
 
 def contexts(docs: DataFrame, s: Settings) -> DataFrame:
@@ -168,7 +189,7 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
             for doc, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
                 data = (text.as_py() or "").encode()
                 for place in places.as_py():
-                    start, span, off, common = place >> 24, (place >> 16) & 255, (place >> 8) & 255, place & 1
+                    start, span, off, common = _unpack(place)
                     pieces = [(start + i, 0) for i in range(span + 1)] if common else [(start, span)]
                     for begin, run_ in pieces:
                         piece = data[begin : begin + run_ + s.length]
@@ -291,12 +312,11 @@ def repeated_runs(rows: DataFrame, s: Settings) -> DataFrame:
 def removals(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, text, cuts) of each row of `docs`; cuts are null or [{start, stop}], which may overlap, in no order."""
     slim = docs.select("doc_id", "text")
-    found = list_anchors(slim.filter(F.octet_length("text") >= s.length), s)
+    long = slim.filter(F.octet_length("text") >= s.length)
+    found = list_anchors(long, s, common_kmers(long, s)).select("key", "doc_id", "place")
     often = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    seen = found.withColumn("n", often).filter((F.col("n") > 1) | (F.col("place").bitwiseAND(F.lit(1)) == 1))
-    # The last bit now says that the k-mer is very common.
-    place = F.col("place").bitwiseAND(F.lit(-2)).bitwiseOR((F.col("n") > s.common).cast("long"))
-    places = seen.groupBy("doc_id").agg(F.collect_list(place).alias("places"))
+    seen = found.withColumn("n", often).filter((F.col("n") > 1) | (F.col("place").bitwiseAND(F.lit(2)) == 2))
+    places = seen.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     rows = contexts(slim.join(places, "doc_id"), s)
     parts = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     runs = repeated_runs(rows.repartition(parts, "bucket").sortWithinPartitions("doc_id", "start"), s)
