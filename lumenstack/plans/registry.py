@@ -1,11 +1,682 @@
-"""Every query of the library with its SQL."""
+"""Every query of the library with its SQL.  Numbers are rounded on both sides, since sums run in other orders."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import aggregate, cluster, layout, linalg, maps, masks, objects, register, spatial, tracking, wavelet, window
+from .views import CUBE, DAILY, ROI_ROWS, ROIS, STACK, TRACES, cube_events, rois, stack_emb, trace_cells, trace_daily, traces_emb
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+PX = ["row", "col"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: str | Column = "value", name: str = "value") -> Column:
+    return (F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)).alias(name)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[r6(c, c) if c in names else F.col(c) for c in df.columns])
+
+
+R = "round({}, 6) + 0.0"
+V = "round(value, 6) + 0.0 AS value"
+
+
+# Layout, slices and projections.
+
+
+@query(f"WITH {CUBE} SELECT row, col, {R.format('avg(value)')} AS value FROM cube GROUP BY row, col")
+def mean_frame(s, d):
+    return rounded(aggregate.mean_frame(cube_events(s, d)), "value")
+
+
+@query(f"WITH {CUBE} SELECT row, col, {R.format('max(value)')} AS value FROM cube GROUP BY row, col")
+def max_project(s, d):
+    return rounded(aggregate.max_project(cube_events(s, d)), "value")
+
+
+@query(f"WITH {CUBE} SELECT {R.format('stddev_pop(value)')} AS std FROM cube")
+def global_std(s, d):
+    return rounded(aggregate.global_std(cube_events(s, d)), "std")
+
+
+@query(f"WITH {CUBE} SELECT {R.format('min(value)')} AS low, {R.format('max(value)')} AS high FROM cube")
+def data_range(s, d):
+    return rounded(aggregate.data_range(cube_events(s, d)), "low", "high")
+
+
+@query(f"WITH {CUBE} SELECT p, {R.format('v')} AS value FROM (SELECT unnest([1.0, 25.0, 50.0, 99.0]::DOUBLE[]) AS p, unnest(quantile_cont(value, [0.01, 0.25, 0.5, 0.99])) AS v FROM cube)")
+def data_percentile(s, d):
+    return rounded(aggregate.percentiles(cube_events(s, d), [1, 25, 50, 99]), "value")
+
+
+@query(f"WITH {CUBE} SELECT row, col, {R.format('median(value)')} AS value FROM cube GROUP BY row, col")
+def time_project_median(s, d):
+    return rounded(aggregate.time_project(cube_events(s, d), "median"), "value")
+
+
+@query(f"WITH {CUBE} SELECT row, col, {R.format('stddev_pop(value)')} AS value FROM cube GROUP BY row, col")
+def time_project_std(s, d):
+    return rounded(aggregate.time_project(cube_events(s, d), "std"), "value")
+
+
+@query(f"WITH {CUBE} SELECT count(DISTINCT t) AS n_frames, (max(row) + 1)::BIGINT AS h, (max(col) + 1)::BIGINT AS w FROM cube")
+def sequence_shape(s, d):
+    return aggregate.shape(cube_events(s, d))
+
+
+@query(f"WITH {CUBE} SELECT t, row, col, {V} FROM cube WHERE t BETWEEN 2 AND 19 AND (t - 2) % 3 = 0 AND row BETWEEN 1 AND 5 AND col BETWEEN 2 AND 6")
+def crop_slice(s, d):
+    return rounded(layout.crop(cube_events(s, d), (2, 20), (1, 6), (2, 7), step=3), "value")
+
+
+@query(f"WITH {CUBE} SELECT t, row, col, {V} FROM cube WHERE t < 10 AND t % 2 = 0")
+def take_frames(s, d):
+    return rounded(layout.take(cube_events(s, d), 10, 2), "value")
+
+
+@query(f"WITH {CUBE} SELECT t, (7 - row)::INTEGER AS row, (7 - col)::INTEGER AS col, {V} FROM cube")
+def flip_frames(s, d):
+    return rounded(layout.flip(cube_events(s, d), 8, 8), "value")
+
+
+@query(f"WITH {CUBE} SELECT t, row, col, {V} FROM cube UNION ALL SELECT t + 30, row, col, {V} FROM cube WHERE t < 5")
+def concat_sequences(s, d):
+    c = cube_events(s, d)
+    return rounded(layout.concat([c, layout.take(c, 5)]), "value")
+
+
+@query(f"WITH {STACK} SELECT t, row, col, {V} FROM st")
+def frames_round_trip(s, d):
+    return rounded(layout.frames_to_cells(layout.to_frames(stack_emb(s, d))), "value")
+
+
+@query(f"WITH {TRACES} SELECT row, col, t, {V} FROM tr")
+def traces_round_trip(s, d):
+    return rounded(layout.traces_to_cells(layout.to_traces(trace_cells(s, d))), "value")
+
+
+@query(f"WITH {CUBE} SELECT t, row, col, {V}, t * 0.25::DOUBLE AS ts FROM cube")
+def frame_times(s, d):
+    return rounded(layout.times(cube_events(s, d), 0.25, "s"), "value")
+
+
+# Masks and regions of interest.
+
+MASK = "mask AS (SELECT row, col FROM (SELECT row, col, avg(value) AS m FROM cube GROUP BY row, col) WHERE m > 8.0)"
+
+
+def _mask(c: DataFrame) -> DataFrame:
+    return aggregate.mean_frame(c).filter("value > 8.0")
+
+
+@query(f"WITH {CUBE}, {MASK} SELECT t, {R.format('avg(value)')} AS value FROM cube SEMI JOIN mask USING (row, col) GROUP BY t")
+def mask_reduce(s, d):
+    c = cube_events(s, d)
+    return rounded(aggregate.mask_reduce(c, _mask(c)), "value")
+
+
+@query(f"WITH {CUBE} SELECT t, {R.format('avg(value * (row / 7.0::DOUBLE))')} AS value FROM cube WHERE row > 0 GROUP BY t")
+def softmask_reduce(s, d):
+    c = cube_events(s, d)
+    return rounded(aggregate.softmask_reduce(c, c.select("row", "col", (F.col("row") / 7.0).alias("weight")).distinct()), "value")
+
+
+ROI_TRACE = f"WITH {CUBE}, {ROIS}, rt AS (SELECT tag, t, avg(value) AS value FROM cube JOIN rois ON (col - cx) * (col - cx) + (row - cy) * (row - cy) <= r * r GROUP BY tag, t)"
+
+
+@query(f"{ROI_TRACE} SELECT tag, t, {V} FROM rt")
+def roi_trace(s, d):
+    return rounded(aggregate.roi_trace(cube_events(s, d), rois(s)), "value")
+
+
+@query(f"""{ROI_TRACE}, b AS (SELECT *, avg(CASE WHEN t < 10 THEN value END) OVER (PARTITION BY tag) AS b FROM rt)
+SELECT tag, t, round(CASE WHEN abs(b) >= 1e-6 THEN value / b - 1 ELSE 0 END, 6) + 0.0 AS value FROM b""")
+def dfof_roi(s, d):
+    return rounded(window.dfof(aggregate.roi_trace(cube_events(s, d), rois(s)), ["tag"], 10), "value")
+
+
+@query(f"{ROI_TRACE} SELECT x.tag AS a, y.tag AS b, {R.format('corr(x.value, y.value)')} AS r FROM rt x JOIN rt y ON x.t = y.t AND x.tag > y.tag GROUP BY 1, 2")
+def roi_xcorr_matrix(s, d):
+    return rounded(maps.roi_matrix(aggregate.roi_trace(cube_events(s, d), rois(s))), "r")
+
+
+IMG = "img AS (SELECT row, col, avg(value) AS value FROM cube GROUP BY row, col)"
+
+
+def _img(s, d):
+    return aggregate.mean_frame(cube_events(s, d))
+
+
+def _masked(x: DataFrame) -> DataFrame:
+    return x.select("row", "col", F.col("mask").cast("int").alias("mask"))
+
+
+@query(f"WITH {CUBE}, {IMG} SELECT row, col, (value > 8.0)::INTEGER AS mask FROM img")
+def mask_threshold(s, d):
+    return _masked(masks.threshold(_img(s, d), 8.0))
+
+
+@query(f"WITH {CUBE}, {IMG} SELECT row, col, (value > (SELECT max(value) - min(value) FROM img) * 30 / 100)::INTEGER AS mask FROM img")
+def mask_percent_threshold(s, d):
+    return _masked(masks.percent_threshold(_img(s, d), 30))
+
+
+@query(f"WITH {CUBE}, {IMG} SELECT row, col, (value > 3 * (SELECT stddev_pop(value) FROM img))::INTEGER AS mask FROM img")
+def mask_num_std(s, d):
+    return _masked(masks.num_std(_img(s, d), 3))
+
+
+@query(f"WITH {CUBE}, {IMG} SELECT row, col, (value > (SELECT median(value) + 0.5 * stddev_pop(value) FROM img))::INTEGER AS mask FROM img")
+def mask_median_sd(s, d):
+    return _masked(masks.median_sd(_img(s, d), 0.5))
+
+
+@query(f"WITH {CUBE}, {IMG} SELECT row, col, (NOT value < (SELECT quantile_cont(value, 0.2) FROM img))::INTEGER AS mask FROM img")
+def mask_low_percentile_inverted(s, d):
+    return _masked(masks.invert(masks.low_percentile(_img(s, d), 20)))
+
+
+@query(f"WITH {CUBE}, {IMG} SELECT row, col, round(least(value, p) / p, 6) + 0.0 AS value FROM img, (SELECT quantile_cont(value, 0.84375) AS p FROM img)")
+def clip_rescale(s, d):
+    return rounded(masks.clip_rescale(_img(s, d), 10), "value")
+
+
+@query(f"WITH {CUBE}, {IMG} SELECT row, col, round((value - a) / (b - a), 6) + 0.0 AS value FROM img, (SELECT min(value) AS a, max(value) AS b FROM img)")
+def rescale(s, d):
+    return rounded(masks.rescale(_img(s, d)), "value")
+
+
+@query(f"""WITH {CUBE},
+q AS (SELECT row, col, quantile_cont(value, 0.75) AS q3, quantile_cont(value, 0.5) AS q2 FROM cube GROUP BY row, col)
+SELECT row, col, {R.format('avg(value) FILTER (value > q3) / (stddev_pop(value) FILTER (value <= q2) + 1)')} AS value FROM cube JOIN q USING (row, col) GROUP BY row, col""")
+def simple_snr(s, d):
+    return rounded(aggregate.simple_snr(cube_events(s, d)), "value")
+
+
+@query(f"""WITH RECURSIVE {CUBE}, t(i, th, done) AS (
+  SELECT 0, (SELECT median(value) FROM cube), false
+  UNION ALL SELECT i + 1, greatest(th, n), n <= th FROM (SELECT i, th, (SELECT (avg(value) FILTER (value <= th) + avg(value) FILTER (value > th)) / 2 FROM cube) AS n FROM t WHERE NOT done AND i < 64))
+SELECT {R.format('max(th)')} AS threshold FROM t""")
+def auto_threshold(s, d):
+    return s.range(1).select(F.round(F.lit(aggregate.auto_threshold(cube_events(s, d))), 6).alias("threshold"))
+
+
+# Along time.
+
+
+@query(f"""WITH {TRACES}, b AS (SELECT *, avg(CASE WHEN t < 8 THEN value END) OVER w AS m, stddev_pop(CASE WHEN t < 8 THEN value END) OVER w AS s FROM tr WINDOW w AS (PARTITION BY row, col))
+SELECT t, row, col, round(CASE WHEN s > 1e-6 THEN (value - m) / s ELSE 0 END, 6) + 0.0 AS value FROM b""")
+def dfosd(s, d):
+    return rounded(window.dfosd(trace_cells(s, d), PX, 8), "value")
+
+
+@query(f"""WITH {DAILY}, m AS (SELECT flag, t, avg(value) OVER w AS value, count(*) OVER w AS n FROM daily WINDOW w AS (PARTITION BY flag ORDER BY t ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING))
+SELECT flag, t, round(value, 4) + 0.0 AS value FROM m WHERE n = 7""")
+def ma2d(s, d):
+    return window.moving_average(trace_daily(s, d), ["flag"], 7).select("flag", "t", (F.round("value", 4) + 0.0).alias("value"))
+
+
+@query(f"WITH {TRACES} SELECT * FROM (SELECT t, row, col, {R.format('value - lag(value) OVER (PARTITION BY row, col ORDER BY t)')} AS value FROM tr) WHERE value IS NOT NULL")
+def first_diff(s, d):
+    return rounded(window.first_difference(trace_cells(s, d), PX), "value")
+
+
+@query(f"WITH {TRACES} SELECT row, col, (t // 10)::BIGINT AS chunk, {R.format('avg(value)')} AS value FROM tr GROUP BY 1, 2, 3 HAVING count(*) = 10")
+def by_chunks(s, d):
+    return rounded(window.chunks(trace_cells(s, d), PX, 10), "value")
+
+
+@query(f"""WITH {TRACES}, f AS (SELECT row, col, regr_slope(value, t) AS b, regr_intercept(value, t) AS a FROM tr GROUP BY row, col)
+SELECT t, row, col, round(value - a - b * t, 6) + 0.0 AS value FROM tr JOIN f USING (row, col)""")
+def linear_detrend(s, d):
+    return rounded(window.detrend(trace_cells(s, d), PX, 1), "value")
+
+
+@query(f"""WITH {TRACES}, x AS (SELECT *, t - avg(t) OVER (PARTITION BY row, col) AS x FROM tr),
+s AS (SELECT row, col, count(*)::DOUBLE AS n, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4, sum(value) AS y0, sum(x * value) AS y1, sum(x * x * value) AS y2 FROM x GROUP BY row, col),
+f AS (SELECT *, n * (s2 * s4 - s3 * s3) - s2 * s2 * s2 AS det FROM s)
+SELECT t, row, col, round(value - (y0 * (s2 * s4 - s3 * s3) + s2 * (y1 * s3 - s2 * y2)) / det - x * (n * (y1 * s4 - s3 * y2) - s2 * (s2 * y1 - s3 * y0)) / det - x * x * (n * (s2 * y2 - s3 * y1) - s2 * s2 * y0) / det, 6) + 0.0 AS value
+FROM x JOIN f USING (row, col)""")
+def poly_detrend(s, d):
+    return rounded(window.detrend(trace_cells(s, d), PX, 2), "value")
+
+
+@query(f"WITH {TRACES} SELECT t, row, col, {V} FROM (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM tr WINDOW w AS (PARTITION BY row, col ORDER BY t)) WHERE value > a AND value > b")
+def local_maxima(s, d):
+    return rounded(window.local_maxima(trace_cells(s, d), PX), "value")
+
+
+BASE = f"""{CUBE}, b AS (SELECT x.t, x.row, x.col, any_value(x.value) AS value, sum(exp(-(x.t - y.t) * (x.t - y.t) / 8.0::DOUBLE) * y.value) / sum(exp(-(x.t - y.t) * (x.t - y.t) / 8.0::DOUBLE)) AS b
+  FROM cube x JOIN cube y ON x.row = y.row AND x.col = y.col AND abs(x.t - y.t) <= 8 GROUP BY x.t, x.row, x.col)"""
+
+
+@query(f"WITH {BASE} SELECT t, row, col, round(CASE WHEN abs(b) >= 1e-6 THEN value / b - 1 ELSE 0 END, 6) + 0.0 AS value FROM b")
+def mavg_dfof(s, d):
+    return rounded(window.mavg_dfof(cube_events(s, d), PX, 2.0), "value")
+
+
+@query(f"WITH {BASE}, e AS (SELECT *, stddev_pop(value - b) OVER (PARTITION BY row, col) AS sd FROM b) SELECT t, row, col, round(CASE WHEN sd >= 1e-6 THEN (value - b) / sd ELSE 0 END, 6) + 0.0 AS value FROM e")
+def mavg_dfosd(s, d):
+    return rounded(window.mavg_dfosd(cube_events(s, d), PX, 2.0), "value")
+
+
+@query(f"WITH {CUBE}, {IMG} SELECT row, col, row_number() OVER (PARTITION BY row ORDER BY round(value, 9) DESC, col) AS rank FROM img")
+def rank_pixels(s, d):
+    return window.rank_by(_img(s, d), ["row"], F.round("value", 9), "col").select("row", "col", "rank")
+
+
+# Neighbourhoods and regions.
+
+NEAR = "n AS (SELECT x.t, x.row, x.col, any_value(x.value) AS value, count(*) AS n, avg(y.value) AS m, stddev_pop(y.value) AS s, median(y.value) AS q FROM cube x JOIN cube y ON x.t = y.t AND abs(x.row - y.row) <= 1 AND abs(x.col - y.col) <= 1 GROUP BY x.t, x.row, x.col)"
+
+
+@query(f"WITH {CUBE}, {NEAR} SELECT t, row, col, round(CASE WHEN n = 9 AND abs(value - m) > 1.3 * s THEN q ELSE value END, 6) + 0.0 AS value FROM n")
+def adaptive_median3(s, d):
+    return rounded(spatial.adaptive_median3(cube_events(s, d), 1.3), "value")
+
+
+@query(f"WITH {CUBE}, {NEAR} SELECT t, row, col, round(q, 6) + 0.0 AS value FROM n")
+def median3(s, d):
+    return rounded(spatial.median3(cube_events(s, d)), "value")
+
+
+@query(f"""WITH {CUBE} SELECT x.t, x.row, x.col, {R.format('sum(k * y.value) / sum(k)')} AS value
+FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS i FROM cube) x, (SELECT unnest([-2, -1, 0, 1, 2]) AS j) o, LATERAL (SELECT exp(-(i * i + j * j) / 2.0::DOUBLE) AS k), cube y WHERE y.t = x.t AND y.row = x.row + i AND y.col = x.col + j GROUP BY 1, 2, 3""")
+def gauss_blur(s, d):
+    return rounded(spatial.gauss_blur(cube_events(s, d), 1.0, 2), "value")
+
+
+@query(f"WITH {CUBE} SELECT x.t, x.row, x.col, (any_value(x.value) > avg(y.value) - 1.5)::INTEGER AS mask FROM cube x JOIN cube y ON x.t = y.t AND abs(x.row - y.row) <= 2 AND abs(x.col - y.col) <= 2 GROUP BY 1, 2, 3")
+def adaptive_threshold(s, d):
+    return spatial.adaptive_threshold(cube_events(s, d), 2, 1.5).withColumn("mask", F.col("mask").cast("int"))
+
+
+BIN = "bin AS (SELECT t, row, col FROM cube WHERE value > 13.0)"
+
+
+def _bin(s, d):
+    return cube_events(s, d).filter("value > 13.0").select("t", "row", "col")
+
+
+OFF = "off AS (SELECT unnest([0, 0, 1, 0, -1]) AS i, unnest([0, 1, 0, -1, 0]) AS j)"
+
+
+@query(f"WITH {CUBE}, {BIN} SELECT c.t, c.row, c.col FROM cube c JOIN bin b ON c.t = b.t AND abs(c.row - b.row) <= 1 AND abs(c.col - b.col) <= 1 GROUP BY 1, 2, 3 HAVING count(*) >= 4")
+def majority(s, d):
+    return spatial.majority(_bin(s, d), 4).filter("row between 0 and 7 and col between 0 and 7")
+
+
+@query(f"WITH {CUBE}, {BIN} SELECT c.t, c.row, c.col FROM bin c JOIN bin b ON c.t = b.t AND (c.row - b.row) * (c.row - b.row) + (c.col - b.col) * (c.col - b.col) <= 4 GROUP BY 1, 2, 3 HAVING count(*) > 5")
+def density_filter(s, d):
+    return spatial.density(_bin(s, d), 2, 5)
+
+
+@query(f"WITH {CUBE}, {BIN}, {OFF} SELECT DISTINCT t, (row + i)::INTEGER AS row, (col + j)::INTEGER AS col FROM bin, off WHERE row + i BETWEEN 0 AND 7 AND col + j BETWEEN 0 AND 7")
+def dilate(s, d):
+    return spatial.dilate(_bin(s, d), 8, 8)
+
+
+@query(f"WITH {CUBE}, {BIN}, {OFF} SELECT t, (row + i)::INTEGER AS row, (col + j)::INTEGER AS col FROM bin, off GROUP BY 1, 2, 3 HAVING count(*) = 5")
+def erode(s, d):
+    return spatial.erode(_bin(s, d))
+
+
+@query(f"""WITH {CUBE}, {BIN}, {OFF},
+d1 AS (SELECT DISTINCT t, row + i AS row, col + j AS col FROM bin, off WHERE row + i BETWEEN 0 AND 7 AND col + j BETWEEN 0 AND 7),
+e1 AS (SELECT t, row + i AS row, col + j AS col FROM d1, off GROUP BY 1, 2, 3 HAVING count(*) = 5),
+e2 AS (SELECT t, row + i AS row, col + j AS col FROM e1, off GROUP BY 1, 2, 3 HAVING count(*) = 5)
+SELECT DISTINCT t, (row + i)::INTEGER AS row, (col + j)::INTEGER AS col FROM e2, off WHERE row + i BETWEEN 0 AND 7 AND col + j BETWEEN 0 AND 7""")
+def opening_of_closing(s, d):
+    return spatial.opening_of_closing(_bin(s, d), 8, 8)
+
+
+REG = f"""WITH RECURSIVE {CUBE}, {BIN}, step(t, row, col, region) AS (
+  SELECT t, row, col, (row * 8 + col)::BIGINT FROM bin
+  UNION SELECT b.t, b.row, b.col, s.region FROM step s JOIN bin b ON b.t = s.t AND abs(b.row - s.row) + abs(b.col - s.col) = 1 WHERE b.row * 8 + b.col > s.region),
+reg AS (SELECT t, row, col, min(region) AS region FROM step GROUP BY 1, 2, 3)"""
+# Any region's least pixel reaches all of it over pixels with greater numbers than its own, so the least found is the name.
+
+
+@query(f"{REG} SELECT t, row, col, region FROM reg")
+def connected_regions(s, d):
+    return spatial.regions(_bin(s, d), 8, 8)
+
+
+@query(f"{REG} SELECT t, region, count(*) AS size, {R.format('avg(row)')} AS row_center, {R.format('avg(col)')} AS col_center, (max(row) - min(row))::BIGINT AS row_extent, (max(col) - min(col))::BIGINT AS col_extent FROM reg GROUP BY 1, 2 HAVING count(*) > 2")
+def region_stats(s, d):
+    return rounded(spatial.region_stats(spatial.filter_size(spatial.regions(_bin(s, d), 8, 8), 2)), "row_center", "col_center")
+
+
+@query(f"{REG} SELECT t, region, {R.format('sqrt(max((x.row - y.row) * (x.row - y.row) + (x.col - y.col) * (x.col - y.col)))')} AS linsize FROM reg x JOIN reg y USING (t, region) GROUP BY 1, 2")
+def region_linsize(s, d):
+    return rounded(spatial.region_linsize(spatial.regions(_bin(s, d), 8, 8)), "linsize")
+
+
+@query(f"""{REG} SELECT t, x.region AS a, y.region AS b, {R.format('min(sqrt((x.row - y.row) * (x.row - y.row) + (x.col - y.col) * (x.col - y.col)))')} AS distance
+FROM reg x JOIN reg y USING (t) WHERE x.region < y.region GROUP BY 1, 2, 3 HAVING min((x.row - y.row) * (x.row - y.row) + (x.col - y.col) * (x.col - y.col)) <= 9""")
+def region_distance(s, d):
+    return rounded(spatial.region_distances(spatial.regions(_bin(s, d), 8, 8), 3), "distance")
+
+
+@query(f"WITH {CUBE} SELECT t, i, {V} FROM cube JOIN (SELECT unnest(range(8)) AS i, unnest([{', '.join(str(r) for _, r, _ in spatial.line_samples(0, 1, 7, 6))}]) AS row, unnest([{', '.join(str(c) for _, _, c in spatial.line_samples(0, 1, 7, 6))}]) AS col) USING (row, col)")
+def line_reslice(s, d):
+    return rounded(spatial.line_reslice(cube_events(s, d), (0, 1, 7, 6)), "value")
+
+
+@query(f"""WITH {CUBE}, m AS (SELECT t, covar_pop(col, col) AS cc, covar_pop(row, row) AS rr, covar_pop(row, col) AS rc, covar_pop(col, value) AS cv, covar_pop(row, value) AS rv, avg(col) AS mc, avg(row) AS mr, avg(value) AS mv FROM cube GROUP BY t),
+p AS (SELECT *, (cv * rr - rv * rc) / (cc * rr - rc * rc) AS a, (rv * cc - cv * rc) / (cc * rr - rc * rc) AS b FROM m)
+SELECT t, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(mv - a * mc - b * mr, 6) + 0.0 AS c FROM p""")
+def plane_fit(s, d):
+    return rounded(spatial.plane_fit(cube_events(s, d)), "a", "b", "c")
+
+
+# Wavelets.
+
+
+def _starlet_sql(level: int, source: str = TRACES, n: int = 64) -> str:
+    """CTEs c0 ... c(level) of a trace's approximations, by an index table."""
+    out = [source, f"c0 AS (SELECT row, col, t, value FROM {'tr'})"]
+    for j in range(level):
+        h = 2**j
+        out.append(f"""k{j} AS (SELECT t, w, CASE WHEN k < 0 THEN -k WHEN k >= {n} THEN {n} - 2 - k % {n} ELSE k END AS k FROM (SELECT t, d * {h} + t AS k, w FROM range({n}) r(t), (SELECT unnest([-2, -1, 0, 1, 2]) AS d, unnest([1, 4, 6, 4, 1]::DOUBLE[]) / 16 AS w)))""")
+        out.append(f"c{j + 1} AS (SELECT row, col, k{j}.t, sum(w * value) AS value FROM k{j} JOIN c{j} ON c{j}.t = k{j}.k GROUP BY 1, 2, 3)")
+    return "WITH " + ", ".join(out)
+
+
+@query(_starlet_sql(2) + f""" SELECT row, col, 0::BIGINT AS level, t, {R.format('c0.value - c1.value')} AS value FROM c0 JOIN c1 USING (row, col, t)
+UNION ALL SELECT row, col, 1, t, {R.format('c1.value - c2.value')} FROM c1 JOIN c2 USING (row, col, t) UNION ALL SELECT row, col, 2, t, {R.format('value')} FROM c2""")
+def starlet1d(s, d):
+    return rounded(wavelet.coefficients(wavelet.decompose1d(traces_emb(s, d), 2, 64), 2, PX), "value")
+
+
+def _cells(x: DataFrame) -> DataFrame:
+    return rounded(layout.traces_to_cells(x), "value").select("row", "col", "t", "value")
+
+
+@query(_starlet_sql(3) + f" SELECT row, col, t, {V} FROM c3")
+def starlet_smooth(s, d):
+    return _cells(wavelet.smooth1d(traces_emb(s, d), 3))
+
+
+@query(_starlet_sql(3) + f" SELECT row, col, t, {R.format('c0.value - c3.value')} AS value FROM c0 JOIN c3 USING (row, col, t)")
+def starlet_detrend(s, d):
+    return _cells(wavelet.detrend1d(traces_emb(s, d), 3))
+
+
+MAD_SQL = "w AS (SELECT row, col, t, c0.value - c1.value AS w FROM c0 JOIN c1 USING (row, col, t)), m AS (SELECT row, col, median(w) AS m FROM w GROUP BY 1, 2), sg AS (SELECT row, col, median(abs(w - m)) / (0.6745::DOUBLE * 0.7235::DOUBLE) AS sigma FROM w JOIN m USING (row, col) GROUP BY 1, 2)"
+
+
+@query(_starlet_sql(1) + f", {MAD_SQL} SELECT row, col, {R.format('sigma')} AS sigma FROM sg")
+def sigma_mad(s, d):
+    return wavelet.sigma_mad(traces_emb(s, d)).select("row", "col", r6("sigma", "sigma"))
+
+
+@query(_starlet_sql(2) + f""", {MAD_SQL}
+SELECT row, col, t, round(c2.value + CASE WHEN abs(c0.value - c1.value) > 1.5 * 0.7235::DOUBLE * sigma THEN c0.value - c1.value ELSE 0 END + CASE WHEN abs(c1.value - c2.value) > 1.5 * 0.2854::DOUBLE * sigma THEN c1.value - c2.value ELSE 0 END, 6) + 0.0 AS value
+FROM c0 JOIN c1 USING (row, col, t) JOIN c2 USING (row, col, t) JOIN sg USING (row, col)""")
+def starlet_denoise(s, d):
+    return _cells(wavelet.denoise1d(traces_emb(s, d), 2, 1.5))
+
+
+@query(_starlet_sql(2) + f""" SELECT row, col, t, (2 * (abs(c0.value - c1.value) > 0.1 * 0.7235::DOUBLE)::INTEGER + 4 * (abs(c1.value - c2.value) > 0.1 * 0.2854::DOUBLE)::INTEGER)::BIGINT AS value
+FROM c0 JOIN c1 USING (row, col, t) JOIN c2 USING (row, col, t)""")
+def support_repr(s, d):
+    c = wavelet.coefficients(wavelet.decompose1d(traces_emb(s, d), 2, 64), 2, PX).filter("level < 2")
+    return wavelet.represent_support(wavelet.support(c, 0.1, 1.0), ["row", "col", "t"])
+
+
+@query(f"WITH {TRACES} SELECT row, col, t, {V} FROM tr")
+def starlet_reconstruct(s, d):
+    return rounded(wavelet.reconstruct(wavelet.coefficients(wavelet.decompose1d(traces_emb(s, d), 4, 64), 4, PX), ["row", "col", "t"]), "value")
+
+
+@query(f"""WITH {STACK}, k AS (SELECT t AS i, CASE WHEN k < 0 THEN -k WHEN k >= 8 THEN 6 - k % 8 ELSE k END AS k, w FROM (SELECT t, t + d AS k, w FROM range(8) r(t), (SELECT unnest([-2, -1, 0, 1, 2]) AS d, unnest([1, 4, 6, 4, 1]::DOUBLE[]) / 16 AS w))),
+a AS (SELECT t, k.i AS row, col, sum(w * value) AS value FROM st JOIN k ON st.row = k.k GROUP BY 1, 2, 3), b AS (SELECT t, row, k.i AS col, sum(w * value) AS value FROM a JOIN k ON a.col = k.k GROUP BY 1, 2, 3)
+SELECT t, 0::BIGINT AS level, st.row, st.col, {R.format('st.value - b.value')} AS value FROM st JOIN b USING (t, row, col) UNION ALL SELECT t, 1, row::INTEGER, col::INTEGER, {R.format('value')} FROM b""")
+def starlet2d(s, d):
+    return rounded(wavelet.decompose2d(layout.to_frames(stack_emb(s, d)), 1), "value")
+
+
+@query()
+def median_pyramid2d(s, d):
+    return rounded(wavelet.decompose2d(layout.to_frames(stack_emb(s, d)), 2, "median"), "value")
+
+
+# Functional maps.
+
+SIG = "sig AS (SELECT t, avg(value) AS s FROM tr GROUP BY t)"
+
+
+def _signal(c: DataFrame) -> DataFrame:
+    return c.groupBy("t").agg(F.avg("value").alias("s"))
+
+
+@query(f"WITH {TRACES}, {SIG} SELECT row, col, {R.format('corr(value, s)')} AS value FROM tr JOIN sig USING (t) GROUP BY row, col")
+def xcorr_pearson(s, d):
+    c = trace_cells(s, d)
+    return rounded(maps.xcorrmap(c, _signal(c)), "value")
+
+
+@query(f"WITH {TRACES}, {SIG} SELECT row, col, {R.format('sum(value * s)')} AS value FROM tr JOIN sig USING (t) GROUP BY row, col")
+def xcorr_dot(s, d):
+    c = trace_cells(s, d)
+    return rounded(maps.xcorrmap(c, _signal(c), "dot"), "value")
+
+
+@query(f"""WITH {TRACES}, sig AS (SELECT t, t % 7 AS s FROM range(64) r(t)), r AS (SELECT row, col, rank() OVER (PARTITION BY row, col ORDER BY value) + (count(*) OVER (PARTITION BY row, col, value) - 1) / 2.0::DOUBLE AS a,
+rank() OVER (PARTITION BY row, col ORDER BY s) + (count(*) OVER (PARTITION BY row, col, s) - 1) / 2.0::DOUBLE AS b FROM tr JOIN sig USING (t)) SELECT row, col, {R.format('corr(a, b)')} AS value FROM r GROUP BY row, col""")
+def xcorr_spearman(s, d):
+    return rounded(maps.xcorrmap(trace_cells(s, d), s.range(64).select(F.col("id").alias("t"), F.pmod("id", F.lit(7)).alias("s")), "spearman"), "value")
+
+
+@query(f"WITH {TRACES}, sig AS (SELECT t, 0.5 * (1 + tanh(t - 20) * tanh(40 - t)) AS s FROM range(64) r(t)) SELECT row, col, {R.format('corr(value, s)')} AS value FROM tr JOIN sig USING (t) GROUP BY row, col")
+def actcorr_map(s, d):
+    return rounded(maps.actcorrmap(trace_cells(s, d), 64, 20, 40), "value")
+
+
+@query(f"""WITH {TRACES}, b AS (SELECT *, avg(CASE WHEN t < 10 THEN value END) OVER w AS m, stddev_pop(CASE WHEN t < 10 THEN value END) OVER w AS s FROM tr WINDOW w AS (PARTITION BY row, col))
+SELECT row, col, {R.format('avg(CASE WHEN s > 1e-6 THEN (value - m) / s ELSE 0 END)')} AS value FROM b WHERE t > 20 AND t < 40 GROUP BY row, col""")
+def meanact_map(s, d):
+    return rounded(maps.meanactmap(trace_cells(s, d), 20, 40, 10), "value")
+
+
+PAIRS = "FROM {0} x JOIN {0} y ON x.t = y.t AND abs(x.row - y.row) + abs(x.col - y.col) = 1 GROUP BY x.row, x.col, y.row, y.col"
+
+
+@query(f"WITH {CUBE}, c AS (SELECT x.row, x.col, sum(x.value * y.value) AS c {PAIRS.format('cube')}) SELECT row, col, {R.format('avg(c)')} AS value FROM c GROUP BY row, col")
+def local_corr(s, d):
+    return rounded(maps.local_corr_map(cube_events(s, d)), "value")
+
+
+@query(f"WITH {CUBE}, z AS (SELECT t, row, col, value - avg(value) OVER (PARTITION BY row, col) AS value FROM cube), c AS (SELECT x.row, x.col, avg((x.value * y.value > 0)::INTEGER) AS c {PAIRS.format('z')}) SELECT row, col, {R.format('avg(c)')} AS value FROM c GROUP BY row, col")
+def local_coherence(s, d):
+    return rounded(maps.local_coherence(cube_events(s, d)), "value")
+
+
+@query(f"""WITH {TRACES}, {SIG}, c AS (SELECT row, col, lag, sum(value * s) AS c FROM tr JOIN (SELECT unnest(range(-5, 6)) AS lag, t, s FROM sig) g ON tr.t = g.t + lag GROUP BY 1, 2, 3)
+SELECT row, col, arg_max(lag, (c, -lag))::BIGINT AS lag FROM c GROUP BY row, col""")
+def xcorr_lag(s, d):
+    c = trace_cells(s, d)
+    return maps.corr_lag(c, _signal(c), 5)
+
+
+@query(f"""WITH {TRACES}, z AS (SELECT row, col, t, value - avg(value) OVER (PARTITION BY row, col) AS v FROM tr), p AS (SELECT row, col, k, sum(v * cos(2 * pi() * k * t / 64)) AS re, sum(v * sin(2 * pi() * k * t / 64)) AS im FROM z, (SELECT unnest(range(4, 10)) AS k) GROUP BY 1, 2, 3)
+SELECT row, col, {R.format('avg(re * re + im * im)')} AS value FROM p GROUP BY row, col""")
+def dft_band_power(s, d):
+    return rounded(maps.band_power(trace_cells(s, d), 64, 4 / 64, 10 / 64), "value")
+
+
+@query()
+def cwt_energy_map(s, d):
+    return rounded(maps.cwt_map(traces_emb(s, d), [0.05, 0.1, 0.2], 10, 50), "value")
+
+
+@query()
+def cwt_freq_map(s, d):
+    return maps.cwt_freqmap(traces_emb(s, d), [0.05, 0.1, 0.15, 0.2, 0.3], 10, 50)
+
+
+# Clusters and decompositions.
+
+
+def _points(s, d):
+    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+
+
+def _seeds(p: DataFrame, n: int) -> DataFrame:
+    return p.filter(F.col("id") < n).select(F.col("id").alias("label"), F.col("x").alias("c"))
+
+
+P = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)"
+DIST = "sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+
+@query(f"WITH {P} SELECT a.id AS a, b.id AS b, {R.format(DIST)} AS distance FROM p a, p b WHERE b.id < 10 AND a.id <> b.id")
+def pairwise_dist(s, d):
+    p = _points(s, d)
+    return rounded(cluster.pairwise(p, p.filter("id < 10")), "distance")
+
+
+@query(f"WITH {P}, q AS (SELECT a.id, b.id AS label, {DIST} AS distance FROM p a, p b WHERE b.id < 10) SELECT id, label, {R.format('distance')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, label) AS n FROM q) WHERE n = 1")
+def bmu_assign(s, d):
+    p = _points(s, d)
+    return rounded(cluster.assign(p, _seeds(p, 10)).select("id", "label", "distance"), "distance")
+
+
+@query(f"""WITH {P}, q AS (SELECT a.id, a.x, b.id AS label, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS n FROM p a, p b WHERE b.id < 10)
+SELECT label, i, {R.format('avg(v)')} AS value FROM (SELECT label, unnest(range(len(x))) AS i, unnest(x) AS v FROM q WHERE n = 1) GROUP BY 1, 2""")
+def kmeans_step(s, d):
+    p = _points(s, d)
+    x = cluster.kmeans_step(p, _seeds(p, 10)).select("label", F.posexplode("c").alias("i", "value"))
+    return rounded(x.withColumn("i", F.col("i").cast("long")), "value")
+
+
+@query(f"WITH {P} SELECT a.id AS a, b.id AS b, {R.format(DIST)} AS distance FROM p a, p b WHERE a.id < b.id AND {DIST} <= 1.1")
+def eps_neighbours(s, d):
+    return rounded(cluster.near_pairs(_points(s, d), 1.1), "distance")
+
+
+@query()
+def dbscan(s, d):
+    return cluster.dbscan(_points(s, d), 1.1, 4)
+
+
+@query()
+def kmeans(s, d):
+    p = _points(s, d)
+    return cluster.cluster_stats(cluster.assign(p, cluster.kmeans(p, _seeds(p, 10), 10)))
+
+
+@query()
+def som(s, d):
+    p = _points(s, d)
+    m = cluster.som(p, (3, 3), _seeds(p, 9), 3)
+    return cluster.cluster_stats(cluster.assign(p, m))
+
+
+@query(f"""SELECT round(degrees(atan2(2 * covar_pop(l_discount * 100, l_quantity), var_pop(l_quantity) - var_pop(l_discount * 100)) / 2), 6) AS angle,
+round((var_pop(l_quantity) + var_pop(l_discount * 100)) / 2 + sqrt(pow((var_pop(l_quantity) - var_pop(l_discount * 100)) / 2, 2) + pow(covar_pop(l_discount * 100, l_quantity), 2)), 6) AS major,
+round((var_pop(l_quantity) + var_pop(l_discount * 100)) / 2 - sqrt(pow((var_pop(l_quantity) - var_pop(l_discount * 100)) / 2, 2) + pow(covar_pop(l_discount * 100, l_quantity), 2)), 6) AS minor FROM lineitem""")
+def pca_points(s, d):
+    x = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    return rounded(linalg.pca_points(x), "angle", "major", "minor")
+
+
+@query()
+def pca_projection(s, d):
+    p = _points(s, d)
+    mean, axes, _ = linalg.pca(p, 3)
+    return linalg.project(p, mean, axes).select("id", F.transform("p", lambda v: F.round(v, 6)).alias("p"))
+
+
+@query()
+def fastica(s, d):
+    p = _points(s, d)
+    mean, axes = linalg.fastica(p, 3, 20)
+    return linalg.project(p, mean, axes).select("id", F.transform("p", lambda v: F.round(v, 4)).alias("p"))
+
+
+# Registration, tracking and objects.
+
+
+@query(f"""WITH {CUBE}, g AS (SELECT t, row // 4 AS tr, col // 4 AS tc, (lead(value) OVER a - lag(value) OVER a) / 2 AS iy, (lead(value) OVER b - lag(value) OVER b) / 2 AS ix, value - lead(value) OVER c AS it FROM cube
+  WINDOW a AS (PARTITION BY t, col ORDER BY row), b AS (PARTITION BY t, row ORDER BY col), c AS (PARTITION BY row, col ORDER BY t)),
+m AS (SELECT t, tr::BIGINT AS tr, tc::BIGINT AS tc, sum(iy * iy) AS yy, sum(iy * ix) AS xy, sum(ix * ix) AS xx, sum(iy * it) AS yt, sum(ix * it) AS xt FROM g WHERE iy IS NOT NULL AND ix IS NOT NULL AND it IS NOT NULL GROUP BY 1, 2, 3)
+SELECT t, tr, tc, {R.format('(yt * xx - xt * xy) / (yy * xx - xy * xy)')} AS vy, {R.format('(xt * yy - yt * xy) / (yy * xx - xy * xy)')} AS vx FROM m WHERE yy * xx - xy * xy > 1e-9""")
+def lk_flow(s, d):
+    return rounded(register.lk_flow(cube_events(s, d), 4), "vy", "vx")
+
+
+@query()
+def register_shifts(s, d):
+    c = cube_events(s, d)
+    return register.register_shifts(layout.to_frames(c), register.template(c, 0, 30))
+
+
+@query()
+def kalman_stack(s, d):
+    f = layout.to_frames(cube_events(s, d)).withColumn("seq_id", F.lit("cube"))
+    return tracking.kalman_stack(f).select("t", F.transform("data", lambda v: F.round(v, 6)).alias("data"))
+
+
+@query()
+def track_nearest(s, d):
+    c = cube_events(s, d).select(F.col("row").alias("seq"), "t", "value")
+    return tracking.track_nearest(c, "seq", 9.0)
+
+
+@query()
+def baseline_als(s, d):
+    return _cells(tracking.baseline_als(traces_emb(s, d)))
+
+
+@query()
+def refined_extrema(s, d):
+    return rounded(tracking.refined_extrema(traces_emb(s, d)), "value")
+
+
+@query()
+def emd_modes(s, d):
+    return tracking.emd(traces_emb(s, d)).select("row", "col", "mode", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+@query()
+def mvm_objects(s, d):
+    return rounded(objects.find_objects(layout.to_frames(cube_events(s, d)), 2, 1.0, 1, 2), "value")
+
+
+# Rectangles that move, as objects whose links SQL can give too.
+OBJ = "obj AS (SELECT t, row * 2 // 3 AS obj, row, col, value FROM cube WHERE value > 12.0)"
+
+
+@query(f"""WITH {CUBE}, {OBJ}, h AS (SELECT DISTINCT a.t, a.obj, b.t - a.t AS lag, b.t AS t2, b.obj AS obj2 FROM obj a JOIN obj b ON a.row = b.row AND a.col = b.col AND b.t - a.t BETWEEN 1 AND 3),
+f AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY t, obj ORDER BY lag) AS r FROM h) WHERE r = 1), pk AS (SELECT t, obj, arg_max(row, (value, -row, -col)) AS pr, arg_max(col, (value, -row, -col)) AS pc FROM obj GROUP BY 1, 2),
+n AS (SELECT f.t, f.obj, f.t2, f.obj2, row_number() OVER (PARTITION BY f.t2, f.obj2 ORDER BY (a.pr - b.pr) * (a.pr - b.pr) + (a.pc - b.pc) * (a.pc - b.pc), f.t, f.obj) AS k FROM f JOIN pk a ON f.t = a.t AND f.obj = a.obj JOIN pk b ON f.t2 = b.t AND f.obj2 = b.obj)
+SELECT t, obj::BIGINT AS obj, t2, obj2::BIGINT AS obj2 FROM n WHERE k = 1""")
+def link_frames(s, d):
+    o = cube_events(s, d).filter("value > 12.0").withColumn("obj", F.floor(F.col("row") * 2 / 3))
+    return objects.link_frames(o)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
