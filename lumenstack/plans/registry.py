@@ -118,11 +118,11 @@ def frame_times(s, d):
 
 # Masks and regions of interest.
 
-MASK = "mask AS (SELECT row, col FROM (SELECT row, col, avg(value) AS m FROM cube GROUP BY row, col) WHERE m > 8.0)"
+MASK = "mask AS (SELECT row, col FROM (SELECT row, col, avg(value) AS m FROM cube GROUP BY row, col) WHERE m > 45.0)"
 
 
 def _mask(c: DataFrame) -> DataFrame:
-    return aggregate.mean_frame(c).filter("value > 8.0")
+    return aggregate.mean_frame(c).filter("value > 45.0")
 
 
 @query(f"WITH {CUBE}, {MASK} SELECT t, {R.format('avg(value)')} AS value FROM cube SEMI JOIN mask USING (row, col) GROUP BY t")
@@ -167,9 +167,9 @@ def _masked(x: DataFrame) -> DataFrame:
     return x.select("row", "col", F.col("mask").cast("int").alias("mask"))
 
 
-@query(f"WITH {CUBE}, {IMG} SELECT row, col, (value > 8.0)::INTEGER AS mask FROM img")
+@query(f"WITH {CUBE}, {IMG} SELECT row, col, (value > 45.0)::INTEGER AS mask FROM img")
 def mask_threshold(s, d):
-    return _masked(masks.threshold(_img(s, d), 8.0))
+    return _masked(masks.threshold(_img(s, d), 45.0))
 
 
 @query(f"WITH {CUBE}, {IMG} SELECT row, col, (value > (SELECT max(value) - min(value) FROM img) * 30 / 100)::INTEGER AS mask FROM img")
@@ -307,11 +307,11 @@ def adaptive_threshold(s, d):
     return spatial.adaptive_threshold(cube_events(s, d), 2, 1.5).withColumn("mask", F.col("mask").cast("int"))
 
 
-BIN = "bin AS (SELECT t, row, col FROM cube WHERE value > 13.0)"
+BIN = "bin AS (SELECT t, row, col FROM cube WHERE value > 65.0)"
 
 
 def _bin(s, d):
-    return cube_events(s, d).filter("value > 13.0").select("t", "row", "col")
+    return cube_events(s, d).filter("value > 65.0").select("t", "row", "col")
 
 
 OFF = "off AS (SELECT unnest([0, 0, 1, 0, -1]) AS i, unnest([0, 1, 0, -1, 0]) AS j)"
@@ -662,7 +662,7 @@ def mvm_objects(s, d):
 
 
 # Rectangles that move, as objects whose links SQL can give too.
-OBJ = "obj AS (SELECT t, row * 2 // 3 AS obj, row, col, value FROM cube WHERE value > 12.0)"
+OBJ = "obj AS (SELECT t, row * 2 // 3 AS obj, row, col, value FROM cube WHERE value > 65.0)"
 
 
 @query(f"""WITH {CUBE}, {OBJ}, h AS (SELECT DISTINCT a.t, a.obj, b.t - a.t AS lag, b.t AS t2, b.obj AS obj2 FROM obj a JOIN obj b ON a.row = b.row AND a.col = b.col AND b.t - a.t BETWEEN 1 AND 3),
@@ -670,7 +670,7 @@ f AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY t, obj ORDER BY lag) AS
 n AS (SELECT f.t, f.obj, f.t2, f.obj2, row_number() OVER (PARTITION BY f.t2, f.obj2 ORDER BY (a.pr - b.pr) * (a.pr - b.pr) + (a.pc - b.pc) * (a.pc - b.pc), f.t, f.obj) AS k FROM f JOIN pk a ON f.t = a.t AND f.obj = a.obj JOIN pk b ON f.t2 = b.t AND f.obj2 = b.obj)
 SELECT t, obj::BIGINT AS obj, t2, obj2::BIGINT AS obj2 FROM n WHERE k = 1""")
 def link_frames(s, d):
-    o = cube_events(s, d).filter("value > 12.0").withColumn("obj", F.floor(F.col("row") * 2 / 3))
+    o = cube_events(s, d).filter("value > 65.0").withColumn("obj", F.floor(F.col("row") * 2 / 3))
     return objects.link_frames(o)
 
 
