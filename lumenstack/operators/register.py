@@ -21,7 +21,7 @@ def template(cells: DataFrame, first: int, last: int) -> np.ndarray:
 def phase_shift(a: np.ndarray, b: np.ndarray, up: int = 16) -> tuple[float, float]:
     """(dy, dx) that moves b onto a: the peak of the phase correlation, refined on a grid `up` times finer."""
     f = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
-    f /= np.maximum(np.abs(f), 1e-12)
+    f /= np.maximum(np.abs(f), 1e-3 * np.abs(f).max() + 1e-300)  # frequencies of no power have no phase to tell
     c = np.fft.ifft2(f).real
     peak = np.array(np.unravel_index(c.argmax(), c.shape), float)
     size = np.array(c.shape)
