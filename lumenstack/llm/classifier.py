@@ -33,11 +33,31 @@ class Params:
     seed: int = 7
 
 
-def word_features(word: str, p: Params) -> np.ndarray:
-    """Buckets of a word and its character n-grams; `<` and `>` mark its ends."""
-    b = f"<{word}>"
-    grams = [b, *(b[i : i + n] for n in range(p.least, p.most + 1) for i in range(len(b) - n + 1))]
-    return np.array([crc32(g.encode()) for g in grams], np.int64) % p.buckets
+def word_features(words: list[str], p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, bounds, codes) of many words at once: word k's are buckets[bounds[k] : bounds[k + 1]], codes its hash.
+
+    They are the word itself and its character n-grams; `<` and `>` mark its ends.
+    """
+    codes = np.array([crc32(w.encode()) for w in words], np.uint64)
+    chars = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    end = np.repeat(np.cumsum(size), size)
+    owner = np.repeat(np.arange(len(words)), size)
+    ids, whose, h = [_bucket(codes, p)], [np.arange(len(words))], np.zeros(len(chars), np.uint64)
+    for n in range(1, p.most + 1):
+        h = h[: len(chars) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + chars[n - 1 :] + np.uint64(1)
+        if n >= p.least:
+            inside = np.flatnonzero(np.arange(len(h)) + n <= end[: len(h)])
+            ids.append(_bucket(h[inside] + np.uint64(n), p))
+            whose.append(owner[inside])
+    whose = np.concatenate(whose)
+    order = np.argsort(whose, kind="stable")
+    return np.concatenate(ids)[order], np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(words)))]), codes.astype(np.int64)
+
+
+def _bucket(h: np.ndarray, p: Params) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(32)) % np.uint64(p.buckets)).astype(np.int64)
 
 
 def pair_features(codes: np.ndarray, p: Params) -> np.ndarray:
@@ -51,12 +71,12 @@ def document_features(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    names, where = np.unique(np.array(words, object), return_inverse=True)
+    at = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    where = np.array([at[w] for w in words])
+    buckets, bounds, codes = word_features(list(at), p)
     often = np.bincount(where)
-    codes = np.array([crc32(w.encode()) for w in names], np.int64)
-    feats = [word_features(w, p) for w in names]
-    flat = np.concatenate([*feats, pair_features(codes[where], p)])
-    weight = np.concatenate([np.repeat(often, [len(f) for f in feats]), np.ones(len(words) - 1, np.int64)])
+    flat = np.concatenate([buckets, pair_features(codes[where], p)])
+    weight = np.concatenate([np.repeat(often, np.diff(bounds)), np.ones(len(words) - 1, np.int64)])
     ids, back = np.unique(flat, return_inverse=True)
     return ids, np.bincount(back, weight).astype(np.int64)
 
@@ -100,7 +120,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], p: Params) -> Model:
 class Scorer:
     """Scores of texts, with the summed vectors of words met before; the table is bounded."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 400_000):
         self.m, self.most = model, most
         self._clear()
 
@@ -110,25 +130,51 @@ class Scorer:
         self.sizes = np.zeros(1024, np.int64)
         self.codes = np.zeros(1024, np.int64)
 
-    def _meet(self, word: str) -> None:
-        i = len(self.at)
-        if i == len(self.sizes):
+    def _meet(self, words: list[str]) -> None:
+        first, last = len(self.at), len(self.at) + len(words)
+        while last > len(self.sums):
             self.sums, self.sizes, self.codes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.sizes, self.codes))
-        ids = word_features(word, self.m.params)
-        self.at[word], self.sums[i], self.sizes[i], self.codes[i] = i, self.m.vectors[ids].sum(0), len(ids), crc32(word.encode())
+        buckets, bounds, codes = word_features(words, self.m.params)
+        self.sums[first:last] = np.add.reduceat(self.m.vectors[buckets], bounds[:-1], axis=0)
+        self.sizes[first:last], self.codes[first:last] = np.diff(bounds), codes
+        self.at.update(zip(words, range(first, last), strict=True))
 
-    def score(self, text: str) -> float:
-        words = text.split()
-        if not words:
-            return self.m.score(np.zeros(self.m.params.dim, np.float32))
+    def scores(self, texts: list[str]) -> list[float]:
+        split = [t.split() for t in texts]
         if len(self.at) > self.most:
             self._clear()
-        for w in set(words) - self.at.keys():
-            self._meet(w)
-        rows = np.array([self.at[w] for w in words])
-        pairs = pair_features(self.codes[rows], self.m.params)
-        total = self.sums[rows].sum(0, dtype=np.float64) + self.m.vectors[pairs].sum(0, dtype=np.float64)
-        return self.m.score(total / (self.sizes[rows].sum() + len(pairs)))
+        new: dict[str, None] = {}
+        known = self.at.get
+        rows = []
+        for words in split:
+            found = [known(w) for w in words]
+            if None in found:
+                new.update(dict.fromkeys(w for w, i in zip(words, found, strict=True) if i is None))
+                found = None
+            rows.append(found)
+        if new:
+            self._meet(list(new))
+        at = self.at
+        return [self._score(np.array([at[w] for w in words] if found is None else found, np.int64)) for words, found in zip(split, rows, strict=True)]
+
+    def _score(self, rows: np.ndarray) -> float:
+        m = self.m
+        if not len(rows):
+            return m.score(np.zeros(m.params.dim, np.float32))
+        pairs = pair_features(self.codes[rows], m.params)
+        one = np.ones(len(rows), np.float32)  # sums by matrix product
+        total = one @ self.sums[rows] + one[1:] @ m.vectors[pairs]
+        return m.score(total / (self.sizes[rows].sum() + len(pairs)))
+
+
+#: This process's scorer, kept from task to task.
+_SCORER: list[Scorer] = []
+
+
+def scorer(model: Model) -> Scorer:
+    if not _SCORER or _SCORER[0].m is not model:
+        _SCORER[:] = [Scorer(model)]
+    return _SCORER[0]
 
 
 def fold(key: str) -> Column:
@@ -164,9 +210,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        mine = scorer(sent.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py() or "") for t in b.column(1)], pa.float64())], ["doc_id", "score"])
+            for i in range(0, len(b), 128):
+                part = b.slice(i, 128)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mine.scores([t or "" for t in part.column(1).to_pylist()]), pa.float64())], ["doc_id", "score"])
 
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, score double")
 

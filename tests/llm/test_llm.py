@@ -272,7 +272,7 @@ def test_classifier_odd(spark):
     m = classifier.fit(df, labels, "quality", classifier.Params(buckets=64, dim=4))
     words = classifier.Scorer(m)
     ids, n = classifier.document_features("one two two é", m.params)
-    assert words.score("one two two é") == pytest.approx(m.score((n / n.sum()) @ m.vectors[ids]), abs=1e-6)
+    assert words.scores(["one two two é"])[0] == pytest.approx(m.score((n / n.sum()) @ m.vectors[ids]), abs=1e-6)
 
 
 # 10
@@ -416,7 +416,7 @@ def test_pipeline(spark):
     got = {}
     now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = suffix_dedup.arrow_map.__globals__["written"](stage(spark, now, SF), "t")
+        now = packing.written(stage(spark, now, SF), "t")
         assert now.columns == docs.columns
         got[name] = {r["doc_id"]: r["text"] for r in now.collect()}
     stats = {i: brute_rules(t) for i, t in texts.items()}
