@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..operators.graph import connected_components, written
+
+__all__ = ["SPACE", "arrow_map", "connected_components", "let", "table", "words_of", "written"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -25,23 +24,6 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lumenstack-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: later reads survive lost executors and do not repeat its work."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """`body` with its argument bound to `value`, which is computed once however often the body names it."""
     return F.transform(F.array(value), body)[0]

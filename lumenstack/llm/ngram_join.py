@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, table, written
-from .components import connected_components
+from ._common import arrow_map, connected_components, table, written
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
