@@ -109,3 +109,44 @@ def jpca(points: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     coef = np.linalg.solve(lhs, np.array([np.trace(p.T @ c) for p in basis]))
     skew = sum(w * e for w, e in zip(coef, basis, strict=True))
     return skew, np.sort(np.abs(np.linalg.eigvals(skew).imag))[::-1]
+
+
+def spatiotemporal_ica(traces: DataFrame, k: int, mu: float = 0.5, rounds: int = 100) -> tuple[DataFrame, np.ndarray]:
+    """(traces with p, time courses): components independent over pixels (1 - mu) and over time (mu) together.
+
+    Traces (row, col, v) are reduced to k axes; space stays distributed, the time courses are k rows.  Components are
+    ordered by the size of their skewness, which is made positive.
+    """
+    pts = traces.select(F.struct("row", "col").alias("id"), "row", "col", F.col("v").alias("x"))
+    mean, axes, var = pca(pts, k)
+    space = project(pts, mean, axes).withColumn("x", F.transform("p", lambda v: v)).drop("p")
+    scale = np.sqrt(np.maximum(var, 1e-12))
+    time = axes / axes.std(1, keepdims=True)
+    weight = np.sqrt(1 - 2 * mu + 2 * mu * mu)
+    b = _decorrelate(np.random.default_rng(0).normal(size=(k, k)))
+
+    def sums(b: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                if len(x):
+                    z = (1 - mu) / weight * np.stack(x["x"].to_numpy()).astype(float) / scale
+                    y = z @ b.T
+                    flat = np.concatenate([[len(z)], (3 * y**2).sum(0), (y**3).T.dot(z).ravel()])
+                    yield pd.DataFrame({"i": range(len(flat)), "s": flat})
+
+        return space.select("x").mapInPandas(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toPandas()["s"].to_numpy()
+
+    t = mu / weight * time.T
+    for _ in range(rounds):
+        s, y = sums(b), t @ b.T
+        n = s[0] + len(t)
+        new = _decorrelate((s[k + 1 :].reshape(k, k) + (y**3).T @ t) / n - ((s[1 : k + 1] + (3 * y**2).sum(0)) / n)[:, None] * b)
+        done = np.abs(np.abs((new * b).sum(1)) - 1).max() < 1e-6
+        b = new
+        if done:
+            break
+    out = project(space, np.zeros(k), b / scale).select("row", "col", "p")
+    skew = np.array(out.select(*[F.skewness(F.element_at("p", i + 1)) for i in range(k)]).first())
+    order = np.argsort(-np.abs(skew), kind="stable")
+    turn = F.array(*[F.element_at("p", int(i) + 1) * float(np.sign(skew[i]) or 1) for i in order])
+    return out.withColumn("p", turn), (b @ time)[order] * np.sign(skew[order])[:, None]

@@ -79,6 +79,20 @@ def warp(x: np.ndarray, model: str, p: list[float]) -> np.ndarray:
     if model == "affine":
         y0, x0 = r - (h - 1) / 2, c - (w - 1) / 2
         return bilinear(x, r + p[0] + p[1] * y0 + p[2] * x0, c + p[3] + p[4] * y0 + p[5] * x0)
+    if model == "homography":
+        s = max(h, w) / 2
+        ys, xs, _ = _project(np.asarray(p), (r - (h - 1) / 2) / s, (c - (w - 1) / 2) / s)
+        return bilinear(x, ys * s + (h - 1) / 2, xs * s + (w - 1) / 2)
+    if model == "mesh":
+        n, m, size = map(int, p[:3])
+        step = max(size // 3, 1)
+        ry, cx = np.arange(min(size // 2, h // 2), h, step), np.arange(min(size // 2, w // 2), w, step)
+        dy, dx = (_spread_mesh(d, ry, cx, h, w) for d in np.reshape(p[3:], (2, n, m)))
+        return bilinear(x, r + dy, c + dx)
+    if model == "line_scan":
+        base = _hats(h, w, int(p[0]))
+        dy, dx = (base @ np.asarray(d) for d in np.reshape(p[1:], (2, -1)))
+        return bilinear(x, r + dy.reshape(h, w), c + dx.reshape(h, w))
     raise ValueError(f"no warp model {model}")
 
 
@@ -157,7 +171,101 @@ def stabilise(frames: DataFrame, models: tuple[str, ...] = ("shift",), most: int
     for m in models:
         first = max(0, n // 2 - most // 2)
         target = template(frames_to_cells(out), first, first + most)
-        warps = {"shift": register_shifts, "affine": register_affine}[m](out, target)
+        warps = register_model(out, target, m)
         all_.append(warps)
         out = apply_warps(out, warps)
     return out, all_
+
+
+def homography_fit(a: np.ndarray, b: np.ndarray, rounds: int = 40) -> list[float]:
+    """Eight parameters of the projective map (of centred, scaled coordinates) under which b looks like a."""
+    h, w = a.shape
+    y, x = np.mgrid[:h, :w].astype(float)
+    s = max(h, w) / 2
+    v, u = (y - (h - 1) / 2) / s, (x - (w - 1) / 2) / s
+    p = np.zeros(8)
+    for _ in range(rounds):
+        ys, xs, d = _project(p, v, u)
+        moved = bilinear(b, ys * s + (h - 1) / 2, xs * s + (w - 1) / 2)
+        gy, gx = (g * s for g in np.gradient(moved))
+        z = -(gy * ys + gx * xs) / d
+        j = np.stack([gy / d, gy * v / d, gy * u / d, gx / d, gx * v / d, gx * u / d, z * v, z * u], -1).reshape(-1, 8)
+        step = np.linalg.lstsq(j, (a - moved).ravel(), rcond=None)[0]
+        p += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return p.tolist()
+
+
+def _project(p: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    d = 1 + p[6] * v + p[7] * u
+    return (v + p[0] + p[1] * v + p[2] * u) / d, (u + p[3] + p[4] * v + p[5] * u) / d, d
+
+
+def mesh_fit(a: np.ndarray, b: np.ndarray, size: int = 25, rounds: int = 10) -> list[float]:
+    """[rows, cols, dy..., dx...]: displacements on a mesh of step size // 3, from flow in windows, smoothed each round."""
+    h, w = a.shape
+    step = max(size // 3, 1)
+    ry, cx = np.arange(min(size // 2, h // 2), h, step), np.arange(min(size // 2, w // 2), w, step)
+    d = np.zeros((2, len(ry), len(cx)))
+    y, x = np.mgrid[:h, :w].astype(float)
+    for _ in range(rounds):
+        dy, dx = (_spread_mesh(m, ry, cx, h, w) for m in d)
+        moved = bilinear(b, y + dy, x + dx)
+        gy, gx = np.gradient(moved)
+        e = a - moved
+        add = np.zeros_like(d)
+        for i, r in enumerate(ry):
+            for k, c in enumerate(cx):
+                win = np.s_[max(r - size // 2, 0) : r + size // 2 + 1, max(c - size // 2, 0) : c + size // 2 + 1]
+                m = np.array([[(gy[win] ** 2).sum(), (gy[win] * gx[win]).sum()], [(gy[win] * gx[win]).sum(), (gx[win] ** 2).sum()]])
+                rhs = np.array([(gy[win] * e[win]).sum(), (gx[win] * e[win]).sum()])
+                add[:, i, k] = np.clip(np.linalg.solve(m + 1e-6 * (np.trace(m) + 1e-9) * np.eye(2), rhs), -10, 10)
+        p = np.pad(add, ((0, 0), (1, 1), (1, 1)), "edge")
+        add = sum(wr * wc * p[:, 1 + i : 1 + i + len(ry), 1 + k : 1 + k + len(cx)] for i, wr in ((-1, 0.25), (0, 0.5), (1, 0.25)) for k, wc in ((-1, 0.25), (0, 0.5), (1, 0.25)))
+        d += add
+        if np.abs(add).max() < 1e-2:
+            break
+    return [float(len(ry)), float(len(cx)), float(size), *d.ravel().tolist()]
+
+
+def _spread_mesh(m: np.ndarray, ry: np.ndarray, cx: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Mesh values at every pixel, linear between the knots."""
+    rows = np.array([np.interp(np.arange(w), cx, line) for line in m])
+    return np.array([np.interp(np.arange(h), ry, col) for col in rows.T]).T
+
+
+def line_scan_fit(a: np.ndarray, b: np.ndarray, knots: int = 11, rounds: int = 50) -> list[float]:
+    """[knots, dy..., dx...]: displacement piecewise linear in the time of a raster scan, by Gauss-Newton, within 10 pixels."""
+    h, w = a.shape
+    y, x = np.mgrid[:h, :w].astype(float)
+    base = _hats(h, w, knots)
+    p = np.zeros((2, knots))
+    for _ in range(rounds):
+        dy, dx = (base @ p[0]).reshape(h, w), (base @ p[1]).reshape(h, w)
+        moved = bilinear(b, y + dy, x + dx)
+        if np.corrcoef(moved.ravel(), a.ravel())[0, 1] > 0.9999:
+            break
+        gy, gx = np.gradient(moved)
+        j = np.hstack([base * gy.reshape(-1, 1), base * gx.reshape(-1, 1)])
+        n = j.T @ j
+        step = np.linalg.solve(n + 1e-6 * (np.trace(n) / len(n) + 1e-9) * np.eye(len(n)), j.T @ (a - moved).ravel()).reshape(2, -1)
+        p = np.clip(p + step, -10, 10)
+        if np.abs(step).max() < 1e-3:
+            break
+    return [float(knots), *p.ravel().tolist()]
+
+
+def _hats(h: int, w: int, knots: int) -> np.ndarray:
+    """(h * w, knots): linear interpolation weights along the scan."""
+    at = np.linspace(0, knots - 1, h * w)
+    return np.maximum(0, 1 - np.abs(at[:, None] - np.arange(knots)[None]))
+
+
+FITS = {"affine": affine_fit, "homography": homography_fit, "mesh": mesh_fit, "line_scan": line_scan_fit}
+
+
+def register_model(frames: DataFrame, target: np.ndarray, model: str) -> DataFrame:
+    """warps (t, model, params) of each frame onto the template, for any model of FITS or `shift`."""
+    fit = (lambda a, b: list(phase_shift(a, b))) if model == "shift" else FITS[model]
+    return map_frames(frames, lambda t, x: [(t, model, fit(target, x))], "t long, model string, params array<double>")

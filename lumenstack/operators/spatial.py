@@ -184,3 +184,41 @@ def plane_fit(cells: DataFrame) -> DataFrame:
 
 def remove_plane(cells: DataFrame) -> DataFrame:
     return cells.join(plane_fit(cells), "t").withColumn("value", F.expr("value - a * col - b * row - c")).select(*cells.columns)
+
+
+def in_polygon(row: Column, col: Column, corners: list[tuple[float, float]]) -> Column:
+    """Whether a pixel lies inside a polygon of (row, col) corners: an odd number of edges cross the ray to the right."""
+    odd = F.lit(0)
+    for (r0, c0), (r1, c1) in zip(corners, corners[1:] + corners[:1], strict=True):
+        if r0 != r1:
+            crosses = ((F.lit(float(r0)) > row) != (F.lit(float(r1)) > row)) & (col < F.lit(float(c1 - c0)) * (row - r0) / float(r1 - r0) + c0)
+            odd = odd + F.when(crosses, 1).otherwise(0)
+    return odd % 2 == 1
+
+
+def zview(cells: DataFrame, segment: tuple[float, float, float, float], half_width: int = 0) -> DataFrame:
+    """(t, i, value): the space-time image along a segment, averaged over copies up to `half_width` pixels to both sides."""
+    x0, y0, x1, y1 = segment
+    n = max(((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5, 1e-9)
+    oy, ox = (x1 - x0) / n, -(y1 - y0) / n
+    points = [p for k in range(-half_width, half_width + 1) for p in line_samples(x0 + k * ox, y0 + k * oy, x1 + k * ox, y1 + k * oy)]
+    held = cells.sparkSession.createDataFrame(points, "i long, row int, col int")
+    # As many rows as the segment is long times its width.
+    return cells.join(F.broadcast(held), ["row", "col"]).groupBy("t", "i").agg(F.avg("value").alias("value"))
+
+
+def tiles(cells: DataFrame, size: int, stride: int) -> DataFrame:
+    """Cells with (tr, tc) of every tile of side `size` at multiples of `stride` that holds them."""
+    reach = -(-size // stride)
+    o = F.sequence(F.lit(0), F.lit(reach - 1))
+    x = cells.withColumn("tr", F.explode(F.transform(o, lambda k: F.floor(F.col("row") / stride) - k))).withColumn("tc", F.explode(F.transform(o, lambda k: F.floor(F.col("col") / stride) - k)))
+    inside = (F.col("tr") >= 0) & (F.col("tc") >= 0) & (F.col("row") < F.col("tr") * stride + size) & (F.col("col") < F.col("tc") * stride + size)
+    return x.filter(inside)
+
+
+def adaptive_median_mad(cells: DataFrame, k: float) -> DataFrame:
+    """The 3 x 3 median, but the value itself where it differs by at most k noise deviations (from the median deviation)."""
+    g = gather(cells, SQUARE, _q=F.percentile("_v", F.lit(0.5))).withColumn("_d", F.col("value") - F.col("_q"))
+    mid = g.groupBy("t").agg(F.percentile("_d", F.lit(0.5)).alias("_m"))
+    noise = g.join(mid, "t").groupBy("t").agg((F.percentile(F.abs(F.col("_d") - F.col("_m")), F.lit(0.5)) / 0.6745).alias("_s"))
+    return g.join(noise, "t").withColumn("value", F.when(F.abs("_d") <= k * F.col("_s"), F.col("value")).otherwise(F.col("_q"))).select(*cells.columns)

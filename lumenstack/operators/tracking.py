@@ -158,3 +158,108 @@ def emd(traces: DataFrame, most: int = 100) -> DataFrame:
         yield -1, rest.tolist()
 
     return map_traces(traces, one, "mode long, v array<double>")
+
+
+def guess_walls(v: np.ndarray) -> tuple[int, int]:
+    """The steepest rise before and the steepest fall after the brightest place of a profile."""
+    g, top = np.gradient(v), int(v.argmax())
+    return int(g[: top + 1].argmax()), top + int(g[top:].argmin())
+
+
+def vessel_walls(lines: DataFrame, key: str, memory: int = 5) -> DataFrame:
+    """(key, t, lower, upper, diameter): both walls of a bright vessel, each followed along the extrema of the gradient.
+
+    Lines are (key, t, v).  The first walls come from the mean profile; a wall goes to the local extremum nearest the
+    mean of its last places.
+    """
+
+    def one(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t")
+        x = np.stack(g["v"].to_numpy()).astype(float)
+        lo, hi = ([float(s)] for s in guess_walls(x.mean(0)))
+        rows = []
+        for t, v in zip(g["t"], x, strict=True):
+            d = np.gradient(v)
+            for last, s in ((lo, d), (hi, -d)):
+                peaks = np.flatnonzero((s[1:-1] > s[:-2]) & (s[1:-1] >= s[2:]) & (s[1:-1] > 0.25 * s.max())) + 1
+                if len(peaks):
+                    last.append(float(peaks[np.abs(peaks - np.mean(last[-memory:])).argmin()]))
+                else:
+                    last.append(last[-1])
+            rows.append((k[0], t, lo[-1], hi[-1], hi[-1] - lo[-1]))
+        return pd.DataFrame(rows, columns=[key, "t", "lower", "upper", "diameter"])
+
+    return lines.groupBy(key).applyInPandas(one, f"{key} {dict(lines.dtypes)[key]}, t long, lower double, upper double, diameter double")
+
+
+def contours(u: np.ndarray, rounds: int = 500, spring: float = 0.3, pull: float = 1.0, damping: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) walls of a bright band in an image (place, t): two elastic contours moved to where the brightness
+    lies between the means inside and outside, integrated until they rest."""
+    n, m = u.shape
+    a, b = guess_walls(u.mean(1))
+    walls = np.array([np.full(m, float(a)), np.full(m, float(b))])
+    speed = np.zeros_like(walls)
+    place, col = np.arange(n)[:, None], np.arange(m)
+    for _ in range(rounds):
+        inside = (place >= walls[0]) & (place <= walls[1])
+        c1, c2 = u[inside].mean() if inside.any() else 1.0, u[~inside].mean() if (~inside).any() else 0.0
+        force = np.zeros_like(walls)
+        for i, sign in ((0, -1.0), (1, 1.0)):
+            at = np.clip(walls[i], 0, n - 1)
+            lo = np.minimum(at.astype(int), n - 2)
+            value = u[lo, col] * (1 - (at - lo)) + u[lo + 1, col] * (at - lo)
+            region = (np.abs(value - c2) - np.abs(value - c1)) / max(abs(c1 - c2), 1e-9)
+            p = np.pad(walls[i], 1, "edge")
+            force[i] = sign * pull * region + spring * (p[:-2] + p[2:] - 2 * walls[i])
+        speed = (1 - damping) * (speed + 0.5 * np.clip(force, -2, 2))
+        walls = np.clip(walls + 0.5 * speed, 0, n - 1)
+        if np.abs(speed).max() < 5e-3:
+            break
+    return walls[0], walls[1]
+
+
+def contour_walls(lines: DataFrame, key: str) -> DataFrame:
+    """(key, t, lower, upper, diameter) by elastic contours over each key's whole line scan."""
+
+    def one(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t")
+        lo, hi = contours(np.stack(g["v"].to_numpy()).astype(float).T)
+        return pd.DataFrame({key: k[0], "t": g["t"], "lower": lo, "upper": hi, "diameter": hi - lo})
+
+    return lines.groupBy(key).applyInPandas(one, f"{key} {dict(lines.dtypes)[key]}, t long, lower double, upper double, diameter double")
+
+
+def asymmetric_smooth(traces: DataFrame, level: int, r: float = 1.0, tol: float = 1e-5, most: int = 1000) -> DataFrame:
+    """(row, col, v): the starlet approximation after samples above it by r deviations are cut down to it, until it rests."""
+    from .wavelet import B3, _mirror, check_level
+
+    def approx(v: np.ndarray) -> np.ndarray:
+        for j in range(level):
+            v = sum(w * v[_mirror(len(v), 2**j, d)] for d, w in zip(range(-2, 3), B3, strict=True))
+        return v
+
+    def one(v: np.ndarray):
+        check_level(level, len(v))
+        s, x = approx(v), v.copy()
+        for _ in range(most):
+            x = np.where(x > s + r * (v - s).std(), s, x)
+            new = approx(x)
+            done = (new - s).std() < tol
+            s = new
+            if done:
+                break
+        yield (s.tolist(),)
+
+    return map_traces(traces, one, "v array<double>")
+
+
+def front_velocity(points: DataFrame, key: str, least: float = 5.0) -> DataFrame:
+    """(key, side, r, velocity) of a wave front picked as (key, x, t): distance from its first place, by central differences."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    apex = points.groupBy(key).agg(F.min_by("x", "t").alias("_x0"))
+    p = points.join(apex, key).withColumns({"r": F.abs(F.col("x") - F.col("_x0")), "side": F.signum(F.col("x") - F.col("_x0")).cast("int")}).filter("side <> 0")
+    w = Window.partitionBy(key, "side").orderBy("r")
+    v = F.abs((F.lead("r").over(w) - F.lag("r").over(w)) / F.nullif(F.lead("t").over(w) - F.lag("t").over(w), F.lit(0.0)))
+    return p.withColumn("velocity", v).filter((F.col("r") >= least) & F.col("velocity").isNotNull()).select(key, "side", "r", "velocity")

@@ -184,3 +184,41 @@ def leica_properties(spark: SparkSession, path: str) -> DataFrame:
     attr = lambda name: F.regexp_extract_all("xml", F.lit(rf'<DimensionDescription[^>]*\b{name}="([^"]*)"'), 1)
     dims = F.transform(F.arrays_zip(attr("DimID").alias("id"), attr("NumberOfElements").alias("n"), attr("Length").alias("length")), lambda d: F.struct(d["id"].alias("id"), d["n"].cast("long").alias("n"), (d["length"].cast("double") * 1e6 / d["n"].cast("double")).alias("step_um")))
     return x.select("path", F.expr("try_cast(regexp_extract(xml, 'nDelayTime_ms=\"([0-9.]+)\"', 1) as double)").alias("dt_ms"), dims.alias("dims"))
+
+
+def axes_of_names(names: DataFrame, pattern: str, axes: list[str]) -> DataFrame:
+    """`names` (path) with a column per axis, from the groups of a pattern over the file name; null where it does not match."""
+    base = F.element_at(F.split("path", "/"), -1)
+    got = lambda i: F.expr(f"try_cast(_m[{i}] as long)")
+    x = names.withColumn("_m", F.array(*[F.regexp_extract(base, pattern, i + 1) for i in range(len(axes))]))
+    return x.withColumns({a: got(i) for i, a in enumerate(axes)}).drop("_m")
+
+
+def read_hdf5(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """Frames of the dataset (the only one, unless named) of HDF5 files; needs h5py on driver and executors."""
+    try:
+        import h5py  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("reading HDF5 needs the h5py package") from e
+
+    def decode(data: bytes) -> Iterator[np.ndarray]:
+        import h5py
+
+        with h5py.File(io.BytesIO(data), "r") as f:
+            names = [dataset] if dataset else list(f)
+            if len(names) != 1 or names[0] not in f:
+                raise ValueError(f"name one dataset of {sorted(f)}")
+            yield from f[names[0]]
+
+    return frames_of(spark, path, decode).select("path", F.col("k").alias("t"), "ch", "h", "w", "data")
+
+
+def unmix_planes(frames: DataFrame, channels: int) -> DataFrame:
+    """Frames of interleaved channels: t = k div channels, ch = k mod channels."""
+    return frames.withColumns({"ch": F.pmod("t", F.lit(channels)).cast("int"), "t": F.floor(F.col("t") / channels).cast("long")})
+
+
+def cut_strip(cells: DataFrame, lines: int) -> DataFrame:
+    """Frames that lie side by side in one long strip, `lines` columns each; the first, which is incomplete, is left out."""
+    out = cells.withColumns({"t": F.floor(F.col("col") / lines).cast("long") - 1, "col": F.pmod("col", F.lit(lines)).cast("int")})
+    return out.filter("t >= 0")

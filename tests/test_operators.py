@@ -239,3 +239,53 @@ def test_spatial_truth(spark):
     cells = spark.range(25).select(F.lit(0).cast("long").alias("t"), F.floor(F.col("id") / 5).cast("int").alias("row"), (F.col("id") % 5).cast("int").alias("col")).withColumn("value", 2.0 * F.col("col") - F.col("row") + 3)
     assert spatial.remove_plane(cells).agg(F.max(F.abs("value"))).first()[0] < 1e-9
     assert cluster.converging_squares(layout.to_frames(cells), 2, 1).count() > 0
+
+
+def test_more_warps(spark):
+    y, x = np.mgrid[:48, :48].astype(float)
+    a = sum(np.exp(-((y - r) ** 2 + (x - c) ** 2) / 40) for r, c in ((12, 14), (30, 20), (22, 36), (38, 40)))
+    for model, true in (("affine", [1.0, 0.02, 0.0, -0.8, 0.0, -0.01]), ("homography", [0.03, 0.02, 0.01, -0.02, 0.0, 0.01, 0.01, 0.0])):
+        b = register.warp(a, model, true)
+        p = register.FITS[model](b, a)
+        assert np.abs(register.warp(a, model, p) - b).max() < 0.02, model
+    b = register.warp(a, "shift", [1.5, -1.0])
+    for model in ("mesh", "line_scan"):
+        p = register.FITS[model](b, a)
+        assert np.abs(register.warp(a, model, p) - b)[6:-6, 6:-6].mean() < 0.25 * np.abs(a - b)[6:-6, 6:-6].mean(), model
+    frames = spark.createDataFrame([(0, 48, 48, a.ravel().tolist())], "t long, h int, w int, data array<double>")
+    assert register.apply_warps(frames, register.register_model(frames, b, "mesh")).count() == 1
+
+
+def test_walls_and_fronts(spark):
+    lines = synthetic.vessel(spark, 50, 40, 10, 28)
+    for f in (tracking.vessel_walls, tracking.contour_walls):
+        rows = f(lines, "seq").toPandas()
+        assert abs(rows["lower"].mean() - 10) < 2 and abs(rows["upper"].mean() - 28) < 2 and len(rows) == 50
+    pts = spark.createDataFrame([("a", float(x), abs(x) / 2.0) for x in range(-20, 21)], "k string, x double, t double")
+    assert {round(r["velocity"], 6) for r in tracking.front_velocity(pts, "k").collect()} == {2.0}
+    t = spark.createDataFrame([(0, 0, (np.sin(np.arange(64)) ** 2).tolist())], "row int, col int, v array<double>")
+    assert max(tracking.asymmetric_smooth(t, 3).first()["v"]) < 0.6
+
+
+def test_shapes_and_names(spark):
+    grid = spark.range(100).select(F.lit(0).cast("long").alias("t"), F.floor(F.col("id") / 10).cast("int").alias("row"), (F.col("id") % 10).cast("int").alias("col"), F.col("id").cast("double").alias("value"))
+    assert grid.filter(spatial.in_polygon(F.col("row"), F.col("col"), [(-0.5, -0.5), (-0.5, 4.5), (4.5, 4.5), (4.5, -0.5)])).count() == 25
+    assert spatial.zview(grid, (0, 4, 9, 4), 1).filter("i = 3").first()["value"] == pytest.approx(43)
+    assert spatial.tiles(grid, 4, 2).groupBy("tr", "tc").count().filter("count = 16").count() == 16
+    assert spatial.adaptive_median_mad(grid, 3.0).count() == 100
+    names = spark.createDataFrame([("a/s_t3_c1.tif",), ("a/x.tif",)], "path string")
+    assert [tuple(r)[1:] for r in images.axes_of_names(names, r"_t(\d+)_c(\d+)", ["t", "c"]).collect()] == [(3, 1), (None, None)]
+    strip = images.cut_strip(grid, 5)
+    assert strip.select("t").distinct().count() == 1 and strip.count() == 50
+
+
+def test_spatiotemporal_ica(spark):
+    rng = np.random.default_rng(0)
+    masks = rng.exponential(size=(2, 300)) * (rng.random((2, 300)) < 0.2)
+    t = np.arange(80)
+    signals = np.array([np.exp(-((t % 20) / 4)), np.sin(t / 5) ** 8])
+    data = masks.T @ signals + 0.01 * rng.normal(size=(300, 80))
+    tr = spark.createDataFrame([(i // 20, i % 20, v.tolist()) for i, v in enumerate(data)], "row int, col int, v array<double>")
+    maps_, _ = linalg.spatiotemporal_ica(tr, 2, 0.3)
+    p = np.array([r["p"] for r in maps_.orderBy("row", "col").collect()])
+    assert np.sort(np.abs(np.corrcoef(p.T, masks)[:2, 2:]).max(1)).min() > 0.9
