@@ -15,6 +15,12 @@ from .window import dfosd
 PIXEL = ["row", "col"]
 
 
+def pearson(a: str, b: str) -> Column:
+    """Pearson's r; null where a side does not vary."""
+    a_, b_ = F.col(a).cast("double"), F.col(b).cast("double")
+    return F.try_divide(F.covar_pop(a_, b_), F.stddev_pop(a_) * F.stddev_pop(b_))
+
+
 def _rank(value: str, keys: list[str]) -> Column:
     """Average rank of a value in its trace."""
     w = Window.partitionBy(*keys).orderBy(value)
@@ -27,7 +33,7 @@ def xcorrmap(cells: DataFrame, signal: DataFrame, how: str = "pearson") -> DataF
     both = cells.join(signal, "t")
     if how == "spearman":
         both = both.withColumns({"value": _rank("value", PIXEL), "s": _rank("s", PIXEL)})
-    score = F.sum(F.col("value") * F.col("s")) if how == "dot" else F.corr(F.col("value").cast("double"), F.col("s").cast("double"))
+    score = F.sum(F.col("value") * F.col("s")) if how == "dot" else pearson("value", "s")
     return both.groupBy(*PIXEL).agg(score.alias("value"))
 
 
@@ -58,7 +64,7 @@ def _neighbours(cells: DataFrame) -> DataFrame:
 
 def local_corr_map(cells: DataFrame, how: str = "dot") -> DataFrame:
     """Mean over the axis neighbours of the dot product, or of Pearson's r, of the traces."""
-    one = F.sum(F.col("value") * F.col("other")) if how == "dot" else F.corr("value", "other")
+    one = F.sum(F.col("value") * F.col("other")) if how == "dot" else pearson("value", "other")
     return _neighbours(cells).groupBy(*PIXEL, "row0", "col0").agg(one.alias("c")).groupBy(*PIXEL).agg(F.avg("c").alias("value"))
 
 
@@ -95,7 +101,7 @@ def roi_matrix(traces: DataFrame) -> DataFrame:
     Regions of interest are drawn by hand, so pairs are few; both sides meet on t.
     """
     o = traces.select("t", F.col("tag").alias("b"), F.col("value").alias("v"))
-    return traces.join(o, "t").filter(F.col("tag") > F.col("b")).groupBy(F.col("tag").alias("a"), "b").agg(F.corr("value", "v").alias("r"))
+    return traces.join(o, "t").filter(F.col("tag") > F.col("b")).groupBy(F.col("tag").alias("a"), "b").agg(pearson("value", "v").alias("r"))
 
 
 def morlet(v: np.ndarray, freqs: np.ndarray, dt: float = 1.0, omega: float = 6.0) -> np.ndarray:

@@ -45,12 +45,12 @@ def clip_rescale(img: DataFrame, nout: int) -> DataFrame:
     """Values cut at the percentile that leaves `nout` above, over that percentile."""
     total = img.count()
     cut = img.agg(F.percentile("value", F.lit(1 - nout / max(total, 1))).alias("_p"))
-    return img.crossJoin(F.broadcast(cut)).withColumn("value", F.least("value", "_p") / F.col("_p")).drop("_p")
+    return img.crossJoin(F.broadcast(cut)).withColumn("value", F.try_divide(F.least("value", "_p"), F.col("_p"))).drop("_p")
 
 
 def rescale(img: DataFrame) -> DataFrame:
     """To 0 ... 1."""
-    return _with_scalars(img, _a=F.min("value"), _b=F.max("value")).withColumn("value", (F.col("value") - F.col("_a")) / (F.col("_b") - F.col("_a"))).drop("_a", "_b")
+    return _with_scalars(img, _a=F.min("value"), _b=F.max("value")).withColumn("value", F.try_divide(F.col("value") - F.col("_a"), F.col("_b") - F.col("_a"))).drop("_a", "_b")
 
 
 def zero_where(img: DataFrame, mask: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def dfof_roi(s, d):
     return rounded(window.dfof(aggregate.roi_trace(cube_events(s, d), rois(s)), ["tag"], 10), "value")
 
 
-@query(f"{ROI_TRACE} SELECT x.tag AS a, y.tag AS b, {R.format('corr(x.value, y.value)')} AS r FROM rt x JOIN rt y ON x.t = y.t AND x.tag > y.tag GROUP BY 1, 2")
+@query(f"{ROI_TRACE} SELECT x.tag AS a, y.tag AS b, {R.format('CASE WHEN stddev_pop(x.value) * stddev_pop(y.value) > 0 THEN corr(x.value, y.value) END')} AS r FROM rt x JOIN rt y ON x.t = y.t AND x.tag > y.tag GROUP BY 1, 2")
 def roi_xcorr_matrix(s, d):
     return rounded(maps.roi_matrix(aggregate.roi_trace(cube_events(s, d), rois(s))), "r")
 
