@@ -173,8 +173,8 @@ def map_frames(frames: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def decompose2d(frames: DataFrame, level: int, kind: str = "starlet") -> DataFrame:
-    """(t, level, row, col, value) of each frame; kind is starlet or median."""
-    kernel = starlet2d if kind == "starlet" else median_pyramid
+    """(t, level, row, col, value) of each frame; kind is starlet, median or hybrid."""
+    kernel = {"starlet": starlet2d, "median": median_pyramid, "hybrid": hybrid_pyramid}[kind]
 
     def one(t: int, x: np.ndarray):
         for j, w in enumerate(kernel(x, level)):
@@ -182,3 +182,114 @@ def decompose2d(frames: DataFrame, level: int, kind: str = "starlet") -> DataFra
                 yield t, j, r, c, v
 
     return map_frames(frames, one, "t long, level long, row int, col int, value double")
+
+
+def decompose3d(cells: DataFrame, level: int, frames: int, temporal_only: bool = False) -> DataFrame:
+    """(level, t, row, col, value) of a cube: at each level a pass along time per pixel, then one in space per frame.
+
+    Two exchanges a level, by pixel and by frame; each level's smooth cube is a written table.
+    """
+    from .graph import written
+    from .layout import frames_to_cells, to_frames, to_traces, traces_to_cells
+
+    check_level(level, frames)
+    now, out = cells.select("t", "row", "col", "value"), None
+    for j in range(level):
+        nxt = traces_to_cells(to_traces(now).withColumn("v", smooth_once(F.col("v"), 2**j)))
+        if not temporal_only:
+            f = to_frames(nxt)
+
+            def run(batches: Iterator[pd.DataFrame], hole: int = 2**j) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    b["data"] = [smooth2d(np.asarray(d, float).reshape(h, w), hole).ravel() for h, w, d in zip(b["h"], b["w"], b["data"], strict=True)]
+                    yield b
+
+            nxt = frames_to_cells(f.mapInPandas(run, "t long, h int, w int, data array<double>"))
+        nxt = written(nxt, "smooth")
+        both = now.unionByName(nxt.withColumn("value", -F.col("value")))
+        detail = both.groupBy("t", "row", "col").agg(F.sum("value").alias("value")).select(F.lit(j).cast("long").alias("level"), "t", "row", "col", "value")
+        out = detail if out is None else out.unionByName(detail)
+        now = nxt
+    return out.unionByName(now.select(F.lit(level).cast("long").alias("level"), "t", "row", "col", "value"))
+
+
+def bspline_smooth(traces: DataFrame) -> DataFrame:
+    """One pass of the spline, mirrored with the edge repeated."""
+
+    def one(a: Column) -> Column:
+        n = F.size(a)
+        at = lambda k: F.when(k < 0, -k - 1).when(k >= n, 2 * n - 1 - k).otherwise(k)
+        return F.transform(a, lambda _, i: sum((F.get(a, at(i + d).cast("int")) * w for d, w in zip((-2, -1, 1, 2), (B3[0], B3[1], B3[3], B3[4]), strict=True)), F.get(a, i) * B3[2]))
+
+    return traces.withColumn("v", _let(F.col("v"), one))
+
+
+def sigma_kclip(df: DataFrame, k: float = 3.0, rounds: int = 3) -> float:
+    """Deviation of `value` after rounds of leaving out what is k deviations or more from 0; one row a round."""
+    sd = df.agg(F.stddev_pop("value")).first()[0] or 0.0
+    for _ in range(rounds):
+        sd = df.agg(F.stddev_pop(F.when(F.abs("value") < k * sd, F.col("value")))).first()[0] or 0.0
+    return sd / SIGMA_1D[0]
+
+
+def estimate_sigma(traces: DataFrame, level: int, k: float = 3.0, eps: float = 0.01, rounds: int = 20) -> DataFrame:
+    """`traces` with sigma: from the median deviation, then the deviation of what the approximation leaves, over the
+    samples that are significant at no level, until it moves by less than eps; per trace, in expressions."""
+    d = sigma_mad(decompose1d(traces, level))
+    rest = F.zip_with("v", "approx", lambda a, b: a - b)
+    zipped = F.arrays_zip(rest.alias("r"), *[F.col(f"w{j}") for j in range(level)])
+
+    def again(s: Column) -> Column:
+        quiet = F.filter(zipped, lambda z: ~_any([F.abs(z[f"w{j}"]) > k * SIGMA_1D[j] * s for j in range(level)]))
+
+        def sd(a: Column) -> Column:
+            n = F.size(a)
+            total = lambda f: F.aggregate(a, F.lit(0.0), lambda x, z: x + f(z["r"]))
+            return F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(total(lambda r: r * r), n) - F.pow(F.try_divide(total(lambda r: r), n), F.lit(2.0)))))
+
+        return F.coalesce(_let(quiet, sd), s)
+
+    step = lambda acc, _: F.when(acc["done"], acc).otherwise(_let(again(acc["s"]), lambda new: F.struct(new.alias("s"), (F.abs(new - acc["s"]) <= eps * new).alias("done"))))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.col("sigma").alias("s"), F.lit(False).alias("done")), step, lambda a: a["s"])
+    return d.withColumn("sigma", out).select(*traces.columns, "sigma")
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def hybrid_pyramid(x: np.ndarray, level: int, s: int = 2, tau: float = 5.0, upto: int = 2) -> np.ndarray:
+    """Median pyramid on the first `upto` levels, whose strong coefficients are kept out of the starlet smoothing; starlet beyond."""
+    out = []
+    for j in range(level):
+        if j < upto:
+            c = median2d(x, s)
+            w = x - c
+            held = w[w != 0]
+            th = tau * np.median(np.abs(held - np.median(held))) / 0.6745 if len(held) else 0.0
+            c = np.where(np.abs(w) > th, c, x)
+            for i in range(j + 1):
+                c = smooth2d(c, 2**i)
+            s *= 2
+        else:
+            c = smooth2d(x, 2**j)
+        out.append(x - c)
+        x = c
+    return np.array([*out, x])
+
+
+def rebuild(coefs: np.ndarray, supp: np.ndarray, rounds: int = 5) -> np.ndarray:
+    """A non-negative image whose starlet coefficients agree with the significant ones, by damped gradient steps."""
+    level = len(coefs) - 1
+    x = (coefs * supp).sum(0)
+    step = 1.0
+    for _ in range(rounds):
+        u = ((coefs - starlet2d(x, level)) * supp).sum(0)
+        wu = (starlet2d(u, level) * supp).sum(0)
+        a = (u**2).sum() / max((wu**2).sum(), 1e-12)
+        x = np.maximum(0, x + a * step * u)
+        step *= 0.9
+    return x

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, cluster, layout, linalg, maps, masks, objects, register, spatial, tracking, wavelet, window
+from ..streaming import stateful
 from .views import CUBE, DAILY, ROI_ROWS, ROIS, STACK, TRACES, cube_events, rois, stack_emb, trace_cells, trace_daily, traces_emb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -674,6 +675,53 @@ def link_frames(s, d):
     return objects.link_frames(o)
 
 
+@query(_starlet_sql(0) + """, k AS (SELECT t, w, CASE WHEN k < 0 THEN -k - 1 WHEN k >= 64 THEN 127 - k ELSE k END AS k FROM (SELECT t, d + t AS k, w FROM range(64) r(t), (SELECT unnest([-2, -1, 0, 1, 2]) AS d, unnest([1, 4, 6, 4, 1]::DOUBLE[]) / 16 AS w)))
+SELECT row, col, k.t, round(sum(w * value), 6) + 0.0 AS value FROM k JOIN c0 ON c0.t = k.k GROUP BY 1, 2, 3""")
+def bspline_smooth(s, d):
+    return _cells(wavelet.bspline_smooth(traces_emb(s, d)))
+
+
+@query()
+def estimate_sigma(s, d):
+    return wavelet.estimate_sigma(traces_emb(s, d), 3).select("row", "col", r6("sigma", "sigma"))
+
+
+@query()
+def starlet3d(s, d):
+    return rounded(wavelet.decompose3d(cube_events(s, d), 2, 30), "value")
+
+
+@query()
+def hybrid_pyramid2d(s, d):
+    return rounded(wavelet.decompose2d(layout.to_frames(stack_emb(s, d)), 2, "hybrid"), "value")
+
+
+def _samples(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select(F.pmod("user_id", F.lit(8)).alias("key"), "ts", "value")
+
+
+@query(f"SELECT user_id % 8 AS key, epoch(time_bucket(INTERVAL '6 hours', ts))::BIGINT AS start, count(value) AS n, {R.format('avg(value)')} AS value FROM events GROUP BY 1, 2")
+def event_chunks(s, d):
+    return rounded(stateful.chunk_means(_samples(s, d), "6 hours"), "value").withColumn("start", F.unix_seconds("start"))
+
+
+@query(f"SELECT user_id % 8 AS key, epoch(unnest([time_bucket(INTERVAL '6 hours', ts), time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours']))::BIGINT AS start, {R.format('avg(value)')} AS value FROM events GROUP BY 1, 2")
+def event_sliding_means(s, d):
+    return rounded(stateful.sliding_means(_samples(s, d), "12 hours", "6 hours"), "value").withColumn("start", F.unix_seconds("start"))
+
+
+@query(f"""WITH g AS (SELECT user_id % 8 AS key, ts, value, coalesce(ts >= lag(ts) OVER w + INTERVAL '1 hour', true) AS new FROM events WINDOW w AS (PARTITION BY user_id % 8 ORDER BY ts)),
+i AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT key, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL '1 hour') AS stop, count(*) AS n, {R.format('max(value)')} AS top FROM i GROUP BY key, k""")
+def event_sessions(s, d):
+    return rounded(stateful.sessions(_samples(s, d), "1 hour"), "top").withColumns({"start": F.unix_micros("start"), "stop": F.unix_micros("stop")})
+
+
+@query()
+def event_kalman(s, d):
+    return rounded(stateful.kalman(_samples(s, d)), "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -289,3 +289,35 @@ def test_spatiotemporal_ica(spark):
     maps_, _ = linalg.spatiotemporal_ica(tr, 2, 0.3)
     p = np.array([r["p"] for r in maps_.orderBy("row", "col").collect()])
     assert np.sort(np.abs(np.corrcoef(p.T, masks)[:2, 2:]).max(1)).min() > 0.9
+
+
+def test_sequence(spark):
+    from lumenstack.sequence import FrameSeq
+
+    x = np.random.default_rng(0).random((7, 5, 4))
+    s = FrameSeq.of_array(spark, x, [(0.5, "s")])
+    assert [r["ts"] for r in s.times().orderBy("t").collect()] == [0.5 * t for t in range(7)] and s.axes[2].units == "s"
+    back = lambda q: np.array([r["data"] for r in q.frames.orderBy("t").collect()])
+    assert np.allclose(back(s.map_frames(lambda f: f[::2, :3] * 2)), (x[:, ::2, :3] * 2).reshape(7, -1))
+    assert np.allclose(back(s.map_traces(lambda v: v[1:] - v[:-1])), np.diff(x, axis=0).reshape(6, -1))
+    med = {(r["row"], r["col"]): r["value"] for r in s.project(np.median).collect()}
+    assert med == pytest.approx({(r["row"], r["col"]): r["value"] for r in s.project("median").collect()})
+    assert s.crop((1, 4), (0, 2)).cells.count() == 3 * 2 * 4 and s.masked(spark.createDataFrame([(0, 0)], "row int, col int")).cells.count() == 7
+    assert np.allclose(back(s.dfof(3)), (x / x[:3].mean(0) - 1).reshape(7, -1))
+
+
+def test_deeper_wavelets(spark):
+    rng = np.random.default_rng(1)
+    cube = rng.normal(size=(20, 9, 8))
+    cells = spark.createDataFrame([(t, r, c, float(v)) for (t, r, c), v in np.ndenumerate(cube)], "t long, row int, col int, value double")
+    w = wavelet.decompose3d(cells, 2, 20).toPandas()
+    back = w.groupby(["t", "row", "col"]).value.sum().to_numpy().reshape(20, 9, 8)
+    assert np.allclose(back, cube) and len(w) == 3 * cube.size
+    tr = spark.createDataFrame([(0, 0, (rng.normal(size=400) * 2 + (np.arange(400) % 100 == 0) * 60).tolist())], "row int, col int, v array<double>")
+    assert wavelet.estimate_sigma(tr, 4).first()["sigma"] == pytest.approx(2, rel=0.2)
+    noise = spark.range(4000).select((F.randn(3) * 0.7235).alias("value"))
+    assert wavelet.sigma_kclip(noise) == pytest.approx(1, rel=0.06)
+    x = np.exp(-((np.arange(32)[:, None] - 16.0) ** 2 + (np.arange(32)[None] - 12.0) ** 2) / 18) * 10
+    coefs = wavelet.starlet2d(x, 3)
+    assert np.abs(wavelet.rebuild(coefs, np.abs(coefs) > 0.05) - x).max() < 1.0
+    assert np.allclose(wavelet.hybrid_pyramid(x, 3).sum(0), x)
