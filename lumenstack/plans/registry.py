@@ -696,25 +696,29 @@ def hybrid_pyramid2d(s, d):
     return rounded(wavelet.decompose2d(layout.to_frames(stack_emb(s, d)), 2, "hybrid"), "value")
 
 
+def _text(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def _samples(s, d):
     return s.read.parquet(f"{d}/events.parquet").select(F.pmod("user_id", F.lit(8)).alias("key"), "ts", "value")
 
 
-@query(f"SELECT user_id % 8 AS key, epoch(time_bucket(INTERVAL '6 hours', ts))::BIGINT AS start, count(value) AS n, {R.format('avg(value)')} AS value FROM events GROUP BY 1, 2")
+@query(f"SELECT user_id % 8 AS key, strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(value) AS n, {R.format('avg(value)')} AS value FROM events GROUP BY 1, 2")
 def event_chunks(s, d):
-    return rounded(stateful.chunk_means(_samples(s, d), "6 hours"), "value").withColumn("start", F.unix_seconds("start"))
+    return rounded(stateful.chunk_means(_samples(s, d), "6 hours"), "value").withColumn("start", _text("start"))
 
 
-@query(f"SELECT user_id % 8 AS key, epoch(unnest([time_bucket(INTERVAL '6 hours', ts), time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours']))::BIGINT AS start, {R.format('avg(value)')} AS value FROM events GROUP BY 1, 2")
+@query(f"SELECT user_id % 8 AS key, strftime(unnest([time_bucket(INTERVAL '6 hours', ts), time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours']), '%Y-%m-%d %H:%M:%S.%f') AS start, {R.format('avg(value)')} AS value FROM events GROUP BY 1, 2")
 def event_sliding_means(s, d):
-    return rounded(stateful.sliding_means(_samples(s, d), "12 hours", "6 hours"), "value").withColumn("start", F.unix_seconds("start"))
+    return rounded(stateful.sliding_means(_samples(s, d), "12 hours", "6 hours"), "value").withColumn("start", _text("start"))
 
 
 @query(f"""WITH g AS (SELECT user_id % 8 AS key, ts, value, coalesce(ts >= lag(ts) OVER w + INTERVAL '1 hour', true) AS new FROM events WINDOW w AS (PARTITION BY user_id % 8 ORDER BY ts)),
 i AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT key, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL '1 hour') AS stop, count(*) AS n, {R.format('max(value)')} AS top FROM i GROUP BY key, k""")
+SELECT key, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL '1 hour', '%Y-%m-%d %H:%M:%S.%f') AS stop, count(*) AS n, {R.format('max(value)')} AS top FROM i GROUP BY key, k""")
 def event_sessions(s, d):
-    return rounded(stateful.sessions(_samples(s, d), "1 hour"), "top").withColumns({"start": F.unix_micros("start"), "stop": F.unix_micros("stop")})
+    return rounded(stateful.sessions(_samples(s, d), "1 hour"), "top").withColumns({"start": _text("start"), "stop": _text("stop")})
 
 
 @query()
