@@ -14,14 +14,15 @@ leftmost of equal ones); equal windows have equal anchors at the same place.  So
 
 K-mers that are repeated within one batch of texts are sent once, and contexts that are equal there too, so copies and
 shared passages do not pile up in one partition.  K-mers that are common in a bounded sample go another way: they are
-taken as repeated, and their contexts are cut into windows that are dealt by the hash of the whole window.  Which way a
-k-mer goes, and all hashes, only deal out work; bytes are compared.
+taken as repeated, and their contexts are cut into short runs of windows, at fixed offsets from the anchor, that are dealt
+by the hash of the bytes which all windows of the run share.  Which way a k-mer goes, and all hashes, only deal out work;
+bytes are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,14 +41,15 @@ PLACE_BITS = 20
 class Settings:
     """Bytes of a match and of an anchor; windows of a batch; bytes of texts that are listed together.
 
-    `common`: a k-mer in more than this share of the first `sample_rows` rows, and in 8 at least, is dealt by windows; at
-    most `most_common` are.
+    A k-mer in more of the first `sample_rows` rows than `common` partitions should hold, and in 8 at least, is dealt by
+    runs of `short` windows; at most `most_common` are.
     """
 
     length: int = 100
     k: int = 24
     batch_windows: int = 1 << 16
-    common: float = 0.002
+    short: int = 16
+    common: float = 4.0
     sample_rows: int = 4000
     most_common: int = 4096
     chunk_bytes: int = 1 << 19
@@ -137,10 +139,14 @@ def _unpack(place: int) -> tuple[int, int, int, int]:
     return place >> 25, (place >> 17) & 255, (place >> 9) & 255, place & 1
 
 
+def _partitions(docs: DataFrame) -> int:
+    return 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def common_kmers(docs: DataFrame, s: Settings) -> np.ndarray:
     """Hashes of the k-mers that are common in the first rows, ascending; at most `most_common` reach the driver."""
     seen = list_anchors(docs.limit(s.sample_rows), s, np.zeros(0, np.uint64)).select("kmer", "doc_id").distinct()
-    top = seen.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 8) & (F.col("n") > s.common * s.sample_rows)).orderBy(F.desc("n"), "kmer").limit(s.most_common)
+    top = seen.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 8) & (F.col("n") > s.common * s.sample_rows / _partitions(docs))).orderBy(F.desc("n"), "kmer").limit(s.most_common)
     return np.sort(np.array([r["kmer"] for r in top.collect()], np.int64).view(np.uint64))
 
 
@@ -173,8 +179,19 @@ def list_anchors(docs: DataFrame, s: Settings, common: np.ndarray) -> DataFrame:
     return arrow_map(docs, run, "key long, doc_id long, place long, kmer long")
 
 
+def _short_runs(anchor: int, start: int, span: int, s: Settings) -> list[tuple[int, int, tuple[int, int]]]:
+    """(start, run, core) of the windows start ... start + span, cut where their offset before the anchor is a multiple of
+    `short`; the core's bytes lie in every window of such offsets."""
+    out = []
+    low, high = anchor - start - span, anchor - start  # offsets, the last window's first
+    for block in range(low // s.short, high // s.short + 1):
+        a, b = max(low, block * s.short), min(high, (block + 1) * s.short - 1)
+        out.append((anchor - b, b - a, (anchor - block * s.short, anchor - (block + 1) * s.short + 1 + s.length)))
+    return out
+
+
 def contexts(docs: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, doc_id, start, span, context) of each listed place of `docs` (doc_id, text, places).
+    """(bucket, doc_id, start, span, context) of each listed place of `docs` (doc_id, _row with text, places).
 
     The context holds `span + 1` windows.  A null context says that all these windows repeat.
     """
@@ -186,14 +203,14 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             best: dict[bytes, tuple[int, int, int, int]] = {}  # the earliest of equal contexts
             out = []
-            for doc, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+            for doc, text, places in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("places"), strict=True):
                 data = (text.as_py() or "").encode()
                 for place in places.as_py():
                     start, span, off, common = _unpack(place)
-                    pieces = [(start + i, 0) for i in range(span + 1)] if common else [(start, span)]
-                    for begin, run_ in pieces:
+                    anchor = start + off
+                    for begin, run_, core in _short_runs(anchor, start, span, s) if common else [(start, span, (anchor, anchor + s.k))]:
                         piece = data[begin : begin + run_ + s.length]
-                        bucket = deal(piece) if common else deal(data[start + off : start + off + s.k])
+                        bucket = deal(data[core[0] : core[1]])
                         # Equal pieces of unlike anchors cannot be: the anchor depends on the windows alone.
                         mine, old = (doc, begin, run_, bucket), best.get(piece)
                         if old is None:
@@ -309,19 +326,32 @@ def repeated_runs(rows: DataFrame, s: Settings) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, start long, stop long")
 
 
+#: Stands for a null doc_id while rows are matched, so that joins need no filter and share one exchange of the texts.
+NO_ID = -(1 << 63)
+
+
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column("_row").field("text")
+
+
 def removals(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, text, cuts) of each row of `docs`; cuts are null or [{start, stop}], which may overlap, in no order."""
-    slim = docs.select("doc_id", "text")
-    long = slim.filter(F.octet_length("text") >= s.length)
+    """(doc_id, _row, _cuts) of each row of `docs`: _row holds its columns, _cuts is null or [{start, stop}] in bytes of
+    the text, which may overlap, in no order.
+
+    A row without doc_id has no place in the order: it neither loses nor takes anything.  Rows travel whole, so that both
+    joins share one exchange of the texts.
+    """
+    known = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
+    packed = docs.select(known, F.struct(*docs.columns).alias("_row"))
+    long = docs.select(known, "text").filter((F.octet_length("text") >= s.length) & (F.col("doc_id") != NO_ID))
     found = list_anchors(long, s, common_kmers(long, s)).select("key", "doc_id", "place")
     often = F.count(F.lit(1)).over(Window.partitionBy("key"))
     seen = found.withColumn("n", often).filter((F.col("n") > 1) | (F.col("place").bitwiseAND(F.lit(2)) == 2))
     places = seen.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    rows = contexts(slim.join(places, "doc_id"), s)
-    parts = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = repeated_runs(rows.repartition(parts, "bucket").sortWithinPartitions("doc_id", "start"), s)
-    cuts = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    return slim.join(cuts, "doc_id", "left")
+    rows = contexts(packed.join(places, "doc_id"), s)
+    runs = repeated_runs(rows.repartition(_partitions(docs), "bucket").sortWithinPartitions("doc_id", "start"), s)
+    cuts = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
+    return packed.join(cuts, "doc_id", "left").select("doc_id", "_row", "_cuts")
 
 
 def cut_bytes(data: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -341,20 +371,11 @@ def cut_bytes(data: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, int, int
     return b"".join(out), gone, runs
 
 
-def cut_documents(rows: DataFrame, columns: dict[str, str], make: Callable[[bytes, bytes, int, int], tuple]) -> DataFrame:
-    """doc_id and the values of `make(text, left, removed, runs)` for each row of `removals`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"long": pa.int64(), "string": pa.string()}
-        for b in batches:
-            out = []
-            for text, cuts in zip(b.column("text"), b.column("cuts"), strict=True):
-                data = (text.as_py() or "").encode()
-                out.append(make(data, *cut_bytes(data, [(c["start"], c["stop"]) for c in cuts.as_py() or ()])))
-            values = list(zip(*out, strict=True)) or [[] for _ in columns]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(v, kinds[k]) for v, k in zip(values, columns.values(), strict=True)]], ["doc_id", *columns])
-
-    return arrow_map(rows, run, ", ".join(["doc_id long", *[f"{c} {k}" for c, k in columns.items()]]))
+def _left(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int, int]]:
+    """(text, what is left of it, bytes removed, runs removed) of each row of `removals`."""
+    for text, cuts in zip(_texts(batch), batch.column("_cuts"), strict=True):
+        data = (text.as_py() or "").encode()
+        yield data, *cut_bytes(data, [(c["start"], c["stop"]) for c in cuts.as_py() or ()])
 
 
 def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -363,16 +384,45 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Characters cut in part go whole.  A document repeated as a row is one document: neither row is the earlier one.  A
     null text stays null.  Rows with the same doc_id should not differ.
     """
-    new = cut_documents(removals(docs, s), {"_text": "string"}, lambda data, left, gone, runs: (left.decode("utf-8", "ignore"),))
-    text = F.when(F.col("text").isNotNull(), F.col("_text"))
-    held = [F.when(F.col("text").isNotNull(), F.length("_text")).cast(t).alias(c) if c == "n_chars" else text.alias(c) if c == "text" else F.col(c) for c, t in docs.dtypes]
-    return docs.join(new.dropDuplicates(["doc_id"]), "doc_id", "left").select(*held)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column("_row")
+            was = _texts(b).is_null().to_pylist()
+            new = [None if null else left.decode("utf-8", "ignore") for null, (_, left, _, _) in zip(was, _left(b), strict=True)]
+            put = {"text": new, "n_chars": [None if t is None else len(t) for t in new]}
+            yield pa.RecordBatch.from_arrays([pa.array(put[c], rows.field(c).type) if c in put else rows.field(c) for c in names], names)
+
+    return arrow_map(removals(docs, s), run, docs.schema)
+
+
+def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(len(data), gone, runs, hashlib.sha256(left).hexdigest()) for data, left, gone, runs in _left(b)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column("_row").field("doc_id"), *[pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return arrow_map(removals(docs.select("doc_id", "text"), s), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document's bytes that no earlier 100-byte match covers."""
-    docs = table(spark, sf_dir, "documents")
-    return cut_documents(
-        removals(docs), {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"},
-        lambda data, left, gone, runs: (len(data), gone, runs, hashlib.sha256(left).hexdigest()),
-    )
+    return digests(table(spark, sf_dir, "documents"))
+
+
+#: Every window as hexadecimal digits; a window is repeated if it is not the first of its text.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS p FROM d WHERE len(h) >= 200)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM r),
+i AS (SELECT doc_id, p, sum(CASE WHEN step <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM g),
+c AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY 1, 2),
+k AS (SELECT d.doc_id, any_value(h) AS h, coalesce(sum(b - a), 0) AS gone, count(run) AS spans, list({'a': a, 'b': b} ORDER BY a) FILTER (run IS NOT NULL) AS cuts FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id),
+parts AS (SELECT doc_id, h, gone, spans, CASE WHEN cuts IS NULL THEN [h] ELSE list_concat([substr(h, 1, 2 * cuts[1].a)], list_transform(range(1, len(cuts) + 1), lambda j: CASE WHEN j < len(cuts) THEN substr(h, 2 * cuts[j].b + 1, 2 * (cuts[j + 1].a - cuts[j].b)) ELSE substr(h, 2 * cuts[j].b + 1) END)) END AS ps FROM k)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, gone::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(array_to_string(ps, ''))) AS kept_sha256 FROM parts
+"""
