@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, connected_components, table, written
@@ -213,9 +213,13 @@ def jaccard_classes(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     found = connected_components(stars, "candidates")
     comps = found.select("node", F.col("root").alias("comp")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct())
     comps = comps.join(nodes.select("node", "copies", "n"), "node").dropDuplicates(["node"])
-    # Members ordered by size are cut into blocks; pairs of blocks whose sizes are too unlike for the similarity are left out.
-    rank = Window.partitionBy("comp").orderBy("n", "node")
-    placed = comps.withColumn("home", F.floor((F.row_number().over(rank) - 1) / f.block).cast("int"))
+    # Members of large components are dealt into blocks by size band and hash, so no component is ranked in one task;
+    # pairs of blocks whose sizes are too unlike for the similarity are left out.
+    sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total")), "comp")
+    banded = sized.withColumn("band", F.when(F.col("total") > f.block, F.floor(F.log("n") / F.log(F.lit(1.1)))).otherwise(F.lit(0)))
+    parts_of = banded.groupBy("comp", "band").agg(F.ceil(F.count(F.lit(1)) / f.block).alias("parts"))
+    salt = F.pmod(F.xxhash64("node"), F.col("parts"))
+    placed = banded.join(parts_of, ["comp", "band"]).withColumn("home", (F.col("band") * (1 << 24) + salt).cast("long"))
     blocks = placed.groupBy("comp", "home").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     pairs = blocks.alias("x").join(blocks.alias("y"), (F.col("x.comp") == F.col("y.comp")) & (F.col("x.home") <= F.col("y.home")) & (F.col("x.high") >= f.similarity * F.col("y.low")))
     pairs = pairs.select(F.col("x.comp").alias("comp"), F.col("x.home").alias("bi"), F.col("y.home").alias("bj"))
@@ -223,7 +227,7 @@ def jaccard_classes(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     homes = F.when(F.col("bi") == F.col("bj"), F.array("bi")).otherwise(F.array("bi", "bj"))
     tasks = pairs.join(total, "comp").select("comp", "bi", "bj", "blocks", F.explode(homes).alias("home"))
     work = placed.select("comp", "home", "node", "copies").join(tasks, ["comp", "home"])
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(comps.select("node"), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     members = texts.join(work, "node").select("comp", "bi", "bj", "blocks", "home", "node", "copies", "text")
     members = members.repartition(parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "node")
@@ -249,3 +253,20 @@ def keep_one(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and link counts of all documents at 5 words and similarity 0.8, over whole texts."""
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, for tables small enough to join so.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, len(g) AS n, list_sort(g) AS g FROM s),
+u AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk(node, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.node WHERE walk.root < e.b),
+c AS (SELECT node, min(root) AS root FROM walk GROUP BY node),
+k AS (SELECT a, count(*) AS k FROM e GROUP BY a)
+SELECT n.doc_id, c.root AS class_id, CASE WHEN n.n = 0 THEN n.doc_id ELSE min(n.doc_id) OVER (PARTITION BY n.g) END AS copy_of, coalesce(k.k, 0)::BIGINT AS n_links
+FROM n JOIN c ON c.node = n.doc_id LEFT JOIN k ON k.a = n.doc_id
+"""
