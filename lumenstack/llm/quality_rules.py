@@ -8,6 +8,7 @@ that is reported; it cannot change the verdict.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,39 +54,63 @@ def base_stats(text: Column) -> Column:
     ))
 
 
+@dataclass(frozen=True)
+class Stats:
+    """What rules look at.  Each is an expression of its own, so a rule that is not reached computes nothing."""
+
+    text: Column
+    words: Column
+    n_words: Column
+    word_chars: Column
+    n_symbols: Column
+    n_dup_lines: Column
+    n_repeat_words: Column
+
+    @staticmethod
+    def of_words(text: Column, words: Column) -> Stats:
+        """From a text and its words, which are bound."""
+        return Stats(text, words, F.size(words).cast("long"), word_chars(text), n_symbols(text), n_dup_lines(text), n_repeat_words(words))
+
+    @staticmethod
+    def of_struct(text: Column, s: Column) -> Stats:
+        """From counts that are there already."""
+        return Stats(text, words_of(text), s["n_words"], s["word_chars"], s["n_symbols"], s["n_dup_lines"], s["n_repeat_words"])
+
+
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` is over columns `text` and `s` (base_stats); `cost` is in characters visited."""
+    """`rejects` is a predicate over Stats; `cost` is in characters visited."""
 
     name: str
-    rejects: Column
-    cost: Column
+    rejects: Callable[[Stats], Column]
+    cost: Callable[[Stats], Column]
 
 
 def default_rules() -> list[Rule]:
     """Limits of public web-corpus filters: words, symbols per word, repeated lines and words, mean word length, capitals, letters."""
-    t, s = F.coalesce(F.col("text"), F.lit("")), F.col("s")
-    n = F.length(t).cast("double")
-    letters = lambda c: F.length(t) - F.length(F.regexp_replace(t, c, ""))
+    n = lambda k: lambda x: k * (F.length(x.text) + F.lit(1.0))
+    letters = lambda x, c: F.length(x.text) - F.length(F.regexp_replace(x.text, c, ""))
     return [
-        Rule("few_words", s["n_words"] < 50, F.lit(1.0)),
-        Rule("repeated_words", 100 * s["n_repeat_words"] > 50 * s["n_words"], F.lit(1.0)),
-        Rule("symbols", 10 * s["n_symbols"] > s["n_words"], F.lit(1.0)),
-        Rule("repeated_lines", 100 * s["n_dup_lines"] > 30 * F.size(F.split(t, "\n", -1)), n),
-        Rule("word_length", (s["word_chars"] < 3 * s["n_words"]) | (s["word_chars"] > 12 * s["n_words"]), F.lit(1.0)),
-        Rule("capitals", 2 * letters(r"\p{Lu}+") > letters(r"\p{L}+"), 4 * n),
-        Rule("letters", 100 * F.size(F.filter(words_of(t), lambda w: w.rlike(r"\p{L}"))) < 80 * s["n_words"], 6 * n),
+        Rule("few_words", lambda x: x.n_words < 50, lambda x: F.lit(1.0)),
+        Rule("repeated_words", lambda x: 100 * x.n_repeat_words > 50 * x.n_words, n(12)),
+        Rule("symbols", lambda x: 10 * x.n_symbols > x.n_words, n(1)),
+        Rule("repeated_lines", lambda x: 100 * x.n_dup_lines > 30 * F.size(F.split(x.text, "\n", -1)).cast("long"), n(2)),
+        Rule("word_length", lambda x: let(x.word_chars, lambda c: (c < 3 * x.n_words) | (c > 12 * x.n_words)), n(1)),
+        Rule("capitals", lambda x: 2 * letters(x, r"\p{Lu}+") > letters(x, r"\p{L}+"), n(4)),
+        Rule("letters", lambda x: 100 * F.size(F.filter(x.words, lambda w: w.rlike(r"\p{L}"))).cast("long") < 80 * x.n_words, n(6)),
     ]
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[Rule]:
     """Greedy order by rejection per cost among documents that the rules before it keep.
 
-    `docs` has text and s.  The sample is the first `sample_rows` rows of the scan, so it costs no pass over the corpus.
-    At most 2 ** len(rules) patterns reach the driver.
+    The sample is the first `sample_rows` texts of the scan, so it costs no pass over the corpus.  At most
+    2 ** len(rules) patterns of rejections reach the driver.
     """
-    seen = docs.limit(sample_rows).select(F.array(*[F.coalesce(r.rejects, F.lit(False)) for r in rules]).alias("p"), *[r.cost.alias(f"c{i}") for i, r in enumerate(rules)])
-    found = seen.groupBy("p").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules))]).collect()
+    t = F.coalesce(F.col("text"), F.lit(""))
+    judged = let(words_of(t), lambda w: (lambda x: F.struct(F.array(*[F.coalesce(r.rejects(x), F.lit(False)) for r in rules]).alias("p"), F.array(*[r.cost(x) for r in rules]).alias("c")))(Stats.of_words(t, w)))
+    seen = docs.select("text").limit(sample_rows).select(judged.alias("j"))
+    found = seen.groupBy("j.p").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("j.c")[i]).alias(f"c{i}") for i in range(len(rules))]).collect()
     left, out = [(list(r["p"]), r["n"], [r[f"c{i}"] or 0.0 for i in range(len(rules))]) for r in found], []
     rest = list(range(len(rules)))
     while rest:
@@ -98,23 +123,30 @@ def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000) ->
     return out
 
 
+def cascade(rules: list[Rule], x: Stats) -> Column:
+    """The name of the first rule that rejects, null if none does; later rules are not evaluated then."""
+    out = None
+    for r in rules:
+        out = F.when(r.rejects(x), r.name) if out is None else out.when(r.rejects(x), r.name)
+    return F.lit(None).cast("string") if out is None else out
+
+
 def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """`docs` with s (base_stats) and rejected_by, null where every rule keeps the document.
 
     A null or empty text has no words, so the word rule rejects it.  Repeated rows are judged alike; further columns
     pass through, but for a column named s or rejected_by, which is replaced.
     """
-    rules = default_rules() if rules is None else rules
-    judged = docs.drop("s", "rejected_by").withColumn("s", base_stats(F.col("text")))
-    reason = None
-    for r in order_rules(judged, rules, sample_rows):
-        reason = F.when(r.rejects, r.name) if reason is None else reason.when(r.rejects, r.name)
-    return judged.withColumn("rejected_by", F.lit(None).cast("string") if reason is None else reason)
+    rules = order_rules(docs, default_rules() if rules is None else rules, sample_rows)
+    counted = docs.drop("s", "rejected_by").withColumn("s", base_stats(F.col("text")))
+    return counted.withColumn("rejected_by", cascade(rules, Stats.of_struct(F.coalesce(F.col("text"), F.lit("")), F.col("s"))))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that every rule keeps, with the columns of `docs`."""
-    return apply_rules(docs).filter(F.col("rejected_by").isNull()).select(*docs.columns)
+def keep_good(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
+    """The documents that every rule keeps, with the columns of `docs`; words are found once, the rest as rules need it."""
+    rules = order_rules(docs, default_rules() if rules is None else rules, sample_rows)
+    t = F.coalesce(F.col("text"), F.lit(""))
+    return docs.filter(let(words_of(t), lambda w: cascade(rules, Stats.of_words(t, w))).isNull())
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
