@@ -21,4 +21,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat_format.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op10_exact_topk": topk.ORACLE}
+    return {
+        "op2_suffix_dedup": suffix_dedup.ORACLE, "op3_chat_format": chat_format.ORACLE, "op4_quality_rules": quality_rules.ORACLE,
+        "op6_ngram_join": ngram_join.ORACLE, "op10_exact_topk": topk.ORACLE,
+    }

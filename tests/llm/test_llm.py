@@ -24,7 +24,7 @@ ODD = [None, "", " \n\t ", "a", "one two three", "x" * 3000, "ab " * 2000, "ab "
 
 
 def test_oracles(spark):
-    for module, name in ((chat_format, "op3_chat_format"), (quality_rules, "op4_quality_rules"), (topk, "op10_exact_topk")):
+    for module, name in ((chat_format, "op3_chat_format"), (quality_rules, "op4_quality_rules"), (ngram_join, "op6_ngram_join"), (suffix_dedup, "op2_suffix_dedup"), (topk, "op10_exact_topk")):
         con = duckdb.connect()
         for t in ("documents", "conversations", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
@@ -112,8 +112,11 @@ def test_quality_rules_brute(spark):
     for r in quality_rules.apply_rules(df).collect():
         assert tuple(r["s"]) == brute_rules(texts[r["doc_id"]])
         assert (r["rejected_by"] is not None) or r["s"]["n_words"] >= 50
+    mixed = docs_of(spark, [*texts, *[" ".join(f"word{i * j}" for i in range(60)) for j in range(1, 4)]])
+    want = {r["doc_id"] for r in quality_rules.apply_rules(mixed).filter("rejected_by is null").collect()}
+    assert want and {r["doc_id"] for r in quality_rules.keep_good(mixed).collect()} == want
     assert quality_rules.keep_good(docs_of(spark, []).limit(0)).count() == 0
-    order = quality_rules.order_rules(quality_rules.apply_rules(docs_of(spark, texts)).drop("rejected_by"), quality_rules.default_rules())
+    order = quality_rules.order_rules(docs_of(spark, texts), quality_rules.default_rules())
     assert {r.name for r in order} == {r.name for r in quality_rules.default_rules()}
 
 
@@ -380,13 +383,20 @@ def test_suffix_dedup_brute(spark, settings):
     texts += [rng.choice(["", some(50)]) + rng.choice(base)[rng.randint(0, 100) : rng.randint(150, 300)] + some(rng.randint(0, 120)) + rng.choice(base) for _ in range(80)]
     texts.append(texts[20])
     want = brute_repeats(texts)
-    rows = suffix_dedup.cut_documents(suffix_dedup.removals(docs_of(spark, texts), settings), {"n": "long", "gone": "long", "runs": "long", "sha": "string"}, lambda d, left, g, k: (len(d), g, k, hashlib.sha256(left).hexdigest())).collect()
+    rows = suffix_dedup.digests(docs_of(spark, texts), settings).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in rows} == {i: (n, g, k, hashlib.sha256(b).hexdigest()) for i, (n, g, k, b) in want.items()}
     new = suffix_dedup.remove_repeats(docs_of(spark, texts), settings).collect()
     assert {r["doc_id"]: r["text"] for r in new} == {i: None if texts[i] is None else b.decode("utf-8", "ignore") for i, (_, _, _, b) in want.items()}
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in new)
 
 
+def test_suffix_dedup_odd(spark):
+    rows = [(None, "z" * 300), (1, "y" * 100 + "q"), (1, "y" * 100 + "q"), (2, "y" * 100), (None, "y" * 150)]
+    got = sorted(r["text"] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_cuts", chat_format.F.lit(1)).drop("x")).collect())
+    assert got == sorted(["z" * 300, "y" * 100 + "q", "y" * 100 + "q", "", "y" * 150])
+    assert suffix_dedup.remove_repeats(docs_of(spark, ["a"]).limit(0)).count() == 0
+
+
 def test_suffix_levels_merge():
     index = suffix_dedup.SuffixLevels(4)
     rng = np.random.default_rng(0)
