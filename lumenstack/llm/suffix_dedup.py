@@ -5,18 +5,19 @@ its own.  Every such string is a window, and each window belongs to its anchor,
 leftmost of equal ones); equal windows have equal anchors at the same place.  So:
 
 1. Each text's anchors, about two in every `length - k` bytes, are listed with the run of windows that belong to them.
-2. Anchors whose k-mer occurs once in the whole corpus are dropped: their windows cannot repeat.
-3. For the others the text around them, holding their windows, goes to the partition of the k-mer.  There, rows come in
+2. An anchor's context, the bytes of its windows, is known by a hash.  Anchors whose k-mer occurs once in the whole corpus
+   are dropped: their windows cannot repeat.  Where a k-mer's contexts are equal, all but the first repeat whole.
+3. Where they differ, the first of each goes, with its bytes, to the partition of the k-mer.  There, rows come in
    order of (doc_id, start) and are taken in batches.  A batch gets a suffix array (its windows' starts sorted by the bytes
    that follow), is scanned against the arrays of the existing levels for matches of the whole length, and then becomes
    a level itself; levels of one size class are merged, so a partition of m windows has at most log2(m) levels.
 4. The runs of repeated windows go back to their documents.
 
-K-mers that are repeated within one batch of texts are sent once, and contexts that are equal there too, so copies and
-shared passages do not pile up in one partition.  K-mers that are common in a bounded sample go another way: they are
-taken as repeated, and their contexts are cut into short runs of windows, at fixed offsets from the anchor, that are dealt
-by the hash of the bytes which all windows of the run share.  Which way a k-mer goes, and all hashes, only deal out work;
-bytes are compared.
+Equal contexts within one batch of texts are sent once, so copies do not pile up in one partition.  K-mers that are common
+in a bounded sample go another way: they are taken as repeated, and their contexts are cut into short runs of windows, at
+fixed offsets from the anchor, that are dealt by the hash of the bytes which all windows of the run share.  Which way a
+k-mer goes only deals out work.  Two contexts of one k-mer are taken as equal by 64 bits of hash beside the k-mer's own;
+windows of contexts that differ are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -68,27 +69,39 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def kmer_hashes(x: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of the k bytes from each place of `x`."""
-    up, down = _powers(len(x) + 1)
-    sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * down[: len(x) - k + 1]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial whose differences are the hashes of substrings."""
+    out = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _powers(len(x) + 1)[0][:-1], out=out[1:])
+    return out
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(x: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, first window, last window) of each anchor of the texts concatenated in `x`; `ends` are their ends.
+def kmer_hashes(sums: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the k bytes from each place."""
+    return _mix((sums[k:] - sums[:-k]) * _powers(len(sums))[1][: len(sums) - k])
+
+
+def span_hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes start ... stop of each pair of places."""
+    return _mix(_mix((sums[stop] - sums[start]) * _powers(len(sums))[1][start]) + (stop - start).astype(np.uint64))
+
+
+def anchors(x: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first window, last window, hash of the context) of each anchor of the texts concatenated in `x`; `ends` are their ends.
 
     Pieces of more than 2 ** PLACE_BITS places are worked off in overlapping parts.
     """
     n, w = len(x), s.length - s.k + 1
     part = 1 << PLACE_BITS
     if n < s.length:
-        return (np.zeros(0, np.int64),) * 4
-    h = kmer_hashes(x, s.k)
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64))
+    sums = _sums(x)
+    h = kmer_hashes(sums, s.k)
     where = np.empty(n - s.length + 1, np.int64)
     for a in range(0, len(where), part - w):
         b = min(len(where), a + part - w)
@@ -107,12 +120,12 @@ def anchors(x: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, n
     np.add.at(inside, ends[good] - s.length + 1, -1)
     p = np.flatnonzero(np.cumsum(inside)[: len(where)])
     if not len(p):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64))
     new = np.concatenate([[True], (where[p[1:]] != where[p[:-1]]) | (p[1:] != p[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(p)]]) - 1
     place = where[p[first]]
-    return place, h[place], p[first], p[last]
+    return place, h[place], p[first], p[last], span_hashes(sums, p[first], p[last] + s.length)
 
 
 def _chunks(batch: pa.RecordBatch, at_most: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -130,13 +143,17 @@ def _chunks(batch: pa.RecordBatch, at_most: int) -> Iterator[tuple[np.ndarray, l
         yield np.array(rows), texts
 
 
-def _pack(first: np.ndarray, span: np.ndarray, off: np.ndarray, known: np.ndarray, common: np.ndarray) -> np.ndarray:
-    return (first << 25) | (span << 17) | (off << 9) | (known.astype(np.int64) << 1) | common
+#: What is to be done with a context: compared with others, cut into short runs and compared, or nothing, as it repeats whole.
+COMPARE, SHORT, WHOLE = 0, 1, 2
+
+
+def _pack(first: np.ndarray, span: np.ndarray, off: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    return (first << 25) | (span << 17) | (off << 9) | kind
 
 
 def _unpack(place: int) -> tuple[int, int, int, int]:
-    """(first window, run, the anchor's offset, whether its k-mer is common)."""
-    return place >> 25, (place >> 17) & 255, (place >> 9) & 255, place & 1
+    """(first window, run, the anchor's offset, what is to be done)."""
+    return place >> 25, (place >> 17) & 255, (place >> 9) & 255, place & 3
 
 
 def _partitions(docs: DataFrame) -> int:
@@ -151,32 +168,50 @@ def common_kmers(docs: DataFrame, s: Settings) -> np.ndarray:
 
 
 def list_anchors(docs: DataFrame, s: Settings, common: np.ndarray) -> DataFrame:
-    """(key, doc_id, place, kmer): key is the k-mer's hash; place packs what `_unpack` gives, and whether the k-mer is known to repeat.
+    """(key, doc_id, place, context, kmer): key is the k-mer's hash, context that of its context; place is as `_unpack` has it.
 
-    A k-mer met again in a chunk of texts is known to repeat; all but one of its rows get keys of their own.  Rows of
-    common k-mers all do.
+    Rows that need no look at others get keys of their own: those of common k-mers, and contexts that have been met in
+    the same chunk of texts, in an earlier place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for rows, texts in _chunks(batch, s.chunk_bytes):
-                ends = np.cumsum([len(t) for t in texts])
-                place, h, first, last = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, s)
+                sizes = np.array([len(t) for t in texts])
+                ends = np.cumsum(sizes)
+                place, h, first, last, context = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, s)
                 at = np.searchsorted(ends, first, "right")
-                start = (ends - [len(t) for t in texts])[at]
-                doc = ids[rows[at]]
-                _, one, back, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                often_ = np.isin(h, common)
-                known = (often[back] > 1) | often_
-                alone = np.ones(len(h), bool)
-                alone[one[~often_[one]]] = False
-                # The other rows of a repeated k-mer are dealt by document and place.
-                own = (doc.astype(np.int64).view(np.uint64) * np.uint64(BASE)) ^ ((first - start).astype(np.uint64) * np.uint64(INVERSE))
-                key = np.where(alone & known, own, h).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc, pa.int64()), pa.array(_pack(first - start, last - first, place - first, known, often_)), pa.array(h.view(np.int64))], ["key", "doc_id", "place", "kmer"])
-
-    return arrow_map(docs, run, "key long, doc_id long, place long, kmer long")
+                start = (ends - sizes)[at]
+                doc, first_ = ids[rows[at]].astype(np.int64), first - start
+                # The earliest of equal contexts of a k-mer, by document and place.
+                order = np.lexsort((first_, doc, context, h))
+                same = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (context[order][1:] == context[order][:-1])]) if len(h) else np.zeros(0, bool)
+                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+                later = np.zeros(len(h), bool)
+                later[order] = same & ((doc[order] != doc[order][head]) | (first_[order] != first_[order][head]))
+                frequent = np.isin(h, common)
+                kind = np.where(later, WHOLE, np.where(frequent, SHORT, COMPARE))
+                own = (doc.view(np.uint64) * np.uint64(BASE)) ^ (first_.astype(np.uint64) * np.uint64(INVERSE))
+                key = np.where(kind == COMPARE, h, own).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(doc), pa.array(_pack(first_, last - first, place - first, kind)), pa.array(context.view(np.int64)), pa.array(h.view(np.int64))],
+                    ["key", "doc_id", "place", "context", "kmer"],
+                )
+
+    return arrow_map(docs, run, "key long, doc_id long, place long, context long, kmer long")
+
+
+def to_look_at(found: DataFrame) -> DataFrame:
+    """(doc_id, place) of the anchors whose windows may repeat, with what is to be done; one sort serves both windows."""
+    same = Window.partitionBy("key", "context").orderBy("doc_id", "place")
+    all_ = Window.partitionBy("key")
+    kind = F.col("place").bitwiseAND(F.lit(3))
+    # Rows of one document and place, which are repeated rows, have the same rank.
+    x = found.select("key", "doc_id", "place", "context", F.rank().over(same).alias("r"))
+    x = x.select("doc_id", "place", "r", (F.min("context").over(all_) != F.max("context").over(all_)).alias("differ"))
+    todo = F.when(kind != COMPARE, kind).when(F.col("r") > 1, F.lit(WHOLE)).when(F.col("differ"), F.lit(COMPARE))
+    return x.withColumn("todo", todo).filter(F.col("todo").isNotNull()).select("doc_id", F.col("place").bitwiseAND(F.lit(-4)).bitwiseOR(F.col("todo").cast("long")).alias("place"))
 
 
 def _short_runs(anchor: int, start: int, span: int, s: Settings) -> list[tuple[int, int, tuple[int, int]]]:
@@ -203,11 +238,18 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             best: dict[bytes, tuple[int, int, int, int]] = {}  # the earliest of equal contexts
             out = []
+            whole: list[list[int]] = []  # [doc, first window, last window] of runs that repeat
             for doc, text, places in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("places"), strict=True):
                 data = (text.as_py() or "").encode()
-                for place in places.as_py():
-                    start, span, off, common = _unpack(place)
-                    anchor = start + off
+                for place in sorted(places.as_py()):
+                    start, span, off, todo = _unpack(place)
+                    if todo == WHOLE:
+                        if whole and whole[-1][0] == doc and whole[-1][1] <= start <= whole[-1][2] + s.length:
+                            whole[-1][2] = max(whole[-1][2], start + span)
+                        else:
+                            whole.append([doc, start, start + span])
+                        continue
+                    anchor, common = start + off, todo == SHORT
                     for begin, run_, core in _short_runs(anchor, start, span, s) if common else [(start, span, (anchor, anchor + s.k))]:
                         piece = data[begin : begin + run_ + s.length]
                         bucket = deal(data[core[0] : core[1]])
@@ -221,6 +263,7 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
                         if mine[:2] > old[:2]:
                             out.append((*mine, None))
             out.extend((*v, piece) for piece, v in best.items())
+            out.extend((doc, a, b - a, a, None) for doc, a, b in whole)
             if len(out):
                 doc, begin, run_, bucket, piece = zip(*out, strict=True)
                 bucket = np.array(bucket, np.uint64).view(np.int64)
@@ -344,10 +387,7 @@ def removals(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     known = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
     packed = docs.select(known, F.struct(*docs.columns).alias("_row"))
     long = docs.select(known, "text").filter((F.octet_length("text") >= s.length) & (F.col("doc_id") != NO_ID))
-    found = list_anchors(long, s, common_kmers(long, s)).select("key", "doc_id", "place")
-    often = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    seen = found.withColumn("n", often).filter((F.col("n") > 1) | (F.col("place").bitwiseAND(F.lit(2)) == 2))
-    places = seen.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    places = to_look_at(list_anchors(long, s, common_kmers(long, s))).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     rows = contexts(packed.join(places, "doc_id"), s)
     runs = repeated_runs(rows.repartition(_partitions(docs), "bucket").sortWithinPartitions("doc_id", "start"), s)
     cuts = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
