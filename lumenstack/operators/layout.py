@@ -62,7 +62,8 @@ def concat(sequences: list[DataFrame]) -> DataFrame:
     for s in sequences:
         moved = s.withColumn("t", F.col("t") + start)
         out = moved if out is None else out.unionByName(moved)
-        start += (s.agg(F.max("t")).first()[0] or -1) + 1
+        last = s.agg(F.max("t")).first()[0]
+        start += 0 if last is None else last + 1
     return out
 
 

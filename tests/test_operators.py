@@ -321,3 +321,8 @@ def test_deeper_wavelets(spark):
     coefs = wavelet.starlet2d(x, 3)
     assert np.abs(wavelet.rebuild(coefs, np.abs(coefs) > 0.05) - x).max() < 1.0
     assert np.allclose(wavelet.hybrid_pyramid(x, 3).sum(0), x)
+
+
+def test_concat_counts_from_zero(spark):
+    one = spark.createDataFrame([(0, 0, 0, 1.0)], "t long, row int, col int, value double")
+    assert sorted(r["t"] for r in layout.concat([one, one.limit(0), one, one]).collect()) == [0, 1, 2]
