@@ -1,8 +1,7 @@
 """Quality rules as a short-circuit cascade, in Spark expressions only.
 
-Each rule is a rejecting predicate over the text with a cost in work units.  One aggregate over a bounded sample gives
-every rule's mean cost and, by pattern of rejections, its selectivity among the documents that earlier rules keep; the
-order is greedy by rejection per cost.  The order decides which expressions most rows never evaluate, and the reason
+Each rule is a rejecting predicate over the text with a cost in work units.  A bounded sample, judged by every rule, gives
+each rule's cost and its selectivity among the documents that earlier rules keep; the order is greedy by rejection per cost.  The order decides which expressions most rows never evaluate, and the reason
 that is reported; it cannot change the verdict.
 """
 
@@ -104,18 +103,15 @@ def default_rules() -> list[Rule]:
 def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[Rule]:
     """Greedy order by rejection per cost among documents that the rules before it keep.
 
-    The sample is the first `sample_rows` texts of the scan, so it costs no pass over the corpus.  At most
-    2 ** len(rules) patterns of rejections reach the driver.
+    The sample is the first `sample_rows` texts of the scan.  It is collected as verdicts and costs, so the scan stops
+    where it is full and is not a pass over the corpus; `sample_rows * len(rules)` of each reach the driver at most.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     judged = let(words_of(t), lambda w: (lambda x: F.struct(F.array(*[F.coalesce(r.rejects(x), F.lit(False)) for r in rules]).alias("p"), F.array(*[r.cost(x) for r in rules]).alias("c")))(Stats.of_words(t, w)))
-    seen = docs.select("text").limit(sample_rows).select(judged.alias("j"))
-    found = seen.groupBy("j.p").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("j.c")[i]).alias(f"c{i}") for i in range(len(rules))]).collect()
-    left, out = [(list(r["p"]), r["n"], [r[f"c{i}"] or 0.0 for i in range(len(rules))]) for r in found], []
-    rest = list(range(len(rules)))
+    left = [(r["j"]["p"], r["j"]["c"]) for r in docs.select(judged.alias("j")).limit(sample_rows).collect()]
+    rest, out = list(range(len(rules))), []
     while rest:
-        rows = sum(n for _, n, _ in left) or 1
-        gain = lambda i: sum(n for p, n, _ in left if p[i]) / rows / max(sum(c[i] for _, _, c in left) / rows, 1e-9)
+        gain = lambda i: sum(p[i] for p, _ in left) / max(sum(c[i] or 0.0 for _, c in left), 1e-9)
         best = max(rest, key=lambda i: (gain(i), -i))
         out.append(rules[best])
         rest.remove(best)
