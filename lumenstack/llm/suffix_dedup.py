@@ -42,8 +42,8 @@ PLACE_BITS = 20
 class Settings:
     """Bytes of a match and of an anchor; windows of a batch; bytes of texts that are listed together.
 
-    A k-mer in more of the first `sample_rows` rows than `common` partitions should hold, and in 8 at least, is dealt by
-    runs of `short` windows; at most `most_common` are.
+    A k-mer in more of about `sample_rows` sampled rows than `common` partitions should hold, and in 8 at least, is dealt
+    by runs of `short` windows; at most `most_common` are.
     """
 
     length: int = 100
@@ -160,10 +160,17 @@ def _partitions(docs: DataFrame) -> int:
     return 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def common_kmers(docs: DataFrame, s: Settings) -> np.ndarray:
-    """Hashes of the k-mers that are common in the first rows, ascending; at most `most_common` reach the driver."""
-    seen = list_anchors(docs.limit(s.sample_rows), s, np.zeros(0, np.uint64)).select("kmer", "doc_id").distinct()
-    top = seen.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 8) & (F.col("n") > s.common * s.sample_rows / _partitions(docs))).orderBy(F.desc("n"), "kmer").limit(s.most_common)
+def common_kmers(docs: DataFrame, rows: int, s: Settings) -> np.ndarray:
+    """Hashes of the k-mers that are common in a sample, ascending; at most `most_common` reach the driver.
+
+    The sample is one in so many documents, by hash of doc_id, that about `sample_rows` of `rows` are in it.  It is
+    anchored where it is read, so no row of it moves and it costs the reading of the table.
+    """
+    every = max(1, rows // s.sample_rows)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    seen = list_anchors(some, s, np.zeros(0, np.uint64)).select("kmer", "doc_id").distinct()
+    enough = s.common * (rows / every) / _partitions(docs)
+    top = seen.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 8) & (F.col("n") > enough)).orderBy(F.desc("n"), "kmer").limit(s.most_common)
     return np.sort(np.array([r["kmer"] for r in top.collect()], np.int64).view(np.uint64))
 
 
@@ -387,7 +394,7 @@ def removals(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     known = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
     packed = docs.select(known, F.struct(*docs.columns).alias("_row"))
     long = docs.select(known, "text").filter((F.octet_length("text") >= s.length) & (F.col("doc_id") != NO_ID))
-    places = to_look_at(list_anchors(long, s, common_kmers(long, s))).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    places = to_look_at(list_anchors(long, s, common_kmers(long, docs.count(), s))).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     rows = contexts(packed.join(places, "doc_id"), s)
     runs = repeated_runs(rows.repartition(_partitions(docs), "bucket").sortWithinPartitions("doc_id", "start"), s)
     cuts = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
