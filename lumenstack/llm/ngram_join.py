@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, connected_components, table, written
@@ -93,8 +93,14 @@ def min_hashes(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_key() -> Column:
+    """16 bytes of a row's doc_id and text; rows equal in both, nulls included, have one key."""
+    text = F.when(F.col("text").isNull(), F.lit("-")).otherwise(F.concat(F.lit(":"), F.col("text")))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)))
+
+
 def signatures(docs: DataFrame, f: Forest) -> DataFrame:
-    """doc_id, set_hash (16 bytes; null without words), n (size of the set) and keys (one per tree: the tree and its prefix)."""
+    """doc_id, row (its key), set_hash (16 bytes; null without words), n (size of the set) and keys (one per tree: the tree and its prefix)."""
     depth = f.depth()
     rng = np.random.default_rng(f.seed)
     a = rng.integers(0, 1 << 63, f.trees * depth, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,9 +125,9 @@ def signatures(docs: DataFrame, f: Forest) -> DataFrame:
                 for level in range(depth):
                     k = _mix(k * MULT + (m[:, level] >> np.uint64(16)))
                 keys.append(k.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "set_hash", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "set_hash", "n", "keys"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, set_hash binary, n int, keys array<long>")
+    return arrow_map(docs.select("doc_id", "text", row_key().alias("row")), run, "doc_id long, row binary, set_hash binary, n int, keys array<long>")
 
 
 def links_within(sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -161,22 +167,18 @@ def verify(members: DataFrame, f: Forest) -> DataFrame:
 
 
 def _verify_groups(batches: Iterator[pa.RecordBatch], f: Forest) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by comp, bi, bj; a group may span batches."""
+    """Rows come sorted by comp, bi, bj, node; a group may span batches."""
     shingles = Shingler(f.n)
     names = ["comp", "node", "links", "root", "blocks"]
     key, group, out = None, [], []
 
     def close() -> None:
-        first = {}
-        for g in group:
-            first.setdefault(g[1], g)  # a repeated row of a document
-        rows = list(first.values())
-        if len(rows) < 2:
+        if len(group) < 2:
             return
-        mine = np.array([r[2] for r in rows])
+        mine = np.array([r[2] for r in group])
         comp, bi, bj, blocks = key
-        links, root = links_within([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), mine == bi, mine == bj, f.similarity)
-        out.extend((comp, r[1], int(k), rows[t][1], blocks) for r, k, t in zip(rows, links, root, strict=True))
+        links, root = links_within([r[4] for r in group], np.array([r[3] for r in group], np.int64), mine == bi, mine == bj, f.similarity)
+        out.extend((comp, r[1], int(k), group[t][1], blocks) for r, k, t in zip(group, links, root, strict=True))
 
     def flush() -> pa.RecordBatch:
         kinds = [pa.int64()] * 4 + [pa.int32()]
@@ -191,28 +193,29 @@ def _verify_groups(batches: Iterator[pa.RecordBatch], f: Forest) -> Iterator[pa.
             if (comp, bi, bj, blocks) != key:
                 close()
                 key, group = (comp, bi, bj, blocks), []
+            elif group[-1][1] == node:  # a repeated row, of the same text
+                continue
             group.append((comp, node, home, copies, shingles(text.as_py() or "")))
         yield flush()
     close()
     yield flush()
 
 
-def jaccard_classes(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
-    """doc_id, class_id, copy_of, n_links for each row of `docs` (doc_id, text).
+def _classes(docs: DataFrame, f: Forest) -> tuple[DataFrame, DataFrame]:
+    """(signatures of the rows, what is known of each 5-gram set); the latter: set_hash, class_id, copy_of, n_links, kept (the key of the class's one row).
 
-    class_id: the least doc_id that links lead to; copy_of: the least doc_id of the same 5-gram set; n_links: documents
-    of similarity `f.similarity` or more, copies included.  A null text, or one without words, has no links; a text
-    shorter than a shingle is one shingle.  Repeated rows of a doc_id count as copies.  An empty frame gives an empty one.
+    A set is a node with a number of its own, so neither null nor shared doc_ids make one node of different texts.
     """
     sig = written(signatures(docs, f), "signatures")
-    nodes = written(sig.filter(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n")), "nodes")
-    one = sig.join(nodes, (sig["doc_id"] == nodes["node"]) & (sig["set_hash"] == nodes["set_hash"]), "left_semi")
-    under = one.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    first = lambda doc: F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("doc_id"), "row"))
+    nodes = sig.filter(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(first("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
+    nodes = written(nodes.select("set_hash", F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("copy_of"), "first.row", "copies", "n"), "nodes")
+    under = sig.select("row", "set_hash", "keys").join(nodes.select("row", "set_hash", "node"), ["row", "set_hash"]).select("node", F.explode("keys").alias("key"))
     least = under.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter(F.col("least") != F.col("most"))
     stars = under.join(least.select("key", "least"), "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
     found = connected_components(stars, "candidates")
     comps = found.select("node", F.col("root").alias("comp")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct())
-    comps = comps.join(nodes.select("node", "copies", "n"), "node").dropDuplicates(["node"])
+    comps = comps.join(nodes.select("node", "row", "copies", "n"), "node")
     # Members of large components are dealt into blocks by size band and hash, so no component is ranked in one task;
     # pairs of blocks whose sizes are too unlike for the similarity are left out.
     sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total")), "comp")
@@ -226,10 +229,10 @@ def jaccard_classes(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     total = blocks.groupBy("comp").agg(F.count(F.lit(1)).cast("int").alias("blocks"))
     homes = F.when(F.col("bi") == F.col("bj"), F.array("bi")).otherwise(F.array("bi", "bj"))
     tasks = pairs.join(total, "comp").select("comp", "bi", "bj", "blocks", F.explode(homes).alias("home"))
-    work = placed.select("comp", "home", "node", "copies").join(tasks, ["comp", "home"])
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    work = placed.select("comp", "home", "node", "row", "copies").join(tasks, ["comp", "home"])
+    texts = docs.select(row_key().alias("row"), "text")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    members = texts.join(work, "node").select("comp", "bi", "bj", "blocks", "home", "node", "copies", "text")
+    members = texts.join(work, "row").select("comp", "bi", "bj", "blocks", "home", "node", "copies", "text")
     members = members.repartition(parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "node")
     checked = written(verify(members, f), "verified")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
@@ -237,17 +240,40 @@ def jaccard_classes(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     one_block = checked.filter("blocks = 1 and node <> root").select("node", "root")
     several = connected_components(checked.filter("blocks > 1").select(F.col("node").alias("a"), F.col("root").alias("b")), "links")
     roots = one_block.unionByName(several)
-    graph = nodes.select("set_hash", "node", "copies").join(links, "node", "left").join(roots, "node", "left")
-    graph = graph.select("set_hash", F.coalesce("root", "node").alias("class_id"), F.col("node").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sig.select("doc_id", "set_hash").join(graph, "set_hash", "left").select(
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    heads = linked.join(nodes.select("node", "copy_of", "row"), "node").groupBy("root").agg(first("copy_of").alias("head"))
+    heads = linked.join(heads, "root").select("node", "head")
+    graph = nodes.select("set_hash", "node", "copy_of", "row", "copies").join(links, "node", "left").join(heads, "node", "left")
+    return sig, graph.select(
+        "set_hash", F.coalesce("head.doc_id", "copy_of").alias("class_id"), "copy_of", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("head.row", "row").alias("kept")
+    )
+
+
+def jaccard_classes(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
+    """doc_id, class_id, copy_of, n_links for each row of `docs` (doc_id, text).
+
+    class_id: the least doc_id that links lead to; copy_of: the least doc_id of the same 5-gram set; n_links: documents
+    of similarity `f.similarity` or more, copies included.  A null text, or one without words, has no links; a text
+    shorter than a shingle is one shingle.  Repeated rows of a doc_id count as copies.  Rows are compared by their texts,
+    whatever their ids: those without doc_id have classes and links like any other, and a class_id or copy_of is null
+    where no doc_id is in reach; unlike texts under one doc_id are documents of their own.  An empty frame gives an empty one.
+    """
+    sig, graph = _classes(docs, f)
+    return sig.select("doc_id", "set_hash").join(graph.drop("kept"), "set_hash", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
 def keep_one(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
-    """One document of each class, that of least doc_id, with the columns of `docs`."""
-    kept = jaccard_classes(docs, f).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class, with the columns of `docs`: that of least doc_id, null ones last.
+
+    Rows without words are classes of their own; of those that repeat a doc_id and text, one stays.
+    """
+    sig, graph = _classes(docs, f)
+    bare = sig.filter(F.col("set_hash").isNull()).select(F.col("row").alias("_row"), F.col("doc_id").isNull().alias("_each"))
+    kept = graph.select(F.col("kept").alias("_row"), F.lit(False).alias("_each")).unionByName(bare).distinct()
+    rows = docs.withColumn("_row", row_key()).join(kept, "_row").withColumn("_each", F.when(F.col("_each"), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["_row", "_each"]).select(*docs.columns)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Removal of long repeated byte strings with a logarithmic family of suffix arrays.
 
 A byte goes if a string of `length` bytes that covers it also starts earlier: in a document of smaller id, or earlier in
-its own.  Every such string is a window, and each window belongs to its anchor, the least of its k-mers by hash (the
+its own.  A document is a doc_id and a text, known by the text's hash (`text_id`), which also orders unlike texts under one
+doc_id.  Every such string is a window, and each window belongs to its anchor, the least of its k-mers by hash (the
 leftmost of equal ones); equal windows have equal anchors at the same place.  So:
 
 1. Each text's anchors, about two in every `length - k` bytes, are listed with the run of windows that belong to them.
 2. An anchor's context, the bytes of its windows, is known by a hash.  Anchors whose k-mer occurs once in the whole corpus
    are dropped: their windows cannot repeat.  Where a k-mer's contexts are equal, all but the first repeat whole.
 3. Where they differ, the first of each goes, with its bytes, to the partition of the k-mer.  There, rows come in
-   order of (doc_id, start) and are taken in batches.  A batch gets a suffix array (its windows' starts sorted by the bytes
+   order of (doc_id, text_id, start) and are taken in batches.  A batch gets a suffix array (its windows' starts sorted by the bytes
    that follow), is scanned against the arrays of the existing levels for matches of the whole length, and then becomes
    a level itself; levels of one size class are merged, so a partition of m windows has at most log2(m) levels.
 4. The runs of repeated windows go back to their documents.
@@ -175,7 +176,7 @@ def common_kmers(docs: DataFrame, rows: int, s: Settings) -> np.ndarray:
 
 
 def list_anchors(docs: DataFrame, s: Settings, common: np.ndarray) -> DataFrame:
-    """(key, doc_id, place, context, kmer): key is the k-mer's hash, context that of its context; place is as `_unpack` has it.
+    """(key, doc_id, text_id, place, context, kmer): key is the k-mer's hash, context that of its context; place is as `_unpack` has it.
 
     Rows that need no look at others get keys of their own: those of common k-mers, and contexts that have been met in
     the same chunk of texts, in an earlier place.
@@ -183,42 +184,42 @@ def list_anchors(docs: DataFrame, s: Settings, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, texts_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_id"))
             for rows, texts in _chunks(batch, s.chunk_bytes):
                 sizes = np.array([len(t) for t in texts])
                 ends = np.cumsum(sizes)
                 place, h, first, last, context = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, s)
                 at = np.searchsorted(ends, first, "right")
                 start = (ends - sizes)[at]
-                doc, first_ = ids[rows[at]].astype(np.int64), first - start
+                doc, tid, first_ = ids[rows[at]].astype(np.int64), texts_[rows[at]].astype(np.int64), first - start
                 # The earliest of equal contexts of a k-mer, by document and place.
-                order = np.lexsort((first_, doc, context, h))
+                order = np.lexsort((first_, tid, doc, context, h))
                 same = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (context[order][1:] == context[order][:-1])]) if len(h) else np.zeros(0, bool)
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
                 later = np.zeros(len(h), bool)
-                later[order] = same & ((doc[order] != doc[order][head]) | (first_[order] != first_[order][head]))
+                later[order] = same & ((doc[order] != doc[order][head]) | (tid[order] != tid[order][head]) | (first_[order] != first_[order][head]))
                 frequent = np.isin(h, common)
                 kind = np.where(later, WHOLE, np.where(frequent, SHORT, COMPARE))
                 own = (doc.view(np.uint64) * np.uint64(BASE)) ^ (first_.astype(np.uint64) * np.uint64(INVERSE))
                 key = np.where(kind == COMPARE, h, own).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(doc), pa.array(_pack(first_, last - first, place - first, kind)), pa.array(context.view(np.int64)), pa.array(h.view(np.int64))],
-                    ["key", "doc_id", "place", "context", "kmer"],
+                    [pa.array(key), pa.array(doc), pa.array(tid), pa.array(_pack(first_, last - first, place - first, kind)), pa.array(context.view(np.int64)), pa.array(h.view(np.int64))],
+                    ["key", "doc_id", "text_id", "place", "context", "kmer"],
                 )
 
-    return arrow_map(docs, run, "key long, doc_id long, place long, context long, kmer long")
+    return arrow_map(docs, run, "key long, doc_id long, text_id long, place long, context long, kmer long")
 
 
 def to_look_at(found: DataFrame) -> DataFrame:
-    """(doc_id, place) of the anchors whose windows may repeat, with what is to be done; one sort serves both windows."""
-    same = Window.partitionBy("key", "context").orderBy("doc_id", "place")
+    """(doc_id, text_id, place) of the anchors whose windows may repeat, with what is to be done; one sort serves both windows."""
+    same = Window.partitionBy("key", "context").orderBy("doc_id", "text_id", "place")
     all_ = Window.partitionBy("key")
     kind = F.col("place").bitwiseAND(F.lit(3))
     # Rows of one document and place, which are repeated rows, have the same rank.
-    x = found.select("key", "doc_id", "place", "context", F.rank().over(same).alias("r"))
-    x = x.select("doc_id", "place", "r", (F.min("context").over(all_) != F.max("context").over(all_)).alias("differ"))
+    x = found.select("key", "doc_id", "text_id", "place", "context", F.rank().over(same).alias("r"))
+    x = x.select("doc_id", "text_id", "place", "r", (F.min("context").over(all_) != F.max("context").over(all_)).alias("differ"))
     todo = F.when(kind != COMPARE, kind).when(F.col("r") > 1, F.lit(WHOLE)).when(F.col("differ"), F.lit(COMPARE))
-    return x.withColumn("todo", todo).filter(F.col("todo").isNotNull()).select("doc_id", F.col("place").bitwiseAND(F.lit(-4)).bitwiseOR(F.col("todo").cast("long")).alias("place"))
+    return x.withColumn("todo", todo).filter(F.col("todo").isNotNull()).select("doc_id", "text_id", F.col("place").bitwiseAND(F.lit(-4)).bitwiseOR(F.col("todo").cast("long")).alias("place"))
 
 
 def _short_runs(anchor: int, start: int, span: int, s: Settings) -> list[tuple[int, int, tuple[int, int]]]:
@@ -233,7 +234,7 @@ def _short_runs(anchor: int, start: int, span: int, s: Settings) -> list[tuple[i
 
 
 def contexts(docs: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, doc_id, start, span, context) of each listed place of `docs` (doc_id, _row with text, places).
+    """(bucket, doc_id, text_id, start, span, context) of each listed place of `docs` (doc_id, text_id, _row with text, places).
 
     The context holds `span + 1` windows.  A null context says that all these windows repeat.
     """
@@ -243,42 +244,42 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
 
         deal = xxhash.xxh3_64_intdigest
         for batch in batches:
-            best: dict[bytes, tuple[int, int, int, int]] = {}  # the earliest of equal contexts
+            best: dict[bytes, tuple[int, int, int, int, int]] = {}  # the earliest of equal contexts
             out = []
-            whole: list[list[int]] = []  # [doc, first window, last window] of runs that repeat
-            for doc, text, places in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("places"), strict=True):
+            whole: list[list[int]] = []  # [doc, text, first window, last window] of runs that repeat
+            for doc, tid, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text_id").to_pylist(), _texts(batch), batch.column("places"), strict=True):
                 data = (text.as_py() or "").encode()
                 for place in sorted(places.as_py()):
                     start, span, off, todo = _unpack(place)
                     if todo == WHOLE:
-                        if whole and whole[-1][0] == doc and whole[-1][1] <= start <= whole[-1][2] + s.length:
-                            whole[-1][2] = max(whole[-1][2], start + span)
+                        if whole and whole[-1][:2] == [doc, tid] and whole[-1][2] <= start <= whole[-1][3] + s.length:
+                            whole[-1][3] = max(whole[-1][3], start + span)
                         else:
-                            whole.append([doc, start, start + span])
+                            whole.append([doc, tid, start, start + span])
                         continue
                     anchor, common = start + off, todo == SHORT
                     for begin, run_, core in _short_runs(anchor, start, span, s) if common else [(start, span, (anchor, anchor + s.k))]:
                         piece = data[begin : begin + run_ + s.length]
                         bucket = deal(data[core[0] : core[1]])
                         # Equal pieces of unlike anchors cannot be: the anchor depends on the windows alone.
-                        mine, old = (doc, begin, run_, bucket), best.get(piece)
+                        mine, old = (doc, tid, begin, run_, bucket), best.get(piece)
                         if old is None:
                             best[piece] = mine
                             continue
                         if mine < old:
                             best[piece], mine, old = mine, old, mine
-                        if mine[:2] > old[:2]:
+                        if mine[:3] > old[:3]:
                             out.append((*mine, None))
             out.extend((*v, piece) for piece, v in best.items())
-            out.extend((doc, a, b - a, a, None) for doc, a, b in whole)
+            out.extend((doc, tid, a, b - a, a, None) for doc, tid, a, b in whole)
             if len(out):
-                doc, begin, run_, bucket, piece = zip(*out, strict=True)
+                doc, tid, begin, run_, bucket, piece = zip(*out, strict=True)
                 bucket = np.array(bucket, np.uint64).view(np.int64)
                 # Rows that need no comparison are dealt evenly.
                 bucket = np.where([c is None for c in piece], bucket ^ (np.arange(len(bucket)) * (BASE >> 1)), bucket)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(run_, pa.int32()), pa.array(piece, pa.binary())], ["bucket", "doc_id", "start", "span", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc, pa.int64()), pa.array(tid, pa.int64()), pa.array(begin, pa.int64()), pa.array(run_, pa.int32()), pa.array(piece, pa.binary())], ["bucket", "doc_id", "text_id", "start", "span", "context"])
 
-    return arrow_map(docs, run, "bucket long, doc_id long, start long, span int, context binary")
+    return arrow_map(docs, run, "bucket long, doc_id long, text_id long, start long, span int, context binary")
 
 
 class SuffixLevels:
@@ -331,18 +332,20 @@ class SuffixLevels:
 
 
 def repeated_runs(rows: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, start, stop) of bytes covered by repeated windows; each partition has whole buckets in order of (doc_id, start)."""
+    """(doc_id, text_id, start, stop) of bytes covered by repeated windows; each partition has whole buckets in order of (doc_id, text_id, start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = SuffixLevels(s.length)
         held: list[tuple[int, int, bytes]] = []
-        windows = 0
+        named: list[tuple[int, int]] = []  # (doc_id, text_id) of each held row, whose documents have numbers in that order
+        windows, number, last = 0, 0, None
 
         def spans(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
             """Runs of places that follow one another in a document."""
             cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
             last = np.concatenate([cut[1:], [len(doc)]])[: len(cut)] - 1
-            return pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(place[cut]), pa.array(place[last] + s.length)], ["doc_id", "start", "stop"])
+            name = np.array(named, np.int64)[np.searchsorted([n for n, _, _ in held], doc[cut])]
+            return pa.RecordBatch.from_arrays([pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(place[cut]), pa.array(place[last] + s.length)], ["doc_id", "text_id", "start", "stop"])
 
         def take() -> pa.RecordBatch:
             data = np.frombuffer(b"".join(c for _, _, c in held), np.uint8)
@@ -359,21 +362,24 @@ def repeated_runs(rows: DataFrame, s: Settings) -> DataFrame:
 
         for batch in batches:
             whole = []
-            for doc, start, span, context in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "span", "context")], strict=True):
+            for doc, tid, start, span, context in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_id", "start", "span", "context")], strict=True):
                 if context is None:
-                    whole.append((doc, start, start + span + s.length))
+                    whole.append((doc, tid, start, start + span + s.length))
                     continue
-                held.append((doc, start, context))
+                if (doc, tid) != last:
+                    number, last = number + 1, (doc, tid)
+                held.append((number, start, context))
+                named.append((doc, tid))
                 windows += span + 1
                 if windows >= s.batch_windows:
                     yield take()
-                    held, windows = [], 0
+                    held, named, windows = [], [], 0
             if whole:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*whole, strict=True)], ["doc_id", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*whole, strict=True)], ["doc_id", "text_id", "start", "stop"])
         if held:
             yield take()
 
-    return arrow_map(rows, run, "doc_id long, start long, stop long")
+    return arrow_map(rows, run, "doc_id long, text_id long, start long, stop long")
 
 
 #: Stands for a null doc_id while rows are matched, so that joins need no filter and share one exchange of the texts.
@@ -391,14 +397,14 @@ def removals(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     A row without doc_id has no place in the order: it neither loses nor takes anything.  Rows travel whole, so that both
     joins share one exchange of the texts.
     """
-    known = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
-    packed = docs.select(known, F.struct(*docs.columns).alias("_row"))
-    long = docs.select(known, "text").filter((F.octet_length("text") >= s.length) & (F.col("doc_id") != NO_ID))
-    places = to_look_at(list_anchors(long, s, common_kmers(long, docs.count(), s))).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    rows = contexts(packed.join(places, "doc_id"), s)
-    runs = repeated_runs(rows.repartition(_partitions(docs), "bucket").sortWithinPartitions("doc_id", "start"), s)
-    cuts = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
-    return packed.join(cuts, "doc_id", "left").select("doc_id", "_row", "_cuts")
+    known, text_id = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_id")
+    packed = docs.select(known, text_id, F.struct(*docs.columns).alias("_row"))
+    long = docs.select(known, text_id, "text").filter((F.octet_length("text") >= s.length) & (F.col("doc_id") != NO_ID))
+    places = to_look_at(list_anchors(long, s, common_kmers(long, docs.count(), s))).groupBy("doc_id", "text_id").agg(F.collect_list("place").alias("places"))
+    rows = contexts(packed.join(places, ["doc_id", "text_id"]), s)
+    runs = repeated_runs(rows.repartition(_partitions(docs), "bucket").sortWithinPartitions("doc_id", "text_id", "start"), s)
+    cuts = runs.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
+    return packed.join(cuts, ["doc_id", "text_id"], "left").select("doc_id", "_row", "_cuts")
 
 
 def cut_bytes(data: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -429,7 +435,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """`docs` without repeated strings: same columns, text and n_chars (where there) changed.
 
     Characters cut in part go whole.  A document repeated as a row is one document: neither row is the earlier one.  A
-    null text stays null.  Rows with the same doc_id should not differ.
+    null text stays null.  Unlike texts under one doc_id are documents of their own, in the order of their hashes.
     """
     names = docs.columns
 

@@ -356,6 +356,29 @@ def test_ngram_join_odd(spark):
     assert ngram_join.Forest().recall_at(ngram_join.Forest().depth()) >= 0.9999
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_ngram_join_null_and_shared_ids(spark, block):
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"]
+    near = lambda i: base[i] + " more"
+    rows = [(None, base[0]), (None, near(0)), (None, base[1]), (None, base[2]), (7, near(2)), (3, base[3]), (3, base[4]), (5, near(4)), (5, base[4] + " most"), (None, base[5]), (None, base[5])]
+    rows += [(None, ""), (None, ""), (None, None), (8, ""), (8, ""), (8, " "), (8, base[6]), (9, near(6)), (9, near(3))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
+    got = sorted(map(tuple, ngram_join.jaccard_classes(df, ngram_join.Forest(block=block)).collect()), key=str)
+    links = {i: n for i, (_, n) in brute_jaccard([t for _, t in rows]).items()}
+    root = {i: c for i, (c, _) in brute_jaccard([t for _, t in rows]).items()}
+    reach = lambda i, same: min((d for j, (d, t) in enumerate(rows) if d is not None and same(j)), default=rows[i][0])
+    bare = lambda i: not (rows[i][1] or "").split()
+    want = [(d, d if bare(i) else reach(i, lambda j: root[j] == root[i]), d if bare(i) else reach(i, lambda j: rows[j][1] == t), links[i]) for i, (d, t) in enumerate(rows)]
+    assert got == sorted(want, key=str)
+    kept = ngram_join.keep_one(df, ngram_join.Forest(block=block))
+    left = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert sum(left[None, t] for t in (base[0], near(0))) == 1
+    either = {(None, base[0]), (None, near(0))}
+    assert kept.columns == df.columns and {k: n for k, n in left.items() if k not in either} == {
+        (None, base[1]): 1, (7, near(2)): 1, (3, base[3]): 1, (3, base[4]): 1, (None, base[5]): 1, (8, base[6]): 1, (None, ""): 2, (None, None): 1, (8, ""): 1, (8, " "): 1
+    }
+
+
 # 2
 
 
@@ -397,6 +420,19 @@ def test_suffix_dedup_odd(spark):
     assert suffix_dedup.remove_repeats(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("settings", [suffix_dedup.Settings(), suffix_dedup.Settings(common=0.0, sample_rows=60, batch_windows=500, chunk_bytes=2000)])
+def test_suffix_dedup_shared_ids(spark, settings):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abc \n") for _ in range(n))
+    base = [some(300) for _ in range(4)]
+    rows = [(i // 3, some(rng.randint(0, 60)) + rng.choice(base)[rng.randint(0, 100) :] + some(rng.randint(0, 80)) + rng.choice(base)) for i in range(60)]
+    rows += [(2, base[0] + "q"), (2, base[0] + "r" * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    inorder = [tuple(r) for r in df.orderBy("doc_id", chat_format.F.xxhash64("text")).collect()]
+    want = sorted((inorder[i][0], b.decode()) for i, (_, _, _, b) in brute_repeats([t for _, t in inorder]).items())
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df, settings).collect())) == want
+
+
 def test_suffix_levels_merge():
     index = suffix_dedup.SuffixLevels(4)
     rng = np.random.default_rng(0)
