@@ -9,6 +9,8 @@ places in it by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -33,25 +35,40 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 _ENCODERS: dict[str, object] = {}
 
 
-def _encoding(path: str, pattern: str):
-    """This process's encoder; its ids are those of `tokenizers` for the same vocabulary, which a test holds it to."""
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Ids of the added tokens of the json beside the rank file, which `tokenizers` finds inside texts; none if there is no json."""
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError(f"added tokens of {path} that take blanks or whole words only are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
+def _encoder(path: str, pattern: str):
+    """This process's function from texts to ids; they are those of `tokenizers` for the same vocabulary, which a test holds it to."""
     if path not in _ENCODERS:
         import tiktoken
 
         from .bpe import load_ranks
 
-        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+        added = added_tokens(path)
+        encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens=added)
+        special = set(added)
+        _ENCODERS[path] = lambda text: encoding.encode(text, allowed_special=special, disallowed_special=())
     return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: its ids and the end id, cut where longer than `capacity`; no shuffle.
 
-    Null text counts as empty and gives the end id alone.  `with_ids` adds the ids as little-endian unsigned 32-bit.
+    Added tokens of the vocabulary are found inside texts.  Null text counts as empty and gives the end id alone.  `with_ids` adds the ids as little-endian unsigned 32-bit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(ranks_path, pattern).encode_ordinary
+        encode = _encoder(ranks_path, pattern)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             met: dict[str, bytes] = {}  # copies in one batch are encoded once

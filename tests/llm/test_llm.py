@@ -197,6 +197,21 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    e = "<|endoftext|>"
+    texts = [f"end of text {e} next", e, e + e, f" {e} ", f"a{e}b", f"<|{e}|>", f"{e[:-1]}{e}", "<|endoftext|", f"  \n {e}\n\n  x", f"'s{e}'s", f"é{e}中😀", f"word {e} " * 700]
+    t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    rows = packing.pieces(docs_of(spark, texts), p.path("byte_bpe_50k.tiktoken"), p.PATTERN, with_ids=True).orderBy("doc_id", "piece").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    assert got[0] == [437, 286, 2420, 220, 50256, 1306, 2]
+
+
 def test_plan_uses_counts():
     rng = random.Random(1)
     for _ in range(40):
