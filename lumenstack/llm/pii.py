@@ -38,8 +38,9 @@ NAMED = rf"(?<![\p{{L}}\p{{N}}_]){NAME}[^\s\"']{{8,}}(?=[\"'])"
 #: In this order at one place; a match that fails its validation is left as it is.
 KINDS = {"email": EMAIL, "secret": f"{NAMED}|{HEXKEY}", "ipv4": IPV4, "date": DATE, "ssn": SSN, "iban": IBAN, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
-#: No match lacks all of these, so that a text without them is passed on after one quick look.
-HINT = r"[0-9@]|(?i:token|secret|passw|key) ?[=:]"
+#: No match lacks all of these, so that a text without them is passed on after one quick look: all kinds but secrets have a
+#: digit or @, named secrets end their name so, and a hexadecimal key without digits is 32 letters.
+HINT = r"[0-9@]|(?i:token|secret|passw(?:or)?d|key) ?[=:]|[A-Fa-f]{32}"
 
 
 def _shift(x: Column, key: str, tweak: Column, other: Column, sign: int, alphabets: tuple[str, ...]) -> Column:

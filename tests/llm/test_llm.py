@@ -148,6 +148,17 @@ def test_pii_formats_and_inverse(spark):
     assert back == {r["doc_id"]: r["text"] for r in df.collect()}
 
 
+def test_pii_each_kind_alone(spark):
+    alone = ["a@bc.de", "10.20.30.40", "2020-02-29", "123-45-6789", "DE89370400440532013000", "+14995556503", "4111111111111111", "abcdefabcdef" * 3, "ABCDEFABCDEF" * 3]
+    alone += [f"{name}{sign}{q}correcthorse{q}" for name in ("token", "secret", "password", "passwd", "PassWd", "api_key", "apikey", "API_KEY", "key") for sign in ("=", ": ", " = ") for q in "'\""]
+    df = docs_of(spark, [f"so {a} it goes" for a in alone])
+    out = pii.pseudonymise(df, "k")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    for i, a in enumerate(alone):
+        assert a not in rows[i]["text"] and [k["n"] for k in rows[i]["pii"]] == [1]
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "k", inverse=True).collect()} == {r["doc_id"]: r["text"] for r in df.collect()}
+
+
 def test_feistel_brute(spark):
     def brute(x, key, kind, rounds=4):
         def shift(s, tag, other):
