@@ -159,6 +159,16 @@ def test_pii_each_kind_alone(spark):
     assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "k", inverse=True).collect()} == {r["doc_id"]: r["text"] for r in df.collect()}
 
 
+def test_pii_secret_with_at(spark):
+    texts = ['password="p@ssw0rdX"', "token: 'a@b.example.com'", 'key="@@@@@@@@"', 'mail a@b.example.com password = "x@y!zz12"']
+    df = docs_of(spark, texts)
+    out = pii.pseudonymise(df, "k")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert [{k["kind"]: k["n"] for k in rows[i]["pii"]} for i in range(4)] == [{"secret": 1}, {"secret": 1}, {"secret": 1}, {"email": 1, "secret": 1}]
+    assert rows[0]["text"].startswith('password="') and len(rows[0]["text"]) == len(texts[0]) and "p@ssw0rdX" not in rows[0]["text"]
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "k", inverse=True).collect()} == dict(enumerate(texts))
+
+
 def test_feistel_brute(spark):
     def brute(x, key, kind, rounds=4):
         def shift(s, tag, other):
