@@ -122,7 +122,7 @@ def mod97(x: Column) -> Column:
 def kind_of(m: Column) -> Column:
     """The kind of a match that passes its validation; null if it fails."""
     d = digits(m)
-    out = F.when(m.rlike(f"^{NAME}"), "secret").when(m.contains("@"), "email").when(m.rlike(rf"^(?:{IPV4})$"), "ipv4")
+    out = F.when(m.rlike(rf"^(?:{NAME}|{HEXKEY}$)"), "secret").when(m.contains("@"), "email").when(m.rlike(rf"^(?:{IPV4})$"), "ipv4")
     out = out.when(m.rlike(rf"^(?:{DATE})$"), F.when(F.try_to_date(m, "yyyy-MM-dd").isNotNull(), "date"))
     out = out.when(m.rlike(rf"^(?:{SSN})$"), F.when(~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), "ssn"))
     out = out.when(m.startswith("+"), F.when((F.length(d) >= 8) & (F.length(d) <= 15), "phone"))

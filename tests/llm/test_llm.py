@@ -169,6 +169,15 @@ def test_pii_secret_with_at(spark):
     assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "k", inverse=True).collect()} == dict(enumerate(texts))
 
 
+def test_pii_hex_key_like_iban(spark):
+    texts = ["so DE12" + "3704ABCD" * 3 + "0123 it goes", "so AB12" + "ABCDEF01" * 3 + "4567ABC it goes"]
+    out = pii.pseudonymise(docs_of(spark, texts), "k")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    for i, t in enumerate(texts):
+        assert [(k["kind"], k["n"]) for k in rows[i]["pii"]] == [("secret", 1)] and t[3:-8] not in rows[i]["text"]
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "k", inverse=True).collect()} == dict(enumerate(texts))
+
+
 def test_feistel_brute(spark):
     def brute(x, key, kind, rounds=4):
         def shift(s, tag, other):
