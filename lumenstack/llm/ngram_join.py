@@ -1,10 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash banding, with exact verification.
 
-Each document has a label in every tree of the forest: the MinHash values of its word 5-grams in that tree's order.  A
-tree is the trie of the sorted labels; documents under one node share that prefix.  Starting from whole labels, the
-prefix that must match is shortened level by level until the recall at the similarity asked for, 1 - (1 - s^d)^trees,
-reaches the target.  Candidates are the connected components of documents under one node of any tree, which keeps every
-pair under a node; each component is verified exactly, all texts against all, in blocks of bounded size and without
+Each document has one key in each of `trees` bands: a hash of `depth` MinHash values of its word 5-grams.  The depth is the
+largest whose recall at the similarity asked for, 1 - (1 - s^d)^trees, reaches the target; it is fixed beforehand, and no
+longer prefix is matched, so this is not an LSH forest.  Candidates are the connected components of documents that share a key of any band, which keeps
+every pair that does; each component is verified exactly, all texts against all, in blocks of bounded size and without
 emitting its pairs.  Documents of equal 5-gram sets are one node of the graph throughout.
 """
 
