@@ -1,123 +1,235 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Candidates are dealt into blocks by hash, and so are queries; each pair of blocks is one group.  A block's index holds
-the components of its vectors in posting segments by quantised impact: the segment of a level holds the components
-whose magnitude lies in the level's range.  Segments are processed from the highest level down, for a block of queries
-at a time.  After each, what is left of a candidate can add at most |query| * |rest of candidate|; a candidate stays a
-possible member while its partial score and that bound reach the k-th best proven score.  A query stops when k
-candidates are left, or so few that scoring them exactly is cheaper; the possible members are then scored exactly.
+Index.  Vectors are dealt into blocks by hash.  The components of a block are postings (vector, component) in segments by
+dimension and quantised impact: the magnitudes of a block are cut at quantiles, and a posting lies in the segment of its
+dimension and level.  Segments are written once, as a table, and are all that a search reads.
+
+Search.  A block of queries goes through a block's segments from the highest level down.  After a level, what a candidate
+has left can add at most the norm of its unread components times the norm of the query's largest components, as many as
+are unread.  With that bound, a candidate is a possible member while it can reach the k-th best proven score; a query
+stops where its possible members are few, which is the proof, and scores exactly those.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import ship
-from ._common import table
-
-#: Lower ends of the levels of quantised impact, from the highest segment down.
-LEVELS = (16, 8, 0)
-
-
-def block_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places in c, scores) of each query's k best, best first; ties to the smaller id.  c_ids ascend, all whole numbers."""
-    n = len(c)
-    size = np.abs(c)
-    segments = [np.where((size >= low) & (size < high), c, 0).astype(np.float64) for low, high in zip(levels, (np.inf, *levels[:-1]), strict=True)]
-    rest = np.zeros((len(levels) + 1, n))
-    for i in range(len(levels) - 1, -1, -1):
-        rest[i] = rest[i + 1] + (segments[i] ** 2).sum(1)
-    rest = np.sqrt(rest) * (1 + 1e-12)
-    norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-    own = np.searchsorted(c_ids, q_ids)
-    own = np.where((own < n) & (c_ids[np.minimum(own, n - 1)] == q_ids), own, -1)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    exact = c.astype(np.int64)
-    partial = np.zeros((len(q), n))
-    open_rows = np.arange(len(q))
-    members: dict[int, np.ndarray] = {}
-    kk = min(k, n)
-    for level, seg in enumerate(segments):
-        partial[open_rows] += q[open_rows].astype(np.float64) @ seg.T
-        if level == len(segments) - 1:
-            break
-        still = []
-        for i in open_rows:
-            slack = norm[i] * rest[level + 1]
-            low = partial[i] - slack
-            if own[i] >= 0:
-                low[own[i]] = -np.inf
-            # The k-th best proven score; candidates that cannot reach it are no members.
-            bar = np.partition(low, n - kk)[n - kk] if kk < n else -np.inf
-            possible = np.flatnonzero(partial[i] + slack >= bar - 1e-6)
-            if len(possible) <= max(2 * k, n // 16):
-                members[i] = possible
+from ._common import table, written
+
+#: Shares of a block's postings above the lower end of each level of impact, from the highest level down; the last is 1.
+LEVELS = (0.6, 0.75, 0.82, 0.9, 0.95)
+GROUP = 16
+LONG = (-(1 << 63), (1 << 63) - 1)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them all; float64 for those beyond 64 bits, which it holds exactly."""
+    most = float(np.abs(x).max(initial=0))
+    return x.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64 if most < 1 << 62 else np.float64)
+
+
+class Segments:
+    """Postings of one block of vectors: ids, and for each level its (dimension, places, components)."""
+
+    def __init__(self, ids: np.ndarray, width: int, levels: list[list[tuple[int, np.ndarray, np.ndarray]]]):
+        self.ids, self.width, self.levels = ids, width, levels
+        n = len(ids)
+        self.c = np.zeros((n, width))
+        self.rest, self.left = [np.zeros(n)], [np.zeros(n, np.int32)]  # after each level: square of the norm, and number, of unread components
+        for level in reversed(levels):
+            rest, left = self.rest[0].copy(), self.left[0].copy()
+            for d, at, v in level:
+                self.c[at, d] = v
+                rest[at] += np.minimum(np.abs(v.astype(np.float64)), 1e150) ** 2  # larger ones are scored without bounds
+                left[at] += 1
+            self.rest.insert(0, rest)
+            self.left.insert(0, left)
+        self.total = sum(len(at) for level in levels for _, at, _ in level)
+
+    @staticmethod
+    def build(ids: np.ndarray, c: np.ndarray, shares: tuple[float, ...] = LEVELS) -> Segments:
+        """From ascending ids and a matrix of whole numbers (float64)."""
+        size = np.abs(c)
+        there = size[size > 0]
+        cuts = np.unique(np.quantile(there, [1 - s for s in shares], method="lower"))[::-1] if len(there) else np.zeros(0)
+        level = (size[:, :, None] < cuts).sum(2) if len(cuts) else np.zeros(c.shape, int)
+        out = []
+        for k in range(len(cuts) + 1):
+            in_it = (level == k) & (size > 0)
+            found = [(d, np.flatnonzero(in_it[:, d])) for d in range(c.shape[1])]
+            out.append([(d, at, c[at, d]) for d, at in found if len(at)])
+        return Segments(ids, c.shape[1], [x for x in out if x])
+
+    def rows(self) -> list[tuple[int, int, bytes, bytes, str]]:
+        """(level, dimension, places, components, their type): the stored form; ids are level -1, with the width as dimension."""
+        out = [(-1, self.width, self.ids.astype("<i8").tobytes(), b"", "")]
+        for k, level in enumerate(self.levels):
+            for d, at, v in level:
+                v = _narrow(v)
+                out.append((k, d, at.astype("<u4").tobytes(), v.tobytes(), v.dtype.str))
+        return out
+
+    @staticmethod
+    def read(rows: pd.DataFrame) -> Segments:
+        ids, width, levels = np.zeros(0, np.int64), 0, {}
+        for k, d, at, v, kind in rows.sort_values(["level", "dim"])[["level", "dim", "places", "impacts", "kind"]].itertuples(index=False):
+            if k < 0:
+                ids, width = np.frombuffer(at, "<i8"), d
             else:
-                still.append(i)
-        open_rows = np.array(still, np.int64)
-        if not len(open_rows):
-            break
-    for i in range(len(q)):
-        # Partial scores of rows still open are whole: sums of whole numbers far below 2 ** 53.
-        at = members.get(i)
-        s = exact[at] @ q[i].astype(np.int64) if at is not None else partial[i].astype(np.int64)
-        at = np.arange(n) if at is None else at
-        keep = at != own[i]
-        at, s = at[keep], s[keep]
-        if len(at) > k:
-            bar = np.partition(s, len(s) - k)[len(s) - k]
-            # Of those at the bar the first suffice, since ids ascend with the place.
-            pick = np.concatenate([np.flatnonzero(s > bar), np.flatnonzero(s == bar)])[:k]
-            at, s = at[pick], s[pick]
-        order = np.lexsort((at, -s))
-        out.append((at[order], s[order]))
-    return out
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 20, block: int = 8192) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best other rows.
-
-    `vectors` has vec_id and v (array of whole numbers, not null).  Rows repeated in vec_id count once (one of them);
-    vectors of unlike length are compared on the dimensions that both have.  Work is queries times rows, as for any
-    exact search; a group never holds more than about `block` rows of either side, and k rows per query leave it.
-    """
-    one = vectors.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, m, width = one.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    rows, cols = max(1, -(-m // block)), max(1, -(-n // block))
-    home = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    queries = one.filter(is_query).select(home(rows).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("cb"), F.lit(True).alias("q"), "vec_id", "v")
-    cands = one.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("qb"), home(cols).alias("cb"), F.lit(False).alias("q"), "vec_id", "v")
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["q", "vec_id"])
-        mat = np.zeros((len(g), width), np.int32)
-        for i, v in enumerate(g["v"]):
-            mat[i, : len(v)] = v
-        isq, ids = g["q"].to_numpy(bool), g["vec_id"].to_numpy(np.int64)
-        c, c_ids, q, q_ids = mat[~isq], ids[~isq], mat[isq], ids[isq]
-        parts = []
-        if len(c):
-            for a in range(0, len(q), 256):
-                for i, (at, s) in enumerate(block_top(q[a : a + 256], q_ids[a : a + 256], c, c_ids, k)):
-                    parts.append((np.full(len(at), q_ids[a + i]), c_ids[at], s))
-        cols_ = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols_, strict=True)))
+                levels.setdefault(k, []).append((d, np.frombuffer(at, "<u4"), np.frombuffer(v, kind)))
+        return Segments(ids, width, [levels[k] for k in sorted(levels)])
+
+    def search(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """((places, scores) of each query's k best, best first, ties to the smaller id; postings read).
+
+        A row of the query's own id is no candidate.  Scores are exact: 64-bit where no sum can pass them; otherwise all
+        candidates are scored in Python's whole numbers, and cut to the range of a long.
+        """
+        n, width = len(self.ids), max(self.width, q.shape[1], 1)
+        q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
+        own = np.searchsorted(self.ids, q_ids)
+        own = np.where((own < n) & (self.ids[np.minimum(own, n - 1)] == q_ids), own, -1)
+        top = float(np.abs(q).max(initial=0)) * float(np.abs(self.c).max(initial=0)) * width
+        kind = np.float32 if top < 1 << 24 else np.float64  # sums of whole numbers, exact in float32 below 2 ** 24
+        safe = top * (2.0**-20 if kind is np.float32 else width * 2.0**-50)  # rounding of sums and bounds
+        whole = np.int64 if top < 1 << 62 else object
+        c, qx = (np.array([[int(y) for y in r] for r in x], object).reshape(x.shape) if whole is object else x.astype(np.int64) for x in (self.c, q))
+        out: list = [None] * len(q)
+        read, kk = 0, min(k, n - (own >= 0).any())
+
+        def close(i: int, at: np.ndarray) -> None:
+            at = at[at != own[i]]
+            s = c[at, : self.width] @ qx[i, : self.width] if len(at) else np.zeros(0, np.int64)
+            if len(at) > k and whole is not object:
+                bar = np.partition(s, len(s) - k)[len(s) - k]
+                # Of those at the bar the first suffice, since ids ascend with the place.
+                pick = np.concatenate([np.flatnonzero(s > bar), np.flatnonzero(s == bar)[:k]])
+                at, s = at[pick], s[pick]
+            s = np.array([min(max(int(x), LONG[0]), LONG[1]) for x in s], np.int64)
+            order = np.array(sorted(range(len(at)), key=lambda j: (-int(s[j]), at[j]))[:k], np.int64)
+            out[i] = at[order], s[order]
+
+        if whole is object:  # no bound on floating sums: every candidate is a possible member
+            for i in range(len(q)):
+                close(i, np.arange(n))
+            return out, self.total * len(q)
+        # norms[m]: of the m largest components of each query, a little up
+        norms = np.sqrt(np.concatenate([np.zeros((len(q), 1)), np.cumsum(np.sort(q**2, 1)[:, ::-1], 1)], 1)).T * (1 + 1e-5)
+        open_ = np.arange(len(q))
+        partial, qt = np.zeros((n, len(q)), kind), np.ascontiguousarray(q.T.astype(kind))
+        pad = -n % GROUP
+        for level, segments in enumerate(self.levels):
+            for d, at, v in segments:
+                partial[at] += v.astype(kind)[:, None] * qt[d]
+                read += len(at) * len(open_)
+            if level == len(self.levels) - 1 or kk <= 0 or n < 4 * GROUP * kk or self.left[level + 1].mean() > 0.4 * width:
+                continue
+            slack = norms[np.ix_(self.left[level + 1], open_)].astype(kind) * np.sqrt(self.rest[level + 1])[:, None].astype(kind) + kind(safe)
+            low = partial - slack
+            mine = np.flatnonzero(own[open_] >= 0)
+            low[own[open_[mine]], mine] = -np.inf
+            # The k-th best of the groups' best proven scores is a score that k candidates have.
+            best = np.pad(low, ((0, pad), (0, 0)), constant_values=-np.inf).reshape(-1, GROUP, len(open_)).max(1)
+            bar = np.partition(best, len(best) - kk, 0)[len(best) - kk]
+            possible = partial + slack >= bar - kind(safe)
+            done = possible.sum(0) <= max(4 * k, n // 16)
+            for j in np.flatnonzero(done):
+                close(open_[j], np.flatnonzero(possible[:, j]))
+            if done.any():
+                open_, partial, qt = open_[~done], np.ascontiguousarray(partial[:, ~done]), np.ascontiguousarray(qt[:, ~done])
+            if not len(open_):
+                break
+        for j, i in enumerate(open_):
+            p = partial[:, j].astype(np.float64)
+            if own[i] >= 0:
+                p[own[i]] = -np.inf
+            bar = np.partition(p, n - k)[n - k] if n > k else -np.inf
+            close(i, np.flatnonzero(p >= bar - 2 * safe))
+        return out, read
+
+
+def _matrix(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of rows vec_id, v; of rows that repeat a vec_id the one with the least v, shorter vectors filled with 0."""
+    rows = sorted(zip(g["vec_id"].tolist(), (np.asarray(v, np.float64).tolist() for v in g["v"]), strict=True), key=lambda r: r[0])
+    one: dict[int, list[float]] = {}
+    for i, v in rows:
+        one[i] = min(v, one.get(i, v))
+    out = np.zeros((len(one), max(map(len, one.values()), default=0)))
+    for r, v in enumerate(one.values()):
+        out[r, : len(v)] = v
+    return np.array(list(one), np.int64), out
+
+
+def build_index(vectors: DataFrame, block: int, shares: tuple[float, ...] = LEVELS) -> tuple[DataFrame, int]:
+    """(cb, level, dim, places, impacts, kind) of every vector, as a written table, and the number of blocks."""
+    blocks = max(1, -(-vectors.count() // block))
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        rows = Segments.build(*_matrix(g), shares).rows()
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["cb", "level", "dim", "places", "impacts", "kind"])
 
     ship(vectors.sparkSession)
-    found = queries.unionByName(cands).groupBy("qb", "cb").applyInPandas(run, "query_id long, vec_id long, score long")
+    placed = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("cb"), "vec_id", "v")
+    return written(placed.groupBy("cb").applyInPandas(one, "cb int, level int, dim int, places binary, impacts binary, kind string"), "segments"), blocks
+
+
+def search_index(index: DataFrame, blocks: int, queries: DataFrame, k: int = 20, query_block: int = 1024, with_work: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score of each row of `queries` (vec_id, v).  `with_work` gives postings read and held by block pair instead."""
+    parts = max(1, -(-queries.count() // query_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(every(blocks).alias("cb"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("qb"), "vec_id", "v")
+    held = index.withColumn("qb", every(parts))
+
+    def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        found, read, full = [(np.zeros(0, np.int64),) * 3], 0, 0
+        if len(q) and len(g):
+            s = Segments.read(g)
+            ids, x = _matrix(q)
+            for a in range(0, len(ids), 128):
+                got, n = s.search(x[a : a + 128], ids[a : a + 128], k)
+                read, full = read + n, full + s.total * len(got)
+                found += [(np.full(len(at), ids[a + i]), s.ids[at], v) for i, (at, v) in enumerate(got)]
+        if with_work:
+            return pd.DataFrame({"postings_read": [read], "postings_held": [full]})
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    ship(index.sparkSession)
+    out = asked.groupBy("cb", "qb").cogroup(held.groupBy("cb", "qb")).applyInPandas(run, "postings_read long, postings_held long" if with_work else "query_id long, vec_id long, score long")
+    if with_work:
+        return out
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best of all embeddings for each whose vec_id is divisible by 20, by inner product of floor(64 * x)."""
-    x = table(spark, sf_dir, "embeddings")
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k best other rows, by exact inner product.
+
+    `vectors` has vec_id (not null) and v (array of whole numbers, as long or double, not null); further columns are left out.
+    Rows repeated in vec_id count once (that of least v); vectors of unlike length are compared on the dimensions that both
+    have.  Ties go to the smaller vec_id.  A score beyond a long counts as the nearest
+    long.  An empty frame gives an empty result.  A task never holds more than about `block` rows and `query_block` queries,
+    and k rows a query leave it.
+    """
+    index, blocks = build_index(vectors, block)
+    return search_index(index, blocks, vectors.filter(is_query), k, query_block)
+
+
+def quantised(x: DataFrame, scale: int = 64) -> DataFrame:
+    """vec_id, v = floor(scale * x) as double, of the rows whose id, vector and components are there and finite."""
     finite = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     whole = x.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)))
-    return top_k(whole.select("vec_id", F.transform("embedding", lambda e: F.floor(e.cast("double") * 64).cast("int")).alias("v")), F.col("vec_id") % 20 == 0)
+    # From 2 ** 53 on, a double is a whole number; Spark's floor would cut it to a long.
+    floor = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+    return whole.select("vec_id", F.transform("embedding", lambda e: floor(e.cast("double") * scale)).alias("v"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all embeddings for each whose vec_id is divisible by 20, by inner product of floor(64 * x)."""
+    return top_k(quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
 
 ORACLE = """
