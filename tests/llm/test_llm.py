@@ -343,10 +343,46 @@ def test_topk_brute(spark):
             best = sorted((-int(s[i]), int(ids[i])) for i in range(301) if i != q)[:20]
             want += [(int(ids[q]), r + 1, i, -v) for r, (v, i) in enumerate(best)]
         assert sorted(map(tuple, out)) == sorted(want)
+    wide = df.select("vec_id", topk.F.transform("v", lambda e: e.cast("double")).alias("v"), topk.F.lit("x").alias("cb"), topk.F.lit(1).alias("rank"))
+    assert sorted(map(tuple, topk.top_k(wide, topk.F.col("vec_id") % 20 == 0, 20, 37, 4).collect())) == sorted(want)
     few = topk.top_k(df.filter("vec_id < 3"), topk.F.col("vec_id") == 0).collect()
     assert len(few) == 2 and topk.top_k(df.limit(0), topk.F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_stops_on_proof(spark):
+    """Queries stop before the last segments, and the results are those of all products; ids repeat and vectors are equal in places."""
+    rng = np.random.default_rng(1)
+    x = np.floor(64 * (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(3000, 24))))
+    x[100:160] = x[40]
+    ids = np.arange(3000) * 3
+    s = topk.Segments.read(topk.pd.DataFrame(topk.Segments.build(ids, x).rows(), columns=["level", "dim", "places", "impacts", "kind"]))
+    assert (s.c == x).all() and s.total == (x != 0).sum()
+    got, read = s.search(x[:200], ids[:200], 20)
+    assert 0 < read < 0.9 * s.total * 200
+    full = (x @ x[:200].T).astype(int)
+    for i, (at, score) in enumerate(got):
+        assert list(zip(score, at)) == [(-v, j) for v, j in sorted((-int(full[j, i]), j) for j in range(3000) if j != i)[:20]]
+    emb = topk.quantised(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    index, blocks = topk.build_index(emb, 8192)
+    work = topk.search_index(index, blocks, emb.filter("vec_id % 20 = 0"), with_work=True).collect()
+    assert sum(r["postings_read"] for r in work) < 0.95 * sum(r["postings_held"] for r in work)
+
+
+def test_topk_large_components(spark):
+    """Components beyond an int, and sums beyond a long: scores are exact and cut to a long."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.normal(size=4) * 10.0 ** rng.integers(0, p)]) for i, p in enumerate([1] * 40 + [9] * 40 + [14] * 40)]
+    rows += [(200, [1e9] * 4), (201, [-1e9] * 4), (202, [1e300, 0.0, 0.0, 0.0]), (203, [float("inf"), 0.0, 0.0, 0.0]), (204, [None, 1.0]), (205, None), (None, [1.0]), (206, []), (207, [float("nan")])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", topk.F.lit(1))
+    out = topk.top_k(topk.quantised(df), topk.F.lit(True), 200).collect()
+    v = {i: [math.floor(64 * y) for y in e] for i, e in rows if i is not None and i not in (203, 204, 205, 207)}
+    score = lambda a, b: min(max(sum(p * q for p, q in zip(v[a], v[b])), -(1 << 63)), (1 << 63) - 1)
+    want = []
+    for q in v:
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted((-score(q, i), i) for i in v if i != q))]
+    assert sorted(map(tuple, out)) == sorted(want)
+
+
 # 6
 
 
@@ -398,7 +434,54 @@ def test_ngram_join_odd(spark):
     same = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
     assert ngram_join.jaccard_classes(same).count() == 4
     assert ngram_join.keep_one(same).filter("doc_id is not null").count() == 2
-    assert ngram_join.Forest().recall_at(ngram_join.Forest().depth()) >= 0.9999
+    f = ngram_join.Forest()
+    assert f.found(f.shortest(), 0.8) >= 0.9999 and f.found(f.shortest() + 1, 0.8) < 0.9999
+
+
+def test_forest_prefixes(spark):
+    """The links of the sorted labels connect just what shares a prefix, at every length and across partitions."""
+    rng = np.random.default_rng(9)
+    n, trees = 150, 3
+    least = rng.integers(0, 2, (n, trees * 8), np.uint64).astype(np.uint32) * np.uint32(12345)
+    least[100:] = least[7]  # a third has one label
+    halves = [ngram_join.label(x, trees) for x in least]
+    df = spark.createDataFrame([(i, *map(np.ndarray.tolist, h)) for i, h in enumerate(halves)], "node long, high array<long>, low array<long>")
+    links = [tuple(r) for r in ngram_join.forest_links(df).collect()]
+    for d in range(4, 9):
+        root = list(range(n))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b, shared in links:
+            if shared >= d:
+                root[find(a)] = find(b)
+        mine = {tuple(sorted(g)) for g in {find(i): [j for j in range(n) if find(j) == find(i)] for i in range(n)}.values()}
+        want = list(range(n))
+
+        def top(i):
+            while want[i] != i:
+                i = want[i]
+            return i
+
+        for t in range(trees):
+            first = {}
+            for i in range(n):
+                want[top(i)] = top(first.setdefault(tuple(least[i, 8 * t : 8 * t + d]), i))
+        assert mine == {tuple(sorted(g)) for g in {top(i): [j for j in range(n) if top(j) == top(i)] for i in range(n)}.values()}
+
+
+def test_forest_shortens_by_what_it_finds():
+    f = ngram_join.Forest()
+    links = np.zeros(101)
+    links[99] = 1000.0  # all copies nearly equal: the whole label finds them
+    assert f.next_depth(8, links) == 8
+    links[80] = 1000.0
+    assert f.next_depth(8, links) == f.shortest() == 6
+    links[80] = 30.0
+    assert f.next_depth(8, links) in (7, 8) and f.next_depth(8, np.zeros(101)) == 8
 
 
 @pytest.mark.parametrize("block", [512, 2])
