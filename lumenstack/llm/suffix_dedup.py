@@ -6,19 +6,19 @@ doc_id.  Every such string is a window, and each window belongs to its anchor, t
 leftmost of equal ones); equal windows have equal anchors at the same place.  So:
 
 1. Each text's anchors, about two in every `length - k` bytes, are listed with the run of windows that belong to them.
-2. An anchor's context, the bytes of its windows, is known by a hash.  Anchors whose k-mer occurs once in the whole corpus
-   are dropped: their windows cannot repeat.  Where a k-mer's contexts are equal, all but the first repeat whole.
-3. Where they differ, the first of each goes, with its bytes, to the partition of the k-mer.  There, rows come in
-   order of (doc_id, text_id, start) and are taken in batches.  A batch gets a suffix array (its windows' starts sorted by the bytes
-   that follow), is scanned against the arrays of the existing levels for matches of the whole length, and then becomes
-   a level itself; levels of one size class are merged, so a partition of m windows has at most log2(m) levels.
+2. Anchors whose k-mer occurs once in the whole corpus are dropped: their windows cannot repeat.
+3. The others' contexts, the bytes of their windows, go to the partition of the k-mer.  There they come in order of (doc_id,
+   text_id, start) and are taken in batches.  A batch gets a suffix array (its windows' starts, sorted by the bytes that
+   follow), is merge-scanned against the arrays of the existing levels for matches of the whole length, and then becomes a
+   level itself; levels of one size class are merged, so a partition of m windows has at most log2(m) levels.
 4. The runs of repeated windows go back to their documents.
 
-Equal contexts within one batch of texts are sent once, so copies do not pile up in one partition.  K-mers that are common
-in a bounded sample go another way: they are taken as repeated, and their contexts are cut into short runs of windows, at
-fixed offsets from the anchor, that are dealt by the hash of the bytes which all windows of the run share.  Which way a
-k-mer goes only deals out work.  Two contexts of one k-mer are taken as equal by 64 bits of hash beside the k-mer's own;
-windows of contexts that differ are compared byte by byte.
+Hashes only deal out work: bytes are removed where bytes were found equal.  Equal contexts within one batch of texts are sent
+once, so copies do not pile up in one partition.  K-mers that are common in a hash sample go another way: they are taken as
+repeated, and their contexts are cut into short runs of windows, at fixed offsets from the anchor, that are dealt by the hash
+of the bytes which all windows of the run share.
+
+`SuffixStore` keeps the levels as tables, so that later batches of documents meet what earlier ones held.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import ship
 from ._common import arrow_map, table
 
 BASE = 0x9E3779B97F4A7C15
@@ -87,20 +89,15 @@ def kmer_hashes(sums: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:-k]) * _powers(len(sums))[1][: len(sums) - k])
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes start ... stop of each pair of places."""
-    return _mix(_mix((sums[stop] - sums[start]) * _powers(len(sums))[1][start]) + (stop - start).astype(np.uint64))
-
-
-def anchors(x: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, first window, last window, hash of the context) of each anchor of the texts concatenated in `x`; `ends` are their ends.
+def anchors(x: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first window, last window) of each anchor of the texts concatenated in `x`; `ends` are their ends.
 
     Pieces of more than 2 ** PLACE_BITS places are worked off in overlapping parts.
     """
     n, w = len(x), s.length - s.k + 1
     part = 1 << PLACE_BITS
     if n < s.length:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64))
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
     sums = _sums(x)
     h = kmer_hashes(sums, s.k)
     where = np.empty(n - s.length + 1, np.int64)
@@ -121,12 +118,12 @@ def anchors(x: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, n
     np.add.at(inside, ends[good] - s.length + 1, -1)
     p = np.flatnonzero(np.cumsum(inside)[: len(where)])
     if not len(p):
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64))
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
     new = np.concatenate([[True], (where[p[1:]] != where[p[:-1]]) | (p[1:] != p[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(p)]]) - 1
     place = where[p[first]]
-    return place, h[place], p[first], p[last], span_hashes(sums, p[first], p[last] + s.length)
+    return place, h[place], p[first], p[last]
 
 
 def _chunks(batch: pa.RecordBatch, at_most: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -144,8 +141,9 @@ def _chunks(batch: pa.RecordBatch, at_most: int) -> Iterator[tuple[np.ndarray, l
         yield np.array(rows), texts
 
 
-#: What is to be done with a context: compared with others, cut into short runs and compared, or nothing, as it repeats whole.
-COMPARE, SHORT, WHOLE = 0, 1, 2
+#: What is to be done with a context: compared with others, or cut into short runs and compared; and whether its k-mer is
+#: known to be met again.
+COMPARE, SHORT, AGAIN = 0, 1, 2
 
 
 def _pack(first: np.ndarray, span: np.ndarray, off: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -154,7 +152,7 @@ def _pack(first: np.ndarray, span: np.ndarray, off: np.ndarray, kind: np.ndarray
 
 def _unpack(place: int) -> tuple[int, int, int, int]:
     """(first window, run, the anchor's offset, what is to be done)."""
-    return place >> 25, (place >> 17) & 255, (place >> 9) & 255, place & 3
+    return place >> 25, (place >> 17) & 255, (place >> 9) & 255, place & 1
 
 
 def _partitions(docs: DataFrame) -> int:
@@ -176,10 +174,10 @@ def common_kmers(docs: DataFrame, rows: int, s: Settings) -> np.ndarray:
 
 
 def list_anchors(docs: DataFrame, s: Settings, common: np.ndarray) -> DataFrame:
-    """(key, doc_id, text_id, place, context, kmer): key is the k-mer's hash, context that of its context; place is as `_unpack` has it.
+    """(key, doc_id, text_id, place, kmer): key is the k-mer's hash; place is as `_unpack` has it.
 
-    Rows that need no look at others get keys of their own: those of common k-mers, and contexts that have been met in
-    the same chunk of texts, in an earlier place.
+    Rows whose k-mer is known to be met again, as it is common or met twice in the same chunk of texts, are marked; all but
+    the first of a chunk get keys of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,38 +186,32 @@ def list_anchors(docs: DataFrame, s: Settings, common: np.ndarray) -> DataFrame:
             for rows, texts in _chunks(batch, s.chunk_bytes):
                 sizes = np.array([len(t) for t in texts])
                 ends = np.cumsum(sizes)
-                place, h, first, last, context = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, s)
+                place, h, first, last = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, s)
                 at = np.searchsorted(ends, first, "right")
                 start = (ends - sizes)[at]
                 doc, tid, first_ = ids[rows[at]].astype(np.int64), texts_[rows[at]].astype(np.int64), first - start
-                # The earliest of equal contexts of a k-mer, by document and place.
-                order = np.lexsort((first_, tid, doc, context, h))
-                same = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (context[order][1:] == context[order][:-1])]) if len(h) else np.zeros(0, bool)
-                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-                later = np.zeros(len(h), bool)
-                later[order] = same & ((doc[order] != doc[order][head]) | (tid[order] != tid[order][head]) | (first_[order] != first_[order][head]))
+                order = np.argsort(h, kind="stable")
+                same = h[order][1:] == h[order][:-1]
+                later, again = np.zeros(len(h), bool), np.zeros(len(h), bool)
+                if len(h):
+                    later[order[1:]] = same
+                    again[order[1:]] = same
+                    again[order[:-1]] |= same
                 frequent = np.isin(h, common)
-                kind = np.where(later, WHOLE, np.where(frequent, SHORT, COMPARE))
+                kind = np.where(frequent, SHORT, COMPARE) | np.where(again | frequent, AGAIN, 0)
                 own = (doc.view(np.uint64) * np.uint64(BASE)) ^ (first_.astype(np.uint64) * np.uint64(INVERSE))
-                key = np.where(kind == COMPARE, h, own).view(np.int64)
+                key = np.where(later | frequent, own, h).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(doc), pa.array(tid), pa.array(_pack(first_, last - first, place - first, kind)), pa.array(context.view(np.int64)), pa.array(h.view(np.int64))],
-                    ["key", "doc_id", "text_id", "place", "context", "kmer"],
+                    [pa.array(key), pa.array(doc), pa.array(tid), pa.array(_pack(first_, last - first, place - first, kind)), pa.array(h.view(np.int64))], ["key", "doc_id", "text_id", "place", "kmer"]
                 )
 
-    return arrow_map(docs, run, "key long, doc_id long, text_id long, place long, context long, kmer long")
+    return arrow_map(docs, run, "key long, doc_id long, text_id long, place long, kmer long")
 
 
 def to_look_at(found: DataFrame) -> DataFrame:
-    """(doc_id, text_id, place) of the anchors whose windows may repeat, with what is to be done; one sort serves both windows."""
-    same = Window.partitionBy("key", "context").orderBy("doc_id", "text_id", "place")
-    all_ = Window.partitionBy("key")
-    kind = F.col("place").bitwiseAND(F.lit(3))
-    # Rows of one document and place, which are repeated rows, have the same rank.
-    x = found.select("key", "doc_id", "text_id", "place", "context", F.rank().over(same).alias("r"))
-    x = x.select("doc_id", "text_id", "place", "r", (F.min("context").over(all_) != F.max("context").over(all_)).alias("differ"))
-    todo = F.when(kind != COMPARE, kind).when(F.col("r") > 1, F.lit(WHOLE)).when(F.col("differ"), F.lit(COMPARE))
-    return x.withColumn("todo", todo).filter(F.col("todo").isNotNull()).select("doc_id", "text_id", F.col("place").bitwiseAND(F.lit(-4)).bitwiseOR(F.col("todo").cast("long")).alias("place"))
+    """(doc_id, text_id, place) of the anchors whose k-mer is met more than once."""
+    x = found.select("doc_id", "text_id", "place", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"))
+    return x.filter((F.col("place").bitwiseAND(F.lit(AGAIN)) != 0) | (F.col("n") > 1)).select("doc_id", "text_id", "place")
 
 
 def _short_runs(anchor: int, start: int, span: int, s: Settings) -> list[tuple[int, int, tuple[int, int]]]:
@@ -236,7 +228,8 @@ def _short_runs(anchor: int, start: int, span: int, s: Settings) -> list[tuple[i
 def contexts(docs: DataFrame, s: Settings) -> DataFrame:
     """(bucket, doc_id, text_id, start, span, context) of each listed place of `docs` (doc_id, text_id, _row with text, places).
 
-    The context holds `span + 1` windows.  A null context says that all these windows repeat.
+    The context holds `span + 1` windows.  A null context says that all these windows repeat: the same bytes are sent from
+    an earlier place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,141 +238,235 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
         deal = xxhash.xxh3_64_intdigest
         for batch in batches:
             best: dict[bytes, tuple[int, int, int, int, int]] = {}  # the earliest of equal contexts
-            out = []
             whole: list[list[int]] = []  # [doc, text, first window, last window] of runs that repeat
             for doc, tid, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text_id").to_pylist(), _texts(batch), batch.column("places"), strict=True):
                 data = (text.as_py() or "").encode()
                 for place in sorted(places.as_py()):
-                    start, span, off, todo = _unpack(place)
-                    if todo == WHOLE:
-                        if whole and whole[-1][:2] == [doc, tid] and whole[-1][2] <= start <= whole[-1][3] + s.length:
-                            whole[-1][3] = max(whole[-1][3], start + span)
-                        else:
-                            whole.append([doc, tid, start, start + span])
-                        continue
-                    anchor, common = start + off, todo == SHORT
-                    for begin, run_, core in _short_runs(anchor, start, span, s) if common else [(start, span, (anchor, anchor + s.k))]:
+                    start, span, off, short = _unpack(place)
+                    anchor = start + off
+                    for begin, run_, core in _short_runs(anchor, start, span, s) if short else [(start, span, (anchor, anchor + s.k))]:
                         piece = data[begin : begin + run_ + s.length]
-                        bucket = deal(data[core[0] : core[1]])
                         # Equal pieces of unlike anchors cannot be: the anchor depends on the windows alone.
-                        mine, old = (doc, tid, begin, run_, bucket), best.get(piece)
+                        old = best.get(piece)
+                        mine = (doc, tid, begin, run_, deal(data[core[0] : core[1]]) if old is None else old[4])
                         if old is None:
                             best[piece] = mine
                             continue
                         if mine < old:
                             best[piece], mine, old = mine, old, mine
                         if mine[:3] > old[:3]:
-                            out.append((*mine, None))
-            out.extend((*v, piece) for piece, v in best.items())
-            out.extend((doc, tid, a, b - a, a, None) for doc, tid, a, b in whole)
-            if len(out):
+                            if whole and whole[-1][:2] == [mine[0], mine[1]] and whole[-1][2] <= mine[2] <= whole[-1][3] + s.length:
+                                whole[-1][3] = max(whole[-1][3], mine[2] + run_)
+                            else:
+                                whole.append([mine[0], mine[1], mine[2], mine[2] + run_])
+            # Rows that need no comparison are dealt evenly.
+            out = [(*v, piece) for piece, v in best.items()] + [(doc, tid, a, b - a, (i * BASE) & ((1 << 64) - 1), None) for i, (doc, tid, a, b) in enumerate(whole)]
+            if out:
                 doc, tid, begin, run_, bucket, piece = zip(*out, strict=True)
                 bucket = np.array(bucket, np.uint64).view(np.int64)
-                # Rows that need no comparison are dealt evenly.
-                bucket = np.where([c is None for c in piece], bucket ^ (np.arange(len(bucket)) * (BASE >> 1)), bucket)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc, pa.int64()), pa.array(tid, pa.int64()), pa.array(begin, pa.int64()), pa.array(run_, pa.int32()), pa.array(piece, pa.binary())], ["bucket", "doc_id", "text_id", "start", "span", "context"])
 
     return arrow_map(docs, run, "bucket long, doc_id long, text_id long, start long, span int, context binary")
 
 
-class SuffixLevels:
-    """Suffix arrays of windows in size classes; each window has the place of its first occurrence."""
+@dataclass
+class Level:
+    """A suffix array over contexts: their bytes and ends, the document and place of each, and the starts of windows in the
+    order of the bytes that follow; in a store, also the numbers of the stored levels that are in it."""
+
+    data: np.ndarray
+    ends: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+    starts: np.ndarray
+    held: tuple[int, ...] = ()
 
-    def __init__(self, length: int):
-        self.length = length
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (windows in order, doc, place), larger levels first
+    def windows(self, length: int, part: slice = slice(None)) -> np.ndarray:
+        """Windows of a part of the array, in a form that is compared byte by byte."""
+        view = np.lib.stride_tricks.sliding_window_view(self.data, length)
+        return np.ascontiguousarray(view[self.starts[part]]).view(f"V{length}").ravel()
 
-    @staticmethod
-    def _order(keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix order, whether each in that order begins a group of equal windows); rows are in order of (doc, place)."""
+    def where(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, place in it) of starts."""
+        c = np.searchsorted(self.ends, at, "right")
+        return self.doc[c], self.place[c] + at - (self.ends - np.diff(self.ends, prepend=0))[c]
+
+    def keep(self, starts: np.ndarray) -> Level:
+        """The level of these starts, without the contexts that none of them lies in."""
+        c = np.searchsorted(self.ends, starts, "right")
+        used = np.zeros(len(self.ends), bool)
+        used[c] = True
+        size = np.diff(self.ends, prepend=0)
+        gone = np.cumsum(np.where(used, 0, size))
+        return Level(self.data[np.repeat(used, size)], np.cumsum(size[used]), self.doc[used], self.place[used], starts - gone[c])
+
+
+class SuffixLevels:
+    """Suffix arrays in size classes; each window is held once, with its first occurrence."""
+
+    def __init__(self, length: int, levels: list[Level] | None = None, scan: int = 1 << 16):
+        self.length, self.scan = length, scan
+        self.levels = sorted(levels or [], key=lambda x: -len(x.starts))
+
+    def add(self, found: list[bytes], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether it starts earlier too, document, place) of each window of a batch's contexts; batches and their contexts come
+        in order of (doc, place)."""
+        size = np.array([len(c) for c in found], np.int64)
+        runs, ends = size - self.length + 1, np.cumsum(size)
+        starts = np.arange(runs.sum()) + np.repeat(ends - size - (np.cumsum(runs) - runs), runs)
+        batch = Level(np.frombuffer(b"".join(found), np.uint8), ends, doc, place, starts)
+        keys = batch.windows(self.length)
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
-        return order, np.concatenate([[True], ordered[1:] != ordered[:-1]])
-
-    def add(self, keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Whether each window of a batch starts earlier too; batches and their rows come in order of (doc, place)."""
-        order, new = self._order(keys, doc, place)
-        head = order[new]
-        group = np.cumsum(new) - 1
-        first_doc, first_place = doc[head].copy(), place[head].copy()
-        mine = keys[head]
-        for have, d, p in self.levels:
-            at = np.minimum(np.searchsorted(have, mine), len(have) - 1)
-            hit = have[at] == mine
-            at = at[hit]
-            earlier = (d[at] < first_doc[hit]) | ((d[at] == first_doc[hit]) & (p[at] < first_place[hit]))
-            first_doc[hit] = np.where(earlier, d[at], first_doc[hit])
-            first_place[hit] = np.where(earlier, p[at], first_place[hit])
-        out = np.empty(len(keys), bool)
-        fd, fp = first_doc[group], first_place[group]
-        out[order] = (fd < doc[order]) | ((fd == doc[order]) & (fp < place[order]))
-        fresh = (first_doc == doc[head]) & (first_place == place[head])  # windows of earlier levels need no second entry
-        self._push((mine[fresh], first_doc[fresh], first_place[fresh]))
-        return out
-
-    def _push(self, level: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        if not len(level[0]):
-            return
-        # Levels of a size class merge; both are sorted runs, which the stable sort merges in one pass.
-        while self.levels and len(self.levels[-1][0]).bit_length() <= len(level[0]).bit_length():
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        head, mine = order[new], ordered[new]
+        own_doc, own_place = batch.where(starts)
+        first_doc, first_place, met = own_doc[head], own_place[head], np.zeros(len(head), bool)
+        for level in self.levels:
+            at, hit = self._merge_scan(level, mine)
+            d, p = level.where(level.starts[at[hit]])
+            earlier = (d < first_doc[hit]) | ((d == first_doc[hit]) & (p < first_place[hit]))
+            first_doc[hit], first_place[hit] = np.where(earlier, d, first_doc[hit]), np.where(earlier, p, first_place[hit])
+            met |= hit
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        first_doc, first_place = first_doc[group], first_place[group]
+        if not met.all():  # windows that a level has need no second entry
+            self._push(batch.keep(starts[head[~met]]))
+        return (first_doc < own_doc) | ((first_doc == own_doc) & (first_place < own_place)), own_doc, own_place
+
+    def _merge_scan(self, level: Level, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the level, whether it is there) of each of ascending windows; both are passed once, `scan` windows of the level at a time."""
+        n, low = len(level.starts), 0
+        at, hit = np.full(len(keys), n), np.zeros(len(keys), bool)
+        for a in range(0, n, self.scan):
+            b = min(n, a + self.scan)
+            high = np.searchsorted(keys, level.windows(self.length, slice(b - 1, b))[0], "right")
+            if high > low:
+                some = level.windows(self.length, slice(a, b))
+                k = np.searchsorted(some, keys[low:high])
+                at[low:high], hit[low:high] = a + k, some[k] == keys[low:high]
+            low = high
+        return at, hit
+
+    def _push(self, level: Level) -> None:
+        # Levels of a size class merge; they have no window in common.
+        while self.levels and len(self.levels[-1].starts).bit_length() <= len(level.starts).bit_length():
             old = self.levels.pop()
-            keys, doc, place = (np.concatenate([a, b]) for a, b in zip(old, level, strict=True))
-            order = np.argsort(keys, kind="stable")
-            ordered = keys[order]
-            keep = order[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
-            level = keys[keep], doc[keep], place[keep]
+            at, _ = self._merge_scan(old, level.windows(self.length))
+            join = lambda x, y: np.concatenate([x, y])
+            level = Level(join(old.data, level.data), join(old.ends, level.ends + len(old.data)), join(old.doc, level.doc), join(old.place, level.place), np.insert(old.starts, at, level.starts + len(old.data)), old.held + level.held)
         self.levels.append(level)
 
 
+class Scan:
+    """Takes contexts in order of (doc_id, text_id, start), a batch at a time, and tells the runs of bytes that repeat."""
+
+    def __init__(self, s: Settings, levels: list[Level] | None = None):
+        self.s, self.index = s, SuffixLevels(s.length, levels)
+        self.doc: list[int] = []
+        self.named: list[tuple[int, int]] = []  # (doc_id, text_id) of the batch's documents, whose numbers follow one another
+        self.place: list[int] = []
+        self.found: list[bytes] = []
+        self.windows = self.number = 0
+
+    def take(self, doc: int, tid: int, start: int, context: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+        if not self.named or self.named[-1] != (doc, tid):
+            self.number += 1
+            self.named.append((doc, tid))
+        self.doc.append(self.number)
+        self.place.append(start)
+        self.found.append(context)
+        self.windows += len(context) - self.s.length + 1
+        if self.windows >= self.s.batch_windows:
+            yield self.flush()
+
+    def flush(self) -> tuple[np.ndarray, ...]:
+        """(doc_id, text_id, start, stop) of the batch's runs: places that follow one another in a document."""
+        if not self.found:
+            return (np.zeros(0, np.int64),) * 4
+        again, doc, place = self.index.add(self.found, np.array(self.doc, np.int64), np.array(self.place, np.int64))
+        doc, place = doc[again], place[again]
+        new = np.concatenate([np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)])
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(doc)]])[: len(first)] - 1
+        names = np.array(self.named, np.int64)[doc[first] - (self.number - len(self.named) + 1)]
+        self.named = self.named[-1:]  # the next batch may go on with the same document
+        self.doc, self.place, self.found, self.windows = [], [], [], 0
+        return names[:, 0], names[:, 1], place[first], place[last] + self.s.length
+
+
+RUN = "doc_id long, text_id long, start long, stop long"
+
+
 def repeated_runs(rows: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, text_id, start, stop) of bytes covered by repeated windows; each partition has whole buckets in order of (doc_id, text_id, start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SuffixLevels(s.length)
-        held: list[tuple[int, int, bytes]] = []
-        named: list[tuple[int, int]] = []  # (doc_id, text_id) of each held row, whose documents have numbers in that order
-        windows, number, last = 0, 0, None
-
-        def spans(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-            """Runs of places that follow one another in a document."""
-            cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
-            last = np.concatenate([cut[1:], [len(doc)]])[: len(cut)] - 1
-            name = np.array(named, np.int64)[np.searchsorted([n for n, _, _ in held], doc[cut])]
-            return pa.RecordBatch.from_arrays([pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(place[cut]), pa.array(place[last] + s.length)], ["doc_id", "text_id", "start", "stop"])
-
-        def take() -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(c for _, _, c in held), np.uint8)
-            sizes = np.array([len(c) for _, _, c in held])
-            runs = sizes - s.length + 1
-            base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            step = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-            view = np.lib.stride_tricks.sliding_window_view(data, s.length)
-            keys = np.ascontiguousarray(view[np.repeat(base, runs) + step]).view(f"V{s.length}").ravel()
-            doc = np.repeat(np.array([d for d, _, _ in held], np.int64), runs)
-            place = np.repeat(np.array([p for _, p, _ in held], np.int64), runs) + step
-            found = index.add(keys, doc, place)
-            return spans(doc[found], place[found])
-
+        scan, names = Scan(s), ["doc_id", "text_id", "start", "stop"]
         for batch in batches:
             whole = []
             for doc, tid, start, span, context in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_id", "start", "span", "context")], strict=True):
                 if context is None:
                     whole.append((doc, tid, start, start + span + s.length))
                     continue
-                if (doc, tid) != last:
-                    number, last = number + 1, (doc, tid)
-                held.append((number, start, context))
-                named.append((doc, tid))
-                windows += span + 1
-                if windows >= s.batch_windows:
-                    yield take()
-                    held, named, windows = [], [], 0
+                for runs in scan.take(doc, tid, start, context):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in runs], names)
             if whole:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*whole, strict=True)], ["doc_id", "text_id", "start", "stop"])
-        if held:
-            yield take()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*whole, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in scan.flush()], names)
 
-    return arrow_map(rows, run, "doc_id long, text_id long, start long, stop long")
+    return arrow_map(rows, run, RUN)
+
+
+class SuffixStore:
+    """Levels kept as tables in a folder, so that a batch of documents meets those before it, whose documents all count as earlier.
+
+    Each of `parts` parts of the buckets has its own family.  A batch adds one table: a row for each level that is new, with
+    the numbers of the stored levels merged into it, which are then read no more.  As any later text may repeat a place that
+    is unique so far, all contexts are held.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+        self.batches: list[str] = []
+
+    def levels(self) -> DataFrame:
+        """The levels in force: part, number, data, ends, starts, merged."""
+        schema = "part int, number long, data binary, ends binary, starts binary, merged array<long>"
+        all_ = self.spark.read.schema(schema).parquet(*self.batches) if self.batches else self.spark.createDataFrame([], schema)
+        return all_.join(all_.select("part", F.explode("merged").alias("number")), ["part", "number"], "left_anti")
+
+    def add(self, rows: DataFrame, s: Settings) -> DataFrame:
+        """`repeated_runs` of the contexts of a batch, against themselves and all batches before; the batch is then stored."""
+        number = len(self.batches)
+        kind = RUN + ", part int, number long, data binary, ends binary, starts binary, merged array<long>"
+        names = [c.split()[0] for c in kind.split(", ")]
+        i8 = lambda x: np.asarray(x, "<i8").tobytes()
+
+        def run(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            read = lambda b: np.frombuffer(b, "<i8")
+            held = [Level(np.frombuffer(d, np.uint8), read(e), np.zeros(len(e) // 8, np.int64), np.zeros(len(e) // 8, np.int64), read(x), (n,)) for n, d, e, x in zip(old["number"], old["data"], old["ends"], old["starts"], strict=True)]
+            scan, out = Scan(s, held), []
+            for doc, tid, start, span, context in new.sort_values(["doc_id", "text_id", "start"])[["doc_id", "text_id", "start", "span", "context"]].itertuples(index=False):
+                for runs in [(([doc], [tid], [start], [start + span + s.length]),)] if context is None else [scan.take(doc, tid, start, context)]:
+                    out += [(*r, *[None] * 6) for cols in runs for r in zip(*cols, strict=True)]
+            out += [(*r, *[None] * 6) for r in zip(*scan.flush(), strict=True)]
+            fresh = [x for x in scan.index.levels if all(x is not h for h in held)]
+            # Levels of one batch and part are numbered from batch * 64; there are never as many.
+            out += [(*[None] * 4, key[0], number * 64 + i, x.data.tobytes(), i8(x.ends), i8(x.starts), list(x.held)) for i, x in enumerate(fresh)]
+            frame = pd.DataFrame(out, columns=names, dtype=object)
+            return frame.astype({c: "Int64" for c in ("doc_id", "text_id", "start", "stop", "number")} | {"part": "Int32"})
+
+        ship(self.spark)
+        placed = rows.withColumn("part", F.pmod("bucket", F.lit(self.parts)).cast("int"))
+        both = placed.groupBy("part").cogroup(self.levels().groupBy("part")).applyInPandas(run, kind)
+        path = f"{self.path}/batch-{number:06d}"
+        both.withColumn("kind", F.when(F.col("part").isNull(), "runs").otherwise("levels")).write.partitionBy("kind").option("maxRecordsPerFile", 100_000).parquet(path)
+        there = self.spark.read.schema(kind + ", kind string").parquet(path)
+        there.filter("kind = 'levels'").select("part", "number", "data", "ends", "starts", "merged").write.parquet(f"{path}-levels")
+        self.batches.append(f"{path}-levels")
+        return there.filter("kind = 'runs'").select("doc_id", "text_id", "start", "stop")
 
 
 #: Stands for a null doc_id while rows are matched, so that joins need no filter and share one exchange of the texts.
@@ -390,7 +477,7 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
     return batch.column("_row").field("text")
 
 
-def removals(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+def removals(docs: DataFrame, s: Settings = Settings(), store: SuffixStore | None = None) -> DataFrame:
     """(doc_id, _row, _cuts) of each row of `docs`: _row holds its columns, _cuts is null or [{start, stop}] in bytes of
     the text, which may overlap, in no order.
 
@@ -400,9 +487,13 @@ def removals(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     known, text_id = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_id")
     packed = docs.select(known, text_id, F.struct(*docs.columns).alias("_row"))
     long = docs.select(known, text_id, "text").filter((F.octet_length("text") >= s.length) & (F.col("doc_id") != NO_ID))
-    places = to_look_at(list_anchors(long, s, common_kmers(long, docs.count(), s))).groupBy("doc_id", "text_id").agg(F.collect_list("place").alias("places"))
+    if store is None:
+        there = to_look_at(list_anchors(long, s, common_kmers(long, docs.count(), s)))
+    else:
+        there = list_anchors(long, s, np.zeros(0, np.uint64)).select("doc_id", "text_id", "place")
+    places = there.groupBy("doc_id", "text_id").agg(F.collect_list("place").alias("places"))
     rows = contexts(packed.join(places, ["doc_id", "text_id"]), s)
-    runs = repeated_runs(rows.repartition(_partitions(docs), "bucket").sortWithinPartitions("doc_id", "text_id", "start"), s)
+    runs = store.add(rows, s) if store else repeated_runs(rows.repartition(_partitions(docs), "bucket").sortWithinPartitions("doc_id", "text_id", "start"), s)
     cuts = runs.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
     return packed.join(cuts, ["doc_id", "text_id"], "left").select("doc_id", "_row", "_cuts")
 
@@ -431,9 +522,11 @@ def _left(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int, int]]:
         yield data, *cut_bytes(data, [(c["start"], c["stop"]) for c in cuts.as_py() or ()])
 
 
-def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+def remove_repeats(docs: DataFrame, s: Settings = Settings(), store: SuffixStore | None = None) -> DataFrame:
     """`docs` without repeated strings: same columns, text and n_chars (where there) changed.
 
+    With a store, `docs` is a further batch: strings of the batches before are cut too, and the store then holds this one.
+
     Characters cut in part go whole.  A document repeated as a row is one document: neither row is the earlier one.  A
     null text stays null.  Unlike texts under one doc_id are documents of their own, in the order of their hashes.
     """
@@ -447,7 +540,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             put = {"text": new, "n_chars": [None if t is None else len(t) for t in new]}
             yield pa.RecordBatch.from_arrays([pa.array(put[c], rows.field(c).type) if c in put else rows.field(c) for c in names], names)
 
-    return arrow_map(removals(docs, s), run, docs.schema)
+    return arrow_map(removals(docs, s, store), run, docs.schema)
 
 
 def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
