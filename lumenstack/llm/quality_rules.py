@@ -1,19 +1,21 @@
 """Quality rules as a short-circuit cascade, in Spark expressions only.
 
-Each rule is a rejecting predicate over the text with a cost in work units.  A bounded sample, judged by every rule, gives
-each rule's cost and its selectivity among the documents that earlier rules keep; the order is greedy by rejection per cost.  The order decides which expressions most rows never evaluate, and the reason
-that is reported; it cannot change the verdict.
+Each rule is a rejecting predicate over the text.  On a sample by hash, every rule is timed and judged: its cost is the time
+it takes a document, its selectivity the share that it rejects of those which the rules before it keep; the order is greedy by
+rejection per cost.  The order decides which expressions most rows never evaluate, and the reason that is reported; it cannot
+change the verdict.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import let, table, words_of
+from ._common import let, table, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -36,12 +38,14 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more; `words` must be bound (let or lambda).
 
-    Windows are compared by their 64-bit hash, sorted with their place; each covers its next three words.
+    Windows are told apart by 64 bits of hash.  Where none repeats, which one pass over a hash set shows, the answer is 0;
+    otherwise hashes are sorted with their places, and each place covers its next three words.
     """
-    windows = F.slice(F.transform(words, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))), 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    hashes = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), 1, F.greatest(F.size(words) - 2, F.lit(0)))
     twice = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
-    places = let(F.array_sort(windows), lambda s: F.array_sort(F.transform(twice(s), lambda x: x["i"])))
-    return let(places, lambda p: F.aggregate(F.transform(p, lambda v, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - v, F.lit(3)))), F.lit(0), lambda a, x: a + x)).cast("long")
+    places = lambda h: let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda s: F.array_sort(F.transform(twice(s), lambda x: x["i"])))
+    covered = lambda p: F.aggregate(F.transform(p, lambda v, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - v, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(places(h), covered))).cast("long")
 
 
 def base_stats(text: Column) -> Column:
@@ -78,44 +82,63 @@ class Stats:
 
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` is a predicate over Stats; `cost` is in characters visited."""
+    """`rejects` is a predicate over Stats."""
 
     name: str
     rejects: Callable[[Stats], Column]
-    cost: Callable[[Stats], Column]
 
 
 def default_rules() -> list[Rule]:
     """Limits of public web-corpus filters: words, symbols per word, repeated lines and words, mean word length, capitals, letters."""
-    n = lambda k: lambda x: k * (F.length(x.text) + F.lit(1.0))
     letters = lambda x, c: F.length(x.text) - F.length(F.regexp_replace(x.text, c, ""))
     return [
-        Rule("few_words", lambda x: x.n_words < 50, lambda x: F.lit(1.0)),
-        Rule("repeated_words", lambda x: 100 * x.n_repeat_words > 50 * x.n_words, n(12)),
-        Rule("symbols", lambda x: 10 * x.n_symbols > x.n_words, n(1)),
-        Rule("repeated_lines", lambda x: 100 * x.n_dup_lines > 30 * F.size(F.split(x.text, "\n", -1)).cast("long"), n(2)),
-        Rule("word_length", lambda x: let(x.word_chars, lambda c: (c < 3 * x.n_words) | (c > 12 * x.n_words)), n(1)),
-        Rule("capitals", lambda x: 2 * letters(x, r"\p{Lu}+") > letters(x, r"\p{L}+"), n(4)),
-        Rule("letters", lambda x: 100 * F.size(F.filter(x.words, lambda w: w.rlike(r"\p{L}"))).cast("long") < 80 * x.n_words, n(6)),
+        Rule("few_words", lambda x: x.n_words < 50),
+        Rule("repeated_words", lambda x: 100 * x.n_repeat_words > 50 * x.n_words),
+        Rule("symbols", lambda x: 10 * x.n_symbols > x.n_words),
+        Rule("repeated_lines", lambda x: 100 * x.n_dup_lines > 30 * F.size(F.split(x.text, "\n", -1)).cast("long")),
+        Rule("word_length", lambda x: let(x.word_chars, lambda c: (c < 3 * x.n_words) | (c > 12 * x.n_words))),
+        Rule("capitals", lambda x: 2 * letters(x, r"\p{Lu}+") > letters(x, r"\p{L}+")),
+        Rule("letters", lambda x: 100 * F.size(F.filter(x.words, lambda w: w.rlike(r"\p{L}"))).cast("long") < 80 * x.n_words),
     ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[Rule]:
-    """Greedy order by rejection per cost among documents that the rules before it keep.
+def measure_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 1000) -> tuple[list[float], dict[tuple[bool, ...], int]]:
+    """(seconds that each rule takes over the sample, how often each combination of verdicts is met there).
 
-    The sample is the first `sample_rows` texts of the scan.  It is collected as verdicts and costs, so the scan stops
-    where it is full and is not a pass over the corpus; `sample_rows * len(rules)` of each reach the driver at most.
+    The sample is one in so many rows, by hash of their first column and text, that about `sample_rows` are in it.  It is
+    written once, so what is timed does not read the corpus.  A rule's time is that of a job which evaluates it alone over
+    the sample's words, the better of two runs so that compiling does not count, less that of a job which only finds the
+    words.  No more than 2 ** rules combinations, and never more than the sample has rows, reach the driver.
     """
-    t = F.coalesce(F.col("text"), F.lit(""))
-    judged = let(words_of(t), lambda w: (lambda x: F.struct(F.array(*[F.coalesce(r.rejects(x), F.lit(False)) for r in rules]).alias("p"), F.array(*[r.cost(x) for r in rules]).alias("c")))(Stats.of_words(t, w)))
-    left = [(r["j"]["p"], r["j"]["c"]) for r in docs.select(judged.alias("j")).limit(sample_rows).collect()]
+    every = max(1, docs.count() // sample_rows)
+    held = docs.select(*{c: F.col(c) for c in (docs.columns[0], "text")}.values())
+    sample = written(held.filter(F.pmod(F.xxhash64(*held.columns), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")).alias("text")).repartition(4), "rule-sample")
+    over = lambda f: let(words_of(F.col("text")), lambda w: f(Stats.of_words(F.col("text"), w)))
+
+    def seconds(f: Callable[[Stats], Column]) -> float:
+        took = []
+        for _ in range(2):
+            start = time.perf_counter()
+            sample.agg(F.count_if(over(f))).collect()
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    idle = seconds(lambda x: x.n_words < 0)
+    costs = [max(seconds(r.rejects) - idle, 0.02 * idle) for r in rules]
+    verdicts = over(lambda x: F.array(*[F.coalesce(r.rejects(x), F.lit(False)) for r in rules]))
+    return costs, {tuple(r["v"]): r["n"] for r in sample.groupBy(verdicts.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 1000) -> list[Rule]:
+    """Greedy order by rejection per cost among documents that the rules before it keep; costs are timed, so it may differ from run to run."""
+    costs, left = measure_rules(docs, rules, sample_rows)
     rest, out = list(range(len(rules))), []
     while rest:
-        gain = lambda i: sum(p[i] for p, _ in left) / max(sum(c[i] or 0.0 for _, c in left), 1e-9)
-        best = max(rest, key=lambda i: (gain(i), -i))
+        gain = {i: sum(n for v, n in left.items() if v[i]) / costs[i] for i in rest}
+        best = max(rest, key=lambda i: (gain[i], -costs[i], -i))
         out.append(rules[best])
         rest.remove(best)
-        left = [x for x in left if not x[0][best]]
+        left = {v: n for v, n in left.items() if not v[best]}
     return out
 
 
@@ -127,18 +150,20 @@ def cascade(rules: list[Rule], x: Stats) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 1000) -> DataFrame:
     """`docs` with s (base_stats) and rejected_by, null where every rule keeps the document.
 
     A null or empty text has no words, so the word rule rejects it.  Repeated rows are judged alike; further columns
-    pass through, but for a column named s or rejected_by, which is replaced.
+    pass through, but for a column named s or rejected_by, which is replaced.  All of base_stats is asked for in every row,
+    so only what rules need beyond it (line counts, capitals, letters) is left for the cascade to skip; `keep_good` has no
+    such columns and computes nothing for a rule that is not reached.
     """
     rules = order_rules(docs, default_rules() if rules is None else rules, sample_rows)
     counted = docs.drop("s", "rejected_by").withColumn("s", base_stats(F.col("text")))
     return counted.withColumn("rejected_by", cascade(rules, Stats.of_struct(F.coalesce(F.col("text"), F.lit("")), F.col("s"))))
 
 
-def keep_good(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
+def keep_good(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 1000) -> DataFrame:
     """The documents that every rule keeps, with the columns of `docs`; words are found once, the rest as rules need it."""
     rules = order_rules(docs, default_rules() if rules is None else rules, sample_rows)
     t = F.coalesce(F.col("text"), F.lit(""))
