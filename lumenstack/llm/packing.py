@@ -1,9 +1,9 @@
 """Packing of token pieces into sequences by exact complements, then best fit.
 
 The plan is made from the histogram of piece lengths alone, which has as many entries as a sequence has tokens, however
-many pieces there are.  From the longest length down, the gap that a piece leaves is looked up among the sums of one,
-two and three available lengths; each combination found is used as often as the counts allow.  What no combination
-fills exactly is packed best fit, longest first.  A plan is a list of patterns (lengths, how often); pieces take their
+many pieces there are.  Lengths that complete each other are consumed first; the longer ones of the rest are packed best fit,
+and the gaps they leave are looked up among the sums of one, two and three of the shorter lengths, each combination being
+consumed as often as counts and gaps allow.  What no combination fills exactly is packed best fit, longest first.  A plan is a list of patterns (lengths, how often); pieces take their
 places in it by their rank among the pieces of their length.
 """
 
@@ -90,64 +90,77 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024,
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns that use each length as often as `counts` says: of complements by one, two or three lengths at most, the fewest sequences."""
-    return min((_plan(counts, capacity, parts) for parts in (1, 2, 3)), key=lambda p: sum(n for _, n in p))
+    """Patterns that use each length as often as `counts` says, with the fewest sequences of a few cuts between long and short."""
+    return min((plan_by(counts, capacity, 3, capacity // k) for k in (2, 3, 4, 6, 8, 12, 16)), key=lambda p: sum(n for _, n in p))
 
 
-def _plan(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
+def plan_by(counts: dict[int, int], capacity: int, parts: int, short: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements by up to `parts` lengths.
+
+    Complements by one length are consumed first.  The other pieces longer than `short` are packed best fit, which leaves
+    gaps; sums of one length, then of two, then of three, that fill a gap exactly are consumed as often as the counts of
+    lengths and gaps allow, those with the longer lengths first.  The rest is packed best fit.  Short lengths are so spent
+    only where they complete a sequence.
+    """
     left = [0] * (capacity + 1)
     for k, n in counts.items():
         left[k] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def use(combo: tuple[int, ...]) -> bool:
-        """Consume the combination as often as possible."""
-        times = min(left[k] // combo.count(k) for k in combo)
-        if times:
-            out.append((combo, times))
-            for k in combo:
-                left[k] -= times
-        return times > 0
-
-    if left[capacity]:
-        use((capacity,))
-    for longest in range(capacity - 1, 0, -1):
-        gap = capacity - longest
-        if left[longest] and left[gap]:
-            use((longest, gap))
-        if left[longest] and parts > 1:
-            for b in range(min(gap - 1, longest), (gap - 1) // 2, -1):
-                if left[b] and left[gap - b] and use((longest, b, gap - b)) and not left[longest]:
+    out: list[tuple[tuple[int, ...], int]] = [((capacity,), left[capacity])] if left[capacity] else []
+    left[capacity] = 0
+    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by gap: patterns, and how often
+
+    def take(combo: tuple[int, ...], most: int) -> int:
+        times = min(most, *(left[k] // combo.count(k) for k in combo))
+        for k in combo if times else ():
+            left[k] -= times
+        return times
+
+    def sums(total: int, size: int, most: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of `size` available lengths of that sum, longer ones first, none longer than `most`."""
+        if size == 1:
+            if 0 < total <= most and left[total]:
+                yield (total,)
+            return
+        for k in range(min(total - size + 1, most), (total - 1) // size, -1):
+            if left[k]:
+                for rest in sums(total - k, size - 1, k):
+                    yield (k, *rest)
+
+    def best_fit(lengths: range) -> None:
+        for k in lengths:
+            n, left[k] = left[k], 0
+            while n:
+                gap = next((g for g in range(k, capacity) if bins.get(g)), None)
+                if gap is None:
+                    each = capacity // k
+                    for size, times in ((each, n // each), (n % each, 1)):
+                        if size and times:
+                            bins.setdefault(capacity - size * k, []).append(((k,) * size, times))
                     break
-        if left[longest] and parts > 2:
-            held = [k for k in range(1, gap) if left[k]]
-            for b in reversed(held):
-                if b > longest or not left[b]:
-                    continue
-                for c in range(min(gap - b - 1, b), (gap - b - 1) // 2, -1):
-                    if left[c] and left[gap - b - c]:
-                        use((longest, b, c, gap - b - c))
-                        if not (left[longest] and left[b]):
+                pattern, times = bins[gap].pop()
+                m = min(n, times)
+                if times > m:
+                    bins[gap].append((pattern, times - m))
+                bins.setdefault(gap - k, []).append(((*pattern, k), m))
+                n -= m
+
+    for longest in range(capacity - 1, (capacity - 1) // 2, -1):
+        if times := take((longest, capacity - longest), capacity * sum(counts.values())):
+            out.append(((longest, capacity - longest), times))
+    best_fit(range(capacity, short, -1))
+    for size in range(1, parts + 1):
+        for gap in sorted(g for g in bins if g):
+            open_, bins[gap] = bins[gap], []
+            for pattern, times in open_:
+                for combo in sums(gap, size, gap):
+                    if m := take(combo, times):
+                        out.append(((*pattern, *combo), m))
+                        times -= m
+                        if not times:
                             break
-                if not left[longest]:
-                    break
-    bins: dict[int, list[list]] = {}  # by gap: [pattern, how often]
-    for k in range(capacity, 0, -1):
-        n = left[k]
-        while n:
-            gap = next((g for g in range(k, capacity) if bins.get(g)), None)
-            if gap is None:
-                each = capacity // k
-                for size, times in ((each, n // each), (n % each, 1)):
-                    if size and times:
-                        bins.setdefault(capacity - size * k, []).append([(k,) * size, times])
-                break
-            pattern, times = bins[gap].pop()
-            m = min(n, times)
-            if times > m:
-                bins[gap].append([pattern, times - m])
-            bins.setdefault(gap - k, []).append([(*pattern, k), m])
-            n -= m
+                if times:
+                    bins[gap].append((pattern, times))
+    best_fit(range(short, 0, -1))
     return out + [(p, t) for found in bins.values() for p, t in found]
 
 
@@ -156,16 +169,18 @@ def pack(parts: DataFrame, order: list[str], capacity: int = 1024) -> DataFrame:
 
     `parts` is read twice, so it should be a written table.  Ranks are counted by length and salt (a hash of `order`),
     so that a length which many pieces share is no single task's; the counts that reach the driver are at most
-    capacity * SALTS.  Rows equal in `order` may swap places.  An empty frame gives an empty result.
+    capacity * SALTS.  Rows equal in `order` may swap places.  An empty frame gives an empty result.  Columns named
+    sequence_id or offset are replaced, all others are kept.
     """
-    spark = parts.sparkSession
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect()
+    spark, names = parts.sparkSession, [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")
+    salted = parts.select(F.struct(*names).alias("row"), F.col("length").cast("long").alias("size"), salt.alias("salt"), F.struct(*order).alias("ties"))
+    counts = salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).collect()
     total: dict[int, int] = {}
-    offsets = []
-    for r in sorted(counts):
-        offsets.append((r["length"], r["_salt"], total.get(r["length"], 0)))
-        total[r["length"]] = total.get(r["length"], 0) + r["n"]
+    before = []
+    for k, at, n in sorted(map(tuple, counts)):
+        before.append((k, at, total.get(k, 0)))
+        total[k] = total.get(k, 0) + n
     taken: dict[int, int] = dict.fromkeys(total, 0)
     places, base = [], 0
     for pattern, times in plan(total, capacity):
@@ -176,12 +191,12 @@ def pack(parts: DataFrame, order: list[str], capacity: int = 1024) -> DataFrame:
             at += k
         base += times
     # Both tables are bounded by the capacity and the salts, not by the data.
-    offsets = spark.createDataFrame(offsets, "length long, _salt int, _before long")
-    places = spark.createDataFrame(places, "_length long, _from long, _to long, _base long, offset long")
-    ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
-    ranked = ranked.join(F.broadcast(offsets), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
-    found = ranked.join(F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return found.withColumn("sequence_id", F.col("_base") + F.col("_rank") - F.col("_from")).select(*parts.columns, "sequence_id", "offset")
+    before = spark.createDataFrame(before, "size long, salt int, before long")
+    places = spark.createDataFrame(places, "k long, low long, high long, base long, offset long")
+    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("size", "salt").orderBy("ties")))
+    ranked = ranked.join(F.broadcast(before), ["size", "salt"]).withColumn("rank", F.col("before") + F.col("r") - 1)
+    found = ranked.join(F.broadcast(places), (F.col("size") == F.col("k")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    return found.select("row.*", (F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
 
 
 def assemble(packed: DataFrame) -> DataFrame:
