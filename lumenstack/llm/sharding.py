@@ -6,7 +6,7 @@ shard exceeds `ceil((1 + epsilon) * rows / shards)`; at `epsilon=0` the bounds a
 counts are at most one apart.
 
 All keys of one tick see the shards in the same order, so the walk needs only the number of keys on each tick: at most
-`ticks` numbers reach the driver, whatever the input.  Rows find their shard by their rank within the tick.  The text
+`ticks` numbers by salt reach the driver, whatever the input.  Rows find their shard by their rank within the tick.  The text
 itself is never shuffled; its size and checksum are.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
+SALTS = 16
+
 
 def _point(label: str) -> int:
     return int.from_bytes(hashlib.blake2b(label.encode(), digest_size=8).digest(), "big")
@@ -81,17 +83,26 @@ def shard(df: DataFrame, key: str, order: list[Column], ring: Ring, epsilon: flo
     """`df` with `shard` and `slot`, gapless from 0 in each shard.
 
     `key` decides the place on the ring, `order` breaks ties within a tick; rows equal in both are interchangeable.  A
-    null key has a place as any other value.  An empty frame gives an empty result.  Keys are expected to be nearly
-    unique, since one key's rows are ranked in one task.
+    null key has a place as any other value.  An empty frame gives an empty result.  Columns of `df` named shard or slot
+    are replaced, all others are kept.  Rows are ranked by tick and salt (a hash of key and order), so that one key with
+    many rows is ranked in as many tasks as there are salts; only rows equal in key and order stay together.
     """
-    spark = df.sparkSession
-    placed = df.withColumn("_tick", ring.tick(F.col(key)))
-    counts = {r["_tick"]: r["n"] for r in placed.groupBy("_tick").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ring.ticks rows
-    plan = spark.createDataFrame(ring.assign(counts, epsilon), "_tick int, _from long, _to long, shard int, _slot long")
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_tick").orderBy(F.xxhash64(key), F.col(key), *order)).cast("long") - 1)
-    # The plan has at most ring.ticks + shards * vnodes rows: bounded by parameters, not by data.
-    found = ranked.join(F.broadcast(plan), (ranked["_tick"] == plan["_tick"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return found.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from")).select(*df.columns, "shard", "slot")
+    spark, names = df.sparkSession, [c for c in df.columns if c not in ("shard", "slot")]
+    ties = [F.col(key), *order]
+    salt = F.pmod(F.xxhash64(*ties, F.lit("salt")), F.lit(SALTS)).cast("int")
+    placed = df.select(F.struct(*names).alias("row"), ring.tick(F.col(key)).alias("tick"), salt.alias("salt"), F.struct(F.xxhash64(key).alias("h"), *[c.alias(f"o{i}") for i, c in enumerate(ties)]).alias("ties"))
+    counts: dict[int, int] = {}
+    before = []
+    for t, k, n in sorted(map(tuple, placed.groupBy("tick", "salt").agg(F.count(F.lit(1)).alias("n")).collect())):  # at most ring.ticks * SALTS rows
+        before.append((t, k, counts.get(t, 0)))
+        counts[t] = counts.get(t, 0) + n
+    # Both tables are bounded by parameters, not by data: ticks * SALTS, and ticks + shards * vnodes rows.
+    before = spark.createDataFrame(before, "tick int, salt int, before long")
+    plan = spark.createDataFrame(ring.assign(counts, epsilon), "at int, low long, high long, shard int, first long")
+    ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy("tick", "salt").orderBy("ties")))
+    ranked = ranked.join(F.broadcast(before), ["tick", "salt"]).withColumn("rank", F.col("before") + F.col("r") - 1)
+    found = ranked.join(F.broadcast(plan), (F.col("tick") == F.col("at")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    return found.select("row.*", "shard", (F.col("first") + F.col("rank") - F.col("low")).alias("slot"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
