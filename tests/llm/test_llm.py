@@ -67,6 +67,45 @@ def test_sharding_moves_little():
     assert max(Counter(b.values()).values()) <= 1.25 * len(b) / 11 + 2
 
 
+def test_sharding_query(spark):
+    """The query's rows against one key after another: sizes, checksums, counts, slots and the places on the ring."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    text = lambda r: (r["text"] or "").encode()
+    rows = sharding.op1_sharding(spark, SF).collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == sorted((r["doc_id"], len(text(r)) + 16, zlib.crc32(text(r))) for r in docs)
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+    by = Counter(r["shard"] for r in rows)
+    assert set(by) == set(range(40)) and max(by.values()) - min(by.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(by[s])) for s in by)
+    ring, F = sharding.Ring(40), chat_format.F
+    ids = spark.createDataFrame([(r["doc_id"],) for r in docs], "k long").select("k", ring.tick(F.col("k")).alias("t")).collect()
+    room = [len(docs) // 40 + (s < len(docs) % 40) for s in range(40)]
+    nodes, want = ring.nodes(), Counter()
+    ticks = Counter(r["t"] for r in ids)
+    for t in sorted(ticks, key=lambda t: sharding._point(f"tick {t}")):
+        for _ in range(ticks[t]):
+            s = next(s for s in [s for p, s in nodes if p >= t] + [s for p, s in nodes if p < t] if room[s])
+            room[s] -= 1
+            want[t, s] += 1
+    at = {r["k"]: r["t"] for r in ids}
+    assert Counter((at[r["doc_id"]], r["shard"]) for r in rows) == want
+
+
+def test_sharding_hot_key_and_clashing_names(spark):
+    F = chat_format.F
+    n = 600
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 5 > 0, F.col("id")).alias("doc_id"), F.col("id").alias("size"), *[F.lit("mine").alias(c) for c in ("shard", "slot", "rank", "tick", "salt", "row", "before", "at", "r", "_slot", "_tick")])
+    out = sharding.shard(df, "doc_id", [F.col("size")], sharding.Ring(7, 8, 64))
+    assert out.columns == ["doc_id", "size", "rank", "tick", "salt", "row", "before", "at", "r", "_slot", "_tick", "shard", "slot"]
+    rows = out.collect()
+    assert sorted(r["size"] for r in rows) == list(range(n)) and all(r["rank"] == r["_tick"] == "mine" for r in rows)
+    by = Counter(r["shard"] for r in rows)
+    assert max(by.values()) - min(by.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(by[s])) for s in by)
+    long = docs_of(spark, ["x" * 3_000_000, None, "é" * 100])
+    assert len(sharding.shard(long, "doc_id", [], sharding.Ring(2, 4, 8)).collect()) == 3
+
+
 def test_sharding_odd(spark):
     rows = [(None, "a"), (None, "a"), (1, None), (1, None), (2, "")]
     out = sharding.shard(spark.createDataFrame(rows, "doc_id long, slot_ string"), "doc_id", [], sharding.Ring(2, 4, 8)).collect()
@@ -118,6 +157,22 @@ def test_quality_rules_brute(spark):
     assert quality_rules.keep_good(docs_of(spark, []).limit(0)).count() == 0
     order = quality_rules.order_rules(docs_of(spark, texts), quality_rules.default_rules())
     assert {r.name for r in order} == {r.name for r in quality_rules.default_rules()}
+    assert quality_rules.order_rules(docs_of(spark, []), quality_rules.default_rules()) and quality_rules.apply_rules(docs_of(spark, [])).count() == 0
+
+
+def test_rules_are_ordered_by_measured_cost(spark):
+    """Of rules that reject alike the slow one goes last, wherever it is listed; one that rejects more goes before one as fast."""
+    F = chat_format.F
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(300)) for i in range(400)]
+    slow = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(150)), x.text, lambda a, _: F.concat(F.sha2(a, 256), x.text)).like("a%")
+    rules = [quality_rules.Rule("slow", lambda x: slow(x) | x.text.contains("w5")), quality_rules.Rule("fast", lambda x: x.text.contains("w5")), quality_rules.Rule("rare", lambda x: x.text.contains("none of them"))]
+    costs, seen = quality_rules.measure_rules(docs_of(spark, texts), rules)
+    assert costs[0] > 3 * costs[1] and sum(seen.values()) == len(texts)
+    for shuffled in (rules, rules[::-1]):
+        assert quality_rules.order_rules(docs_of(spark, texts), shuffled)[0].name == "fast"
+    # A sample holds rows of every part of the table, and about as many as asked for.
+    _, some = quality_rules.measure_rules(docs_of(spark, texts), rules[1:], 50)
+    assert 20 < sum(some.values()) < 110
 
 
 # 8
@@ -209,8 +264,8 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     texts = [*ODD, "word " * 3000, *[f"text {i} " * (i % 90) for i in range(300)]]
+    texts += ["a <|endoftext|> b", "<|endoftext|>" * 3]
     t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     df = docs_of(spark, texts)
     out = packing.pack_documents(df).toPandas()
     for i, x in enumerate(texts):
@@ -242,17 +297,62 @@ def test_packing_added_tokens(spark):
     assert got[0] == [437, 286, 2420, 220, 50256, 1306, 2]
 
 
+def test_packing_query(spark):
+    """The whole table: ids by `tokenizers` as the contract calls it, and every place in the sequences."""
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.01"
+    t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    out = packing.op5_packing(spark, sf).toPandas().sort_values(["doc_id", "piece"])
+    want = []
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()):
+        ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids), 1024), len(ids)] if len(ids) > 1024 else [0, len(ids)]
+        want += [(r["doc_id"], k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    assert list(map(tuple, out[["doc_id", "piece", "start", "length", "ids_crc32"]].to_numpy())) == want
+    o = out.sort_values(["sequence_id", "offset"])
+    assert ((o.groupby("sequence_id").length.cumsum() - o.length) == o.offset).all() and o.groupby("sequence_id").length.sum().max() <= 1024
+    # The least number that the tokens need is 962; best fit alone comes to 964.
+    assert -(-o.length.sum() // 1024) <= o.sequence_id.nunique() <= -(-o.length.sum() // 1024) + 2
+
+
+def test_packing_clashing_names(spark):
+    F = chat_format.F
+    df = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 60 + 1).alias("length"), *[F.lit("mine").alias(c) for c in ("offset", "sequence_id", "row", "size", "salt", "ties", "rank", "k", "low", "base", "before", "r", "_salt")])
+    df = df.unionByName(df)  # repeated rows
+    out = packing.pack(df, ["doc_id"], 64)
+    assert out.columns == ["doc_id", "length", "row", "size", "salt", "ties", "rank", "k", "low", "base", "before", "r", "_salt", "sequence_id", "offset"]
+    o = out.toPandas().sort_values(["sequence_id", "offset"])
+    assert len(o) == 400 and ((o.groupby("sequence_id").length.cumsum() - o.length) == o.offset).all() and o.groupby("sequence_id").length.sum().max() <= 64
+
+
 def test_plan_uses_counts():
     rng = random.Random(1)
     for _ in range(40):
         counts = {rng.randint(1, 64): rng.randint(1, 50) for _ in range(rng.randint(1, 30))}
-        plan = packing.plan(counts, 64)
-        used = Counter()
-        for pattern, n in plan:
-            assert sum(pattern) <= 64 and n > 0
-            for k in pattern:
-                used[k] += n
-        assert used == counts
+        for plan in (packing.plan(counts, 64), *[packing.plan_by(counts, 64, n, k) for n in range(4) for k in (4, 20, 32)]):
+            used = Counter()
+            for pattern, n in plan:
+                assert sum(pattern) <= 64 and n > 0
+                for k in pattern:
+                    used[k] += n
+            assert used == counts
+
+
+def test_plan_by_depth():
+    """Where only pairs or triples fill the gaps, each depth needs fewer sequences; where short pieces are scarce, none needs more."""
+    n = lambda counts, parts: sum(t for _, t in packing.plan_by(counts, 100, parts, 50))
+    assert [n({60: 30, 40: 30}, k) for k in range(4)] == [30] * 4
+    pairs, triples = {70: 20, 13: 20, 17: 20, 19: 20}, {70: 20, 5: 20, 12: 20, 13: 20, 19: 20}
+    assert n(pairs, 2) < n(pairs, 1) and n(triples, 3) < n(triples, 2) <= n(triples, 1)
+    assert (70, 17, 13) in [p for p, _ in packing.plan_by(pairs, 100, 2, 50)]
+    rng = random.Random(4)
+    for _ in range(20):
+        counts = {rng.randint(1, 99): rng.randint(1, 40) for _ in range(40)}
+        best = sum(t for _, t in packing.plan(counts, 100))
+        assert -(-sum(k * c for k, c in counts.items()) // 100) <= best <= n(counts, 0)
 
 
 # 7
@@ -562,21 +662,40 @@ def test_suffix_dedup_shared_ids(spark, settings):
 
 
 def test_suffix_levels_merge():
-    index = suffix_dedup.SuffixLevels(4)
     rng = np.random.default_rng(0)
-    seen, at = {}, 0
-    for _ in range(60):
-        rows = rng.integers(0, 4, (rng.integers(1, 40), 4), np.uint8)
-        keys = np.ascontiguousarray(rows).view("V4").ravel()
-        place = np.arange(at, at + len(rows))
-        at += len(rows)
-        got = index.add(keys, np.zeros(len(rows), np.int64), place)
-        for r, g in zip(rows, got, strict=True):
-            assert (bytes(r) in seen) == g
-            seen[bytes(r)] = 1
-        sizes = [len(k) for k, _, _ in index.levels]
-        assert len(sizes) <= max(1, math.ceil(math.log2(sum(sizes) + 1)) + 1)
-        assert all([x.tobytes() for x in k] == sorted(x.tobytes() for x in k) for k, _, _ in index.levels)
+    for scan in (3, 1 << 16):
+        index, seen = suffix_dedup.SuffixLevels(4, scan=scan), set()
+        for doc in range(60):
+            texts = [rng.integers(97, 100, rng.integers(4, 30)).astype(np.uint8).tobytes() for _ in range(rng.integers(1, 6))]
+            place = np.arange(len(texts)) * 100
+            got, _, at = index.add(texts, np.full(len(texts), doc), place)
+            windows = [t[i : i + 4] for t in texts for i in range(len(t) - 3)]
+            assert at.tolist() == [100 * k + i for k, t in enumerate(texts) for i in range(len(t) - 3)]
+            for w, g in zip(windows, got, strict=True):
+                assert (w in seen) == g
+                seen.add(w)
+            sizes = [len(x.starts) for x in index.levels]
+            assert len(sizes) <= max(1, math.ceil(math.log2(sum(sizes) + 1)) + 1) and sum(sizes) == len(seen)
+            for x in index.levels:
+                held = [x.data[i : i + 4].tobytes() for i in x.starts]
+                assert held == sorted(held) == [w.tobytes() for w in x.windows(4)]
+
+
+@pytest.mark.parametrize("settings", [suffix_dedup.Settings(), suffix_dedup.Settings(batch_windows=300, chunk_bytes=2000)])
+def test_suffix_store(spark, tmp_path, settings):
+    """Later batches meet the levels that earlier ones wrote; the outcome is that of all documents at once."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abc \n") for _ in range(n))
+    base = [some(300) for _ in range(4)]
+    texts = [some(rng.randint(0, 60)) + rng.choice(base)[rng.randint(0, 150) :] + some(rng.randint(0, 200)) + rng.choice(["", *base]) for _ in range(50)] + ODD
+    store = suffix_dedup.SuffixStore(spark, str(tmp_path / "levels"), 3)
+    df, got = docs_of(spark, texts), {}
+    for a, b in ((0, 20), (20, 25), (25, 25), (25, 60)):
+        batch = df.filter(f"doc_id >= {a} and doc_id < {b}")
+        got |= {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(batch, settings, store).collect()}
+    assert got == {i: None if texts[i] is None else b.decode("utf-8", "ignore") for i, (_, _, _, b) in brute_repeats(texts).items()}
+    live = store.levels().collect()
+    assert any(r["merged"] for r in live) and max(Counter(r["part"] for r in live).values()) <= 16
 
 
 # The pipeline
