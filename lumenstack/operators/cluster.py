@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import ship
 from .graph import connected_components, written
 
 
@@ -81,22 +82,72 @@ def kmeans(points: DataFrame, centres: DataFrame, rounds: int = 50, tol: float =
     return spark.createDataFrame(now, centres.schema)
 
 
-def near_pairs(points: DataFrame, eps: float, dims: int = 2) -> DataFrame:
-    """(a, b, distance) of points within eps, a < b, by grid cells of side eps over the first `dims` dimensions.
+def near_pairs(points: DataFrame, eps: float, pivots: int = 64, block: int = 4096) -> DataFrame:
+    """(a, b, distance) of points within eps, a < b, in any number of dimensions.
 
-    A point is sent to the neighbouring cells only, so a pair is met in exactly one of them.
+    Every point has the nearest of `pivots` points for its home.  A point x within eps of one at home with q has
+    d(x, q) - d(x, home of x) <= 2 eps by the triangle inequality, so x visits only the homes of greater number for which
+    that holds, and each pair is met once.  Members and visitors of a home are dealt into blocks by hash, whose pairs are
+    matrix products; only hits leave them.  Pivots are a hash sample of bounded size; they decide the work, not the result.
+    Ids are expected to be unique, points without coordinates have no neighbours.
     """
-    cell = F.array(*[F.floor(F.element_at("x", i + 1) / eps) for i in range(dims)])
-    p = points.select("id", "x", cell.alias("cell"))
-    shifts = np.stack(np.meshgrid(*[[-1, 0, 1]] * dims, indexing="ij"), -1).reshape(-1, dims).tolist()
-    near = p.select(F.col("id").alias("b"), F.col("x").alias("_y"), F.explode(F.array(*[F.array(*[F.element_at("cell", i + 1) + F.lit(s[i]) for i in range(dims)]) for s in shifts])).alias("cell"))
-    d = minkowski(F.col("x"), F.col("_y"))
-    return p.join(near, "cell").filter(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", d.alias("distance")).filter(F.col("distance") <= eps)
-
-
-def dbscan(points: DataFrame, eps: float, min_points: int, dims: int = 2) -> DataFrame:
+    spark = points.sparkSession
+    p = points.filter(F.col("x").isNotNull()).select("id", "x")
+    centre = [np.asarray(r["x"], float) for r in p.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
+    if not centre:
+        return spark.createDataFrame([], "a long, b long, distance double")
+    centre = np.stack(centre)
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            if len(g):
+                x = np.stack(g["x"].to_numpy()).astype(float)
+                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (centre**2).sum(1) - 2 * x @ centre.T, 0))
+                home = d.argmin(1)
+                near = (d - d.min(1)[:, None] <= 2 * eps + 1e-6 * (1 + d)) & (np.arange(len(centre)) > home[:, None])
+                yield g.assign(home=home, visits=[np.flatnonzero(v).tolist() for v in near])
+
+    kind = dict(points.dtypes)["id"]
+    ship(spark)
+    placed = written(p.mapInPandas(homes, f"id {kind}, x array<double>, home int, visits array<int>"), "homes")
+    both = placed.select("id", "x", F.col("home").alias("cell"), F.lit(False).alias("guest")).unionByName(placed.select("id", "x", F.explode("visits").alias("cell"), F.lit(True).alias("guest")))
+    count = {(r["cell"], r["guest"]): r["n"] for r in both.groupBy("cell", "guest").agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 * pivots rows
+    blocks = [(c, g, -(-n // block), -(-count.get((c, False), 0) // block), -(-count.get((c, True), 0) // block)) for (c, g), n in count.items()]
+    sizes = F.broadcast(spark.createDataFrame(blocks, "cell int, guest boolean, own int, homes int, guests int"))
+    mine = both.join(sizes, ["cell", "guest"]).withColumn("k", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
+    # Block pairs (i, j): of members, i <= j; of members and visitors, j counted on from the members' blocks.
+    up = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), F.col("k").alias("j")))
+    on = F.transform(F.filter(F.sequence(F.col("k"), F.col("homes") + F.col("guests")), lambda j: (j > F.col("k")) & (j < F.col("homes") + F.col("guests"))), lambda j: F.struct(F.col("k").alias("i"), j.alias("j")))
+    met = F.transform(F.filter(F.sequence(F.lit(0), F.col("homes")), lambda i: i < F.col("homes")), lambda i: F.struct(i.alias("i"), (F.col("homes") + F.col("k")).alias("j")))
+    tasks = mine.select("cell", F.explode(F.when(F.col("guest"), met).otherwise(F.concat(up, on))).alias("o"), F.when(F.col("guest"), F.col("homes") + F.col("k")).otherwise(F.col("k")).alias("at"), "id", "x")
+
+    def pairs(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        at, ids, x = g["at"].to_numpy(), g["id"].to_numpy(), np.stack(g["x"].to_numpy()).astype(float)
+        one, two = np.flatnonzero(at == key[1]), np.flatnonzero(at == key[2])
+        found = []
+        square = (x**2).sum(1)
+        for k in range(0, len(one), 1024):
+            i = one[k : k + 1024]
+            d2 = square[i][:, None] + square[two] - 2 * x[i] @ x[two].T
+            r, c = np.nonzero(d2 <= eps * eps + 1e-6 * (1 + square[i][:, None]))
+            r, c = i[r], two[c]
+            if key[1] == key[2]:
+                r, c = r[r < c], c[r < c]
+            for m in range(0, len(r), 1 << 16):
+                a, b = r[m : m + (1 << 16)], c[m : m + (1 << 16)]
+                d = np.sqrt(((x[a] - x[b]) ** 2).sum(1))
+                hit = d <= eps
+                found.append((np.minimum(ids[a], ids[b])[hit], np.maximum(ids[a], ids[b])[hit], d[hit]))
+        columns = [np.concatenate(v) for v in zip(*found, strict=True)] if found else [[]] * 3
+        return pd.DataFrame(dict(zip("a b distance".split(), columns, strict=True)))
+
+    return tasks.groupBy("cell", F.col("o.i").alias("i"), F.col("o.j").alias("j")).applyInPandas(pairs, f"a {kind}, b {kind}, distance double")
+
+
+def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     """(id, label): -1 is noise; a cluster is named by its least core id, and a border point joins the least near it."""
-    pairs = written(near_pairs(points, eps, dims), "pairs")
+    pairs = written(near_pairs(points, eps), "pairs")
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     core = written(points.select(F.col("id").alias("a")).unionByName(both.select("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_points).select("a"), "core")
     inner = pairs.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")

@@ -81,6 +81,20 @@ def test_clusters(spark):
     assert cluster.assign(p.filter("id < 120"), m).select("label").distinct().count() == 3
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_near_pairs_brute(spark, block):
+    rng = np.random.default_rng(6)
+    for dims, eps in ((1, 0.05), (2, 0.4), (24, 4.0)):
+        x = np.vstack([rng.normal(c, 0.7, (60, dims)) for c in (0, 3)])
+        x[30:40] = x[3]
+        ids = rng.permutation(1000)[: len(x)]
+        p = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)] + [(5000, None)], "id long, x array<double>")
+        got = {(r["a"], r["b"]): r["distance"] for r in cluster.near_pairs(p, eps, 9, block).collect()}
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        assert got == pytest.approx({(min(ids[i], ids[j]), max(ids[i], ids[j])): d[i, j] for i in range(len(x)) for j in range(i) if d[i, j] <= eps}) and got
+    assert cluster.near_pairs(p.limit(0), 1.0).count() == 0
+
+
 def test_linalg(spark):
     rng = np.random.default_rng(3)
     s = np.stack([rng.uniform(-1, 1, 2000), np.sign(rng.normal(size=2000)) * rng.uniform(0.5, 1, 2000)], 1)
