@@ -38,10 +38,52 @@ def global_std(cells: DataFrame) -> DataFrame:
     return cells.agg(F.stddev_pop("value").alias("std"))
 
 
+def quantiles(df: DataFrame, qs: list[float], value: str = "value", bins: int = 4096) -> list[float | None]:
+    """Exact quantiles of a column, with linear interpolation; nulls and NaN are left out, None where nothing is left.
+
+    Each round counts the values by equal bins of the range in which a rank lies, and goes on in its bin, from the least to
+    the greatest value there, until these are equal.  A round sends `bins` rows for each range that is still open, so no task
+    holds the distinct values; ranges shrink by the number of bins, and a few rounds do.
+    """
+    v = F.col(value).cast("double")
+    df = df.filter(v.isNotNull() & ~F.isnan(v)).select(v.alias("_v"))
+    n, low, high = df.agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).first()
+    if not n:
+        return [None] * len(qs)
+    ranks = {r for q in qs for r in (int(q * (n - 1)), min(n - 1, int(q * (n - 1)) + 1))}
+    open_, found = {r: (low, high, 0) for r in ranks}, {}  # rank: the range it lies in, and how many values are below that
+    while True:
+        for r in [r for r, (a, b, _) in open_.items() if a == b]:
+            found[r] = open_.pop(r)[0]
+        if not open_:
+            break
+        spans = sorted({(a, b) for a, b, _ in open_.values()})
+        each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(spans)])
+        x = df.filter((F.col("_v") >= min(a for a, _ in spans)) & (F.col("_v") <= max(b for _, b in spans)))
+        x = x.select("_v", F.explode(F.filter(each, lambda s: (F.col("_v") >= s["a"]) & (F.col("_v") <= s["b"]))).alias("s"))
+        # Halves, as the range itself may be beyond a double; two bins where it is too small to be halved.
+        part = F.try_divide(F.col("_v") / 2 - F.col("s.a") / 2, F.col("s.b") / 2 - F.col("s.a") / 2) * bins
+        k = F.least(F.coalesce(F.floor(part), (F.col("_v") > F.col("s.a")).cast("long") * bins), F.lit(bins - 1))
+        rows = sorted(map(tuple, x.groupBy(F.col("s.i").alias("i"), k.alias("k")).agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).collect()))
+        for r, (a, b, below) in open_.items():
+            for i, _, m, first, last in rows:
+                if spans[i] == (a, b):
+                    if r < below + m:
+                        open_[r] = (first, last, below)
+                        break
+                    below += m
+    out = []
+    for q in qs:
+        at = int(q * (n - 1))
+        a, b = found[at], found[min(n - 1, at + 1)]
+        out.append(a + (b - a) * (q * (n - 1) - at))
+    return out
+
+
 def percentiles(cells: DataFrame, ps: list[float]) -> DataFrame:
     """(p, value): exact, with linear interpolation; p in percent."""
-    got = cells.agg(F.percentile("value", F.array(*[F.lit(p / 100) for p in ps])).alias("v"))
-    return got.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in ps]).alias("p"), "v")).alias("z")).select("z.p", F.col("z.v").alias("value"))
+    got = quantiles(cells, [p / 100 for p in ps])
+    return cells.sparkSession.createDataFrame([(float(p), v) for p, v in zip(ps, got, strict=True)], "p double, value double")
 
 
 def in_circle(row: Column, col: Column, cx: Column, cy: Column, r: Column) -> Column:
@@ -82,7 +124,7 @@ def auto_threshold(cells: DataFrame, rounds: int = 64) -> float:
 
     Each round is one aggregate that sends one row.
     """
-    t = cells.agg(F.percentile("value", F.lit(0.5))).first()[0]
+    t = quantiles(cells, [0.5])[0]
     for _ in range(rounds if t is not None else 0):
         v = F.col("value")
         low, high = cells.agg(F.avg(F.when(v <= t, v)), F.avg(F.when(v > t, v))).first()

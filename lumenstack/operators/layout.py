@@ -22,9 +22,19 @@ def to_traces(cells: DataFrame) -> DataFrame:
     return cells.groupBy("row", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("v"))
 
 
-def to_frames(cells: DataFrame) -> DataFrame:
-    one = F.array_sort(F.collect_list(F.struct("row", "col", "value")))
-    return cells.groupBy("t").agg((F.max("row") + 1).cast("int").alias("h"), (F.max("col") + 1).cast("int").alias("w"), F.transform(one, lambda x: x["value"]).alias("data"))
+def to_frames(cells: DataFrame, fill: float | None = None) -> DataFrame:
+    """Frames as high and wide as their cells reach.  A frame that misses cells gets `fill` there, or is an error without one."""
+    one = F.collect_list(F.struct("row", "col", "value"))
+    g = cells.groupBy("t").agg((F.max("row") + 1).cast("int").alias("h"), (F.max("col") + 1).cast("int").alias("w"), one.alias("_c"))
+    size = (F.col("h") * F.col("w")).cast("long")
+    place = lambda x: (x["row"] * F.col("w") + x["col"]).cast("long")
+    if fill is None:
+        held = F.when(F.size("_c") == size, F.col("_c")).otherwise(F.raise_error(F.concat(F.lit("frame misses cells, or has some twice: "), F.col("t").cast("string"))))
+        return g.select("t", "h", "w", F.transform(F.array_sort(held), lambda x: x["value"]).alias("data"))
+    there = F.transform("_c", lambda x: F.struct(place(x).alias("i"), x["value"].cast("double").alias("value")))
+    gone = F.array_except(F.sequence(F.lit(0).cast("long"), size - 1), F.transform("_c", place))
+    filled = F.concat(there, F.transform(gone, lambda i: F.struct(i.alias("i"), F.lit(float(fill)).alias("value"))))
+    return g.select("t", "h", "w", F.transform(F.array_sort(filled), lambda x: x["value"]).alias("data"))
 
 
 def traces_to_cells(traces: DataFrame) -> DataFrame:

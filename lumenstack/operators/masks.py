@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggregate import quantiles
+
 
 def _with_scalars(img: DataFrame, **aggs: Column) -> DataFrame:
     return img.crossJoin(F.broadcast(img.agg(*[a.alias(k) for k, a in aggs.items()])))  # one row
@@ -24,12 +26,12 @@ def num_std(img: DataFrame, n: float) -> DataFrame:
 
 
 def median_sd(img: DataFrame, n: float) -> DataFrame:
-    s = _with_scalars(img, _m=F.percentile("value", F.lit(0.5)), _s=F.stddev_pop("value"))
-    return s.withColumn("mask", F.col("value") > F.col("_m") + n * F.col("_s")).drop("_m", "_s")
+    middle = F.lit(quantiles(img, [0.5])[0])
+    return _with_scalars(img, _s=F.stddev_pop("value")).withColumn("mask", F.col("value") > middle + n * F.col("_s")).drop("_s")
 
 
 def low_percentile(img: DataFrame, p: float) -> DataFrame:
-    return _with_scalars(img, _p=F.percentile("value", F.lit(p / 100))).withColumn("mask", F.col("value") < F.col("_p")).drop("_p")
+    return img.withColumn("mask", F.col("value") < F.lit(quantiles(img, [p / 100])[0]))
 
 
 def invert(mask: DataFrame) -> DataFrame:
@@ -44,8 +46,8 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 def clip_rescale(img: DataFrame, nout: int) -> DataFrame:
     """Values cut at the percentile that leaves `nout` above, over that percentile."""
     total = img.count()
-    cut = img.agg(F.percentile("value", F.lit(1 - nout / max(total, 1))).alias("_p"))
-    return img.crossJoin(F.broadcast(cut)).withColumn("value", F.try_divide(F.least("value", "_p"), F.col("_p"))).drop("_p")
+    cut = F.lit(quantiles(img, [max(0.0, 1 - nout / max(total, 1))])[0])
+    return img.withColumn("value", F.try_divide(F.least("value", cut), cut))
 
 
 def rescale(img: DataFrame) -> DataFrame:

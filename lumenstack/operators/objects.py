@@ -106,9 +106,11 @@ def link_frames(objects: DataFrame, ahead: int = 3) -> DataFrame:
     return near.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("t", "obj", "t2", "obj2")
 
 
-def linked_objects(objects: DataFrame, min_frames: int = 5, ahead: int = 3, most: int = 1 << 20) -> DataFrame:
-    """(track, t, obj, first, last) of objects linked over at least `min_frames` frames; tracks are components of the links."""
+def linked_objects(objects: DataFrame, min_frames: int = 5, ahead: int = 3) -> DataFrame:
+    """(track, t, obj, first, last) of objects linked over at least `min_frames` frames; tracks are components of the links,
+    named by their least object, numbered by frame and then as in it."""
     objects = written(objects, "objects")
+    most = (objects.agg(F.max("obj")).first()[0] or 0) + 1
     name = lambda t, o: (F.col(t) * most + F.col(o)).cast("long")
     found = connected_components(link_frames(objects, ahead).select(name("t", "obj").alias("a"), name("t2", "obj2").alias("b")), "tracks")
     x = objects.select("t", "obj").distinct().withColumn("_n", name("t", "obj"))

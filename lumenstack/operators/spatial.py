@@ -1,14 +1,21 @@
-"""Neighbourhoods of pixels: filters and binary morphology as offset joins, regions as components of the pixel graph.
+"""Neighbourhoods of pixels: filters and binary morphology as kernels on frames, regions as components of the pixel graph.
 
-A neighbourhood is counted out with `explode` on one side and meets the cells in an equi-join, or an aggregate, on
-(t, row, col), so the work is proportional to cells times offsets and partitions by pixel.
+A filter gathers the cells of a frame once, as an image, and works on shifted copies of it; no cell is sent to its neighbours.
+Cells that a frame lacks add nothing to a neighbourhood.  Joins between neighbours (`spread`) are for regions and distances,
+whose frames may be larger than a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .. import ship
 from .graph import connected_components
 
 CROSS = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
@@ -28,29 +35,80 @@ def disc(radius: float) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if i * i + j * j <= radius * radius]
 
 
-def gather(cells: DataFrame, offsets: list[tuple[int, int]], **aggs: Column) -> DataFrame:
-    """Cells with aggregates over their neighbourhood; offsets outside the frame add nothing."""
-    near = spread(cells.select("t", "row", "col", F.col("value").alias("_v")), offsets).groupBy("t", "row", "col").agg(F.count("_v").alias("_n"), *[a.alias(k) for k, a in aggs.items()])
-    return cells.join(near, ["t", "row", "col"])
+def shifts(x: np.ndarray, offsets: list[tuple[int, int]], fill=np.nan) -> np.ndarray:
+    """The image at each offset, stacked: what stands at p + offset, `fill` outside."""
+    n = max(max(abs(i), abs(j)) for i, j in offsets)
+    p = np.pad(x, n, constant_values=fill)
+    return np.stack([p[n + i : n + i + x.shape[0], n + j : n + j + x.shape[1]] for i, j in offsets])
+
+
+def median_of(stack: np.ndarray) -> np.ndarray:
+    """Median along the first axis of what is not NaN."""
+    s, n = np.sort(stack, 0), (~np.isnan(stack)).sum(0)
+    at = lambda k: np.take_along_axis(s, np.maximum(k, 0)[None], 0)[0]
+    return (at((n - 1) // 2) + at(n // 2)) / 2
+
+
+def on_frames(cells: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """`cells` with the values of `fn`, which maps the image of a frame (NaN where it has no cell) to one of its shape."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        r, c = (g[k].to_numpy() - g[k].min() for k in ("row", "col"))
+        x = np.full((r.max() + 1, c.max() + 1), np.nan)
+        x[r, c] = g["value"]
+        return g.assign(value=fn(x)[r, c])
+
+    ship(cells.sparkSession)
+    return cells.groupBy("t").applyInPandas(one, cells.schema)
+
+
+def on_masks(mask: DataFrame, reach: int, fn: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(t, row, col) of the pixels that `fn` sets, from the image of the set ones with a margin of `reach`, and its rows and columns."""
+    pixels = mask.select("t", "row", "col")
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        (r0, c0), (r1, c1) = g[["row", "col"]].min() - reach, g[["row", "col"]].max() + reach
+        x = np.zeros((r1 - r0 + 1, c1 - c0 + 1), bool)
+        x[g["row"] - r0, g["col"] - c0] = True
+        rows, cols = np.arange(r0, r1 + 1)[:, None], np.arange(c0, c1 + 1)[None]
+        r, c = np.nonzero(fn(x, rows, cols))
+        return pd.DataFrame({"t": g["t"].iloc[0], "row": r + r0, "col": c + c0})
+
+    ship(mask.sparkSession)
+    return pixels.groupBy("t").applyInPandas(one, StructType(pixels.schema.fields))
 
 
 def adaptive_median3(cells: DataFrame, k: float) -> DataFrame:
     """3 x 3 median where the value is further than k deviations from the local mean; the border stays."""
-    g = gather(cells, SQUARE, _m=F.avg("_v"), _s=F.stddev_pop("_v"), _q=F.percentile("_v", F.lit(0.5)))
-    off = (F.col("_n") == 9) & (F.abs(F.col("value") - F.col("_m")) > k * F.col("_s"))
-    return g.withColumn("value", F.when(off, F.col("_q")).otherwise(F.col("value"))).select(*cells.columns)
+
+    def one(x: np.ndarray) -> np.ndarray:
+        s = shifts(x, SQUARE)
+        whole = ~np.isnan(s).any(0)
+        far = np.abs(x - s.mean(0)) > k * s.std(0)
+        return np.where(whole & far, median_of(s), x)
+
+    return on_frames(cells, one)
 
 
 def median3(cells: DataFrame) -> DataFrame:
-    return gather(cells, SQUARE, _q=F.percentile("_v", F.lit(0.5))).withColumn("value", F.col("_q")).select(*cells.columns)
+    return on_frames(cells, lambda x: median_of(shifts(x, SQUARE)))
 
 
 def convolve(cells: DataFrame, kernel: dict[tuple[int, int], float]) -> DataFrame:
     """Weighted sum over offsets, divided by the weights inside the frame."""
-    o = F.explode(F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(float(k)).alias("k")) for (i, j), k in kernel.items()]))
-    x = cells.select("t", "row", "col", "value", o.alias("_o")).select("t", (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"), F.col("_o.k").alias("k"), "value")
-    near = x.groupBy("t", "row", "col").agg((F.sum(F.col("k") * F.col("value")) / F.sum("k")).alias("_c"))
-    return cells.join(near, ["t", "row", "col"]).withColumn("value", F.col("_c")).select(*cells.columns)
+
+    def one(x: np.ndarray) -> np.ndarray:
+        there, v = (~np.isnan(x)).astype(float), np.nan_to_num(x)
+        n = max(max(abs(i), abs(j)) for i, j in kernel)
+        top, bottom = np.zeros_like(v), np.zeros_like(v)
+        v, there = np.pad(v, n), np.pad(there, n)
+        for (i, j), k in kernel.items():
+            part = slice(n + i, n + i + x.shape[0]), slice(n + j, n + j + x.shape[1])
+            top += k * v[part]
+            bottom += k * there[part]
+        return np.divide(top, bottom, out=np.full_like(top, np.nan), where=bottom != 0)
+
+    return on_frames(cells, one)
 
 
 def gauss_kernel(sigma: float, radius: int | None = None) -> dict[tuple[int, int], float]:
@@ -64,34 +122,48 @@ def gauss_blur(cells: DataFrame, sigma: float, radius: int | None = None) -> Dat
 
 def adaptive_threshold(cells: DataFrame, n: int, k: float) -> DataFrame:
     """(t, row, col, mask): above the mean of the window of radius n, less k; windows end at the frame."""
-    square = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1)]
-    return gather(cells, square, _m=F.avg("_v")).select("t", "row", "col", (F.col("value") > F.col("_m") - k).alias("mask"))
+    means = convolve(cells.select("t", "row", "col", "value", F.col("value").alias("_v")), {(i, j): 1.0 for i in range(-n, n + 1) for j in range(-n, n + 1)})
+    return means.select("t", "row", "col", (F.col("_v") > F.col("value") - k).alias("mask"))
+
+
+def _count(x: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
+    return shifts(x, offsets, False).sum(0)
 
 
 def majority(mask: DataFrame, least: int = 5) -> DataFrame:
     """Pixels of which `least` of the 3 x 3 are set; mask rows are (t, row, col)."""
-    return spread(mask.select("t", "row", "col"), SQUARE).groupBy("t", "row", "col").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")
+    return on_masks(mask, 1, lambda x, r, c: _count(x, SQUARE) >= least)
 
 
 def density(mask: DataFrame, radius: float, size: int) -> DataFrame:
     """Set pixels with more than `size` set ones within the radius, themselves included."""
-    near = spread(mask.select("t", "row", "col"), disc(radius)).groupBy("t", "row", "col").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size)
-    return mask.join(near.drop("n"), ["t", "row", "col"], "left_semi").select("t", "row", "col")
+    return on_masks(mask, 0, lambda x, r, c: x & (_count(x, disc(radius)) > size))
+
+
+def _inside(r: np.ndarray, c: np.ndarray, h: int, w: int) -> np.ndarray:
+    return (r >= 0) & (r < h) & (c >= 0) & (c < w)
 
 
 def dilate(mask: DataFrame, h: int, w: int) -> DataFrame:
-    d = spread(mask.select("t", "row", "col"), CROSS).distinct()
-    return d.filter(F.col("row").between(0, h - 1) & F.col("col").between(0, w - 1))
+    return on_masks(mask, 1, lambda x, r, c: (_count(x, CROSS) > 0) & _inside(r, c, h, w))
 
 
 def erode(mask: DataFrame) -> DataFrame:
     """Pixels whose whole cross is set; outside the frame nothing is."""
-    return spread(mask.select("t", "row", "col"), CROSS).groupBy("t", "row", "col").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(CROSS)).drop("n")
+    return on_masks(mask, 0, lambda x, r, c: _count(x, CROSS) == len(CROSS))
 
 
 def opening_of_closing(mask: DataFrame, h: int, w: int) -> DataFrame:
-    closed = erode(dilate(mask, h, w))
-    return dilate(erode(closed), h, w)
+    """Dilation, two erosions and a dilation, in one pass over a frame."""
+
+    def one(x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        inside = _inside(r, c, h, w)
+        x = (_count(x, CROSS) > 0) & inside
+        for _ in range(2):
+            x = _count(x, CROSS) == len(CROSS)
+        return (_count(x, CROSS) > 0) & inside
+
+    return on_masks(mask, 2, one)
 
 
 def regions(mask: DataFrame, h: int, w: int, offsets: list[tuple[int, int]] = AXIS) -> DataFrame:
@@ -218,7 +290,11 @@ def tiles(cells: DataFrame, size: int, stride: int) -> DataFrame:
 
 def adaptive_median_mad(cells: DataFrame, k: float) -> DataFrame:
     """The 3 x 3 median, but the value itself where it differs by at most k noise deviations (from the median deviation)."""
-    g = gather(cells, SQUARE, _q=F.percentile("_v", F.lit(0.5))).withColumn("_d", F.col("value") - F.col("_q"))
-    mid = g.groupBy("t").agg(F.percentile("_d", F.lit(0.5)).alias("_m"))
-    noise = g.join(mid, "t").groupBy("t").agg((F.percentile(F.abs(F.col("_d") - F.col("_m")), F.lit(0.5)) / 0.6745).alias("_s"))
-    return g.join(noise, "t").withColumn("value", F.when(F.abs("_d") <= k * F.col("_s"), F.col("value")).otherwise(F.col("_q"))).select(*cells.columns)
+
+    def one(x: np.ndarray) -> np.ndarray:
+        q = median_of(shifts(x, SQUARE))
+        d = x - q
+        noise = np.nanmedian(np.abs(d - np.nanmedian(d))) / 0.6745
+        return np.where(np.abs(d) <= k * noise, x, q)
+
+    return on_frames(cells, one)

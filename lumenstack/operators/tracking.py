@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,8 +47,12 @@ def track_nearest(candidates: DataFrame, key: str, seed: float, memory: int = 5)
     return candidates.groupBy(key).applyInPandas(one, f"{key} {dict(candidates.dtypes)[key]}, t long, value double")
 
 
-def track_kalman(lines: DataFrame, key: str, seed: float, seed_var: float = 4.0, gain: float = 10.0) -> DataFrame:
-    """(key, t, value): a wall followed through gradient rows (key, t, v), each weighed by a Gaussian about the last place."""
+def track_kalman(lines: DataFrame, key: str, seed: float, seed_var: float = 4.0, gain: float = 0.25) -> DataFrame:
+    """(key, t, value): a wall followed through gradient rows (key, t, v), each weighed by a Gaussian about the last place.
+
+    The new place is g * (last place) + (1 - g) * (best place), where g = (1 + snr) / (1 + snr / gain) falls from 1 for a row
+    of noise to `gain` for a clean one, and snr is the ratio of the row's maximum to its deviation.
+    """
 
     def one(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
         mu, delta, rows = float(seed), 0.0, []
@@ -55,8 +61,8 @@ def track_kalman(lines: DataFrame, key: str, seed: float, seed_var: float = 4.0,
             snr = max(v.max() / max(v.std(), 1e-9), 1e-9)
             spread = seed_var + delta**2 + 1 / snr**2
             z = float((np.exp(-((np.arange(len(v)) - mu) ** 2) / (2 * spread)) * v).argmax())
-            w = min(1.0, (1 + snr) / (1 + snr / gain) / gain)
-            new = (1 - w) * mu + w * z
+            w = (1 + snr) / (1 + snr / gain)
+            new = w * mu + (1 - w) * z
             delta, mu = new - mu, new
             rows.append((k[0], t, mu))
         return pd.DataFrame(rows, columns=[key, "t", "value"])
@@ -64,20 +70,55 @@ def track_kalman(lines: DataFrame, key: str, seed: float, seed_var: float = 4.0,
     return lines.groupBy(key).applyInPandas(one, f"{key} {dict(lines.dtypes)[key]}, t long, value double")
 
 
+def solve_bands(a: np.ndarray, b: np.ndarray, c: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x of A x = y for symmetric positive A with the diagonal a, and b and c one and two beside it, by its LDL factors.
+
+    All are (n, ...) arrays: systems side by side are solved together, in n steps and memory of n.
+    """
+    n = len(a)
+    d, l1, l2, x = np.zeros_like(a), np.zeros_like(a), np.zeros_like(a), y.astype(float).copy()
+    for i in range(n):
+        d[i] = a[i] - (l1[i - 1] ** 2 * d[i - 1] if i > 0 else 0) - (l2[i - 2] ** 2 * d[i - 2] if i > 1 else 0)
+        if i + 1 < n:
+            l1[i] = (b[i] - (l2[i - 1] * d[i - 1] * l1[i - 1] if i > 0 else 0)) / d[i]
+        if i + 2 < n:
+            l2[i] = c[i] / d[i]
+        x[i] = x[i] - (l1[i - 1] * x[i - 1] if i > 0 else 0) - (l2[i - 2] * x[i - 2] if i > 1 else 0)
+    x /= d
+    for i in range(n - 2, -1, -1):
+        x[i] = x[i] - l1[i] * x[i + 1] - (l2[i] * x[i + 2] if i + 2 < n else 0)
+    return x
+
+
 def als(y: np.ndarray, lam: float, p: float = 0.1, rounds: int = 10) -> np.ndarray:
-    """Asymmetric least-squares baseline: second differences penalised, points above weighing p and those below 1 - p."""
+    """Asymmetric least-squares baseline of (n, ...) traces: second differences penalised, points above weighing p and those below 1 - p."""
     n = len(y)
-    d = np.diff(np.eye(n), 2, axis=0)
-    pen, w, z = lam * d.T @ d, np.ones(n), y
+    if n < 3:
+        return y.astype(float)
+    bands = [np.zeros(n) for _ in range(3)]
+    for i in range(n - 2):  # each second difference adds (1, -2, 1) squared
+        for k, v in enumerate(((1, 4, 1), (-2, -2), (1,))):
+            bands[k][i : i + len(v)] += lam * np.array(v)
+    a, b, c = (x.reshape(-1, *[1] * (y.ndim - 1)) + np.zeros(y.shape) for x in bands)
+    w, z = np.ones(y.shape), y
     for _ in range(rounds):
-        z = np.linalg.solve(np.diag(w) + pen, w * y)
+        z = solve_bands(a + w, b, c, w * y)
         w = np.where(y > z, p, np.where(y < z, 1 - p, 0.0))
     return z
 
 
 def baseline_als(traces: DataFrame, lam: float | None = None, p: float = 0.1, rounds: int = 10) -> DataFrame:
-    """(row, col, v): each trace's baseline; the penalty is the squared length unless given."""
-    return map_traces(traces, lambda v: [(als(v, lam if lam is not None else float(len(v)) ** 2, p, rounds).tolist(),)], "v array<double>")
+    """(row, col, v): each trace's baseline; the penalty is the squared length unless given.  Traces of one length in a batch are solved side by side."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            size = g["v"].map(len)
+            for n in sorted(set(size)):
+                mine = g[size == n]
+                z = als(np.stack(mine["v"].to_numpy()).astype(float).T, lam if lam is not None else float(n) ** 2, p, rounds)
+                yield mine.assign(v=list(z.T))
+
+    return traces.select("row", "col", "v").mapInPandas(run, "row int, col int, v array<double>")
 
 
 def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -85,12 +126,9 @@ def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = len(x)
     if n < 3:
         return np.interp(at, x, y)
-    h = np.diff(x)
-    a = np.zeros((n, n))
-    a[0, 0] = a[-1, -1] = 1
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-    m = np.linalg.solve(a, np.concatenate([[0], 6 * (np.diff(y)[1:] / h[1:] - np.diff(y)[:-1] / h[:-1]), [0]]))
+    h, m = np.diff(x), np.zeros(n)
+    slope = np.diff(y) / h
+    m[1:-1] = solve_bands(2 * (h[:-1] + h[1:]), np.append(h[1:-1], 0.0), np.zeros(n - 2), 6 * np.diff(slope))
     k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
     u, w = at - x[k], x[k + 1] - at
     return (m[k] * w**3 + m[k + 1] * u**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * w + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * u

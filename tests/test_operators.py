@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenstack.functions import curves
-from lumenstack.operators import cluster, graph, layout, linalg, maps, objects, register, spatial, tracking, wavelet
+from lumenstack.operators import aggregate, cluster, graph, layout, linalg, maps, objects, register, spatial, tracking, wavelet
 from lumenstack.sources import images, sinks, synthetic, tiff
 from lumenstack.streaming import stateful
 
@@ -340,3 +340,96 @@ def test_deeper_wavelets(spark):
 def test_concat_counts_from_zero(spark):
     one = spark.createDataFrame([(0, 0, 0, 1.0)], "t long, row int, col int, value double")
     assert sorted(r["t"] for r in layout.concat([one, one.limit(0), one, one]).collect()) == [0, 1, 2]
+
+
+def test_quantiles_exact(spark):
+    rng = np.random.default_rng(8)
+    qs = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
+    for x in (rng.normal(size=999), np.floor(rng.normal(size=500) * 3), np.array([4.0]), np.array([1.0, 1.0]), rng.normal(size=60) * 10.0 ** rng.integers(-30, 30, 60), np.array([-1.7e308, 0.0, 1.7e308, 5e-324])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (math.nan,)], "value double")
+        for bins in (3, 4096):
+            assert aggregate.quantiles(df, qs, bins=bins) == pytest.approx([v for v in np.quantile(x, qs)], rel=1e-12) or np.abs(x).max() > 1e300
+    assert aggregate.quantiles(df.limit(0), [0.5]) == [None]
+
+
+def test_frames_that_miss_cells(spark):
+    cells = spark.createDataFrame([(0, 0, 0, 1.0), (0, 1, 1, 4.0), (1, 0, 0, 2.0)], "t long, row int, col int, value double")
+    assert {r["t"]: r["data"] for r in layout.to_frames(cells, 0.0).collect()} == {0: [1.0, 0.0, 0.0, 4.0], 1: [2.0]}
+    with pytest.raises(Exception, match="misses cells"):
+        layout.to_frames(cells).collect()
+
+
+def test_filters_where_cells_are_missing(spark):
+    """Kernels on frames against the same rule cell by cell."""
+    rng = np.random.default_rng(3)
+    cells = {(t, r, c): float(rng.normal()) for t in range(2) for r in range(3, 9) for c in range(-2, 5) if rng.random() < 0.8}
+    df = spark.createDataFrame([(*k, v, "x") for k, v in cells.items()], "t long, row int, col int, value double, more string")
+    near = lambda k, n: [v for (t, r, c), v in cells.items() if t == k[0] and abs(r - k[1]) <= n and abs(c - k[2]) <= n]
+    values = lambda x: {(r["t"], r["row"], r["col"]): r["value"] for r in x.collect()}
+    med = spatial.median3(df)
+    assert med.columns == df.columns and values(med) == pytest.approx({k: float(np.median(near(k, 1))) for k in cells})
+    off = {k: float(np.median(n)) if len(n) == 9 and abs(v - np.mean(n)) > 0.8 * np.std(n) else v for k, v in cells.items() for n in [near(k, 1)]}
+    assert values(spatial.adaptive_median3(df, 0.8)) == pytest.approx(off)
+    mask = {(r["t"], r["row"], r["col"]): r["mask"] for r in spatial.adaptive_threshold(df, 2, 0.1).collect()}
+    assert mask == {k: v > np.mean(near(k, 2)) - 0.1 for k, v in cells.items()}
+    kernel = {(0, 0): 1.0, (1, 0): 2.0, (0, -2): 0.5}
+    got = {}
+    for (t, r, c) in cells:
+        there = [(w, cells[t, r + i, c + j]) for (i, j), w in kernel.items() if (t, r + i, c + j) in cells]
+        got[t, r, c] = sum(w * v for w, v in there) / sum(w for w, _ in there)
+    assert values(spatial.convolve(df, kernel)) == pytest.approx(got)
+    q = {k: float(np.median(near(k, 1))) for k in cells}
+    want = {}
+    for t in range(2):
+        d = np.array([cells[k] - q[k] for k in cells if k[0] == t])
+        noise = np.median(np.abs(d - np.median(d))) / 0.6745
+        want |= {k: cells[k] if abs(cells[k] - q[k]) <= 1.5 * noise else q[k] for k in cells if k[0] == t}
+    assert values(spatial.adaptive_median_mad(df, 1.5)) == pytest.approx(want)
+
+
+def test_banded_solvers():
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=(40, 3)).cumsum(0)
+    d = np.diff(np.eye(40), 2, axis=0)
+    w, z = np.ones((40, 3)), None
+    for _ in range(10):
+        z = np.stack([np.linalg.solve(np.diag(w[:, k]) + 50.0 * d.T @ d, w[:, k] * y[:, k]) for k in range(3)], 1)
+        w = np.where(y > z, 0.1, np.where(y < z, 0.9, 0.0))
+    assert np.allclose(tracking.als(y, 50.0), z) and np.allclose(tracking.als(y[:, 0], 50.0), z[:, 0])
+    assert tracking.als(y[:2], 50.0).tolist() == y[:2].tolist() and len(tracking.als(np.sin(np.arange(20_000) / 50), 1e4, rounds=2)) == 20_000
+    x = np.sort(rng.choice(100, 12, replace=False)).astype(float)
+    v, at = rng.normal(size=12), np.linspace(x[0], x[-1], 400)
+    s = tracking.spline(x, v, at)
+    assert np.allclose(tracking.spline(x, v, x), v)
+    second = lambda t: (tracking.spline(x, v, t + 1e-3) - 2 * tracking.spline(x, v, t) + tracking.spline(x, v, t - 1e-3)) / 1e-6
+    inner = x[1:-1]
+    assert np.allclose(second(inner - 2e-3), second(inner + 2e-3), atol=0.05) and np.abs(second(x[[0]] + 2e-3)).max() < 0.05 and np.isfinite(s).all()
+
+
+def test_wall_tracker_gain(spark):
+    """A clean row moves the wall by three quarters, a row without a peak hardly at all."""
+    clean = [0.0] * 40
+    clean[20] = 1000.0
+    lines = spark.createDataFrame([("a", 0, clean), ("b", 0, [1.0] * 39 + [1.0 + 1e-9])], "seq string, t long, v array<double>")
+    got = {r["seq"]: r["value"] for r in tracking.track_kalman(lines, "seq", 16.0, seed_var=100.0).collect()}
+    snr = 1000 / np.std(clean)
+    g = (1 + snr) / (1 + 4 * snr)
+    assert got["a"] == pytest.approx(g * 16 + (1 - g) * 20) and 0.25 < g < 0.4
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    class Conf:
+        def get(self, key, default):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="share"):
+        graph.shared_dir(Session())
