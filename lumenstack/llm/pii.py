@@ -6,16 +6,20 @@ The map is a bijection for a key, so equal values stay equal in every document a
 
     email     local part and domain but for the last label; case is kept
     ipv4      32 bits as two 16-bit halves
+    ipv6      the hexadecimal digits of its groups; colons stay
     card      13 to 19 digits that pass the Luhn check, with any separators; the new check digit is right
-    phone     digits after the country code, with any separators
+    phone     digits after the country code, with any separators; ten digits as (ddd) ddd-dddd, ddd-ddd-dddd or ddd.ddd.dddd
     iban      country kept, account permuted, check digits right
     ssn       as 9 digits, walked until the area, group and serial are valid
-    date      yyyy-mm-dd from 1900 to 2099 as a day number, walked until within the range
+    date      days from 1900 to 2099 as a number, walked until within the range; yyyy-mm-dd, yyyy/mm/dd, mm/dd/yyyy (dd/mm/yyyy
+              where only that is a day), dd.mm.yyyy, and with English months as March 3, 1985 and 3 March 1985
     secret    hexadecimal strings of 32 or more digits, and quoted values of token, secret, password and key
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,19 +32,32 @@ EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = r"(?<![\d\-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d\-])"
+IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){3}|[0-9A-Fa-f]{4}::)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:]|\.\d)"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+YEAR, MONTH, DAY = r"(?:19|20)\d{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+#: Forms of a date: what it looks like, how it is read and written, and which days of the month it has to itself.  The first
+#: that reads a match is used, and its pseudonym is a date that the same form reads.
+DATE_FORMS = [
+    (rf"{YEAR}-{MONTH}-{DAY}", "yyyy-MM-dd", (1, 31)), (rf"{YEAR}/{MONTH}/{DAY}", "yyyy/MM/dd", (1, 31)), (rf"{MONTH}/{DAY}/{YEAR}", "MM/dd/yyyy", (1, 31)), (rf"{DAY}/{MONTH}/{YEAR}", "dd/MM/yyyy", (13, 31)),
+    (rf"{DAY}\.{MONTH}\.{YEAR}", "dd.MM.yyyy", (1, 31)), (rf"(?:{MONTHS}) (?:[1-9]|[12]\d|3[01]), {YEAR}", "MMMM d, yyyy", (1, 31)), (rf"(?:{MONTHS}) 0[1-9], {YEAR}", "MMMM dd, yyyy", (1, 9)),
+    (rf"(?:[1-9]|[12]\d|3[01]) (?:{MONTHS}) {YEAR}", "d MMMM yyyy", (1, 31)), (rf"0[1-9] (?:{MONTHS}) {YEAR}", "dd MMMM yyyy", (1, 9)),
+]
+DATE = rf"(?<![\p{{L}}\d\-/.])(?:{'|'.join(p for p, _, _ in DATE_FORMS)})(?![\d\-/]|\.\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-PHONE = r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\d)"
-CARD = r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?!\d)"
+NATIONAL = r"(?<![\d\-+(.])(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\d|[\-.]\d)"
+PHONE = rf"\+\d{{1,3}}[ .\-]?\(?\d{{2,4}}\)?(?:[ .\-]?\d{{2,4}}){{2,3}}(?!\d)|{NATIONAL}"
+#: Four groups of four first, so that an expiry date or code after them is not taken for more of the number.
+CARD = r"(?<![\d.])(?:(?:\d{4} ){3}\d{4}|(?:\d{4}-){3}\d{4}|\d(?:[ \-]?\d){12,18})(?!\d)"
 HEXKEY = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])"
 NAME = r"(?i:token|secret|password|passwd|api_?key|key) ?[=:] ?[\"']"
 NAMED = rf"(?<![\p{{L}}\p{{N}}_]){NAME}[^\s\"']{{8,}}(?=[\"'])"
 #: In this order at one place; a match that fails its validation is left as it is.
-KINDS = {"email": EMAIL, "secret": f"{NAMED}|{HEXKEY}", "ipv4": IPV4, "date": DATE, "ssn": SSN, "iban": IBAN, "phone": PHONE, "card": CARD}
+KINDS = {"email": EMAIL, "secret": f"{NAMED}|{HEXKEY}", "ipv4": IPV4, "ipv6": IPV6, "date": DATE, "ssn": SSN, "iban": IBAN, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
-#: No match lacks all of these, so that a text without them is passed on after one quick look: all kinds but secrets have a
-#: digit or @, named secrets end their name so, and a hexadecimal key without digits is 32 letters.
-HINT = r"[0-9@]|(?i:token|secret|passw(?:or)?d|key) ?[=:]|[A-Fa-f]{32}"
+#: No match lacks all of these, so that a text without them is passed on after one quick look: all kinds but secrets and IPv6
+#: have a digit or @, IPv6 has two colons or a digit group between colons, named secrets end their name so, and a hexadecimal
+#: key without digits is 32 letters.
+HINT = r"[0-9@]|(?i:token|secret|passw(?:or)?d|key) ?[=:]|[A-Fa-f]{32}|:[A-Fa-f]{0,4}:"
 
 
 def _shift(x: Column, key: str, tweak: Column, other: Column, sign: int, alphabets: tuple[str, ...]) -> Column:
@@ -119,12 +136,19 @@ def mod97(x: Column) -> Column:
     return F.aggregate(F.transform(F.split(x, "", -1), value), F.lit(0), step)
 
 
+def _read_date(m: Column, pattern: str, form: str, days: tuple[int, int]) -> Column:
+    day = F.try_to_date(m, form)
+    return F.when(m.rlike(f"^(?:{pattern})$") & F.dayofmonth(day).between(*days), day)
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a match that passes its validation; null if it fails."""
     d = digits(m)
     out = F.when(m.rlike(rf"^(?:{NAME}|{HEXKEY}$)"), "secret").when(m.contains("@"), "email").when(m.rlike(rf"^(?:{IPV4})$"), "ipv4")
-    out = out.when(m.rlike(rf"^(?:{DATE})$"), F.when(F.try_to_date(m, "yyyy-MM-dd").isNotNull(), "date"))
+    out = out.when(m.rlike(rf"^(?:{IPV6})$"), "ipv6")
+    out = out.when(m.rlike(rf"^(?:{DATE})$"), F.when(F.coalesce(*[_read_date(m, *f) for f in DATE_FORMS]).isNotNull(), "date"))
     out = out.when(m.rlike(rf"^(?:{SSN})$"), F.when(~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), "ssn"))
+    out = out.when(m.rlike(rf"^(?:{NATIONAL})$"), F.when(d.rlike(r"^[2-9]..[2-9]"), "phone"))
     out = out.when(m.startswith("+"), F.when((F.length(d) >= 8) & (F.length(d) <= 15), "phone"))
     out = out.when(m.rlike(rf"^(?:{CARD})$"), F.when(luhn_sum(d) % 10 == 0, "card"))
     out = out.when(m.rlike(rf"^(?:{IBAN})$"), let(F.replace(m, F.lit(" "), F.lit("")), lambda v: F.when(mod97(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1, "iban")))
@@ -140,20 +164,27 @@ def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
     ip = let(_number_feistel(number, key, "ipv4", 16, inverse), lambda n: F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]))
     card = let(digits(m), lambda d: let(fe(F.substring(d, F.lit(1), F.length(d) - 1), "card"), lambda p: relay(m, F.concat(p, F.pmod(-luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)).cast("string")), r"\d")))
     code = F.regexp_extract(m, r"^\+(\d{1,3}?)(?=[ .\-(])|^\+(\d)", 0)
-    phone = F.concat(code, let(F.substring(m, F.length(code) + 1, F.length(m)), lambda rest: relay(rest, fe(digits(rest), "phone"), r"\d")))
+    abroad = F.concat(code, let(F.substring(m, F.length(code) + 1, F.length(m)), lambda rest: relay(rest, fe(digits(rest), "phone"), r"\d")))
+    # A national number keeps its first digit; its exchange does not begin with 0 or 1.
+    local = let(digits(m), lambda d: let(_walk(fe(F.substring(d, F.lit(2), F.length(d)), "phone"), lambda v: fe(v, "phone"), lambda v: v.rlike(r"^..[2-9]"), 60), lambda v: relay(m, F.concat(F.substring(d, 1, 1), v), r"\d")))
+    phone = F.when(m.startswith("+"), abroad).otherwise(local)
     ssn_ok = lambda v: ~v.rlike(r"^(?:000|666|9)|^...00|0000$")
     ssn = let(_walk(fe(digits(m), "ssn"), lambda v: fe(v, "ssn"), ssn_ok, 40), lambda v: relay(m, v, r"\d"))
     first, days = F.to_date(F.lit("1900-01-01")), 73049
-    day = F.datediff(F.try_to_date(m, "yyyy-MM-dd"), first).cast("long")
     step = lambda n: _number_feistel(n, key, "date", 9, inverse)
-    date = F.date_format(F.date_add(first, _walk(step(day), step, lambda n: n < days, 200).cast("int")), "yyyy-MM-dd")
+    at = lambda n: F.date_add(first, n.cast("int"))
+    moved = lambda d, held: at(_walk(step(F.datediff(d, first).cast("long")), step, lambda n: (n < days) & F.dayofmonth(at(F.least(n, F.lit(days - 1)))).between(*held), 400))
+    put = lambda form, held: lambda d: F.when(d.isNotNull(), F.date_format(moved(d, held), form))
+    date = F.coalesce(*[let(_read_date(m, *f), put(*f[1:])) for f in DATE_FORMS])
+    hexes = F.regexp_replace(m, ":", "")
+    ipv6 = let(hexes, lambda h: relay(m, fe(h, "ipv6", alphabets=("0123456789abcdef", "ABCDEF")), "[0-9A-Fa-f]"))
     flat = F.replace(m, F.lit(" "), F.lit(""))
     bban = lambda v: fe(F.substring(v, F.lit(5), F.length(v)), "iban")
     iban = let(flat, lambda v: let(bban(v), lambda b: relay(m, F.concat(F.substring(v, 1, 2), F.lpad((98 - mod97(F.concat(b, F.substring(v, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b), "[A-Z0-9]")))
     hidden = lambda v: F.when(v.rlike("^[0-9a-f]+$"), fe(v, "secret", alphabets=HEX[:1])).when(v.rlike("^[0-9A-F]+$"), fe(v, "secret", alphabets=HEX[1:])).otherwise(fe(v, "secret"))
     secret = let(F.regexp_extract(m, f"^{NAME}", 0), lambda n: F.concat(n, hidden(F.substring(m, F.length(n) + 1, F.length(m)))))
     out = F.when(kind == "email", email)
-    for name, value in (("ipv4", ip), ("card", card), ("phone", phone), ("ssn", ssn), ("date", date), ("iban", iban), ("secret", secret)):
+    for name, value in (("ipv4", ip), ("ipv6", ipv6), ("card", card), ("phone", phone), ("ssn", ssn), ("date", date), ("iban", iban), ("secret", secret)):
         out = out.when(kind == name, value)
     return out.otherwise(m)
 
@@ -162,8 +193,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool =
     """`docs` with each valid match of its text replaced, and `pii` (kind and number of matches changed).
 
     Null texts stay null and empty ones empty, without matches.  Rows are independent: repeated rows change alike, and
-    further columns pass through, but for one named pii, which is replaced.
+    further columns pass through, but for one named pii, which is replaced.  There is no default key.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     t = F.col(text)
     names = list(KINDS)
 
@@ -182,11 +215,16 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool =
     return out.select(*keep, F.col("_p.pii").alias("pii"))
 
 
-#: The queries' key; a user passes their own.
-DEMO_KEY = "not a secret: key of the test queries"
+#: The setting of the session that names the queries' key.
+KEY_SETTING = "spark.lumenstack.pii.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's settings name, or else a fresh one for this run, which links its documents and is then lost."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's whole text with pseudonyms, and what was replaced."""
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return out.withColumn("n_replaced", F.aggregate("pii", F.lit(0), lambda a, x: a + x["n"]))

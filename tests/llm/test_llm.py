@@ -214,6 +214,61 @@ def test_pii_each_kind_alone(spark):
     assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "k", inverse=True).collect()} == {r["doc_id"]: r["text"] for r in df.collect()}
 
 
+def test_pii_more_formats(spark):
+    import datetime
+    import re
+
+    dates = {"03/04/1985": "%m/%d/%Y", "25/12/1985": "%d/%m/%Y", "2020/01/02": "%Y/%m/%d", "31.01.1999": "%d.%m.%Y", "March 3, 1985": "%B %d, %Y", "March 03, 1985": "%B %d, %Y", "14 July 2001": "%d %B %Y", "04 July 2001": "%d %B %Y"}
+    phones = ["(555) 223-4567", "555-223-4567", "555.223.4567", "(555)223-4567"]
+    nets = ["2001:db8:85a3:0:0:8a2e:370:7334", "2001:DB8::1", "fe80::1", "2001:db8::8a2e:370:7334"]
+    cards = {"4111 1111 1111 1111 12/27": " 12/27", "4111-1111-1111-1111 123": " 123"}
+    texts = [f"so {x} it goes" for x in [*dates, *phones, *nets, *cards]]
+    left = ["at 12:30:45 sharp", "std::vector a::b::c", "13/13/1985 02/30/1985 1/2/3 1.2.2003.4", "055-123-4567 555-123-45678 1-555-123-4567", "chapter 3, 1985", "aa:bb:cc:dd:ee:ff"]
+    df = docs_of(spark, texts + left)
+    out = pii.pseudonymise(df, "k")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    kinds = ["date"] * len(dates) + ["phone"] * len(phones) + ["ipv6"] * len(nets) + ["card"] * len(cards)
+    assert [[(k["kind"], k["n"]) for k in rows[i]["pii"]] for i in range(len(texts))] == [[(k, 1)] for k in kinds]
+    new = [rows[i]["text"][3:-8] for i in range(len(texts))]
+    for x, (old, form) in zip(new, dates.items()):
+        assert datetime.datetime.strptime(x, form).year >= 1900 and x != old and (old[0] != "0" or x[0] == "0" or form.startswith("%m"))
+    shape = lambda x: re.sub(r"[A-F]", "F", re.sub(r"[0-9a-f]", "0", x))
+    assert all(shape(a) == shape(b) and a != b for a, b in zip(new[len(dates) : -2], [*phones, *nets]))
+    assert all(x.endswith(tail) and not x.startswith("4111 1111") for x, tail in zip(new[-2:], cards.values()))
+    assert [rows[len(texts) + i]["text"] for i in range(len(left))] == left
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "k", inverse=True).collect()} == {r["doc_id"]: r["text"] for r in df.collect()}
+    many = spark.range(400).select("id", chat_format.F.date_format(chat_format.F.date_add(chat_format.F.lit("1950-01-01").cast("date"), (chat_format.F.col("id") * 37).cast("int")), "dd/MM/yyyy").alias("text"))
+    there = pii.pseudonymise(many, "k")
+    assert there.select("text").distinct().count() == 400 and sorted(map(tuple, pii.pseudonymise(there, "k", inverse=True).select("id", "text").collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_pii_query(spark):
+    """Whole table: with the session's key the texts turn back, the counts are those of the plain patterns, and no key is no run."""
+    import re
+
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs_of(spark, ["a"]), "")
+    spark.conf.set(pii.KEY_SETTING, "of the test")
+    try:
+        out = pii.op8_pii(spark, SF)
+        rows = {r["doc_id"]: r for r in out.collect()}
+        docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+        back = {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "of the test", inverse=True).collect()}
+        assert back == docs and set(rows) == set(docs)
+        changed = 0
+        for i, r in rows.items():
+            assert r["n_replaced"] == sum(k["n"] for k in r["pii"]) and (r["n_replaced"] > 0) == (r["text"] != docs[i])
+            kinds = {k["kind"]: k["n"] for k in r["pii"]}
+            assert kinds.get("email", 0) == len(re.findall(r"(?<![\w.%+\-])[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", docs[i] or ""))
+            changed += bool(kinds)
+        assert changed > 5
+        again = {r["doc_id"]: r["text"] for r in pii.op8_pii(spark, SF).collect()}
+        assert again == {i: r["text"] for i, r in rows.items()}
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert pii.session_key(spark) != pii.session_key(spark)
+
+
 def test_pii_secret_with_at(spark):
     texts = ['password="p@ssw0rdX"', "token: 'a@b.example.com'", 'key="@@@@@@@@"', 'mail a@b.example.com password = "x@y!zz12"']
     df = docs_of(spark, texts)
