@@ -454,7 +454,15 @@ def starlet2d(s, d):
     return rounded(wavelet.decompose2d(layout.to_frames(stack_emb(s, d)), 1), "value")
 
 
-@query()
+def _median_sql(level: int, source: str, out: str, s: int) -> str:
+    """A CTE of the medians of (2s + 1)-squares of 8 x 8 frames, mirrored without the edge (where s < 8)."""
+    k = f"SELECT i, CASE WHEN k < 0 THEN -k WHEN k >= 8 THEN 14 - k ELSE k END AS k FROM (SELECT i, i + d AS k FROM range(8) a(i), range({-s}, {s + 1}) b(d))"
+    return f"{out} AS MATERIALIZED (SELECT t, r.i AS row, c.i AS col, median(value) AS value FROM {source} x JOIN ({k}) r ON x.row = r.k JOIN ({k}) c ON x.col = c.k GROUP BY 1, 2, 3)"
+
+
+@query(f"""WITH {STACK}, {_median_sql(0, 'st', 'm1', 2)}, {_median_sql(1, 'm1', 'm2', 4)}
+SELECT t, 0::BIGINT AS level, row, col, {R.format('st.value - m1.value')} AS value FROM st JOIN m1 USING (t, row, col) UNION ALL
+SELECT t, 1, row::INTEGER, col::INTEGER, {R.format('m1.value - m2.value')} FROM m1 JOIN m2 USING (t, row, col) UNION ALL SELECT t, 2, row::INTEGER, col::INTEGER, {R.format('value')} FROM m2""")
 def median_pyramid2d(s, d):
     return rounded(wavelet.decompose2d(layout.to_frames(stack_emb(s, d)), 2, "median"), "value")
 
@@ -573,15 +581,33 @@ def eps_neighbours(s, d):
     return rounded(cluster.near_pairs(_points(s, d), 1.1), "distance")
 
 
-@query()
+@query(f"""WITH RECURSIVE {P}, e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE a.id <> b.id AND {DIST} <= 1.1), core AS (SELECT id FROM p LEFT JOIN e ON e.a = p.id GROUP BY id HAVING count(e.b) + 1 >= 4),
+ce AS (SELECT a, b FROM e WHERE a IN (FROM core) AND b IN (FROM core)), walk(node, root) AS (SELECT id, id FROM core UNION SELECT ce.b, walk.root FROM walk JOIN ce ON ce.a = walk.node WHERE walk.root < ce.b),
+lab AS (SELECT node AS id, min(root) AS label FROM walk GROUP BY node), edge AS (SELECT e.a AS id, min(label) AS label FROM e JOIN lab ON lab.id = e.b WHERE e.a NOT IN (FROM core) GROUP BY 1)
+SELECT p.id, coalesce(lab.label, edge.label, -1)::BIGINT AS label FROM p LEFT JOIN lab USING (id) LEFT JOIN edge USING (id)""")
 def dbscan(s, d):
     return cluster.dbscan(_points(s, d), 1.1, 4)
 
 
-@query()
+def _lloyd_sql(rounds: int) -> str:
+    """CTEs c0 ... c(rounds): centres (label, c) after each of Lloyd's rounds."""
+    out = [f"WITH {P}", "c0 AS (SELECT id AS label, x AS c FROM p WHERE id < 10)"]
+    for i in range(rounds):
+        out.append(_assigned_sql(i))
+        out.append(f"m{i} AS (SELECT label, list(v ORDER BY k) AS c FROM (SELECT label, k, avg(v) AS v FROM (SELECT label, unnest(range(len(x))) AS k, unnest(x) AS v FROM a{i}) GROUP BY 1, 2) GROUP BY 1)")
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT label, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (label))")
+    return ", ".join([*out, _assigned_sql(rounds)])
+
+
+def _assigned_sql(i: int) -> str:
+    d = "sqrt(list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+    return f"a{i} AS MATERIALIZED (SELECT id, x, label, d FROM (SELECT p.id, p.x, b.label, {d} AS d, row_number() OVER (PARTITION BY p.id ORDER BY {d}, b.label) AS n FROM p, c{i} b) WHERE n = 1)"
+
+
+@query(f"{_lloyd_sql(6)} SELECT label, count(*) AS mass, {R.format('avg(d)')} AS distortion FROM a6 GROUP BY 1")
 def kmeans(s, d):
     p = _points(s, d)
-    return cluster.cluster_stats(cluster.assign(p, cluster.kmeans(p, _seeds(p, 10), 10)))
+    return rounded(cluster.cluster_stats(cluster.assign(p, cluster.kmeans(p, _seeds(p, 10), 6))), "distortion")
 
 
 @query()
@@ -630,16 +656,25 @@ def register_shifts(s, d):
     return register.register_shifts(layout.to_frames(c), register.template(c, 0, 30))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CUBE}, f AS MATERIALIZED (SELECT t, list(value ORDER BY row, col) AS m FROM cube GROUP BY t),
+k(t, p, e) AS (SELECT -1, (SELECT list(v ORDER BY row, col) FROM (SELECT row, col, avg(value) AS v FROM cube GROUP BY 1, 2)), [0.05::DOUBLE for i in range(64)]
+  UNION ALL SELECT t, list_transform(z, lambda x: x[1]), list_transform(z, lambda x: x[2]) FROM (
+    SELECT k.t + 1 AS t, list_transform(list_zip(p, e, m), lambda x: [x[1] + (1 + 0.5 * (x[2] / (x[2] + 0.05) - 1)) * (x[3] - x[1]), -x[2] * 0.5 * (x[2] / (x[2] + 0.05) - 1) + pow((1 + 0.5 * (x[2] / (x[2] + 0.05) - 1)) * (x[3] - x[1]), 2) / pow(list_max(p), 2)]) AS z
+    FROM k JOIN f ON f.t = k.t + 1))
+SELECT t::BIGINT AS t, i AS pixel, round(v, 6) + 0.0 AS value FROM (SELECT t, unnest(range(64)) AS i, unnest(p) AS v FROM k WHERE t >= 0)""")
 def kalman_stack(s, d):
     f = layout.to_frames(cube_events(s, d)).withColumn("seq_id", F.lit("cube"))
-    return tracking.kalman_stack(f).select("t", F.transform("data", lambda v: F.round(v, 6)).alias("data"))
+    x = tracking.kalman_stack(f).select("t", F.posexplode("data").alias("pixel", "value"))
+    return rounded(x.withColumn("pixel", F.col("pixel").cast("long")), "value")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CUBE}, w(seq, t, last) AS (SELECT DISTINCT row, -1, [9.0::DOUBLE] FROM cube
+  UNION ALL SELECT seq, t, list_append(last, best) FROM (
+    SELECT w.seq, c.t, any_value(w.last) AS last, arg_min(c.value, (abs(c.value - list_avg(list_slice(w.last, -5, -1))), c.value)) AS best FROM w JOIN cube c ON c.row = w.seq AND c.t = w.t + 1 GROUP BY w.seq, c.t))
+SELECT seq, t::BIGINT AS t, round(last[-1], 6) + 0.0 AS value FROM w WHERE t >= 0""")
 def track_nearest(s, d):
     c = cube_events(s, d).select(F.col("row").alias("seq"), "t", "value")
-    return tracking.track_nearest(c, "seq", 9.0)
+    return rounded(tracking.track_nearest(c, "seq", 9.0), "value")
 
 
 @query()
@@ -686,7 +721,20 @@ def estimate_sigma(s, d):
     return wavelet.estimate_sigma(traces_emb(s, d), 3).select("row", "col", r6("sigma", "sigma"))
 
 
-@query()
+def _pass_sql(source: str, out: str, axis: str, n: int, hole: int, of: str) -> str:
+    """A CTE of one pass of the spline along an axis of `source` (t, row, col, value)."""
+    k = f"SELECT i, w, CASE WHEN k < 0 THEN (-k) % {n} WHEN k >= {n} THEN {n} - 2 - k % {n} ELSE k END AS k FROM (SELECT i, i + d * {hole} AS k, w FROM range({n}) r(i), (SELECT unnest([-2, -1, 0, 1, 2]) AS d, unnest([1, 4, 6, 4, 1]::DOUBLE[]) / 16 AS w))"
+    keys = ", ".join(f"k.i AS {a}" if a == axis else f"x.{a}" for a in of.split())
+    return f"{out} AS MATERIALIZED (SELECT {keys}, sum(w * value) AS value FROM {source} x JOIN ({k}) k ON x.{axis} = k.k GROUP BY 1, 2, 3)"
+
+
+def _cube_passes(source: str, j: int) -> str:
+    return ", ".join(_pass_sql(f"s{j}{'trc'[i - 1]}" if i else source, f"s{j}{'trc'[i]}", axis, n, 2**j, "t row col") for i, (axis, n) in enumerate((("t", 30), ("row", 8), ("col", 8))))
+
+
+@query(f"""WITH {CUBE}, {_cube_passes('cube', 0)}, {_cube_passes('s0c', 1)}
+SELECT 0::BIGINT AS level, t, row, col, {R.format('cube.value - s0c.value')} AS value FROM cube JOIN s0c USING (t, row, col) UNION ALL
+SELECT 1, t, row::INTEGER, col::INTEGER, {R.format('s0c.value - s1c.value')} FROM s0c JOIN s1c USING (t, row, col) UNION ALL SELECT 2, t, row::INTEGER, col::INTEGER, {R.format('value')} FROM s1c""")
 def starlet3d(s, d):
     return rounded(wavelet.decompose3d(cube_events(s, d), 2, 30), "value")
 
@@ -721,9 +769,13 @@ def event_sessions(s, d):
     return rounded(stateful.sessions(_samples(s, d), "1 hour"), "top").withColumns({"start": _text("start"), "stop": _text("stop")})
 
 
-@query()
+@query(f"""WITH RECURSIVE x AS MATERIALIZED (SELECT user_id % 8 AS key, ts, value, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, value) AS n FROM events WHERE user_id % 8 IS NOT NULL),
+k(key, n, p, e) AS (SELECT DISTINCT key, 0::BIGINT, NULL::DOUBLE, 0.05::DOUBLE FROM x
+  UNION ALL SELECT key, n, c, e * (1 - g) + CASE WHEN p <> 0 THEN pow(c - p, 2) / (p * p) ELSE 0 END FROM (
+    SELECT k.key, x.n, coalesce(p, value) AS p, e, 1 + 0.5 * (e / (e + 0.05) - 1) AS g, coalesce(p, value) + (1 + 0.5 * (e / (e + 0.05) - 1)) * (value - coalesce(p, value)) AS c FROM k JOIN x ON x.key = k.key AND x.n = k.n + 1))
+SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, {R.format('p')} AS value FROM k JOIN x USING (key, n)""")
 def event_kalman(s, d):
-    return rounded(stateful.kalman(_samples(s, d)), "value")
+    return rounded(stateful.kalman(_samples(s, d)), "value").withColumn("ts", _text("ts"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
