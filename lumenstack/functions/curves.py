@@ -22,40 +22,48 @@ def fwhm(c: Column | float) -> Column:
     return L(2 * math.sqrt(2 * math.log(2))) * c
 
 
-def rising_exp(x: Column, a: float, tau: float) -> Column:
-    return a * (1 - F.exp(-x / tau))
+def decaying_exp(x: Column, a: float, b: float, tau: float) -> Column:
+    """a + b e^(-x / tau)."""
+    return a + b * F.exp(-x / tau)
 
 
-def decaying_exp(x: Column, a: float, tau: float) -> Column:
-    return a * F.exp(-x / tau)
+def rising_exp(x: Column, a: float, b: float, tau: float) -> Column:
+    """a - b e^(-x / tau)."""
+    return a - b * F.exp(-x / tau)
 
 
-def double_rising_exp(x: Column, a: float, t1: float, b: float, t2: float) -> Column:
-    return rising_exp(x, a, t1) + rising_exp(x, b, t2)
+def double_rising_exp(x: Column, a: float, b1: float, b2: float, t1: float, t2: float) -> Column:
+    """a - b1 e^(-x / t1) - b2 e^(-x / t2)."""
+    return rising_exp(x, a, b1, t1) - b2 * F.exp(-x / t2)
 
 
-def logistic(x: Column, a: float, k: float, x0: float) -> Column:
-    return a / (1 + F.exp(-k * (x - x0)))
+def logistic(x: Column, a: float, b: float, tau: float) -> Column:
+    """a / (1 + b e^(-x / tau))."""
+    return a / (1 + b * F.exp(-x / tau))
 
 
-def rising_pow(x: Column, a: float, p: float) -> Column:
-    return a * (1 - F.pow(1 + x, L(-p)))
+def rising_pow(x: Column, a: float, b: float, p: float) -> Column:
+    """a - b x^-p; null at 0."""
+    return a - F.when(x != 0, b * F.pow(x, L(-p)))
 
 
-def michaelis_menten(x: Column, top: float, half: float) -> Column:
-    return top * x / (half + x)
+def michaelis_menten(x: Column, top: float, half: float, p: float = 1.0) -> Column:
+    """top x / (half + x^p)."""
+    return top * x / (half + F.pow(x, L(float(p))))
 
 
-def half_rise_michaelis_menten(half: float) -> float:
-    return half
+def half_rise_michaelis_menten(half: float, p: float = 1.0) -> float:
+    return half ** (1 / p)
 
 
-def half_rise_exp(tau: float) -> float:
-    return tau * math.log(2)
+def half_rise_exp(a: float, b: float, tau: float) -> float:
+    """Where a - b e^(-x / tau) is a / 2."""
+    return tau * math.log(2 * b / a)
 
 
-def half_rise_pow(p: float) -> float:
-    return 2 ** (1 / p) - 1
+def half_rise_pow(a: float, b: float, p: float) -> float:
+    """Where a - b x^-p is a / 2."""
+    return (2 * b / a) ** (1 / p)
 
 
 def tanh_spike(x: Column, at: float, a: float = 1.0, rise: float = 10.0, tau: float = 10.0) -> Column:
@@ -119,6 +127,44 @@ def fit_gaussian(v: np.ndarray, rounds: int = 50) -> tuple[float, float, float]:
     return float(p[0]), float(p[1]), float(abs(p[2]))
 
 
+#: Curves for fits: functions of x and the parameters.
+SHAPES = {
+    "gaussian": lambda x, a, m, c, f: a * np.exp(-((x - m) ** 2) / (2 * c * c)) + f,
+    "decaying_exp": lambda x, a, b, tau: a + b * np.exp(-x / tau),
+    "rising_exp": lambda x, a, b, tau: a - b * np.exp(-x / tau),
+    "logistic": lambda x, a, b, tau: a / (1 + b * np.exp(-x / tau)),
+    "michaelis_menten": lambda x, a, half, p: a * x / (half + np.abs(x) ** p),
+}
+
+
+def fit_shape(v: np.ndarray, kind: str, start: list[float], rounds: int = 100) -> list[float]:
+    """Least squares from `start` by damped Gauss-Newton with numeric slopes."""
+    x, p, damp = np.arange(len(v), dtype=float), np.array(start, float), 1e-2
+    f = lambda q: SHAPES[kind](x, *q)
+    with np.errstate(all="ignore"):
+        err = ((v - f(p)) ** 2).sum()
+        for _ in range(rounds):
+            h = 1e-6 * np.maximum(np.abs(p), 1e-3)
+            j = np.stack([(f(p + d) - f(p - d)) / (2 * e) for e, d in zip(h, np.diag(h), strict=True)], 1)
+            a = j.T @ j
+            if not np.isfinite(a).all():
+                break
+            new = p + np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), j.T @ (v - f(p)), rcond=None)[0]
+            e = ((v - f(new)) ** 2).sum()
+            if e < err:
+                done, p, err, damp = err - e < 1e-14 * err, new, e, damp / 3
+                if done:
+                    break
+            else:
+                damp *= 4
+    return p.tolist()
+
+
+def fits(traces, kind: str, start: list[float]):
+    """(row, col, p): the parameters of a curve of SHAPES that fits each trace best, from the same start."""
+    return map_traces(traces, lambda v: [(fit_shape(v, kind, start),)], "p array<double>")
+
+
 def gauss_fits(traces):
     """(row, col, a, m, c): the Gaussian that fits each trace best."""
     return map_traces(traces, lambda v: [fit_gaussian(v)], "a double, m double, c double")

@@ -119,6 +119,13 @@ def simple_snr(cells: DataFrame) -> DataFrame:
     return both.groupBy(*PIXEL).agg((F.avg(up) / (F.stddev_pop(down) + 1)).alias("value"))
 
 
+def simple_snr2(cells: DataFrame) -> DataFrame:
+    """Per pixel, the larger size of simple_snr of the trace and of its negative, over the mean of that over all pixels."""
+    both = simple_snr(cells).join(simple_snr(cells.withColumn("value", -F.col("value"))).withColumnRenamed("value", "_down"), PIXEL)
+    both = both.select(*PIXEL, F.greatest(F.abs("value"), F.abs("_down")).alias("value"))
+    return both.crossJoin(F.broadcast(both.agg(F.avg("value").alias("_m")))).withColumn("value", F.try_divide("value", "_m")).drop("_m")  # one row
+
+
 def auto_threshold(cells: DataFrame, rounds: int = 64) -> float:
     """Inter-means threshold: from the median, the mean of the means on both sides, until it stops growing.
 

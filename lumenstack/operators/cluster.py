@@ -30,12 +30,22 @@ def dot(a: Column, b: Column) -> Column:
 def pearson(a: Column, b: Column) -> Column:
     n = F.size(a)
     ma, mb = _sum(a) / n, _sum(b) / n
-    return (dot(a, b) - n * ma * mb) / F.sqrt((dot(a, a) - n * ma * ma) * (dot(b, b) - n * mb * mb))
+    return F.try_divide(dot(a, b) - n * ma * mb, F.sqrt((dot(a, a) - n * ma * ma) * (dot(b, b) - n * mb * mb)))
+
+
+def ranks(a: Column) -> Column:
+    """Average ranks of the values of an array."""
+    return F.transform(a, lambda x: (F.size(F.filter(a, lambda y: y < x)) + (F.size(F.filter(a, lambda y: y == x)) + 1) / 2).cast("double"))
+
+
+def spearman(a: Column, b: Column) -> Column:
+    let = lambda x, f: F.transform(F.array(x), f)[0]
+    return let(ranks(a), lambda p: let(ranks(b), lambda q: pearson(p, q)))
 
 
 DISTANCES = {
     "euclidean": minkowski, "cityblock": lambda a, b: minkowski(a, b, 1), "pearson": lambda a, b: 1 - pearson(a, b),
-    "apearson": lambda a, b: 1 - F.abs(pearson(a, b)), "xcorr": lambda a, b: 1 / dot(a, b),
+    "spearman": lambda a, b: 1 - spearman(a, b), "apearson": lambda a, b: 1 - F.abs(pearson(a, b)), "xcorr": lambda a, b: 1 / dot(a, b),
 }
 
 
@@ -145,11 +155,19 @@ def near_pairs(points: DataFrame, eps: float, pivots: int = 64, block: int = 409
     return tasks.groupBy("cell", F.col("o.i").alias("i"), F.col("o.j").alias("j")).applyInPandas(pairs, f"a {kind}, b {kind}, distance double")
 
 
-def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
-    """(id, label): -1 is noise; a cluster is named by its least core id, and a border point joins the least near it."""
-    pairs = written(near_pairs(points, eps), "pairs")
+def dbscan(points: DataFrame, eps: float, min_points: int, strict: bool = False, with_self: bool = True) -> DataFrame:
+    """(id, label): -1 is noise; a cluster is named by its least core id, and a border point joins the least near it.
+
+    A core point has `min_points` points within eps, itself among them.  `strict` asks for less than eps and for more than
+    `min_points`; without `with_self` a point does not count itself.
+    """
+    pairs = near_pairs(points, eps)
+    pairs = written(pairs.filter(F.col("distance") < eps) if strict else pairs, "pairs")
+    least = min_points + strict
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    core = written(points.select(F.col("id").alias("a")).unionByName(both.select("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_points).select("a"), "core")
+    own = points.select(F.col("id").alias("a"))
+    near = own.unionByName(both.select("a")).groupBy("a").agg((F.count(F.lit(1)) - (0 if with_self else 1)).alias("n"))
+    core = written(near.filter(F.col("n") >= least).select("a"), "core")
     inner = pairs.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
     found = connected_components(inner.select("a", "b"), "dbscan")
     named = core.join(found, core["a"] == found["node"], "left").select("a", F.coalesce("root", "a").alias("label"))
@@ -185,6 +203,28 @@ def cluster_stats(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("label").agg(F.count(F.lit(1)).alias("mass"), F.avg("distance").alias("distortion"))
 
 
+def select_points(assigned: DataFrame, label: int) -> DataFrame:
+    return assigned.filter(F.col("label") == label)
+
+
+def farthest(assigned: DataFrame, queries: DataFrame, how: str = "euclidean") -> DataFrame:
+    """(label, b, distance): from each of a stated set of queries (id, x), which is small enough to send, the farthest point of each cluster."""
+    q = queries.select(F.col("id").alias("b"), F.col("x").alias("_y"))
+    return assigned.crossJoin(F.broadcast(q)).groupBy("label", "b").agg(F.max(DISTANCES[how](F.col("x"), F.col("_y"))).alias("distance"))
+
+
+def diameters(assigned: DataFrame) -> DataFrame:
+    """(label, diameter): the greatest distance of two points of each cluster, for clusters that a task can hold; 0 for one point."""
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(g["x"].to_numpy()).astype(float)
+        top = max(float(np.sqrt(((x[k : k + 256, None] - x[None]) ** 2).sum(-1)).max()) for k in range(0, len(x), 256))
+        return pd.DataFrame({"label": [key[0]], "diameter": [top]})
+
+    ship(assigned.sparkSession)
+    return assigned.select("label", "x").groupBy("label").applyInPandas(one, f"label {dict(assigned.dtypes)['label']}, diameter double")
+
+
 def top_by_mass(stats: DataFrame) -> DataFrame:
     return stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mass"), "label")).cast("long"))
 

@@ -37,8 +37,9 @@ def find_in_frame(x: np.ndarray, level: int, k: float, min_scales: int, min_pixe
     """Object images, heaviest first.
 
     A structure is a connected region of coefficients above k deviations at a scale; it belongs to the structure one
-    scale up that covers its maximum.  A branch whose maximum exceeds both those about it and has siblings is an object
-    of its own.  An object is rebuilt from the coefficients of its structures.
+    scale up that covers its maximum.  A branch that has siblings is an object of its own where the coefficient at its
+    maximum exceeds both that of its nearest branch and the coarser coefficients under its own mask.  An object is rebuilt
+    from the coefficients of its structures, those of the finest scale left out.
     """
     sigma = noise(x)
     coefs = starlet2d(x, level)
@@ -56,9 +57,13 @@ def find_in_frame(x: np.ndarray, level: int, k: float, min_scales: int, min_pixe
     kids: dict = {}
     for c, p in parent.items():
         kids.setdefault(p, []).append(c)
+    width, siblings = x.shape[1], {p: len(c) for p, c in kids.items()}
     for c in sorted(parent, reverse=True):
-        below = max((nodes[g][1] for g in kids.get(c, [])), default=0.0)
-        if len(kids[parent[c]]) > 1 and nodes[c][1] > below and nodes[c][1] > nodes[parent[c]][1]:
+        j, (r, q) = c[0], divmod(nodes[c][0], width)
+        near = min(kids.get(c, []), key=lambda g: (nodes[g][0] // width - r) ** 2 + (nodes[g][0] % width - q) ** 2, default=None)
+        finer = nodes[near][1] if near else 0.0
+        coarser = coefs[j + 1][labels[j] == c[1]].max()
+        if siblings[parent[c]] > 1 and nodes[c][1] > finer and nodes[c][1] > coarser:
             kids[parent[c]].remove(c)
             parent[c] = None
     out = []
@@ -71,7 +76,7 @@ def find_in_frame(x: np.ndarray, level: int, k: float, min_scales: int, min_pixe
             todo += kids.get(c, [])
         if len({j for j, _ in mine}) < min_scales:
             continue
-        img = sum(np.where(labels[j] == n, coefs[j], 0) for j, n in mine)
+        img = sum((np.where(labels[j] == n, coefs[j], 0) for j, n in mine if j > 0), np.zeros(x.shape))
         if (img > 0).sum() > min_pixels:
             out.append(np.maximum(img, 0))
     return sorted(out, key=lambda o: -o.sum())

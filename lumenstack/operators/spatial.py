@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import ship
+from .aggregate import REDUCE
 from .graph import connected_components
 
 CROSS = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
@@ -199,6 +200,103 @@ def filter_size(labelled: DataFrame, more_than: int) -> DataFrame:
     return labelled.join(region_stats(labelled).filter(F.col("size") > more_than), ["t", "region"], "left_semi")
 
 
+def filter_shape(labelled: DataFrame, ratio: float = 2.0) -> DataFrame:
+    """Regions whose linear size is more than `ratio` roots of their area: the long ones."""
+    both = region_stats(labelled).join(region_linsize(labelled), ["t", "region"])
+    return labelled.join(both.filter(F.col("linsize") > ratio * F.sqrt("size")), ["t", "region"], "left_semi")
+
+
+def filter_mask(mask: DataFrame, h: int, w: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(t, row, col) of the regions of a mask that `keep` leaves; one region that is left is kept too."""
+    return keep(regions(mask, h, w)).select("t", "row", "col")
+
+
+def region_centre_distances(labelled: DataFrame) -> DataFrame:
+    """(t, a, b, distance) of the centres of each two regions of a frame, a < b."""
+    s = region_stats(labelled).select("t", F.col("region").alias("a"), "row_center", "col_center")
+    o = s.select("t", F.col("a").alias("b"), F.col("row_center").alias("r"), F.col("col_center").alias("c"))
+    d = F.sqrt(F.pow(F.col("row_center") - F.col("r"), F.lit(2.0)) + F.pow(F.col("col_center") - F.col("c"), F.lit(2.0)))
+    return s.join(o, "t").filter(F.col("a") < F.col("b")).select("t", "a", "b", d.alias("distance"))
+
+
+def boxes(labelled: DataFrame) -> DataFrame:
+    """(t, region, r0, r1, c0, c1): the bounding box of each region, half open."""
+    return labelled.groupBy("t", "region").agg(F.min("row").alias("r0"), (F.max("row") + 1).alias("r1"), F.min("col").alias("c0"), (F.max("col") + 1).alias("c1"))
+
+
+def boxes_meet(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(t, a, b): boxes of one frame that have a pixel in common."""
+    o = b.select("t", F.col("region").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("r0", "r1", "c0", "c1")])
+    meet = [F.greatest(f"{k}0", f"_{k}0") < F.least(f"{k}1", f"_{k}1") for k in "rc"]
+    return a.join(o, "t").filter(meet[0] & meet[1]).select("t", F.col("region").alias("a"), "b")
+
+
+def embed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells of each frame within the bounding box of what is not 0, moved to its corner; the boxes t, r0, c0, h, w)."""
+    hit = cells.filter("value <> 0").groupBy("t").agg(F.min("row").alias("r0"), F.min("col").alias("c0"), (F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w"))
+    moved = cells.join(hit, "t").withColumns({"row": F.col("row") - F.col("r0"), "col": F.col("col") - F.col("c0")})
+    return moved.filter("row >= 0 and col >= 0 and row < h and col < w").select(*cells.columns), hit
+
+
+def unembed(part: DataFrame, box: DataFrame, h: int, w: int) -> DataFrame:
+    """Whole frames of h x w again, 0 outside the boxes; frames without a box are not in it."""
+    back = part.join(box.select("t", "r0", "c0"), "t").select("t", (F.col("row") + F.col("r0")).alias("row"), (F.col("col") + F.col("c0")).alias("col"), "value")
+    grid = box.select("t", F.explode(F.sequence(F.lit(0), F.lit(h * w - 1))).alias("i")).select("t", F.floor(F.col("i") / w).cast("int").alias("row"), F.pmod("i", F.lit(w)).cast("int").alias("col"))
+    return grid.join(back, ["t", "row", "col"], "left").select("t", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def surface_points(img: DataFrame, mask: DataFrame | None = None) -> DataFrame:
+    """(x, y, z) of the pixels that are not in `mask`: places over the longer side, and the value scaled to 0 ... 1 over the image."""
+    s = F.broadcast(img.agg(F.greatest(F.max("row"), F.max("col")).alias("_n"), F.min("value").alias("_a"), F.max("value").alias("_b")))  # one row
+    out = img.crossJoin(s).select("row", "col", (F.col("col") / (F.col("_n") + 1)).alias("x"), (F.col("row") / (F.col("_n") + 1)).alias("y"), F.try_divide(F.col("value") - F.col("_a"), F.col("_b") - F.col("_a")).alias("z"))
+    return out if mask is None else out.join(mask.select("row", "col"), ["row", "col"], "left_anti")
+
+
+def in_frame(row: Column, col: Column, h: int, w: int) -> Column:
+    return (row >= 0) & (row < h) & (col >= 0) & (col < w)
+
+
+def random_places(spark, n: int, h: int, w: int, seed: int = 0) -> DataFrame:
+    """(id, row, col) of n places, drawn evenly."""
+    return spark.range(n).select("id", F.floor(F.rand(seed) * h).cast("int").alias("row"), F.floor(F.rand(seed + 1) * w).cast("int").alias("col"))
+
+
+def resize(cells: DataFrame, h: int, w: int) -> DataFrame:
+    """Frames of h x w whose pixel (i, j) is read, between its four neighbours, at i (h0 - 1) / h and j (w0 - 1) / w of the old."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.full((g["row"].max() + 1, g["col"].max() + 1), np.nan)
+        x[g["row"], g["col"]] = g["value"]
+        r, c = np.arange(h) * (x.shape[0] - 1) / h, np.arange(w) * (x.shape[1] - 1) / w
+        i, j = r.astype(int), c.astype(int)
+        u, v = (r - i)[:, None], (c - j)[None]
+        at = lambda a, b: x[np.minimum(a, x.shape[0] - 1)][:, np.minimum(b, x.shape[1] - 1)]
+        y = (1 - u) * (1 - v) * at(i, j) + u * (1 - v) * at(i + 1, j) + (1 - u) * v * at(i, j + 1) + u * v * at(i + 1, j + 1)
+        return pd.DataFrame({"t": g["t"].iloc[0], "row": np.repeat(np.arange(h), w), "col": np.tile(np.arange(w), h), "value": y.ravel()})
+
+    ship(cells.sparkSession)
+    return cells.select("t", "row", "col", "value").groupBy("t").applyInPandas(one, "t long, row int, col int, value double")
+
+
+def line_of(x0: float, y0: float, x1: float, y1: float) -> tuple[float, float] | None:
+    """(slope, intercept) of the line through two points; None for a vertical one."""
+    return None if x0 == x1 else ((y0 - y1) / (x0 - x1), y0 - x0 * (y0 - y1) / (x0 - x1))
+
+
+def normal_of(x0: float, y0: float, x1: float, y1: float) -> tuple[float, float]:
+    """The unit vector that moves a segment sideways."""
+    n = ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
+    return (y1 - y0) / n, (x0 - x1) / n
+
+
+def line_projection(cells: DataFrame, segment: tuple[float, float, float, float], how: str = "mean") -> DataFrame:
+    """(t, i, value): positive cells of each frame reduced over lines at right angles to a segment, i pixels along it."""
+    x0, y0, x1, y1 = segment
+    n = max(((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5, 1e-9)
+    along = (F.col("col") - x0) * ((x1 - x0) / n) + (F.col("row") - y0) * ((y1 - y0) / n)
+    return cells.filter("value > 0").groupBy("t", F.floor(along + 0.5).alias("i")).agg(REDUCE[how]("value").alias("value"))
+
+
 def region_linsize(labelled: DataFrame) -> DataFrame:
     """(t, region, linsize): the greatest distance within a region's border.
 

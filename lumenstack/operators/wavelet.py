@@ -73,6 +73,15 @@ def dfof1d(traces: DataFrame, level: int) -> DataFrame:
     return s.withColumn("v", F.zip_with("_o", "v", lambda a, b: F.when(F.abs(b) >= 1e-6, a / b - 1).otherwise(0.0))).drop("_o")
 
 
+def dfosd1d(traces: DataFrame, level: int, smooth: int = 0) -> DataFrame:
+    """What the approximation leaves, over the noise of the finest details; without the `smooth` finest levels; 0 where there is no noise."""
+    d = sigma_mad(decompose1d(traces, level))
+    rest = F.zip_with("v", "approx", lambda a, b: a - b)
+    for j in range(smooth):
+        rest = F.zip_with(rest, f"w{j}", lambda a, b: a - b)
+    return d.withColumn("v", F.transform(F.arrays_zip(rest.alias("r"), F.array_repeat("sigma", F.size("v")).alias("s")), lambda z: F.coalesce(F.try_divide(z["r"], z["s"]), F.lit(0.0)))).select(*traces.columns)
+
+
 def local_std1d(traces: DataFrame, level: int) -> DataFrame:
     """The root of the smoothed square of what the approximation leaves."""
     d = detrend1d(traces, level)

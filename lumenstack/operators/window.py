@@ -25,6 +25,18 @@ def dfosd(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.withColumn("value", F.when(F.abs(sd) > EPS, (F.col("value") - base) / sd).otherwise(F.lit(0.0)))
 
 
+def over_mean_frame(cells: DataFrame) -> DataFrame:
+    """value / (mean of its pixel) - 1; null where that mean is 0."""
+    return cells.withColumn("value", F.try_divide(F.col("value"), F.avg("value").over(_all(["row", "col"]))) - 1)
+
+
+def limit_bounds(df: DataFrame, low: float | None = None, high: float | None = None, value: str = "value") -> DataFrame:
+    """Rows within the bounds, both included; a bound of 0 is one too."""
+    for bound, inside in ((low, F.col(value) >= low), (high, F.col(value) <= high)):
+        df = df if bound is None else df.filter(inside)
+    return df
+
+
 def moving_average(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Mean of this and the next n - 1 rows; only whole windows."""
     w = Window.partitionBy(*keys).orderBy("t").rowsBetween(0, n - 1)

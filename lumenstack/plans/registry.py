@@ -716,10 +716,6 @@ def bspline_smooth(s, d):
     return _cells(wavelet.bspline_smooth(traces_emb(s, d)))
 
 
-@query()
-def estimate_sigma(s, d):
-    return wavelet.estimate_sigma(traces_emb(s, d), 3).select("row", "col", r6("sigma", "sigma"))
-
 
 def _pass_sql(source: str, out: str, axis: str, n: int, hole: int, of: str) -> str:
     """A CTE of one pass of the spline along an axis of `source` (t, row, col, value)."""
@@ -778,9 +774,15 @@ def event_kalman(s, d):
     return rounded(stateful.kalman(_samples(s, d)), "value").withColumn("ts", _text("ts"))
 
 
+def _all() -> None:
+    from . import details  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)

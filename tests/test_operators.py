@@ -144,7 +144,7 @@ def test_curves(spark):
     c = F.col("x")
     row = spark.createDataFrame([(2.0,)], "x double").select(
         curves.gaussian(c, 3, 1, 2), curves.alias_freq(F.lit(7.0), 10.0), curves.alias_freq(F.lit(5.0), 10.0), curves.michaelis_menten(c, 4, 2), curves.fwhm(1.0), curves.roi_tag(F.lit(3)), curves.decimal_comma(F.lit("1,5")),
-        curves.excel_time(F.lit(40237.029999999795)).cast("string"), curves.ticks_to_ms(F.lit(0), F.lit(20000)), curves.rising_exp(F.lit(curves.half_rise_exp(3.0)), 1, 3.0), curves.rising_pow(F.lit(curves.half_rise_pow(2.0)), 1, 2.0),
+        curves.excel_time(F.lit(40237.029999999795)).cast("string"), curves.ticks_to_ms(F.lit(0), F.lit(20000)), curves.rising_exp(F.lit(curves.half_rise_exp(1.0, 0.8, 3.0)), 1, 0.8, 3.0), curves.rising_pow(F.lit(curves.half_rise_pow(1.0, 0.8, 2.0)), 1, 0.8, 2.0),
     ).first()
     assert row[0] == pytest.approx(3 * math.exp(-1 / 8)) and row[1:4] == (3.0, 5.0, 2.0) and row[4] == pytest.approx(2.3548, abs=1e-4)
     assert row[5] == "r03" and row[6] == 1.5 and row[7].startswith("2010-02-28 00:43:11.99998") and row[8] == 2.0 and row[9] == pytest.approx(0.5) and row[10] == pytest.approx(0.5)
@@ -154,6 +154,9 @@ def test_curves(spark):
     tr = spark.createDataFrame([(0, 0, (5 * np.exp(-((x - 20) ** 2) / 18)).tolist())], "row int, col int, v array<double>")
     a, m, s = curves.gauss_fits(tr).first()[2:]
     assert (a, m, s) == pytest.approx((5, 20, 3), abs=1e-3)
+    for kind, true, start in (("gaussian", [5, 20, 3, 1], [4, 18, 4, 0]), ("decaying_exp", [1, 4, 9], [0.5, 3, 5]), ("rising_exp", [3, 2, 7], [2, 1, 5]), ("logistic", [4, 30, 5], [3, 20, 4]), ("michaelis_menten", [4, 6, 1], [3, 4, 1])):
+        tr = spark.createDataFrame([(0, 0, curves.SHAPES[kind](x.astype(float), *true).tolist())], "row int, col int, v array<double>")
+        assert curves.fits(tr, kind, start).first()["p"] == pytest.approx(true, rel=1e-3), kind
 
 
 @pytest.mark.parametrize("dtype", ["uint8", "uint16", "float32", "float64"])
