@@ -265,7 +265,9 @@ def _hats(h: int, w: int, knots: int) -> np.ndarray:
 FITS = {"affine": affine_fit, "homography": homography_fit, "mesh": mesh_fit, "line_scan": line_scan_fit}
 
 
-def register_model(frames: DataFrame, target: np.ndarray, model: str) -> DataFrame:
-    """warps (t, model, params) of each frame onto the template, for any model of FITS or `shift`."""
-    fit = (lambda a, b: list(phase_shift(a, b))) if model == "shift" else FITS[model]
-    return map_frames(frames, lambda t, x: [(t, model, fit(target, x))], "t long, model string, params array<double>")
+def register_model(frames: DataFrame, target: np.ndarray, model: str, **more) -> DataFrame:
+    """(t, model, params) of each frame by a model of FITS or `shift`; `more` goes to the model's fit."""
+    if model == "shift":
+        return register_shifts(frames, target)
+    fit = FITS[model]
+    return map_frames(frames, lambda t, x: [(t, model, fit(target, x, **more))], "t long, model string, params array<double>")

@@ -311,7 +311,24 @@ def excel_times(s, d):
     return e.select("event_id", F.date_format(curves.excel_time(F.col("user_id") / 16), "yyyy-MM-dd HH:mm:ss").alias("stamp"))
 
 
-# Layout.
+# Layout and files.
+
+
+@query(f"WITH {STACK} SELECT t, row, col, round(value::FLOAT::DOUBLE, 6) + 0.0 AS value FROM st")
+def tiff_round_trip(s, d):
+    """Every frame as the bytes of a TIFF file, and read back."""
+    import numpy as np
+    import pandas as pd
+
+    from ..sources import sinks, tiff
+
+    def run(batches):
+        for b in batches:
+            images = [next(tiff.read_images(c)) for c in b["content"]]
+            yield pd.DataFrame({"t": b["t"], "h": [x.shape[0] for x in images], "w": [x.shape[1] for x in images], "data": [np.asarray(x, float).ravel() for x in images]})
+
+    frames = sinks.to_tiff(layout.to_frames(stack_emb(s, d))).mapInPandas(run, "t long, h int, w int, data array<double>")
+    return rounded(layout.frames_to_cells(frames), "value")
 
 
 @query(f"WITH {CUBE}, k AS (SELECT t, row, col, value FROM cube WHERE value > 30.0), g AS (SELECT t, max(row) AS h, max(col) AS w FROM k GROUP BY t) SELECT c.t, c.row, c.col, round(coalesce(k.value, -1), 6) + 0.0 AS value FROM cube c JOIN g ON c.t = g.t AND c.row <= h AND c.col <= w LEFT JOIN k ON k.t = c.t AND k.row = c.row AND k.col = c.col")

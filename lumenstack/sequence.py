@@ -30,9 +30,23 @@ class FrameSeq:
     axes: tuple[Axis, Axis, Axis] = (Axis(), Axis(), Axis())
 
     @staticmethod
-    def open(spark: SparkSession, path: str, ch: int = 0, axes: list[tuple[float, str]] | None = None) -> FrameSeq:
+    def open(spark: SparkSession, path: str, ch: int = 0, axes: list[tuple[float, str]] | None = None, xml: str | None = None) -> FrameSeq:
+        """Of files of any kind that is read; `xml` names a microscope's job file that has the axes, unless they are given."""
+        if axes is None and xml:
+            axes = images.leica_axes(spark, xml)
         return FrameSeq(layout.frames_to_cells(images.open_seq(spark, path, ch)), meta(axes or []))
 
+    @staticmethod
+    def of(x: FrameSeq | np.ndarray | str, spark: SparkSession, **how) -> FrameSeq:
+        """A sequence as it is, an array, or a path."""
+        return x if isinstance(x, FrameSeq) else FrameSeq.of_array(spark, x, **how) if isinstance(x, np.ndarray) else FrameSeq.open(spark, x, **how)
+
+    @property
+    def kind(self) -> str:
+        """Z for a sequence in depth, T for one in time, by the unit of its first axis; empty if that says neither."""
+        units = self.axes[0].units
+        return "Z" if units in ("um", "mm", "m", "nm") else "T" if units in ("ms", "us", "s", "msec", "usec", "ns", "sec") else ""
+
     @staticmethod
     def of_array(spark: SparkSession, x: np.ndarray, axes: list[tuple[float, str]] | None = None) -> FrameSeq:
         """From an array (t, h, w) on the driver."""

@@ -102,8 +102,35 @@ def decode_text(data: bytes) -> np.ndarray:
     return np.loadtxt(io.BytesIO(data), ndmin=2)
 
 
-def decode_npy(data: bytes) -> np.ndarray:
-    return np.load(io.BytesIO(data), allow_pickle=False).astype(float)
+def decode_npy(data: bytes) -> Iterator[np.ndarray]:
+    """One image, or the images of an array (t, h, w)."""
+    x = np.load(io.BytesIO(data), allow_pickle=False).astype(float)
+    yield from x if x.ndim == 3 else [x]
+
+
+# Where the header of a speckle file has each number, and of what type, by the name of the format; frames begin at MLF_START.
+MLF_START = 0x10000
+MLF_HEADERS = {
+    b"Moor FLPI Live Image Data file V2.0": {"nframes": (0x8000, "<u4"), "xdim": (0x8008, "<u4"), "ydim": (0x8010, "<u4"), "dt": (0x8018, "<u4"), "exposure": (0x8028, "<u4"), "sfilter": (0x8038, "<u4"), "mode": (0x8048, "<u4"), "tfilter": (0x8050, "<u4")},
+    b"moorFLPI Live Image Data File V3.0": {"nframes": (0x1000, "<i8"), "xdim": (0x1008, "<i8"), "ydim": (0x1010, "<i8"), "dt": (0x1018, "<i8"), "exposure": (0x1028, "<i8"), "gain": (0x1030, "<i8"), "sfilter": (0x1038, "<i8"), "mode": (0x1048, "<i8"), "tfilter": (0x1050, "<i8")},
+}
+
+
+def mlf_header(data: bytes) -> dict[str, float]:
+    """Numbers of a speckle file's header; dt in milliseconds (the newer format has microseconds)."""
+    for name, table in MLF_HEADERS.items():
+        if name in data[:64]:
+            got = {k: int(np.frombuffer(data, kind, 1, at)[0]) for k, (at, kind) in table.items()}
+            return got | {"dt": got["dt"] / 1000} if b"V3" in name else got
+    raise ValueError("no speckle file of a known version")
+
+
+def decode_mlf(data: bytes, what: str = "flux") -> Iterator[np.ndarray]:
+    """Images of 16 bits, which take turns of flux and its contrast."""
+    head = mlf_header(data)
+    h, w = head["ydim"], head["xdim"]
+    for k in range(min(head["nframes"], (len(data) - MLF_START) // (4 * h * w))):
+        yield np.frombuffer(data, "<u2", h * w, MLF_START + (2 * k + (what != "flux")) * 2 * h * w).reshape(h, w)
 
 
 def one(decode: Callable[[bytes], np.ndarray]) -> Callable[[bytes], Iterator[np.ndarray]]:
@@ -112,14 +139,16 @@ def one(decode: Callable[[bytes], np.ndarray]) -> Callable[[bytes], Iterator[np.
 
 #: By lower-case suffix: bytes to images of (h, w) or (h, w, channels).
 DECODERS: dict[str, Callable[[bytes], Iterator[np.ndarray]]] = {
-    "pgm": one(decode_pnm), "ppm": one(decode_pnm), "pnm": one(decode_pnm), "png": one(decode_png), "bmp": one(decode_bmp), "txt": one(decode_text), "npy": one(decode_npy),
+    "pgm": one(decode_pnm), "ppm": one(decode_pnm), "pnm": one(decode_pnm), "png": one(decode_png), "bmp": one(decode_bmp), "txt": one(decode_text), "npy": decode_npy, "mlf": decode_mlf,
     "tif": tiff.read_images, "tiff": tiff.read_images,
 }
 
 
 def decoder(suffix: str) -> Callable[[bytes], Iterator[np.ndarray]]:
+    if suffix in ("h5", "hdf5"):
+        return hdf5_images(None)
     if suffix not in DECODERS:
-        raise ValueError(f"no reader for .{suffix}; there are {', '.join(sorted(DECODERS))}")
+        raise ValueError(f"no reader for .{suffix}; there are {', '.join(sorted([*DECODERS, 'h5']))}")
     return DECODERS[suffix]
 
 
@@ -139,14 +168,15 @@ def frames_of(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator
     return files.mapInPandas(run, FRAMES)
 
 
-def open_seq(spark: SparkSession, path: str, ch: int | None = None, suffix: str | None = None) -> DataFrame:
-    """Frames (path, t, ch, h, w, data) of a file, folder or glob; t counts images in natural order of path.
+def open_seq(spark: SparkSession, path: str, ch: int | None = None, suffix: str | None = None, pages: list[int] | slice | int | None = None) -> DataFrame:
+    """Frames (path, t, ch, h, w, data) of a file, folder or glob of any kind that is read; t counts images in natural order of path.
 
-    Only the names and image numbers are ranked in one place, not the images.
+    `pages` picks images of each file by their number, the others are not decoded to rows.  Only the names and image numbers
+    are ranked in one place, not the images.
     """
     suffix = suffix or path.rsplit(".", 1)[-1].lower()
-    found = frames_of(spark, path, decoder(suffix))
-    if suffix not in ("tif", "tiff"):  # one image in each file: names alone give the order
+    found = frames_of(spark, path, picked(decoder(suffix), pages))
+    if suffix in ("png", "bmp", "pgm", "ppm", "pnm", "txt"):  # one image in each file: names alone give the order
         names = spark.read.format("binaryFile").load(path).select("path", F.lit(0).cast("long").alias("k"))
     else:
         names = found.filter("ch = 0").select("path", "k")
@@ -155,6 +185,22 @@ def open_seq(spark: SparkSession, path: str, ch: int | None = None, suffix: str
     return out if ch is None else out.filter(F.col("ch") == ch)
 
 
+def picked(decode: Callable[[bytes], Iterator[np.ndarray]], pages: list[int] | slice | int | None) -> Callable[[bytes], Iterator[np.ndarray]]:
+    """The decoder's images of these numbers alone, in their order in the file."""
+    if pages is None:
+        return decode
+
+    def some(data: bytes) -> Iterator[np.ndarray]:
+        all_ = list(decode(data)) if isinstance(pages, slice) else decode(data)
+        if isinstance(pages, slice):
+            yield from all_[pages]
+            return
+        wanted = {pages} if isinstance(pages, int) else set(pages)
+        yield from (x for k, x in enumerate(all_) if k in wanted)
+
+    return some
+
+
 def read_mlf(spark: SparkSession, path: str, h: int, w: int, header: int, what: str = "flux") -> DataFrame:
     """Frames of a speckle file: after the header, images of 16 bits in turns of flux and its contrast."""
     step, first = 2 * h * w, 0 if what == "flux" else 1
@@ -186,6 +232,14 @@ def leica_properties(spark: SparkSession, path: str) -> DataFrame:
     return x.select("path", F.expr("try_cast(regexp_extract(xml, 'nDelayTime_ms=\"([0-9.]+)\"', 1) as double)").alias("dt_ms"), dims.alias("dims"))
 
 
+def leica_axes(spark: SparkSession, path: str) -> list[tuple[float, str]]:
+    """(scale, unit) of time or depth, rows and columns, from the first job file; 1 without a unit where it has none."""
+    job = leica_properties(spark, path).orderBy("path").first()
+    step = {d["id"]: d["step_um"] for d in job["dims"]}
+    first = (job["dt_ms"] / 1000, "s") if job["dt_ms"] is not None else (step["Z"], "um") if "Z" in step else (1.0, "")
+    return [first, *[(step[k], "um") if k in step else (1.0, "") for k in ("Y", "X")]]
+
+
 def axes_of_names(names: DataFrame, pattern: str, axes: list[str]) -> DataFrame:
     """`names` (path) with a column per axis, from the groups of a pattern over the file name; null where it does not match."""
     base = F.element_at(F.split("path", "/"), -1)
@@ -194,8 +248,8 @@ def axes_of_names(names: DataFrame, pattern: str, axes: list[str]) -> DataFrame:
     return x.withColumns({a: got(i) for i, a in enumerate(axes)}).drop("_m")
 
 
-def read_hdf5(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    """Frames of the dataset (the only one, unless named) of HDF5 files; needs h5py on driver and executors."""
+def hdf5_images(dataset: str | None) -> Callable[[bytes], Iterator[np.ndarray]]:
+    """A decoder of one dataset (the only one, unless named) of HDF5 files; needs h5py on driver and executors."""
     try:
         import h5py  # noqa: F401
     except ImportError as e:
@@ -210,7 +264,21 @@ def read_hdf5(spark: SparkSession, path: str, dataset: str | None = None) -> Dat
                 raise ValueError(f"name one dataset of {sorted(f)}")
             yield from f[names[0]]
 
-    return frames_of(spark, path, decode).select("path", F.col("k").alias("t"), "ch", "h", "w", "data")
+    return decode
+
+
+def read_hdf5(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """Frames of one dataset of HDF5 files."""
+    return frames_of(spark, path, hdf5_images(dataset)).select("path", F.col("k").alias("t"), "ch", "h", "w", "data")
+
+
+def complete_axes(names: DataFrame, axes: list[str]) -> DataFrame:
+    """`names` (path and a column per axis) with a row for every combination of the axes' values; path is null where a file is missing."""
+    grid = None
+    for a in axes:
+        values = names.select(a).filter(F.col(a).isNotNull()).distinct()
+        grid = values if grid is None else grid.crossJoin(values)  # as many rows as the axes' lengths multiply to
+    return grid.join(names, axes, "left")
 
 
 def unmix_planes(frames: DataFrame, channels: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -139,6 +140,25 @@ def read_images(data: bytes) -> Iterator[np.ndarray]:
         yield decode_page(data, tags)
 
 
+def series(data: bytes) -> list[list[int]]:
+    """Numbers of the pages that follow one another with equal size, samples and bits: the series of a file."""
+    out: list[list[int]] = []
+    last = None
+    for k, tags in enumerate(read_pages(data)):
+        kind = tuple(tags.get(t, (1,)) for t in (HEIGHT, WIDTH, SAMPLES, BITS, FORMAT))
+        if kind != last:
+            out.append([])
+        out[-1].append(k)
+        last = kind
+    return out
+
+
+def ome_axes(data: bytes) -> dict[str, float]:
+    """Sizes and physical steps that an OME description states: SizeX ... SizeT, PhysicalSizeX ... Z, TimeIncrement."""
+    text = read_pages(data)[0].get(DESCRIPTION, (b"",))[0].decode("utf-8", "replace")
+    return {k: float(v) for k, v in re.findall(r'\b(Size[XYZCT]|PhysicalSize[XYZ]|TimeIncrement)="([0-9.eE+\-]+)"', text)}
+
+
 def image_description(data: bytes) -> dict[str, str]:
     """`key=value` lines of the first page's description."""
     text = read_pages(data)[0].get(DESCRIPTION, (b"",))[0].decode("utf-8", "replace")
