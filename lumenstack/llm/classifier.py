@@ -185,12 +185,14 @@ def fold(key: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str, p: Params = Params()) -> Model:
     """The model of at most `sample_rows` rows of each class outside fold 0, those of least key hash.
 
-    Rows without label or text teach nothing; of several labels of one document the highest counts.
+    Rows without label or text teach nothing; of several labels of one document the highest counts, and of several texts
+    under one doc_id that of least hash, so that the sample is bounded however many rows share an id.
     """
     known = labels.filter(F.col(label).isin(0, 1) & (fold("doc_id") != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     some = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_rows) for y in (0, 1)]
     # At most 2 * sample_rows ids: bounded by a parameter.
     sample = docs.select("doc_id", "text").dropna().join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("_y").alias("_y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
