@@ -383,10 +383,10 @@ def keep_one(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     Rows without words are classes of their own; of those that repeat a doc_id and text, one stays.
     """
     sig, graph = _classes(docs, f)
-    bare = sig.filter(F.col("set_hash").isNull()).select(F.col("row").alias("_row"), F.col("doc_id").isNull().alias("_each"))
-    kept = graph.select(F.col("kept").alias("_row"), F.lit(False).alias("_each")).unionByName(bare).distinct()
-    rows = docs.withColumn("_row", row_key()).join(kept, "_row").withColumn("_each", F.when(F.col("_each"), F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["_row", "_each"]).select(*docs.columns)
+    bare = sig.filter(F.col("set_hash").isNull()).select("row", F.col("doc_id").isNull().alias("each"))
+    kept = graph.select(F.col("kept").alias("row"), F.lit(False).alias("each")).unionByName(bare).distinct()
+    rows = docs.select(row_key().alias("row"), F.struct(*docs.columns).alias("doc")).join(kept, "row").withColumn("each", F.when(F.col("each"), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["row", "each"]).select("doc.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,11 +189,11 @@ def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
     return out.otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool = False) -> DataFrame:
-    """`docs` with each valid match of its text replaced, and `pii` (kind and number of matches changed).
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool = False, found: str | None = "pii") -> DataFrame:
+    """`docs` with each valid match of its text replaced, and `found` (kind and number of matches changed), if a name is given for it.
 
     Null texts stay null and empty ones empty, without matches.  Rows are independent: repeated rows change alike, and
-    further columns pass through, but for one named pii, which is replaced.  There is no default key.
+    further columns pass through, but for one of that name, which is replaced.  There is no default key.
     """
     if not key:
         raise ValueError("pseudonyms need a key")
@@ -210,9 +210,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool =
         return let(new(found), join)
 
     none = F.struct(t.alias("text"), F.array().cast("array<struct<kind:string,n:int>>").alias("pii"))
-    out = docs.drop("pii").withColumn("_p", F.when(t.rlike(HINT), changed(t)).otherwise(none))
-    keep = [F.col("_p.text").alias(c) if c == text else F.col(c) for c in docs.columns if c != "pii"]
-    return out.select(*keep, F.col("_p.pii").alias("pii"))
+    out = docs.select(F.struct(*docs.columns).alias("row"), F.when(t.rlike(HINT), changed(t)).otherwise(none).alias("new"))
+    keep = [F.col("new.text").alias(c) if c == text else F.col(f"row.{c}") for c in docs.columns if c != found]
+    return out.select(*keep, *[F.col("new.pii").alias(name) for name in [found] if name])
 
 
 #: The setting of the session that names the queries' key.

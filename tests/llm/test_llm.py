@@ -451,9 +451,61 @@ def test_bpe_query(spark):
     assert got == {r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
 
+def test_bpe_whole_table_equals_library(spark):
+    import public_tokenizers as p
+    import tiktoken
+
+    sf = "/root/testdata/sf0.01"
+    lib = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=bpe.load_ranks(p.path(bpe.BYTE_BPE)), special_tokens={})
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array(lib.encode_ordinary(r["text"] or ""), "<u4")
+        want.add((r["doc_id"], len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(lib.decode_bytes(ids.tolist())).hexdigest()))
+    assert {tuple(r) for r in bpe.op7_bpe(spark, sf).collect()} == want
+
+
+def test_bpe_odd(spark):
+    """Clashing names, repeated rows, null ids, an empty table and a very long text."""
+    import public_tokenizers as p
+
+    long = "word é中 " * 60_000
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, None), (3, long)], "doc_id long, text string").withColumns({"ids": chat_format.F.lit(1), "n_tokens": chat_format.F.lit("x")})
+    out = bpe.encode_documents(df, p.path(bpe.BYTE_BPE), p.PATTERN)
+    token = {v: k for k, v in bpe.load_ranks(p.path(bpe.BYTE_BPE)).items()}
+    assert sorted(((r["doc_id"], bpe.decode(r["ids"], token).decode()) for r in out.collect()), key=str) == sorted([(1, "a b"), (1, "a b"), (None, "a b"), (2, ""), (3, long)], key=str)
+    assert bpe.encode_documents(df.limit(0), p.path(bpe.BYTE_BPE), p.PATTERN).count() == 0
+
+
 # 9
 
 
+def test_classifier_query_is_the_model(spark):
+    """Every row of the query against the model's plain formula; labels of fold 0 make no difference."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = classifier.fit(docs, labels, "quality")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = classifier.op9_quality_classifier(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        ids, n = classifier.document_features(texts[r["doc_id"]] or "", m.params)
+        plain = m.score((n / n.sum()) @ m.vectors[ids]) if len(ids) else m.score(np.zeros(m.params.dim, np.float32))
+        assert r["score"] == pytest.approx(plain, abs=1e-5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3)
+    other = labels.withColumn("quality", chat_format.F.when(classifier.fold("doc_id") == 0, 1 - chat_format.F.col("quality")).otherwise(chat_format.F.col("quality")))
+    assert (classifier.fit(docs, other, "quality").vectors == m.vectors).all()
+
+
+def test_classifier_clashing_names_ties_and_shared_ids(spark):
+    F = chat_format.F
+    small = classifier.Params(buckets=64, dim=4, sample_rows=5)
+    df = docs_of(spark, [f"word{i % 3} text" for i in range(30)]).withColumns({c: F.lit("mine") for c in ("score", "_y", "y", "ids", "n", "quality")})
+    labels = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(1).alias("text"))
+    got = {r["doc_id"]: r["score"] for r in classifier.score(df, classifier.fit(df, labels, "quality", small)).collect()}
+    assert len(got) == 30 and all(got[i] == got[i % 3] for i in range(30))  # equal texts have equal scores
+    many = spark.createDataFrame([(1, f"text {i}") for i in range(200)], "doc_id long, text string")
+    assert classifier.score(many, classifier.fit(many, labels, "quality", small)).count() == 200
+
+
 def test_classifier_held_out(spark):
     sf = "/root/testdata/sf0.01"
     out = classifier.op9_quality_classifier(spark, sf).toPandas()
@@ -777,5 +829,52 @@ def test_pipeline(spark):
     cut = brute_repeats([got["ngram_join"][i] for i in ids])
     assert got["suffix_dedup"] == {ids[k]: t for k, (_, _, _, b) in cut.items() if (t := b.decode("utf-8", "ignore"))}
     assert set(got["pii"]) == set(got["suffix_dedup"])
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert {r["doc_id"] for r in rows} == set(got["pii"])
+    spark.conf.set(pii.KEY_SETTING, "of the test")
+    try:
+        hidden = corpus_pipeline.hide_personal(spark, docs_like(spark, docs, got["suffix_dedup"]), SF)
+        assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(hidden, "of the test", inverse=True).collect()} == got["suffix_dedup"]
+        last = {r["doc_id"]: r["text"] for r in hidden.collect()}
+        rows = corpus_pipeline.run(spark, SF).toPandas().sort_values(["doc_id", "piece"])
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    t, want = Tokenizer.from_file(p.path("byte_bpe_50k.json")), []
+    for i in sorted(last):
+        ids = np.array([*t.encode(last[i], add_special_tokens=False).ids, 2], "<u4")
+        want += [(i, k, a, n, zlib.crc32(ids[a : a + n].tobytes())) for k, (a, n) in enumerate(packing.cut(len(ids), 1024))]
+    assert list(map(tuple, rows[["doc_id", "piece", "start", "length", "ids_crc32"]].to_numpy())) == want
+    o = rows.sort_values(["sequence_id", "offset"])
+    assert ((o.groupby("sequence_id").length.cumsum() - o.length) == o.offset).all() and o.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def docs_like(spark, docs, texts):
+    return docs.filter(chat_format.F.col("doc_id").isin(list(texts))).drop("text").join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id").select(*docs.columns)
+
+
+def test_pipeline_odd(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and ids, extra columns, and no rows at all, through every stage."""
+    import corpus_pipeline
+
+    F = chat_format.F
+    prose = lambda k, n=80: " ".join(f"{w}{(i * k) % 1_000_003}" for i, w in enumerate(["alpha", "beta", "gamma", "delta"] * (n // 4)))
+    rows = [(1, prose(3), "en", "a", 5), (1, prose(3), "en", "a", 5), (1, prose(5), None, None, None), (None, prose(7), "en", "a", 5), (None, prose(11), "en", "a", 5), (None, prose(7), "en", "b", 5), (2, None, "en", "a", 0), (3, "", "en", "a", 0), (4, "short", "en", "a", 5), (5, prose(13, 40_000), "en", "a", 5), (6, prose(3) + " more", "en", "a", 5)]
+    df = spark.createDataFrame(rows, DOCS)
+    for more in ({}, {c: F.lit("mine") for c in ("s", "rejected_by", "_row", "_cuts", "_each", "row", "node", "pii", "_p", "kind", "comp", "row_key")}):
+        now = df.withColumns(more)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = packing.written(stage(spark, now, SF), "odd")
+            assert now.columns == [*df.columns, *more], name
+            held = now.collect()
+            if name == "ngram_join":
+                # One row of each class of near copies; unlike texts stay, whatever their ids.
+                assert sorted(r["text"] for r in held) == sorted([prose(3), prose(5), prose(7), prose(11), prose(13, 40_000)])
+            assert all(r[c] == "mine" for r in held for c in more)
+        out = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+        assert {r["doc_id"] for r in out} == {r["doc_id"] for r in held} and len(out) >= len(held)
+    now = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = packing.written(stage(spark, now, SF), "none")
+        assert now.count() == 0 and now.columns == df.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() == 0
