@@ -25,7 +25,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by keyed pseudonyms of the same format."""
-    return pii.pseudonymise(docs, pii.session_key(spark)).select(*docs.columns)
+    return pii.pseudonymise(docs, pii.session_key(spark), found=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
