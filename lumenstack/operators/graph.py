@@ -22,11 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: later reads survive lost executors and do not repeat its work."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+def written(df: DataFrame, name: str, instead_of: list[str] | None = None) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: later reads survive lost executors and do not repeat its work.
+
+    `instead_of` holds the path of a table that only this frame is made of; it is deleted, and the new path put in its place.
+    """
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        for old in instead_of:
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+        instead_of[:] = [path]
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -37,7 +46,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     and an empty frame are fine; edges with a null end are none.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct()
-    e = written(e, name)
+    last: list[str] = []
+    e = written(e, name, last)
     state = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -49,4 +59,4 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name, last)

@@ -7,44 +7,72 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .maps import map_traces
+from .ordered import in_order
 
 
 def kalman_stack(frames: DataFrame, key: str = "seq_id", seed: str = "mean", gain: float = 0.5, var: float = 0.05) -> DataFrame:
-    """Frames (key, t, h, w, data) filtered recursively over t; a frame's own maximum scales its error, which couples its pixels."""
+    """Frames (key, t, h, w, data) filtered recursively over t; a frame's own maximum scales its error, which couples its pixels.
 
-    def one(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        x = np.stack(g["data"].to_numpy()).astype(float)
-        p = x.mean(0) if seed == "mean" else x[0].copy()
-        e = np.full_like(p, var)
-        out = []
-        for m in x:
+    The first prediction is the mean of the key's frames, or its first frame.  A task holds two images, however long the stack is.
+    """
+    x = frames.select(key, "t", "h", "w", "data")
+    if seed == "mean":
+        sums = x.select(key, "h", "w", F.posexplode("data").alias("i", "v")).groupBy(key, "i").agg(F.avg("v").alias("v"), F.max("h").alias("h"), F.max("w").alias("w"))
+        mean = sums.groupBy(key).agg(F.max("h").alias("h"), F.max("w").alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("data"))
+        x = x.unionByName(mean.select(key, F.lit(None).cast("long").alias("t"), "h", "w", "data"))  # a null t comes first
+
+    def make(k):
+        p, e = None, None
+
+        def step(row) -> list[tuple]:
+            nonlocal p, e
+            if row is None:
+                return []
+            m = np.asarray(row.data, float)
+            if p is None:
+                p, e = m.copy(), np.full_like(m, var)
+                if seed == "mean":
+                    return []
             kk = 1 + gain * (e / (e + var) - 1)
             c = p + kk * (m - p)
             top = float(p.max()) ** 2
             e = e * (1 - kk) + ((c - p) ** 2 / top if top else 0.0)
-            out.append(c)
             p = c
-        return pd.DataFrame({key: k[0], "t": g["t"], "h": g["h"], "w": g["w"], "data": out})
+            return [(k, row.t, row.h, row.w, c)]
 
-    return frames.groupBy(key).applyInPandas(one, f"{key} {dict(frames.dtypes)[key]}, t long, h int, w int, data array<double>")
+        return step
+
+    return in_order(x, key, ["t"], make, f"{key} {dict(frames.dtypes)[key]}, t long, h int, w int, data array<double>")
 
 
 def track_nearest(candidates: DataFrame, key: str, seed: float, memory: int = 5) -> DataFrame:
     """(key, t, value): at each t the candidate nearest the mean of the last accepted ones; candidates are (key, t, value)."""
 
-    def one(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        last, rows = [seed], []
-        for t, c in g.sort_values(["t", "value"]).groupby("t")["value"]:
-            v = c.to_numpy()
-            best = float(v[np.abs(v - np.mean(last[-memory:])).argmin()])
-            last.append(best)
-            rows.append((k[0], t, best))
-        return pd.DataFrame(rows, columns=[key, "t", "value"])
+    def make(k):
+        last, t, held = [seed], None, []
+
+        def close() -> list[tuple]:
+            mean = np.mean(last[-memory:])
+            best = float(min(held, key=lambda v: (abs(v - mean), v)))
+            last[:] = [*last[-memory:], best]
+            return [(k, t, best)]
+
+        def step(row) -> list[tuple]:
+            nonlocal t
+            out = close() if held and (row is None or row.t != t) else []
+            if row is not None:
+                if row.t != t:
+                    t = row.t
+                    held.clear()
+                held.append(float(row.value))
+            return out
+
+        return step
 
-    return candidates.groupBy(key).applyInPandas(one, f"{key} {dict(candidates.dtypes)[key]}, t long, value double")
+    return in_order(candidates.select(key, "t", "value"), key, ["t", "value"], make, f"{key} {dict(candidates.dtypes)[key]}, t long, value double")
 
 
 def track_kalman(lines: DataFrame, key: str, seed: float, seed_var: float = 4.0, gain: float = 0.25) -> DataFrame:

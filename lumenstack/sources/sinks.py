@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.aggregate import quantiles, roi_trace
+from ..operators.window import dfof
 from . import tiff
 
 
@@ -41,7 +43,7 @@ def read_rois(spark, path: str, schema: str = "tag string, cx double, cy double,
 def lut(cells: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
     """Values cut and scaled to 0 ... 1 for display, between the 1st and 99th percentile unless given."""
     if low is None or high is None:
-        a, b = cells.agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99)))).first()[0]
+        a, b = quantiles(cells, [0.01, 0.99])
         low, high = a if low is None else low, b if high is None else high
     return cells.withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - low) / ((high - low) or 1.0))))
 
@@ -56,12 +58,22 @@ def to_tiff(frames: DataFrame, dtype: str = "float32") -> DataFrame:
     return frames.select("t", "h", "w", "data").mapInPandas(run, "t long, content binary")
 
 
-def save_stack(frames: DataFrame, path: str, dtype: str = "float32", most: int = 4096) -> None:
-    """One multi-page TIFF on the driver's disk, for stacks small enough to open elsewhere."""
-    if frames.count() > most:
-        raise ValueError(f"more than {most} frames; write them with to_tiff")
+def save_stack(frames: DataFrame, path: str, dtype: str = "float32", most_bytes: int = 1 << 28) -> None:
+    """One multi-page TIFF on the driver's disk, for stacks of bounded size that are to be opened elsewhere."""
+    size = frames.agg(F.sum(F.col("h").cast("long") * F.col("w"))).first()[0] or 0
+    if size * 8 > most_bytes:
+        raise ValueError(f"more than {most_bytes} bytes; write the frames with to_tiff")
     rows = sorted(frames.select("t", "h", "w", "data").collect())
     with open(path, "wb") as f:
         f.write(tiff.write_images([np.array(r["data"]).reshape(r["h"], r["w"]).astype(dtype) for r in rows]))
 
 
+def export_roi_signals(cells: DataFrame, rois: DataFrame, path: str, baseline: int | None = None, sep: str = ",") -> None:
+    """The mean trace of each region as a table with a column per tag, as dF/F over the first frames if their number is given."""
+    traces = roi_trace(cells, rois)
+    write_table(traces if baseline is None else dfof(traces, ["tag"], baseline), path, sep)
+
+
+def write_walls(walls: DataFrame, key: str, path: str) -> None:
+    """Tracked walls (key, t, lower, upper) with the diameter, as CSV."""
+    walls.select(key, "t", "lower", "upper", (F.col("upper") - F.col("lower")).alias("diameter")).orderBy(key, "t").write.csv(path, header=True)

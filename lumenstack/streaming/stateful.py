@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordered import in_order
+
 
 def chunk_means(samples: DataFrame, size: str, late: str = "0 seconds") -> DataFrame:
     """Means of tumbling windows of event time; rows later than `late` are dropped."""
@@ -30,20 +32,12 @@ def sessions(samples: DataFrame, gap: str, late: str = "0 seconds") -> DataFrame
     return w.agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")).select("key", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n", "top")
 
 
-class _Once:
-    """The state of a batch: there was none before, and none comes after."""
-
-    exists = False
-
-    def update(self, value: tuple) -> None:
-        pass
-
-
-def _by_key(df: DataFrame, run, out: str, state: str) -> DataFrame:
-    """`run(key, batches, state)` for each key, over a stream or once."""
-    if df.isStreaming:
-        return df.groupBy("key").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
-    return df.groupBy("key").applyInPandas(lambda key, g: next(run(key, iter([g]), _Once())), out)
+def _filter(p: float | None, e: float, m: float, gain: float, var: float) -> tuple[float, float]:
+    """The next prediction and its error."""
+    p = m if p is None else p
+    k = 1 + gain * (e / (e + var) - 1)
+    c = p + k * (m - p)
+    return c, e * (1 - k) + ((c - p) ** 2 / (p * p) if p else 0.0)
 
 
 def kalman(samples: DataFrame, gain: float = 0.5, var: float = 0.05) -> DataFrame:
@@ -51,38 +45,69 @@ def kalman(samples: DataFrame, gain: float = 0.5, var: float = 0.05) -> DataFram
 
     Within a micro-batch samples are taken in order of ts; across them in order of arrival.
     """
+    out = f"key {dict(samples.dtypes)['key']}, ts timestamp, value double"
+
+    def make(k):
+        p, e = None, var
+
+        def step(row) -> list[tuple]:
+            nonlocal p, e
+            if row is None:
+                return []
+            p, e = _filter(p, e, row.value, gain, var)
+            return [(k, row.ts, p)]
+
+        return step
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         p, e = state.get if state.exists else (None, var)
-        rows = pd.concat(list(batches)).sort_values(["ts", "value"])
-        out = []
+        rows, values = pd.concat(list(batches)).sort_values(["ts", "value"]), []
         for m in rows["value"]:
-            p = m if p is None else p
-            k = 1 + gain * (e / (e + var) - 1)
-            c = p + k * (m - p)
-            top = p * p
-            e = e * (1 - k) + ((c - p) ** 2 / top if top else 0.0)
-            out.append(c)
-            p = c
+            p, e = _filter(p, e, m, gain, var)
+            values.append(p)
         state.update((float(p), float(e)))
-        yield pd.DataFrame({"key": key[0], "ts": rows["ts"].to_numpy(), "value": out})
+        yield pd.DataFrame({"key": key[0], "ts": rows["ts"].to_numpy(), "value": values})
 
-    return _by_key(samples, run, f"key {dict(samples.dtypes)['key']}, ts timestamp, value double", "p double, e double")
+    if not samples.isStreaming:
+        return in_order(samples.select("key", "ts", "value"), "key", ["ts", "value"], make, out)
+    return samples.groupBy("key").applyInPandasWithState(run, out, "p double, e double", "append", GroupStateTimeout.NoTimeout)
 
 
 def track(candidates: DataFrame, seed: float, memory: int = 5) -> DataFrame:
     """(key, ts, value): of each time's candidates the one nearest the mean of the last accepted ones."""
+    out = f"key {dict(candidates.dtypes)['key']}, ts timestamp, value double"
+
+    def nearest(last: list[float], values: list[float]) -> float:
+        mean = sum(last[-memory:]) / len(last[-memory:])
+        return float(min(values, key=lambda v: (abs(v - mean), v)))
+
+    def make(k):
+        last, ts, held = [seed], None, []
+
+        def step(row) -> list[tuple]:
+            nonlocal ts
+            found = []
+            if held and (row is None or row.ts != ts):
+                last[:] = [*last[-memory:], nearest(last, held)]
+                found = [(k, ts, last[-1])]
+            if row is not None:
+                if row.ts != ts:
+                    ts = row.ts
+                    held.clear()
+                held.append(row.value)
+            return found
+
+        return step
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = list(state.get[0]) if state.exists else [seed]
-        rows = pd.concat(list(batches)).sort_values(["ts", "value"])
-        out = []
-        for ts, g in rows.groupby("ts"):
-            mean = sum(last[-memory:]) / len(last[-memory:])
-            best = min(g["value"], key=lambda v: (abs(v - mean), v))
-            last.append(float(best))
-            out.append((key[0], ts, float(best)))
+        found = []
+        for ts, g in pd.concat(list(batches)).groupby("ts"):
+            last.append(nearest(last, list(g["value"])))
+            found.append((key[0], ts, last[-1]))
         state.update((last[-memory:],))
-        yield pd.DataFrame(out, columns=["key", "ts", "value"])
+        yield pd.DataFrame(found, columns=["key", "ts", "value"])
 
-    return _by_key(candidates, run, f"key {dict(candidates.dtypes)['key']}, ts timestamp, value double", "last array<double>")
+    if not candidates.isStreaming:
+        return in_order(candidates.select("key", "ts", "value"), "key", ["ts", "value"], make, out)
+    return candidates.groupBy("key").applyInPandasWithState(run, out, "last array<double>", "append", GroupStateTimeout.NoTimeout)
