@@ -531,16 +531,31 @@ def dft_band_power(s, d):
     return rounded(maps.band_power(trace_cells(s, d), 64, 4 / 64, 10 / 64), "value")
 
 
-@query()
+def _cwt_sql(freqs: list[float], start: int = 0, stop: int = 64) -> str:
+    """CTEs up to en (row, col, f, t, e): Morlet energy by the discrete Fourier transform of traces of 64 samples."""
+    psi = "pow(pi(), -0.25) * sqrt(2 * pi() * (6 / (2 * pi() * f))) * exp(-0.5 * pow(6 / (2 * pi() * f) * (2 * pi() * k / 64) - 6, 2))"
+    return f"""WITH {TRACES}, z AS (SELECT row, col, t, value - avg(value) OVER (PARTITION BY row, col) AS v FROM tr),
+sp AS MATERIALIZED (SELECT row, col, k, sum(v * cos(2 * pi() * k * t / 64)) AS re, -sum(v * sin(2 * pi() * k * t / 64)) AS im FROM z, (SELECT unnest(range(1, 32)) AS k) GROUP BY 1, 2, 3),
+ps AS MATERIALIZED (SELECT f, k, t, {psi} / 64 * cos(2 * pi() * k * t / 64) AS c, {psi} / 64 * sin(2 * pi() * k * t / 64) AS s FROM (SELECT unnest({freqs}::DOUBLE[]) AS f), (SELECT unnest(range(1, 32)) AS k), (SELECT unnest(range({start}, {stop})) AS t)),
+en AS (SELECT row, col, f, t, pow(sum(re * c - im * s), 2) + pow(sum(re * s + im * c), 2) AS e FROM sp JOIN ps USING (k) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"{_cwt_sql([0.05, 0.1, 0.2], 10, 50)} SELECT row, col, {R.format('avg(e)')} AS value FROM en GROUP BY 1, 2")
 def cwt_energy_map(s, d):
     return rounded(maps.cwt_map(traces_emb(s, d), [0.05, 0.1, 0.2], 10, 50), "value")
 
 
-@query()
+@query(f"""{_cwt_sql([0.05, 0.1, 0.15, 0.2, 0.3], 10, 50)}, m AS (SELECT row, col, f, avg(e) AS e FROM en GROUP BY 1, 2, 3), l AS (SELECT row, col, regr_slope(e, f) AS b, regr_intercept(e, f) AS a FROM m GROUP BY 1, 2)
+SELECT row, col, CASE WHEN max(e - a - b * f) >= 1e-7 THEN arg_max(f, e - a - b * f) END AS value FROM m JOIN l USING (row, col) GROUP BY 1, 2""")
 def cwt_freq_map(s, d):
     return maps.cwt_freqmap(traces_emb(s, d), [0.05, 0.1, 0.15, 0.2, 0.3], 10, 50)
 
 
+@query(f"{_cwt_sql([0.1, 0.2])} SELECT f AS freq, t, {R.format('avg(e)')} AS value FROM en GROUP BY 1, 2")
+def cwt_mean_surface(s, d):
+    return rounded(maps.avg_energy(traces_emb(s, d), [0.1, 0.2]), "value")
+
+
 # Clusters and decompositions.
 
 
@@ -610,11 +625,22 @@ def kmeans(s, d):
     return rounded(cluster.cluster_stats(cluster.assign(p, cluster.kmeans(p, _seeds(p, 10), 6))), "distortion")
 
 
-@query()
+def _som_sql(epochs: int) -> str:
+    """CTEs c0 ... c(epochs): centres of a 3 x 3 map after each epoch, from the sums of the points that each has won."""
+    out = [f"WITH {P}", "c0 AS (SELECT id AS label, x AS c FROM p WHERE id < 9)"]
+    for i in range(epochs):
+        out.append(_assigned_sql(i))
+        out.append(f"m{i} AS (SELECT label, k, sum(v) AS s, count(*) AS n FROM (SELECT label, unnest(range(len(x))) AS k, unnest(x) AS v FROM a{i}) GROUP BY 1, 2)")
+        h = f"exp(-(pow(l // 3 - label // 3, 2) + pow(l % 3 - label % 3, 2)) / pow(2.0::DOUBLE * pow(0.9::DOUBLE, {i}), 2))"
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT l AS label, list(v ORDER BY k) AS c FROM (SELECT l, k, sum({h} * s) / sum({h} * n) AS v FROM m{i}, range(9) g(l) GROUP BY 1, 2) GROUP BY 1)")
+    return ", ".join([*out, _assigned_sql(epochs)])
+
+
+@query(f"{_som_sql(3)} SELECT label, count(*) AS mass, {R.format('avg(d)')} AS distortion FROM a3 GROUP BY 1")
 def som(s, d):
     p = _points(s, d)
     m = cluster.som(p, (3, 3), _seeds(p, 9), 3)
-    return cluster.cluster_stats(cluster.assign(p, m))
+    return rounded(cluster.cluster_stats(cluster.assign(p, m)), "distortion")
 
 
 @query(f"""SELECT round(degrees(atan2(2 * covar_pop(l_discount * 100, l_quantity), var_pop(l_quantity) - var_pop(l_discount * 100)) / 2), 6) AS angle,
@@ -735,7 +761,26 @@ def starlet3d(s, d):
     return rounded(wavelet.decompose3d(cube_events(s, d), 2, 30), "value")
 
 
-@query()
+def _hybrid_sql() -> str:
+    """CTEs h1 and h2: what the two levels of the hybrid pyramid leave."""
+    out, source = [f"WITH {STACK}"], "st"
+    for j, reach in enumerate((2, 4)):
+        out.append(_median_sql(j, source, f"q{j}", reach))
+        out.append(f"w{j} AS MATERIALIZED (SELECT t, row, col, x.value AS x, q.value AS q, x.value - q.value AS w FROM {source} x JOIN q{j} q USING (t, row, col))")
+        out.append(f"d{j} AS (SELECT t, median(w) AS m FROM w{j} WHERE w <> 0 GROUP BY t), n{j} AS (SELECT t, 5 * median(abs(w - m)) / 0.6745::DOUBLE AS th FROM w{j} JOIN d{j} USING (t) WHERE w <> 0 GROUP BY t)")
+        out.append(f"g{j} AS MATERIALIZED (SELECT t, row, col, CASE WHEN abs(w) > coalesce(th, 0) THEN q ELSE x END AS value FROM w{j} LEFT JOIN n{j} USING (t))")
+        source = f"g{j}"
+        for i in range(j + 1):
+            for axis in ("row", "col"):
+                out.append(_pass_sql(source, f"g{j}{i}{axis}", axis, 8, 2**i, "t row col"))
+                source = f"g{j}{i}{axis}"
+        out.append(f"h{j + 1} AS (SELECT * FROM {source})")
+        source = f"h{j + 1}"
+    return ", ".join(out)
+
+
+@query(f"""{_hybrid_sql()} SELECT t, 0::BIGINT AS level, row, col, {R.format('st.value - h1.value')} AS value FROM st JOIN h1 USING (t, row, col) UNION ALL
+SELECT t, 1, row::INTEGER, col::INTEGER, {R.format('h1.value - h2.value')} FROM h1 JOIN h2 USING (t, row, col) UNION ALL SELECT t, 2, row::INTEGER, col::INTEGER, {R.format('value')} FROM h2""")
 def hybrid_pyramid2d(s, d):
     return rounded(wavelet.decompose2d(layout.to_frames(stack_emb(s, d)), 2, "hybrid"), "value")
 
