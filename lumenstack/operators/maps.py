@@ -155,3 +155,24 @@ def avg_energy(traces: DataFrame, freqs: list[float]) -> DataFrame:
                 yield pd.DataFrame({"freq": f[k.ravel()], "t": t.ravel(), "s": e.ravel(), "n": len(b)})
 
     return traces.select("v").mapInPandas(run, "freq double, t long, s double, n long").groupBy("freq", "t").agg((F.sum("s") / F.sum("n")).alias("value"))
+
+
+def spectra(traces: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, k, power): power of the discrete Fourier transform of traces of n samples less their mean, for k from 1 to n / 2.
+
+    A sample is met with each frequency, so this is for the traces of regions, not for all pixels.
+    """
+    mean = F.avg("value").over(Window.partitionBy(*keys))
+    x = traces.withColumn("_v", F.col("value") - mean).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n // 2))))
+    turn = F.lit(2 * np.pi / n) * F.col("k") * F.col("t")
+    parts = x.groupBy(*keys, "k").agg(F.sum(F.col("_v") * F.cos(turn)).alias("_c"), F.sum(F.col("_v") * F.sin(turn)).alias("_s"))
+    return parts.select(*keys, "k", (F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")).alias("power"))
+
+
+def spectrograms(traces: DataFrame, keys: list[str], size: int, step: int) -> DataFrame:
+    """(keys, part, k, power): spectra of whole windows of `size` samples that begin at multiples of `step`."""
+    reach = -(-size // step)
+    x = traces.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda j: F.floor(F.col("t") / step) - j)))
+    x = x.withColumn("t", F.col("t") - F.col("part") * step).filter((F.col("part") >= 0) & (F.col("t") < size))
+    whole = x.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "part"))).filter(F.col("_n") == size).drop("_n")
+    return spectra(whole, [*keys, "part"], size)

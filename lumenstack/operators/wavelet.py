@@ -302,3 +302,32 @@ def rebuild(coefs: np.ndarray, supp: np.ndarray, rounds: int = 5) -> np.ndarray:
         x = np.maximum(0, x + a * step * u)
         step *= 0.9
     return x
+
+
+def rebuild_cg(coefs: np.ndarray, supp: np.ndarray, rounds: int = 30, tol: float = 1e-9) -> np.ndarray:
+    """A non-negative image whose starlet coefficients agree best, in squares, with the significant ones, by conjugate gradients."""
+    level = len(coefs) - 1
+
+    def back(w: np.ndarray) -> np.ndarray:
+        """The transpose of the masked transform, whose filters are symmetric but for the edges."""
+        out = np.zeros(w.shape[1:])
+        for j in range(level + 1):
+            y = w[j] * supp[j]
+            for i in range(j):
+                y = smooth2d(y, 2**i)
+            out += y - smooth2d(y, 2**j) if j < level else y
+        return out
+
+    x = (coefs * supp).sum(0)
+    r = back(coefs - starlet2d(x, level))
+    d, size = r.copy(), (r**2).sum()
+    first = size
+    for _ in range(rounds):
+        if size <= tol * first:
+            break
+        q = back(starlet2d(d, level))
+        a = size / max((d * q).sum(), 1e-300)
+        x, r = x + a * d, r - a * q
+        size, before = (r**2).sum(), size
+        d = r + size / before * d
+    return np.maximum(x, 0)

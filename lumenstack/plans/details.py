@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import curves
-from ..operators import aggregate, cluster, layout, spatial, wavelet, window
-from .registry import DIST, IMG, MAD_SQL, PX, REG, P, R, V, _bin, _cells, _img, _points, _seeds, _starlet_sql, query, rounded
+from ..operators import aggregate, cluster, layout, maps, spatial, wavelet, window
+from .registry import DIST, IMG, MAD_SQL, PX, REG, ROI_TRACE, P, R, V, _bin, _cells, _img, _points, _seeds, _starlet_sql, query, rounded
 from .views import CUBE, STACK, TRACES, cube_events, rois, stack_emb, trace_cells, traces_emb
 
 # Aggregates and time.
@@ -184,6 +184,22 @@ def remove_plane(s, d):
     return rounded(spatial.remove_plane(cube_events(s, d)), "value")
 
 
+# Spectra of regions.
+
+
+@query(f"{ROI_TRACE}, z AS (SELECT tag, t, value - avg(value) OVER (PARTITION BY tag) AS v FROM rt) SELECT tag, k::INTEGER AS k, round(pow(sum(v * cos(2 * pi() * k * t / 30)), 2) + pow(sum(v * sin(2 * pi() * k * t / 30)), 2), 4) + 0.0 AS power FROM z, (SELECT unnest(range(1, 16)) AS k) GROUP BY 1, 2")
+def roi_spectra(s, d):
+    x = maps.spectra(aggregate.roi_trace(cube_events(s, d), rois(s)), ["tag"], 30)
+    return x.withColumn("power", F.round("power", 4) + 0.0)
+
+
+@query(f"""{ROI_TRACE}, w AS (SELECT tag, g AS wn, t - g * 5 AS t, value FROM rt, (SELECT unnest(range(6)) AS g) WHERE t >= g * 5 AND t < g * 5 + 10), z AS (SELECT tag, wn, t, value - avg(value) OVER (PARTITION BY tag, wn) AS v FROM w WHERE wn <= 4)
+SELECT tag, wn AS part, k::INTEGER AS k, round(pow(sum(v * cos(2 * pi() * k * t / 10)), 2) + pow(sum(v * sin(2 * pi() * k * t / 10)), 2), 4) + 0.0 AS power FROM z, (SELECT unnest(range(1, 6)) AS k) GROUP BY 1, 2, 3""")
+def roi_spectrograms(s, d):
+    x = maps.spectrograms(aggregate.roi_trace(cube_events(s, d), rois(s)), ["tag"], 10, 5)
+    return x.withColumn("power", F.round("power", 4) + 0.0)
+
+
 # Distances and clusters.
 
 

@@ -344,6 +344,10 @@ def test_deeper_wavelets(spark):
     coefs = wavelet.starlet2d(x, 3)
     assert np.abs(wavelet.rebuild(coefs, np.abs(coefs) > 0.05) - x).max() < 1.0
     assert np.allclose(wavelet.hybrid_pyramid(x, 3).sum(0), x)
+    supp = np.abs(coefs) > 0.02
+    far = lambda y: (((coefs - wavelet.starlet2d(y, 3)) * supp) ** 2).sum()
+    best = wavelet.rebuild_cg(coefs, supp)
+    assert np.abs(best - x).max() < 0.05 and far(best) < 0.1 * far(np.maximum((coefs * supp).sum(0), 0)) and far(best) < 1e-6 * far(0 * x)
 
 
 def test_concat_counts_from_zero(spark):
