@@ -371,3 +371,93 @@ def mask_union(s, d):
 @query(f"WITH {TRACES}, r AS (SELECT * FROM (VALUES ('a', 2.0::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE)) v(tag, cx, cy, rr)) SELECT tag, t, {R.format('avg(value)')} AS value FROM tr JOIN r ON (col - cx) * (col - cx) + (row - cy) * (row - cy) <= rr * rr GROUP BY 1, 2")
 def roi_of_traces(s, d):
     return rounded(aggregate.roi_trace(trace_cells(s, d), s.createDataFrame([("a", 2.0, 1.0, 1.5)], rois(s).schema)), "value")
+
+
+@query(f"{ROI_TRACE} SELECT t, " + ", ".join(f"round(max(value) FILTER (tag = '{t}'), 6) + 0.0 AS {t}" for t in ("r01", "r02", "r03", "r04")) + " FROM rt GROUP BY t")
+def wide_table(s, d):
+    from ..sources import sinks
+
+    x = sinks.wide(aggregate.roi_trace(cube_events(s, d), rois(s)), ["r01", "r02", "r03", "r04"])
+    return rounded(x, *x.columns[1:])
+
+
+@query(f"WITH {CUBE}, q AS (SELECT quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM cube) SELECT t, row, col, {R.format('greatest(0, least(1, (value - a) / (b - a)))')} AS value FROM cube, q")
+def display_range(s, d):
+    from ..sources import sinks
+
+    return rounded(sinks.lut(cube_events(s, d)), "value")
+
+
+@query(f"WITH {CUBE} SELECT (t // 3)::BIGINT AS t, (t % 3)::INTEGER AS ch, row, col, {V} FROM cube")
+def unmix_planes(s, d):
+    from ..sources import images
+
+    return rounded(images.unmix_planes(cube_events(s, d), 3), "value").select("t", "ch", "row", "col", "value")
+
+
+@query(f"WITH {CUBE} SELECT (t * 4 + col // 2 - 1)::BIGINT AS t, row, (col % 2)::INTEGER AS col, {V} FROM cube WHERE t = 0 AND col >= 2")
+def cut_strip(s, d):
+    from ..sources import images
+
+    return rounded(images.cut_strip(cube_events(s, d).filter("t = 0"), 2), "value").select("t", "row", "col", "value")
+
+
+@query("SELECT name, t, c FROM (SELECT DISTINCT 's' || user_id::VARCHAR || '_t' || (user_id % 9)::VARCHAR || '_c' || (user_id % 2)::VARCHAR || '.tif' AS name, user_id % 9 AS t, user_id % 2 AS c FROM events)")
+def axes_of_names(s, d):
+    from ..sources import images
+
+    u = F.col("user_id")
+    e = s.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("dir/s"), u.cast("string"), F.lit("_t"), (u % 9).cast("string"), F.lit("_c"), (u % 2).cast("string"), F.lit(".tif")).alias("path")).distinct()
+    return images.axes_of_names(e, r"_t(\d+)_c(\d+)\.tif$", ["t", "c"]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "t", "c")
+
+
+# Registration and tracks.
+
+
+@query(f"WITH {CUBE} SELECT c.t, c.row, c.col, {R.format('s.value')} AS value FROM cube c JOIN cube s ON s.t = c.t AND s.row = greatest(c.row - CASE WHEN c.t % 2 = 0 THEN 1 ELSE 0 END, 0) AND s.col = least(c.col + CASE WHEN c.t % 2 = 0 THEN 2 ELSE 0 END, 7)")
+def apply_warps(s, d):
+    """Even frames moved by whole pixels; the others have no warp."""
+    from ..operators import register
+
+    warps = s.range(0, 30, 2).select(F.col("id").alias("t"), F.lit("shift").alias("model"), F.array(F.lit(1.0), F.lit(-2.0)).alias("params"))
+    return rounded(layout.frames_to_cells(register.apply_warps(layout.to_frames(cube_events(s, d)), warps)), "value")
+
+
+@query(f"""WITH RECURSIVE {CUBE}, obj AS (SELECT t, row * 2 // 3 AS obj, row, col, value FROM cube WHERE value > 65.0), h AS (SELECT DISTINCT a.t, a.obj, b.t - a.t AS lag, b.t AS t2, b.obj AS obj2 FROM obj a JOIN obj b ON a.row = b.row AND a.col = b.col AND b.t - a.t BETWEEN 1 AND 3),
+f AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY t, obj ORDER BY lag) AS r FROM h) WHERE r = 1), pk AS (SELECT t, obj, arg_max(row, (value, -row, -col)) AS pr, arg_max(col, (value, -row, -col)) AS pc FROM obj GROUP BY 1, 2),
+n AS (SELECT f.t, f.obj, f.t2, f.obj2, row_number() OVER (PARTITION BY f.t2, f.obj2 ORDER BY (a.pr - b.pr) * (a.pr - b.pr) + (a.pc - b.pc) * (a.pc - b.pc), f.t, f.obj) AS k FROM f JOIN pk a ON f.t = a.t AND f.obj = a.obj JOIN pk b ON f.t2 = b.t AND f.obj2 = b.obj),
+o AS (SELECT DISTINCT t, obj, t * (SELECT max(obj) + 1 FROM obj) + obj AS id FROM obj), l AS (SELECT x.id AS a, y.id AS b FROM n JOIN o x ON x.t = n.t AND x.obj = n.obj JOIN o y ON y.t = n.t2 AND y.obj = n.obj2 WHERE k = 1), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+w(node, root) AS (SELECT id, id FROM o UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b), c AS (SELECT node, min(root) AS track FROM w GROUP BY node), x AS (SELECT track, t, obj, min(t) OVER (PARTITION BY track) AS first, max(t) OVER (PARTITION BY track) AS last FROM o JOIN c ON c.node = o.id)
+SELECT track::BIGINT AS track, t, obj::BIGINT AS obj, first, last FROM x WHERE last - first + 1 >= 5""")
+def linked_objects(s, d):
+    from ..operators import objects
+
+    o = cube_events(s, d).filter("value > 65.0").withColumn("obj", F.floor(F.col("row") * 2 / 3))
+    return objects.linked_objects(o, 5)
+
+
+# Algebra: what must hold of the axes.
+
+
+@query("SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM range(6) a(i), range(6) b(j)")
+def whitening(s, d):
+    """The covariance of whitened points: 1 on the diagonal, 0 elsewhere."""
+    from ..operators import linalg
+
+    p = _points(s, d)
+    mean, white = linalg.whitening(p, 6)
+    x = linalg.project(p, mean, white).select(F.posexplode("p").alias("i", "v"), "p").select("i", "v", F.posexplode("p").alias("j", "w"))
+    c = x.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.covar_pop("v", "w").alias("value"))
+    return rounded(c, "value")
+
+
+@query(f"WITH {P} SELECT {R.format('sum(v)')} AS total FROM (SELECT var_pop(x) AS v FROM (SELECT unnest(range(len(x))) AS i, unnest(x) AS x FROM p) GROUP BY i)")
+def pca_total_variance(s, d):
+    from ..operators import linalg
+
+    return s.createDataFrame([(round(float(linalg.pca(_points(s, d), 64)[2].sum()), 6),)], "total double")
+
+
+@query(f"WITH {TRACES}, a AS (SELECT stddev_pop(value) AS s FROM tr), b AS (SELECT stddev_pop(value) FILTER (abs(value) < 3 * s) AS s FROM tr, a), c AS (SELECT stddev_pop(value) FILTER (abs(value) < 3 * s) AS s FROM tr, b), e AS (SELECT stddev_pop(value) FILTER (abs(value) < 3 * s) AS s FROM tr, c) SELECT {R.format('s / 0.7235::DOUBLE')} AS sigma FROM e")
+def sigma_kclip(s, d):
+    return s.createDataFrame([(round(wavelet.sigma_kclip(trace_cells(s, d)), 6),)], "sigma double")
