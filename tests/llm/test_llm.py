@@ -861,18 +861,18 @@ def test_pipeline_odd(spark):
     prose = lambda k, n=80: " ".join(f"{w}{(i * k) % 1_000_003}" for i, w in enumerate(["alpha", "beta", "gamma", "delta"] * (n // 4)))
     rows = [(1, prose(3), "en", "a", 5), (1, prose(3), "en", "a", 5), (1, prose(5), None, None, None), (None, prose(7), "en", "a", 5), (None, prose(11), "en", "a", 5), (None, prose(7), "en", "b", 5), (2, None, "en", "a", 0), (3, "", "en", "a", 0), (4, "short", "en", "a", 5), (5, prose(13, 40_000), "en", "a", 5), (6, prose(3) + " more", "en", "a", 5)]
     df = spark.createDataFrame(rows, DOCS)
-    for more in ({}, {c: F.lit("mine") for c in ("s", "rejected_by", "_row", "_cuts", "_each", "row", "node", "pii", "_p", "kind", "comp", "row_key")}):
-        now = df.withColumns(more)
-        for name, stage in corpus_pipeline.STAGES[:-1]:
-            now = packing.written(stage(spark, now, SF), "odd")
-            assert now.columns == [*df.columns, *more], name
-            held = now.collect()
-            if name == "ngram_join":
-                # One row of each class of near copies; unlike texts stay, whatever their ids.
-                assert sorted(r["text"] for r in held) == sorted([prose(3), prose(5), prose(7), prose(11), prose(13, 40_000)])
-            assert all(r[c] == "mine" for r in held for c in more)
-        out = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
-        assert {r["doc_id"] for r in out} == {r["doc_id"] for r in held} and len(out) >= len(held)
+    more = {c: F.lit("mine") for c in ("s", "rejected_by", "_row", "_cuts", "_each", "row", "node", "pii", "_p", "kind", "comp", "row_key")}
+    now = df.withColumns(more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = packing.written(stage(spark, now, SF), "odd")
+        assert now.columns == [*df.columns, *more], name
+        held = now.collect()
+        if name == "ngram_join":
+            # One row of each class of near copies; unlike texts stay, whatever their ids.
+            assert sorted(r["text"] for r in held) == sorted([prose(3), prose(5), prose(7), prose(11), prose(13, 40_000)])
+        assert all(r[c] == "mine" for r in held for c in more)
+    out = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in held} and len(out) >= len(held)
     now = df.limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = packing.written(stage(spark, now, SF), "none")
