@@ -162,19 +162,19 @@ def _partitions(docs: DataFrame) -> int:
 def common_kmers(docs: DataFrame, rows: int, s: Settings) -> np.ndarray:
     """Hashes of the k-mers that are common in a sample, ascending; at most `most_common` reach the driver.
 
-    The sample is one in so many documents, by hash of doc_id, that about `sample_rows` of `rows` are in it.  It is
+    The sample is one in so many documents, by hash of row_key, that about `sample_rows` of `rows` are in it.  It is
     anchored where it is read, so no row of it moves and it costs the reading of the table.
     """
     every = max(1, rows // s.sample_rows)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    seen = list_anchors(some, s, np.zeros(0, np.uint64)).select("kmer", "doc_id").distinct()
+    some = docs.filter(F.pmod(F.xxhash64("row_key"), F.lit(every)) == 0)
+    seen = list_anchors(some, s, np.zeros(0, np.uint64)).select("kmer", "row_key").distinct()
     enough = s.common * (rows / every) / _partitions(docs)
     top = seen.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 8) & (F.col("n") > enough)).orderBy(F.desc("n"), "kmer").limit(s.most_common)
     return np.sort(np.array([r["kmer"] for r in top.collect()], np.int64).view(np.uint64))
 
 
 def list_anchors(docs: DataFrame, s: Settings, common: np.ndarray) -> DataFrame:
-    """(key, doc_id, text_id, place, kmer): key is the k-mer's hash; place is as `_unpack` has it.
+    """(key, row_key, place, kmer) of the anchors of `docs` (row_key, text): key is the k-mer's hash; place is as `_unpack` has it.
 
     Rows whose k-mer is known to be met again, as it is common or met twice in the same chunk of texts, are marked; all but
     the first of a chunk get keys of their own.
@@ -182,14 +182,14 @@ def list_anchors(docs: DataFrame, s: Settings, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_id"))
+            ids = batch.column("row_key").to_numpy()
             for rows, texts in _chunks(batch, s.chunk_bytes):
                 sizes = np.array([len(t) for t in texts])
                 ends = np.cumsum(sizes)
                 place, h, first, last = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, s)
                 at = np.searchsorted(ends, first, "right")
                 start = (ends - sizes)[at]
-                doc, tid, first_ = ids[rows[at]].astype(np.int64), texts_[rows[at]].astype(np.int64), first - start
+                row, first_ = ids[rows[at]].astype(np.int64), first - start
                 order = np.argsort(h, kind="stable")
                 same = h[order][1:] == h[order][:-1]
                 later, again = np.zeros(len(h), bool), np.zeros(len(h), bool)
@@ -199,19 +199,19 @@ def list_anchors(docs: DataFrame, s: Settings, common: np.ndarray) -> DataFrame:
                     again[order[:-1]] |= same
                 frequent = np.isin(h, common)
                 kind = np.where(frequent, SHORT, COMPARE) | np.where(again | frequent, AGAIN, 0)
-                own = (doc.view(np.uint64) * np.uint64(BASE)) ^ (first_.astype(np.uint64) * np.uint64(INVERSE))
+                own = (row.view(np.uint64) * np.uint64(BASE)) ^ (first_.astype(np.uint64) * np.uint64(INVERSE))
                 key = np.where(later | frequent, own, h).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(doc), pa.array(tid), pa.array(_pack(first_, last - first, place - first, kind)), pa.array(h.view(np.int64))], ["key", "doc_id", "text_id", "place", "kmer"]
+                    [pa.array(key), pa.array(row), pa.array(_pack(first_, last - first, place - first, kind)), pa.array(h.view(np.int64))], ["key", "row_key", "place", "kmer"]
                 )
 
-    return arrow_map(docs, run, "key long, doc_id long, text_id long, place long, kmer long")
+    return arrow_map(docs, run, "key long, row_key long, place long, kmer long")
 
 
 def to_look_at(found: DataFrame) -> DataFrame:
-    """(doc_id, text_id, place) of the anchors whose k-mer is met more than once."""
-    x = found.select("doc_id", "text_id", "place", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"))
-    return x.filter((F.col("place").bitwiseAND(F.lit(AGAIN)) != 0) | (F.col("n") > 1)).select("doc_id", "text_id", "place")
+    """(row_key, place) of the anchors whose k-mer is met more than once."""
+    x = found.select("row_key", "place", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"))
+    return x.filter((F.col("place").bitwiseAND(F.lit(AGAIN)) != 0) | (F.col("n") > 1)).select("row_key", "place")
 
 
 def _short_runs(anchor: int, start: int, span: int, s: Settings) -> list[tuple[int, int, tuple[int, int]]]:
@@ -243,6 +243,8 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
                 data = (text.as_py() or "").encode()
                 for place in sorted(places.as_py()):
                     start, span, off, short = _unpack(place)
+                    if start + span + s.length > len(data):  # of another document of the same key
+                        continue
                     anchor = start + off
                     for begin, run_, core in _short_runs(anchor, start, span, s) if short else [(start, span, (anchor, anchor + s.k))]:
                         piece = data[begin : begin + run_ + s.length]
@@ -484,18 +486,22 @@ def removals(docs: DataFrame, s: Settings = Settings(), store: SuffixStore | Non
     A row without doc_id has no place in the order: it neither loses nor takes anything.  Rows travel whole, so that both
     joins share one exchange of the texts.
     """
-    known, text_id = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_id")
-    packed = docs.select(known, text_id, F.struct(*docs.columns).alias("_row"))
-    long = docs.select(known, text_id, "text").filter((F.octet_length("text") >= s.length) & (F.col("doc_id") != NO_ID))
+    known, text_id = F.coalesce("doc_id", F.lit(NO_ID)), F.xxhash64("text")
+    # One key of 64 bits stands for both in the anchors' rows and in the joins.  Documents that share it look at each other's
+    # places, which are places of their own text like any other, and take back the runs of their own only.
+    key = F.xxhash64(known, text_id).alias("row_key")
+    packed = docs.select(key, known.alias("doc_id"), text_id.alias("text_id"), F.struct(*docs.columns).alias("_row"))
+    long = docs.select(key, "text").filter((F.octet_length("text") >= s.length) & F.col("doc_id").isNotNull())
     if store is None:
         there = to_look_at(list_anchors(long, s, common_kmers(long, docs.count(), s)))
     else:
-        there = list_anchors(long, s, np.zeros(0, np.uint64)).select("doc_id", "text_id", "place")
-    places = there.groupBy("doc_id", "text_id").agg(F.collect_list("place").alias("places"))
-    rows = contexts(packed.join(places, ["doc_id", "text_id"]), s)
+        there = list_anchors(long, s, np.zeros(0, np.uint64)).select("row_key", "place")
+    places = there.groupBy("row_key").agg(F.collect_list("place").alias("places"))
+    rows = contexts(packed.join(places, "row_key"), s)
     runs = store.add(rows, s) if store else repeated_runs(rows.repartition(_partitions(docs), "bucket").sortWithinPartitions("doc_id", "text_id", "start"), s)
-    cuts = runs.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
-    return packed.join(cuts, ["doc_id", "text_id"], "left").select("doc_id", "_row", "_cuts")
+    cuts = runs.groupBy(F.xxhash64("doc_id", "text_id").alias("row_key")).agg(F.collect_list(F.struct("doc_id", "text_id", "start", "stop")).alias("_cuts"))
+    mine = F.filter("_cuts", lambda c: (c["doc_id"] == F.col("doc_id")) & (c["text_id"] == F.col("text_id")))
+    return packed.join(cuts, "row_key", "left").select("doc_id", "_row", mine.alias("_cuts"))
 
 
 def cut_bytes(data: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, int, int]:
