@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import ship
@@ -214,30 +214,29 @@ def to_look_at(found: DataFrame) -> DataFrame:
     return x.filter((F.col("place").bitwiseAND(F.lit(AGAIN)) != 0) | (F.col("n") > 1)).select("row_key", "place")
 
 
-def _short_runs(anchor: int, start: int, span: int, s: Settings) -> list[tuple[int, int, tuple[int, int]]]:
+def _short_runs(anchor: int, start: int, span: int, s: Settings) -> list[tuple[int, int, int]]:
     """(start, run, core) of the windows start ... start + span, cut where their offset before the anchor is a multiple of
-    `short`; the core's bytes lie in every window of such offsets."""
+    `short`; the `length + 1 - short` bytes from the core on lie in every window of such offsets."""
     out = []
     low, high = anchor - start - span, anchor - start  # offsets, the last window's first
     for block in range(low // s.short, high // s.short + 1):
         a, b = max(low, block * s.short), min(high, (block + 1) * s.short - 1)
-        out.append((anchor - b, b - a, (anchor - block * s.short, anchor - (block + 1) * s.short + 1 + s.length)))
+        out.append((anchor - b, b - a, anchor - block * s.short))
     return out
 
 
 def contexts(docs: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, doc_id, text_id, start, span, context) of each listed place of `docs` (doc_id, text_id, _row with text, places).
+    """(doc_id, text_id, start, span, context) of each listed place of `docs` (doc_id, text_id, _row with text, places).
 
-    The context holds `span + 1` windows.  A null context says that all these windows repeat: the same bytes are sent from
-    an earlier place.
+    The context holds as many windows as the lowest 8 bits of `span` say, and one more; the rest is for `bucket`.  A null
+    context says that all these windows repeat: the same bytes are sent from an earlier place.  Rows of a batch come in order of the
+    bytes that deal them out, so that like contexts lie together where the exchange compresses them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        deal = xxhash.xxh3_64_intdigest
+        names = ["doc_id", "text_id", "start", "span", "context"]
         for batch in batches:
-            best: dict[bytes, tuple[int, int, int, int, int]] = {}  # the earliest of equal contexts
+            best: dict[bytes, tuple[int, int, int, int]] = {}  # the earliest of equal contexts
             whole: list[list[int]] = []  # [doc, text, first window, last window] of runs that repeat
             for doc, tid, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text_id").to_pylist(), _texts(batch), batch.column("places"), strict=True):
                 data = (text.as_py() or "").encode()
@@ -246,11 +245,10 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
                     if start + span + s.length > len(data):  # of another document of the same key
                         continue
                     anchor = start + off
-                    for begin, run_, core in _short_runs(anchor, start, span, s) if short else [(start, span, (anchor, anchor + s.k))]:
+                    for begin, run_, core in _short_runs(anchor, start, span, s) if short else [(start, span, anchor)]:
                         piece = data[begin : begin + run_ + s.length]
                         # Equal pieces of unlike anchors cannot be: the anchor depends on the windows alone.
-                        old = best.get(piece)
-                        mine = (doc, tid, begin, run_, deal(data[core[0] : core[1]]) if old is None else old[4])
+                        old, mine = best.get(piece), (doc, tid, begin, run_ | (core - begin) << 8 | short << 16)
                         if old is None:
                             best[piece] = mine
                             continue
@@ -261,14 +259,20 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
                                 whole[-1][3] = max(whole[-1][3], mine[2] + run_)
                             else:
                                 whole.append([mine[0], mine[1], mine[2], mine[2] + run_])
-            # Rows that need no comparison are dealt evenly.
-            out = [(*v, piece) for piece, v in best.items()] + [(doc, tid, a, b - a, (i * BASE) & ((1 << 64) - 1), None) for i, (doc, tid, a, b) in enumerate(whole)]
+            like = sorted(best.items(), key=lambda x: x[0][(x[1][3] >> 8) & 255 :][: s.k])
+            out = [(*v, piece) for piece, v in like] + [(doc, tid, a, b - a, None) for doc, tid, a, b in whole]
             if out:
-                doc, tid, begin, run_, bucket, piece = zip(*out, strict=True)
-                bucket = np.array(bucket, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc, pa.int64()), pa.array(tid, pa.int64()), pa.array(begin, pa.int64()), pa.array(run_, pa.int32()), pa.array(piece, pa.binary())], ["bucket", "doc_id", "text_id", "start", "span", "context"])
+                kinds = [pa.int64()] * 3 + [pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return arrow_map(docs, run, "doc_id long, text_id long, start long, span long, context binary")
+
 
-    return arrow_map(docs, run, "bucket long, doc_id long, text_id long, start long, span int, context binary")
+def bucket(s: Settings) -> Column:
+    """What deals a context out: the hash of its k-mer, or of the bytes that a short run's windows share; rows without bytes go anywhere."""
+    off, short = F.shiftright("span", 8).bitwiseAND(F.lit(255)).cast("int"), F.shiftright("span", 16) == 1
+    core = F.substring("context", off + 1, F.when(short, s.length + 1 - s.short).otherwise(s.k))
+    return F.when(F.col("context").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.xxhash64(core))
 
 
 @dataclass
@@ -461,7 +465,7 @@ class SuffixStore:
             return frame.astype({c: "Int64" for c in ("doc_id", "text_id", "start", "stop", "number")} | {"part": "Int32"})
 
         ship(self.spark)
-        placed = rows.withColumn("part", F.pmod("bucket", F.lit(self.parts)).cast("int"))
+        placed = rows.withColumn("part", F.pmod(bucket(s), F.lit(self.parts)).cast("int"))
         both = placed.groupBy("part").cogroup(self.levels().groupBy("part")).applyInPandas(run, kind)
         path = f"{self.path}/batch-{number:06d}"
         both.withColumn("kind", F.when(F.col("part").isNull(), "runs").otherwise("levels")).write.partitionBy("kind").option("maxRecordsPerFile", 100_000).parquet(path)
@@ -498,7 +502,7 @@ def removals(docs: DataFrame, s: Settings = Settings(), store: SuffixStore | Non
         there = list_anchors(long, s, np.zeros(0, np.uint64)).select("row_key", "place")
     places = there.groupBy("row_key").agg(F.collect_list("place").alias("places"))
     rows = contexts(packed.join(places, "row_key"), s)
-    runs = store.add(rows, s) if store else repeated_runs(rows.repartition(_partitions(docs), "bucket").sortWithinPartitions("doc_id", "text_id", "start"), s)
+    runs = store.add(rows, s) if store else repeated_runs(rows.repartition(_partitions(docs), bucket(s)).sortWithinPartitions("doc_id", "text_id", "start"), s)
     cuts = runs.groupBy(F.xxhash64("doc_id", "text_id").alias("row_key")).agg(F.collect_list(F.struct("doc_id", "text_id", "start", "stop")).alias("_cuts"))
     mine = F.filter("_cuts", lambda c: (c["doc_id"] == F.col("doc_id")) & (c["text_id"] == F.col("text_id")))
     return packed.join(cuts, "row_key", "left").select("doc_id", "_row", mine.alias("_cuts"))
