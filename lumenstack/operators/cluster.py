@@ -92,17 +92,20 @@ def kmeans(points: DataFrame, centres: DataFrame, rounds: int = 50, tol: float =
     return spark.createDataFrame(now, centres.schema)
 
 
-def near_pairs(points: DataFrame, eps: float, pivots: int = 64, block: int = 4096) -> DataFrame:
+def near_pairs(points: DataFrame, eps: float, pivots: int | None = None, block: int = 4096) -> DataFrame:
     """(a, b, distance) of points within eps, a < b, in any number of dimensions.
 
     Every point has the nearest of `pivots` points for its home.  A point x within eps of one at home with q has
     d(x, q) - d(x, home of x) <= 2 eps by the triangle inequality, so x visits only the homes of greater number for which
     that holds, and each pair is met once.  Members and visitors of a home are dealt into blocks by hash, whose pairs are
-    matrix products; only hits leave them.  Pivots are a hash sample of bounded size; they decide the work, not the result.
+    matrix products; only hits leave them.  Pivots are a hash sample, one for each 1024 points and 256 at most unless their number
+    is given; they decide the work, not the result.
     Ids are expected to be unique, points without coordinates have no neighbours.
     """
     spark = points.sparkSession
     p = points.filter(F.col("x").isNotNull()).select("id", "x")
+    if pivots is None:
+        pivots = max(1, min(256, p.count() // 1024))
     centre = [np.asarray(r["x"], float) for r in p.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
     if not centre:
         return spark.createDataFrame([], "a long, b long, distance double")
