@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, classifier, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, topk
+from . import bpe, chat_format, chat_repair, classifier, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, topk
 
 
 def queries() -> dict:
@@ -17,11 +17,12 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_quality_classifier": classifier.op9_quality_classifier,
         "op10_exact_topk": topk.op10_exact_topk,
+        "op12_chat_repair": chat_repair.op12_chat_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_suffix_dedup": suffix_dedup.ORACLE, "op3_chat_format": chat_format.ORACLE, "op4_quality_rules": quality_rules.ORACLE,
-        "op6_ngram_join": ngram_join.ORACLE, "op10_exact_topk": topk.ORACLE,
+        "op6_ngram_join": ngram_join.ORACLE, "op10_exact_topk": topk.ORACLE, "op12_chat_repair": chat_repair.ORACLE,
     }
