@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, chat_repair, classifier, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, topk
+from . import bpe, chat_format, chat_repair, classifier, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, token_count, topk
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_quality_classifier": classifier.op9_quality_classifier,
         "op10_exact_topk": topk.op10_exact_topk,
+        "op11_token_counts": token_count.op11_token_counts,
         "op12_chat_repair": chat_repair.op12_chat_repair,
     }
 
