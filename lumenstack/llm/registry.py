@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, chat_repair, classifier, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, token_count, topk
+from . import align, bpe, chat_format, chat_repair, classifier, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, token_count, topk
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_exact_topk": topk.op10_exact_topk,
         "op11_token_counts": token_count.op11_token_counts,
         "op12_chat_repair": chat_repair.op12_chat_repair,
+        "op13_alignment": align.op13_alignment,
     }
 
 

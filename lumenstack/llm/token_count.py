@@ -37,8 +37,8 @@ class Vocabulary(NamedTuple):
     blank: str
 
 
-def _byte_level(path: str) -> Vocabulary:
-    import regex
+def byte_level(path: str):
+    """(tiktoken's encoding, bytes of each id, added tokens) of a `.json` file of byte-level BPE."""
     import tiktoken
 
     from .packing import added_tokens
@@ -57,28 +57,40 @@ def _byte_level(path: str) -> Vocabulary:
     made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     if [model["vocab"][t] for t in made] != sorted(model["vocab"][t] for t in made):
         raise ValueError(f"{path}: ids are not in the order of the merges")
-    if any(regex.search(r"\S\s", t) for t in added):
-        raise ValueError(f"{path}: an added token holds a blank, so that no place is proven stable")
     from public_tokenizers import PATTERN
 
     encoding = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    special = set(added)
-    width = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
-    for t, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
+    return encoding, {i: t for t, i in ranks.items()} | {i: t.encode() for t, i in added.items()}, added
+
+
+def _byte_level(path: str) -> Vocabulary:
+    import regex
+
+    encoding, said, added = byte_level(path)
+    if any(regex.search(r"\S\s", t) for t in added):
+        raise ValueError(f"{path}: an added token holds a blank, so that no place is proven stable")
+    width = np.zeros(max(said) + 1, np.int64)
+    for i, t in said.items():
         width[i] = len(t)
+    special = set(added)
     return Vocabulary(lambda text: encoding.encode(text, allowed_special=special, disallowed_special=()), width, 0, " ")
 
 
-def _pieces(path: str) -> Vocabulary:
+def pieces(path: str):
+    """(sentencepiece's processor, bytes of each id) of a `.model` file whose pieces hold blanks at their beginning alone."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     if any(re.search("[^▁]▁", n) for n in names) or model.normalize(odd := "a  ﬁ é\xa0½ ") != "▁" + odd.replace(" ", "▁"):
         raise ValueError(f"{path}: a piece holds a blank after another character, or texts are normalised, so that no place is proven stable")
-    width = [1 if model.is_byte(i) else len(n.replace("▁", " ").encode()) for i, n in enumerate(names)]
-    lead = sum(width[i] for i in model.encode("a")) - 1
-    return Vocabulary(lambda text: model.encode(text, num_threads=1), np.array(width, np.int64), lead, "▁")
+    return model, [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+
+
+def _pieces(path: str) -> Vocabulary:
+    model, said = pieces(path)
+    width = np.array([len(x) for x in said], np.int64)
+    return Vocabulary(lambda text: model.encode(text, num_threads=1), width, int(width[model.encode("a")].sum()) - 1, "▁")
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
