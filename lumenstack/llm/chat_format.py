@@ -71,7 +71,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 def read_chats(formatted: Column) -> Column:
     """[{role, text}] of a formatted conversation, one for each original turn."""
     blocks = F.slice(F.split(formatted, r"<\|im_start\|>", -1), 2, 1 << 30)
-    head = r"(?s)^((?:[^\\\n]|\\.)*)\n"
+    head = r"(?s)^((?:[^\\\n]++|\\.)*+)\n"
 
     def turns(b: Column) -> Column:
         role = F.regexp_extract(b, head, 1)

@@ -28,7 +28,9 @@ from ._common import let, table
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
 
-EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+#: Repeated groups are bounded and runs of characters possessive in all patterns: a matcher takes the former by recursion.  A
+#: host has at most 127 labels.
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]++\.){1,126}[A-Za-z]{2,}+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -48,7 +50,7 @@ NATIONAL = r"(?<![\d\-+(.])(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d
 PHONE = rf"\+\d{{1,3}}[ .\-]?\(?\d{{2,4}}\)?(?:[ .\-]?\d{{2,4}}){{2,3}}(?!\d)|{NATIONAL}"
 #: Four groups of four first, so that an expiry date or code after them is not taken for more of the number.
 CARD = r"(?<![\d.])(?:(?:\d{4} ){3}\d{4}|(?:\d{4}-){3}\d{4}|\d(?:[ \-]?\d){12,18})(?!\d)"
-HEXKEY = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])"
+HEXKEY = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])"
 NAME = r"(?i:token|secret|password|passwd|api_?key|key) ?[=:] ?[\"']"
 NAMED = rf"(?<![\p{{L}}\p{{N}}_]){NAME}[^\s\"']{{8,}}(?=[\"'])"
 #: In this order at one place; a match that fails its validation is left as it is.
@@ -61,11 +63,13 @@ HINT = r"[0-9@]|(?i:token|secret|passw(?:or)?d|key) ?[=:]|[A-Fa-f]{32}|:[A-Fa-f]
 
 
 def _shift(x: Column, key: str, tweak: Column, other: Column, sign: int, alphabets: tuple[str, ...]) -> Column:
-    """Each character of `x` moved within its alphabet by a keystream of `other`; characters of no alphabet stay."""
+    """Each character of `x` moved within its alphabet by a keystream of `other`; characters of no alphabet stay.
 
-    def move(c: Column, i: Column) -> Column:
-        block = F.sha2(F.concat_ws("|", F.lit(key), tweak, F.floor(i / 16).cast("string"), other), 256)
-        step = F.conv(F.substring(block, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    `other` is hashed once; a block of the keystream, hashed from that digest and its number, moves 16 characters.
+    """
+
+    def move(block: Column, c: Column, i: Column) -> Column:
+        step = F.conv(F.substring(block, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
         out = None
         for a in alphabets:
             at = F.instr(F.lit(a), c)
@@ -73,7 +77,11 @@ def _shift(x: Column, key: str, tweak: Column, other: Column, sign: int, alphabe
             out = F.when(at > 0, to) if out is None else out.when(at > 0, to)
         return out.otherwise(c)
 
-    return F.when(F.length(x) > 0, F.array_join(F.transform(F.split(x, "", -1), move), "")).otherwise(x)
+    def moved(seed: Column) -> Column:
+        parts = F.filter(F.split(x, "(?<=\\G(?s:.{16}))", -1), lambda p: p != "")
+        return F.array_join(F.transform(parts, lambda p, k: let(F.sha2(F.concat_ws("|", seed, k.cast("string")), 256), lambda b: F.array_join(F.transform(F.split(p, "", -1), lambda c, i: move(b, c, i)), ""))), "")
+
+    return F.when(F.length(x) > 0, let(F.sha2(F.concat_ws("|", F.lit(key), tweak, other), 256), moved)).otherwise(x)
 
 
 def feistel(x: Column, key: str, kind: str, rounds: int = 4, inverse: bool = False, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
@@ -162,7 +170,8 @@ def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
     octet = F.split(m, r"\.")
     number = sum((octet[i].cast("long") * (1 << (24 - 8 * i)) for i in range(1, 4)), octet[0].cast("long") * (1 << 24))
     ip = let(_number_feistel(number, key, "ipv4", 16, inverse), lambda n: F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]))
-    card = let(digits(m), lambda d: let(fe(F.substring(d, F.lit(1), F.length(d) - 1), "card"), lambda p: relay(m, F.concat(p, F.pmod(-luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)).cast("string")), r"\d")))
+    # The first digit of a card says who issued it and is kept.
+    card = let(digits(m), lambda d: let(F.concat(F.substring(d, 1, 1), fe(F.substring(d, F.lit(2), F.length(d) - 2), "card")), lambda p: relay(m, F.concat(p, F.pmod(-luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)).cast("string")), r"\d")))
     code = F.regexp_extract(m, r"^\+(\d{1,3}?)(?=[ .\-(])|^\+(\d)", 0)
     abroad = F.concat(code, let(F.substring(m, F.length(code) + 1, F.length(m)), lambda rest: relay(rest, fe(digits(rest), "phone"), r"\d")))
     # A national number keeps its first digit; its exchange does not begin with 0 or 1.

@@ -292,8 +292,9 @@ def test_feistel_brute(spark):
     def brute(x, key, kind, rounds=4):
         def shift(s, tag, other):
             out = []
+            seed = hashlib.sha256(f"{key}|{tag}|{other}".encode()).hexdigest()
             for i, c in enumerate(s):
-                block = hashlib.sha256(f"{key}|{tag}|{i // 16}|{other}".encode()).hexdigest()
+                block = hashlib.sha256(f"{seed}|{i // 16}".encode()).hexdigest()
                 step = int(block[i % 16 * 4 : i % 16 * 4 + 4], 16)
                 a = next((a for a in pii.ALPHABETS if c in a), None)
                 out.append(c if a is None else a[(a.index(c) + step) % len(a)])
@@ -311,6 +312,34 @@ def test_feistel_brute(spark):
     assert len({r[0] for r in spark.range(1000).select(pii.feistel(chat_format.F.lpad(chat_format.F.col("id").cast("string"), 3, "0"), "k", "n")).collect()}) == 1000
 
 
+def test_pii_megabytes(spark):
+    """Nothing in a long text stops the matcher or takes more than linear time."""
+    import time
+
+    n = 1_000_000
+    texts = {
+        "x@" + "a." * 2000 + "com": None, "x@" + "a." * (n // 2) + "com": None, "x@" + "q" * n: None, "x@" + "q" * n + ".com": "email", "0123456789abcdef" * (n // 16): "secret",
+        "7" * n: "secret", 'key="' + "aB3" * (n // 3) + '"': "secret", "a@" * (n // 2): None, "1." * (n // 2): None, "a:" * (n // 2): None, "1-" * (n // 2): None, "q@" + "a." * 120 + "com": "email",
+    }
+    df = docs_of(spark, list(texts))
+    pii.pseudonymise(docs_of(spark, ["a@b.de"]), "k").collect()
+    begin = time.time()
+    out = pii.pseudonymise(df, "k")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert time.time() - begin < 12 + 5 * len(texts)
+    for i, (t, kind) in enumerate(texts.items()):
+        assert [k["kind"] for k in rows[i]["pii"]] == [kind] * (kind is not None) and len(rows[i]["text"]) == len(t) and (rows[i]["text"] == t) == (kind is None)
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "k", inverse=True).collect()} == dict(enumerate(texts))
+
+
+def test_chat_megabytes(spark):
+    F, n = chat_format.F, 1_000_000
+    rows = [(1, 0, "r" * n, "x" * n), (1, 1, "\\" * 100_000, "\\" * n), (1, 2, "\n<|" * 100_000, "<|" * n), (1, 3, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = chat_format.format_chats(df).select(chat_format.read_chats(F.col("formatted")).alias("b")).first()["b"]
+    assert [(b["role"], b["text"]) for b in back] == [(r[2], r[3] or "") for r in rows]
+
+
 # 5
 
 
