@@ -1,96 +1,14 @@
-"""Objects of the multiscale vision model: significant wavelet structures of a frame, linked over scales, then over frames."""
+"""Objects of the multiscale vision model, which `forest` finds frame by frame, linked over frames."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .forest import find_objects
 from .graph import connected_components, written
-from .wavelet import SIGMA_2D, map_frames, starlet2d
 
-
-def label(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Axis-connected regions of an image, numbered from 1 in raster order."""
-    h, w = mask.shape
-    idx = np.where(mask, np.arange(h * w).reshape(h, w), h * w)
-    while True:
-        p = np.pad(idx, 1, constant_values=h * w)
-        new = np.minimum.reduce([idx, p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
-        new = np.where(mask, new, h * w)
-        root = np.append(new.ravel(), h * w)
-        new = np.where(mask, root[new], h * w)
-        if (new == idx).all():
-            break
-        idx = new
-    names = np.unique(idx[mask])
-    out = np.where(mask, np.searchsorted(names, idx) + 1, 0)
-    return out, len(names)
-
-
-def noise(x: np.ndarray) -> float:
-    w = x - starlet2d(x, 1)[-1]
-    return float(np.median(np.abs(w - np.median(w))) / (0.6745 * SIGMA_2D[0]))
-
-
-def find_in_frame(x: np.ndarray, level: int, k: float, min_scales: int, min_pixels: int) -> list[np.ndarray]:
-    """Object images, heaviest first.
-
-    A structure is a connected region of coefficients above k deviations at a scale; it belongs to the structure one
-    scale up that covers its maximum.  A branch that has siblings is an object of its own where the coefficient at its
-    maximum exceeds both that of its nearest branch and the coarser coefficients under its own mask.  An object is rebuilt
-    from the coefficients of its structures, those of the finest scale left out.
-    """
-    sigma = noise(x)
-    coefs = starlet2d(x, level)
-    labels = [label(coefs[j] > k * sigma * SIGMA_2D[j])[0] for j in range(level)]
-    nodes = {}
-    for j in range(level):
-        for n in range(1, labels[j].max() + 1):
-            at = np.flatnonzero(labels[j].ravel() == n)
-            top = at[coefs[j].ravel()[at].argmax()]
-            nodes[j, n] = (int(top), float(coefs[j].ravel()[top]))
-    parent = {}
-    for (j, n), (top, _) in nodes.items():
-        if j + 1 < level and (up := int(labels[j + 1].ravel()[top])):
-            parent[j, n] = (j + 1, up)
-    kids: dict = {}
-    for c, p in parent.items():
-        kids.setdefault(p, []).append(c)
-    width, siblings = x.shape[1], {p: len(c) for p, c in kids.items()}
-    for c in sorted(parent, reverse=True):
-        j, (r, q) = c[0], divmod(nodes[c][0], width)
-        near = min(kids.get(c, []), key=lambda g: (nodes[g][0] // width - r) ** 2 + (nodes[g][0] % width - q) ** 2, default=None)
-        finer = nodes[near][1] if near else 0.0
-        coarser = coefs[j + 1][labels[j] == c[1]].max()
-        if siblings[parent[c]] > 1 and nodes[c][1] > finer and nodes[c][1] > coarser:
-            kids[parent[c]].remove(c)
-            parent[c] = None
-    out = []
-    for root in nodes:
-        if parent.get(root):
-            continue
-        mine, todo = [], [root]
-        while todo:
-            mine.append(c := todo.pop())
-            todo += kids.get(c, [])
-        if len({j for j, _ in mine}) < min_scales:
-            continue
-        img = sum((np.where(labels[j] == n, coefs[j], 0) for j, n in mine if j > 0), np.zeros(x.shape))
-        if (img > 0).sum() > min_pixels:
-            out.append(np.maximum(img, 0))
-    return sorted(out, key=lambda o: -o.sum())
-
-
-def find_objects(frames: DataFrame, level: int = 4, k: float = 3.0, min_scales: int = 2, min_pixels: int = 4) -> DataFrame:
-    """(t, obj, row, col, value): the non-zero pixels of each frame's objects; frames are independent."""
-
-    def one(t: int, x: np.ndarray):
-        for i, o in enumerate(find_in_frame(x, level, k, min_scales, min_pixels)):
-            for r, c in zip(*np.nonzero(o), strict=True):
-                yield t, i, r, c, o[r, c]
-
-    return map_frames(frames, one, "t long, obj long, row int, col int, value double")
+__all__ = ["find_objects", "link_frames", "linked_objects", "object_stats"]
 
 
 def link_frames(objects: DataFrame, ahead: int = 3) -> DataFrame:

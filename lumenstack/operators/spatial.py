@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from .. import ship
 from .aggregate import REDUCE
-from .graph import connected_components
+from .graph import connected_components, written
 
 CROSS = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
 AXIS = CROSS[1:]
@@ -167,20 +167,58 @@ def opening_of_closing(mask: DataFrame, h: int, w: int) -> DataFrame:
     return on_masks(mask, 2, one)
 
 
-def regions(mask: DataFrame, h: int, w: int, offsets: list[tuple[int, int]] = AXIS) -> DataFrame:
+#: Side of the tiles that are labelled by themselves.
+TILE = 256
+
+
+def label_image(x: np.ndarray, offsets: list[tuple[int, int]] = AXIS) -> np.ndarray:
+    """For each set pixel the least raster number of its region, for the others the image's size."""
+    size = x.size
+    idx = np.where(x, np.arange(size).reshape(x.shape), size)
+    while x.any():
+        new = np.where(x, np.minimum(idx, shifts(idx, offsets, size).min(0)), size)
+        new = np.where(x, np.append(new.ravel(), size)[new], size)  # a pixel's name has a name itself
+        if (new == idx).all():
+            break
+        idx = new
+    return idx
+
+
+def regions(mask: DataFrame, h: int, w: int, offsets: list[tuple[int, int]] = AXIS, tile: int = TILE) -> DataFrame:
     """(t, row, col, region): connected regions of each frame, named by their least pixel number (row * w + col).
 
-    Components of the pixel graph, so a region may be larger than a task; frames of any size.
+    A task labels one tile.  Where frames have several, pixels near a tile's rim meet those of the next one, and only the
+    names that meet become nodes of a graph whose components are found over all tiles; so a region may be larger than a
+    task, and its inside is never an edge.  `offsets` hold each neighbour with its opposite.
     """
-    m = mask.select("t", "row", "col").distinct()
-    number = lambda r, c: (F.col("t") * h + r) * w + c
-    half = [o for o in offsets if o > (0, 0)]
-    there = m.select(F.col("t"), F.col("row"), F.col("col"), number(F.col("row"), F.col("col")).cast("long").alias("b"))
-    # Each edge once: from a pixel to its neighbours further on.
-    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in half]))
-    from_ = there.select(F.col("b").alias("a"), "t", "row", "col", o.alias("o")).select("a", "t", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
-    found = connected_components(from_.join(there, ["t", "row", "col"]).select("a", "b"), "regions")
-    return there.join(found, there["b"] == found["node"], "left").select("t", "row", "col", F.pmod(F.coalesce("root", "b"), F.lit(h * w)).cast("long").alias("region"))
+    kinds = dict(mask.dtypes)
+    schema = f"t {kinds['t']}, row {kinds['row']}, col {kinds['col']}, region long"
+    at = [F.floor(F.col(c) / tile) for c in ("row", "col")]
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = g["row"].min(), g["col"].min()
+        x = np.zeros((g["row"].max() - r0 + 1, g["col"].max() - c0 + 1), bool)
+        x[g["row"] - r0, g["col"] - c0] = True
+        name = label_image(x, offsets)
+        r, c = np.nonzero(x)
+        first = name[r, c]
+        return pd.DataFrame({"t": g["t"].iloc[0], "row": r + r0, "col": c + c0, "region": (first // x.shape[1] + r0) * w + first % x.shape[1] + c0})
+
+    ship(mask.sparkSession)
+    local = mask.select("t", "row", "col").groupBy("t", *at).applyInPandas(lambda _, g: one(g), schema)
+    if h <= tile and w <= tile:
+        return local
+    local = written(local, "tiles")
+    reach = max(max(abs(i), abs(j)) for i, j in offsets)
+    near = [(F.pmod(c, F.lit(tile)) < reach) | (F.pmod(c, F.lit(tile)) >= tile - reach) for c in (F.col("row"), F.col("col"))]
+    rim = local.filter(near[0] | near[1])
+    half = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets if (i, j) > (0, 0)]))
+    there = rim.select("t", "row", "col", F.col("region").alias("other"))
+    met = rim.withColumn("_o", half).select("t", (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"), "region").join(there, ["t", "row", "col"]).filter("region <> other")
+    name = lambda c: F.col("t") * (h * w) + F.col(c)
+    found = connected_components(met.select(name("region").alias("a"), name("other").alias("b")).distinct(), "regions").select("node", F.pmod("root", F.lit(h * w)).alias("_least"))
+    out = local.withColumn("_n", name("region"))
+    return out.join(found, out["_n"] == found["node"], "left").select("t", "row", "col", F.coalesce("_least", "region").alias("region"))
 
 
 def region_stats(labelled: DataFrame, keys: tuple[str, ...] = ("t", "region")) -> DataFrame:

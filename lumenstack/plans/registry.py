@@ -738,11 +738,6 @@ def emd_modes(s, d):
     return tracking.emd(traces_emb(s, d)).select("row", "col", "mode", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
-@query()
-def mvm_objects(s, d):
-    return rounded(objects.find_objects(layout.to_frames(cube_events(s, d)), 2, 1.0, 1, 2), "value")
-
-
 # Rectangles that move, as objects whose links SQL can give too.
 OBJ = "obj AS (SELECT t, row * 2 // 3 AS obj, row, col, value FROM cube WHERE value > 65.0)"
 
@@ -840,7 +835,7 @@ def event_kalman(s, d):
 
 
 def _all() -> None:
-    from . import details  # noqa: F401  registers its queries
+    from . import details, structures  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
