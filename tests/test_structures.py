@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from lumenstack.operators import forest, spatial
+from lumenstack.operators import cluster, forest, spatial
 from lumenstack.sources import images, ranges
 
 F = forest.F
@@ -167,3 +167,56 @@ def test_forest_brute(spark):
     kept = forest.find_objects(frames, 4, 3.0, 2, 6, deblended=False)
     assert kept.select("t", "obj").distinct().count() < len({(r["t"], r["obj"]) for r in found})
     assert forest.find_objects(frames.limit(0), 4).count() == 0
+
+
+def cloud(n, dims, rng):
+    """Clusters of twenty points each, spread over a cube that grows with their number, and one tight heap of copies."""
+    centres = rng.uniform(0, (n / 20) ** (1 / dims) * 4, (max(1, n // 20), dims))
+    x = centres[rng.integers(0, len(centres), n)] + rng.normal(0, 0.3, (n, dims))
+    x[: n // 50] = x[0]
+    return x
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock", "pearson"])
+def test_near_pairs_by_pivot_tree(spark, metric):
+    """Leaves of a few points, so that splits go deep; every pair once, in each metric."""
+    rng = np.random.default_rng(8)
+    x = cloud(900, 3, rng)
+    x[5], eps = 0, {"euclidean": 0.5, "cityblock": 0.8, "pearson": 0.002}[metric]
+    ids = rng.permutation(5000)[: len(x)]
+    p = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(9999, None)], "id long, x array<double>")
+    got = [(r["a"], r["b"], r["distance"]) for r in cluster.near_pairs(p, eps, 4, 16, metric, 12).collect()]
+    if metric == "pearson":
+        u = x - x.mean(1, keepdims=True)
+        norm = np.sqrt((u**2).sum(1))
+        d = np.where((norm[:, None] > 0) & (norm > 0), 1 - (u @ u.T) / np.maximum(norm[:, None] * norm, 1e-300), 9)
+    else:
+        d = sum(np.abs(x[:, None, k] - x[None, :, k]) ** (2 if metric == "euclidean" else 1) for k in range(3))
+        d = np.sqrt(d) if metric == "euclidean" else d
+    i, j = np.nonzero(np.tril(d <= eps + 1e-9, -1))
+    want = {(min(ids[a], ids[b]), max(ids[a], ids[b])): d[a, b] for a, b in zip(i, j, strict=True)}
+    edge = {k for k, v in want.items() if abs(v - eps) < 1e-8}
+    assert len(got) == len({g[:2] for g in got}) and {g[:2] for g in got} - edge == set(want) - edge and len(want) > 900
+    assert all(abs(g[2] - want[g[:2]]) < 1e-7 for g in got if g[:2] in want)
+    assert cluster.near_pairs(p.filter("x is null"), eps, metric=metric).count() == 0
+
+
+def test_pivot_tree_work_per_point(spark):
+    """Pairs compared for each point stay about the same for ten times the points, copies aside."""
+    work = []
+    for n in (2000, 20_000):
+        x = cloud(n, 3, np.random.default_rng(2))[n // 50 :]
+        cells = cluster.near_cells(spark.createDataFrame(list(enumerate(x.tolist())), "id long, x array<double>"), 0.3, leaf=128)
+        sums = cells.groupBy("cell").agg(F.count_if(~F.col("guest")).alias("m"), F.count(F.lit(1)).alias("n")).select(F.sum(F.col("m") * (F.col("n") - F.col("m") / 2))).first()[0]
+        work.append(sums / n)
+    assert work[1] < 2 * work[0] and work[1] < 1000
+
+
+@pytest.mark.parametrize("block", [5, 2048])
+def test_diameters_brute(spark, block):
+    rng = np.random.default_rng(3)
+    shapes = {0: rng.normal(0, 1, (200, 3)), 1: rng.normal(5, 0.1, (1, 3)), 2: np.ones((7, 3)), 3: (lambda a: np.c_[np.cos(a), np.sin(a), 0 * a])(rng.uniform(0, 7, 150)), 4: np.array([[0, 0, 0.0], [3, 4, 0], [3, 4, 0]])}
+    rows = [(k, 1000 * k + i, v.tolist()) for k, x in shapes.items() for i, v in enumerate(x)] + [(0, 77, None)]
+    got = {r["label"]: r["diameter"] for r in cluster.diameters(spark.createDataFrame(rows, "label long, id long, x array<double>"), block).collect()}
+    assert got == pytest.approx({k: np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)).max() for k, x in shapes.items()})
+    assert cluster.diameters(spark.createDataFrame(rows[:0], "label long, id long, x array<double>")).count() == 0
