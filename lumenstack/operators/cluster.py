@@ -360,6 +360,69 @@ def quality_threshold(points: DataFrame, most_diameter: float, key: str) -> Data
     return points.groupBy(key).applyInPandas(one, f"{key} {dict(points.dtypes)[key]}, id long, label long")
 
 
+def qt_clusters(points: DataFrame, most_diameter: float, rounds: int | None = None, metric: str = "euclidean") -> DataFrame:
+    """(id, label): quality-threshold clustering over all tasks; label 0 is the largest cluster, 1 the largest of the rest, and so on.
+
+    A seed's candidate takes, again and again, the point whose farthest member is nearest (ties to the smaller id), while
+    that is nearer than `most_diameter`.  So a candidate needs the seed's near points alone, which near pairs give.  A round
+    takes the largest candidate (ties to the smaller seed) and its points away, and grows those candidates anew whose near
+    points lost one; it is a handful of Spark jobs, so `rounds` bounds their number: points that are left have label -1.
+    Copies count as one point with their number.  Ids are unique; points without coordinates have label -1.
+    """
+    kind = dict(points.dtypes)["id"]
+    ship(points.sparkSession)
+    exact = METRICS[metric][1]
+    same = written(points.filter(F.col("x").isNotNull()).groupBy(F.col("x").cast("array<double>").alias("x")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "points")
+    pairs = near_pairs(same, most_diameter, metric=metric).filter(F.col("distance") < most_diameter).select("a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    near = written(both.join(same.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("seed"), F.col("b").alias("id"), "x", "n"), "near")
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Seeds come one after another; the rows of one are held."""
+
+        def one(g: pd.DataFrame) -> tuple:
+            ids, x, n, seed = g["id"].to_numpy(), np.stack(g["x"].to_numpy()).astype(float), g["n"].to_numpy(), g["seed"].iloc[0]
+            k = int(np.flatnonzero(ids == seed)[0])
+            mine, far = [], np.zeros(len(ids))
+            while True:
+                mine.append(k)
+                far = np.maximum(far, exact(x, x[[k]]))
+                far[k] = np.inf
+                k = int(far.argmin())  # rows are in order of id
+                if far[k] >= most_diameter:
+                    return seed, int(n[mine].sum()), ids[mine].tolist()
+
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            for _, g in b.groupby("seed", sort=False):
+                if held and held[0]["seed"].iloc[0] != g["seed"].iloc[0]:
+                    yield pd.DataFrame([one(pd.concat(held))], columns=["seed", "mass", "members"])
+                    held = []
+                held.append(g)
+        if held:
+            yield pd.DataFrame([one(pd.concat(held))], columns=["seed", "mass", "members"])
+
+    def grown(rows: DataFrame) -> DataFrame:
+        return rows.repartition("seed").sortWithinPartitions("seed", "id").mapInPandas(grow, f"seed {kind}, mass long, members array<{kind}>")
+
+    now = written(grown(near), "candidates")
+    out, k = None, 0
+    while rounds is None or k < rounds:
+        won = written(now.orderBy(F.desc("mass"), "seed").limit(1).select(F.explode("members").alias("id")), "won")
+        if won.isEmpty():
+            break
+        named = won.withColumn("label", F.lit(k))
+        out = named if out is None else out.unionByName(named)
+        gone = out.select("id")
+        touched = near.join(won, "id", "left_semi").select("seed").distinct()
+        left = near.join(touched, "seed", "left_semi").join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "seed"), "seed", "left_anti")
+        now = written(now.join(touched, "seed", "left_anti").unionByName(grown(left)), "candidates")
+        k += 1
+    named = same.select("id", "x").join(out, "id", "left").select("x", "label") if out is not None else same.select("x", F.lit(-1).alias("label"))
+    mine = points.select("id", F.col("x").cast("array<double>").alias("x"))
+    return mine.join(named, "x", "left").select("id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
+
+
 def converging_squares(frames: DataFrame, start: int, least: int, how: str = "mean") -> DataFrame:
     """(t, row, col, size): squares of side `start` above the frame's deviation, shrunk step by step to the best of the four
     that drop one row and one column, down to `least`."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,40 +74,87 @@ def bilinear(x: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
     return (x[y0, x0] * (1 - fx) + x[y0, x1] * fx) * (1 - fy) + (x[y1, x0] * (1 - fx) + x[y1, x1] * fx) * fy
 
 
-def warp(x: np.ndarray, model: str, p: list[float]) -> np.ndarray:
+def spline_coefficients(x: np.ndarray) -> np.ndarray:
+    """Coefficients whose cubic B-spline passes through the image, mirrored at the edges: two recursions along each axis."""
+    pole = math.sqrt(3) - 2
+    for axis in (0, 1):
+        n = x.shape[axis]
+        if n < 2:
+            continue
+        c = np.moveaxis(x, axis, 0).astype(float)
+        # The mirrored signal has period 2n - 2; the first value of the recursion is its sum over all of the past.
+        k = np.arange(1, n - 1)
+        past = c[0] + np.tensordot(pole**k + pole ** (2 * n - 2 - k), c[1:-1], 1) + pole ** (n - 1) * c[-1]
+        out = np.empty_like(c)
+        out[0] = past / (1 - pole ** (2 * n - 2))
+        for i in range(1, n):
+            out[i] = c[i] + pole * out[i - 1]
+        out[-1] = pole / (pole * pole - 1) * (out[-1] + pole * out[-2])
+        for i in range(n - 2, -1, -1):
+            out[i] = pole * (out[i + 1] - out[i])
+        x = np.moveaxis(6 * out, 0, axis)
+    return x
+
+
+def bicubic(x: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Values between the pixels by the cubic spline through them; those of the nearest place inside beyond the edges."""
+    h, w = x.shape
+    c, out = spline_coefficients(x), 0.0
+
+    def parts(at: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = np.clip(at, 0, n - 1)
+        low = np.floor(at).astype(int)
+        f = at - low
+        weights = ((1 - f) ** 3 / 6, (4 - 6 * f**2 + 3 * f**3) / 6, (1 + 3 * f + 3 * f**2 - 3 * f**3) / 6, f**3 / 6)
+        for d, v in zip((-1, 0, 1, 2), weights, strict=True):
+            k = np.abs(low + d) % max(2 * n - 2, 1)
+            yield np.where(k < n, k, 2 * n - 2 - k), v
+
+    across = list(parts(xs, w))
+    for r, v in parts(ys, h):
+        for k, u in across:
+            out = out + v * u * c[r, k]
+    return out
+
+
+SAMPLERS = {1: bilinear, 3: bicubic}
+
+
+def warp(x: np.ndarray, model: str, p: list[float], order: int = 1) -> np.ndarray:
+    """The image resampled where the model says, between pixels by splines of the order (1 or 3)."""
     h, w = x.shape
+    between = SAMPLERS[order]
     r, c = np.mgrid[:h, :w].astype(float)
     if model == "shift":
-        return bilinear(x, r - p[0], c - p[1])
+        return between(x, r - p[0], c - p[1])
     if model == "affine":
         y0, x0 = r - (h - 1) / 2, c - (w - 1) / 2
-        return bilinear(x, r + p[0] + p[1] * y0 + p[2] * x0, c + p[3] + p[4] * y0 + p[5] * x0)
+        return between(x, r + p[0] + p[1] * y0 + p[2] * x0, c + p[3] + p[4] * y0 + p[5] * x0)
     if model == "homography":
         s = max(h, w) / 2
         ys, xs, _ = _project(np.asarray(p), (r - (h - 1) / 2) / s, (c - (w - 1) / 2) / s)
-        return bilinear(x, ys * s + (h - 1) / 2, xs * s + (w - 1) / 2)
+        return between(x, ys * s + (h - 1) / 2, xs * s + (w - 1) / 2)
     if model == "mesh":
         n, m, size = map(int, p[:3])
         step = max(size // 3, 1)
         ry, cx = np.arange(min(size // 2, h // 2), h, step), np.arange(min(size // 2, w // 2), w, step)
         dy, dx = (_spread_mesh(d, ry, cx, h, w) for d in np.reshape(p[3:], (2, n, m)))
-        return bilinear(x, r + dy, c + dx)
+        return between(x, r + dy, c + dx)
     if model == "line_scan":
         base = _hats(h, w, int(p[0]))
         dy, dx = (base @ np.asarray(d) for d in np.reshape(p[1:], (2, -1)))
-        return bilinear(x, r + dy.reshape(h, w), c + dx.reshape(h, w))
+        return between(x, r + dy.reshape(h, w), c + dx.reshape(h, w))
     raise ValueError(f"no warp model {model}")
 
 
-def apply_warps(frames: DataFrame, warps: DataFrame) -> DataFrame:
-    """Frames resampled by the warp of their t; frames without one stay."""
-    from collections.abc import Iterator
+def apply_warps(frames: DataFrame, warps: DataFrame, order: int = 1) -> DataFrame:
+    """Frames resampled by the warp of their t, by splines of the order (1 or 3); frames without one stay."""
 
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["data"] = [np.asarray(d) if m is None else warp(np.asarray(d, float).reshape(h, w), m, p).ravel() for h, w, d, m, p in zip(b["h"], b["w"], b["data"], b["model"], b["params"], strict=True)]
+            b["data"] = [np.asarray(d) if m is None else warp(np.asarray(d, float).reshape(h, w), m, p, order).ravel() for h, w, d, m, p in zip(b["h"], b["w"], b["data"], b["model"], b["params"], strict=True)]
             yield b[["t", "h", "w", "data"]]
 
     return frames.join(warps, "t", "left").mapInPandas(run, "t long, h int, w int, data array<double>")

@@ -329,3 +329,52 @@ def front_velocity(points: DataFrame, key: str, least: float = 5.0) -> DataFrame
     w = Window.partitionBy(key, "side").orderBy("r")
     v = F.abs((F.lead("r").over(w) - F.lag("r").over(w)) / F.nullif(F.lead("t").over(w) - F.lag("t").over(w), F.lit(0.0)))
     return p.withColumn("velocity", v).filter((F.col("r") >= least) & F.col("velocity").isNotNull()).select(key, "side", "r", "velocity")
+
+
+def _window_sums(x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Sums of every h x w window, from a table of the sums above and left of each pixel."""
+    table = np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    return table[h:, w:] - table[:-h, w:] - table[h:, :-w] + table[:-h, :-w]
+
+
+def template_scores(x: np.ndarray, template: np.ndarray, how: str = "correlation") -> np.ndarray:
+    """How well the template fits at every place of its upper left corner: Pearson's correlation, or less the summed squared difference.
+
+    Sums of windows come from summed-area tables, products from one pass for each of the template's pixels.  Windows without
+    contrast have correlation 0.
+    """
+    h, w = template.shape
+    base = x - x.mean()  # keeps the tables' differences exact enough
+    t = template - (template.mean() if how == "correlation" else x.mean())
+    shape = (x.shape[0] - h + 1, x.shape[1] - w + 1)
+    cross = sum((t[i, j] * base[i : i + shape[0], j : j + shape[1]] for i in range(h) for j in range(w)), np.zeros(shape))
+    squares, sums = _window_sums(base**2, h, w), _window_sums(base, h, w)
+    if how == "squares":
+        return -(squares - 2 * cross + (t**2).sum())
+    spread = np.maximum(squares - sums**2 / (h * w), 0) * (t**2).sum()
+    flat = spread <= 1e-12 * max(1.0, float(squares.max()) ** 2)
+    return np.where(flat, 0.0, cross / np.sqrt(np.where(flat, 1.0, spread)))
+
+
+def follow_template(frames: DataFrame, template: np.ndarray, around: tuple[int, int] | None = None, reach: int | None = None, how: str = "correlation") -> DataFrame:
+    """(t, row, col, score) of the place in each frame where the template fits best, ties to the first in raster order.
+
+    With `around` and `reach`, corners at most so many rows and columns from a place are searched, else all; frames that the
+    template does not fit into give no row.  The template travels with the code: it is one region of a frame.
+    """
+    from .wavelet import map_frames
+
+    template = np.asarray(template, float)
+
+    def one(t: int, x: np.ndarray) -> Iterator[tuple]:
+        if any(a < b for a, b in zip(x.shape, template.shape, strict=True)):
+            return
+        score = template_scores(x, template, how)
+        r0, c0 = (max(0, a - reach) for a in around) if around else (0, 0)
+        part = score[r0 : around[0] + reach + 1, c0 : around[1] + reach + 1] if around else score
+        if part.size:
+            # Scores that differ by rounding alone are ties.
+            r, c = np.unravel_index(int((part >= part.max() - 1e-9 * max(1.0, abs(part.max()))).argmax()), part.shape)
+            yield t, int(r + r0), int(c + c0), float(part[r, c])
+
+    return map_frames(frames, one, "t long, row long, col long, score double")

@@ -711,13 +711,12 @@ def baseline_als(s, d):
 def _spline_sql(n: int = 64, fine: int = 10) -> str:
     """CTEs up to sp (row, col, i, v): the natural spline of traces of n samples on a grid `fine` times finer.
 
-    Its second derivatives come from the inverse of the matrix with 4 on the diagonal and 1 beside it, which is a product of
-    hyperbolic sines of multiples of acosh(2).
+    Its second derivatives m solve m[i-1] + 4 m[i] + m[i+1] = 6 * second differences: one recurrence on, one back.
     """
-    inverse = f"(CASE WHEN (i + j) % 2 = 0 THEN 1 ELSE -1 END) * sinh(least(i, j) * acosh(2.0::DOUBLE)) * sinh(({n - 1} - greatest(i, j)) * acosh(2.0::DOUBLE)) / (sinh(acosh(2.0::DOUBLE)) * sinh({n - 1} * acosh(2.0::DOUBLE)))"
-    return f"""WITH {TRACES}, dd AS MATERIALIZED (SELECT row, col, t AS j, 6 * (lead(value) OVER w - 2 * value + lag(value) OVER w) AS d FROM tr WINDOW w AS (PARTITION BY row, col ORDER BY t)),
-gr AS MATERIALIZED (SELECT i, j, {inverse} AS g FROM range(1, {n - 1}) a(i), range(1, {n - 1}) b(j)),
-mm AS (SELECT row, col, i AS t, sum(g * d) AS m FROM dd JOIN gr USING (j) GROUP BY 1, 2, 3), kn AS MATERIALIZED (SELECT tr.row, tr.col, tr.t, value AS y, coalesce(m, 0) AS m FROM tr LEFT JOIN mm ON tr.row = mm.row AND tr.col = mm.col AND tr.t = mm.t),
+    return f"""WITH RECURSIVE {TRACES}, dd AS MATERIALIZED (SELECT row, col, t AS j, 6 * (lead(value) OVER w - 2 * value + lag(value) OVER w) AS d FROM tr WINDOW w AS (PARTITION BY row, col ORDER BY t)),
+fw(row, col, j, c, e) AS (SELECT row, col, j, 0.25::DOUBLE, d / 4 FROM dd WHERE j = 1 UNION ALL SELECT f.row, f.col, f.j + 1, 1 / (4 - c), (d - e) / (4 - c) FROM fw f JOIN dd ON dd.row = f.row AND dd.col = f.col AND dd.j = f.j + 1 WHERE f.j < {n - 2}),
+fm AS MATERIALIZED (FROM fw), mm(row, col, t, m) AS (SELECT row, col, j, e FROM fm WHERE j = {n - 2} UNION ALL SELECT f.row, f.col, f.j, e - c * m FROM mm JOIN fm f ON f.row = mm.row AND f.col = mm.col AND f.j = mm.t - 1),
+kn AS MATERIALIZED (SELECT tr.row, tr.col, tr.t, value AS y, coalesce(m, 0) AS m FROM tr LEFT JOIN mm ON tr.row = mm.row AND tr.col = mm.col AND tr.t = mm.t),
 sp AS (SELECT a.row, a.col, i, (a.m * pow(w, 3) + b.m * pow(u, 3)) / 6 + (a.y - a.m / 6) * w + (b.y - b.m / 6) * u AS v
   FROM (SELECT i, least(i // {fine}, {n - 2}) AS k, i / {fine}.0::DOUBLE - least(i // {fine}, {n - 2}) AS u, 1 - (i / {fine}.0::DOUBLE - least(i // {fine}, {n - 2})) AS w FROM range({(n - 1) * fine + 1}) r(i)) g JOIN kn a ON a.t = k JOIN kn b ON b.row = a.row AND b.col = a.col AND b.t = k + 1)"""
 

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from lumenstack.operators import cluster, forest, spatial
+from lumenstack.operators import cluster, forest, register, spatial, tracking
 from lumenstack.sources import images, ranges
 
 F = forest.F
@@ -220,3 +220,75 @@ def test_diameters_brute(spark, block):
     got = {r["label"]: r["diameter"] for r in cluster.diameters(spark.createDataFrame(rows, "label long, id long, x array<double>"), block).collect()}
     assert got == pytest.approx({k: np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)).max() for k, x in shapes.items()})
     assert cluster.diameters(spark.createDataFrame(rows[:0], "label long, id long, x array<double>")).count() == 0
+
+
+def test_quality_threshold_rounds_brute(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.5, (40, 2)) for c in ((0, 0), (3, 1), (8, 8))] + [np.ones((9, 2))])
+    ids = rng.permutation(1000)[: len(x)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    order, left, want, k = np.argsort(ids), set(range(len(x))), {}, 0
+    while left:
+        best = []
+        for s in (i for i in order if i in left):
+            mine, rest = [s], left - {s}
+            while rest:
+                nearest = min(rest, key=lambda i: (d[i, mine].max(), ids[i]))
+                if d[nearest, mine].max() >= 1.5:
+                    break
+                mine.append(nearest)
+                rest.remove(nearest)
+            if len(mine) > len(best):
+                best = mine
+        want |= {int(ids[i]): k for i in best}
+        left -= set(best)
+        k += 1
+        if k == 4:
+            break
+    p = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(5000, None)], "id long, x array<double>")
+    got = {r["id"]: r["label"] for r in cluster.qt_clusters(p, 1.5, 4).collect()}
+    assert got == {int(i): want.get(int(i), -1) for i in ids} | {5000: -1}
+    assert {r["label"] for r in cluster.qt_clusters(p.filter("id < 30"), 1.5).collect()} >= {0, 1}
+    assert cluster.qt_clusters(p.limit(0), 1.5).count() == 0
+
+
+def test_cubic_warps():
+    """The spline passes through the pixels, is exact for cubics inside, and holds the nearest value outside."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 1, (9, 12))
+    r, c = np.mgrid[:9, :12].astype(float)
+    assert np.allclose(register.bicubic(x, r, c), x) and np.allclose(register.warp(x, "shift", [2, -3], 3)[2:, :-3], x[:-2, 3:])
+    assert np.allclose(register.warp(x, "shift", [50, 0], 3), x[:1])
+    # Coefficients solve the interpolation at every pixel, mirrored at the edges.
+    k = register.spline_coefficients(x)
+    p = np.pad(k, 1, "reflect")
+    down = (p[:-2] + 4 * p[1:-1] + p[2:]) / 6
+    assert np.allclose((down[:, :-2] + 4 * down[:, 1:-1] + down[:, 2:]) / 6, x)
+    wide = np.mgrid[:60, :60][0] / 10.0
+    smooth = np.sin(wide) + wide**2
+    between = register.bicubic(smooth, np.full((1, 1), 30.5), np.full((1, 1), 20.25))[0, 0]
+    assert abs(between - (np.sin(3.05) + 3.05**2)) < 1e-5 < abs(register.bilinear(smooth, np.full((1, 1), 30.5), np.full((1, 1), 20.25))[0, 0] - (np.sin(3.05) + 3.05**2))
+    assert np.allclose(register.bicubic(np.ones((1, 1)), np.zeros((1, 1)), np.zeros((1, 1))), 1)
+
+
+def test_follow_template(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(100, 5, (20, 26))
+    t = rng.normal(0, 3, (4, 5))
+    score = tracking.template_scores(x, t)
+    squares = tracking.template_scores(x, t, "squares")
+    for r in range(17):
+        for c in range(22):
+            w = x[r : r + 4, c : c + 5]
+            assert abs(score[r, c] - np.corrcoef(w.ravel(), t.ravel())[0, 1]) < 1e-9 and abs(squares[r, c] + ((w - t) ** 2).sum()) < 1e-6
+    moving = []
+    for k in range(6):
+        f = rng.normal(0, 0.3, (20, 26))
+        f[2 + 2 * k : 6 + 2 * k, 3 * k : 3 * k + 5] += t
+        moving.append(f)
+    frames = frames_of(spark, [*moving, np.zeros((20, 26)), np.zeros((3, 3))])
+    for how in ("correlation", "squares"):
+        got = {r["t"]: (r["row"], r["col"]) for r in tracking.follow_template(frames, t, how=how).collect()}
+        assert got == {k: (2 + 2 * k, 3 * k) for k in range(6)} | {6: (0, 0)}
+    near = {r["t"]: (r["row"], r["col"]) for r in tracking.follow_template(frames, t, (6, 6), 1).collect()}
+    assert near[2] == (6, 6) and all(5 <= a <= 7 and 5 <= b <= 7 for a, b in near.values()) and 7 not in near
