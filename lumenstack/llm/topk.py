@@ -2,12 +2,14 @@
 
 Index.  Vectors are dealt into blocks by hash.  The components of a block are postings (vector, component) in segments by
 dimension and quantised impact: the magnitudes of a block are cut at quantiles, and a posting lies in the segment of its
-dimension and level.  Segments are written once, as a table, and are all that a search reads.
-
-Search.  A block of queries goes through a block's segments from the highest level down.  After a level, what a candidate
-has left can add at most the norm of its unread components times the norm of the query's largest components, as many as
-are unread.  With that bound, a candidate is a possible member while it can reach the k-th best proven score; a query
-stops where its possible members are few, which is the proof, and scores exactly those.
+dimension and level.  Beside the segments, which are written once, a block has the norms of what is unread after each
+level, and its vectors in a forward store, from which possible members are scored.
+
+Search.  A block of queries goes through a block's segments from the highest level down; a level is decoded when the first
+query asks for it.  After a level, what a candidate has left can add at most the norm of its unread components times the
+norm of the query's largest components, as many as are unread.  With that bound, a candidate is a possible member while it
+can reach the k-th best proven score; a query stops where its possible members are few, which is the proof, and scores
+exactly those.  Bounds are tried after every level, in blocks of any size.
 """
 
 from __future__ import annotations
@@ -33,22 +35,15 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 class Segments:
-    """Postings of one block of vectors: ids, and for each level its (dimension, places, components)."""
-
-    def __init__(self, ids: np.ndarray, width: int, levels: list[list[tuple[int, np.ndarray, np.ndarray]]]):
-        self.ids, self.width, self.levels = ids, width, levels
-        n = len(ids)
-        self.c = np.zeros((n, width))
-        self.rest, self.left = [np.zeros(n)], [np.zeros(n, np.int32)]  # after each level: square of the norm, and number, of unread components
-        for level in reversed(levels):
-            rest, left = self.rest[0].copy(), self.left[0].copy()
-            for d, at, v in level:
-                self.c[at, d] = v
-                rest[at] += np.minimum(np.abs(v.astype(np.float64)), 1e150) ** 2  # larger ones are scored without bounds
-                left[at] += 1
-            self.rest.insert(0, rest)
-            self.left.insert(0, left)
-        self.total = sum(len(at) for level in levels for _, at, _ in level)
+    """Postings of one block of vectors: ids, its vectors in a forward store, and its levels as they are stored."""
+
+    def __init__(self, ids: np.ndarray, forward: np.ndarray, levels: list[list[tuple[int, bytes, bytes, str]]], rest: list[np.ndarray], left: list[np.ndarray]):
+        #: `levels` has (dimension, places, components, their type); rest and left, before each level, the square of the norm and the number of unread components.
+        self.ids, self.forward, self.levels, self.rest, self.left = ids, forward, levels, rest, left
+        self.width = forward.shape[1]
+        self.total = sum(len(at) // 4 for level in levels for _, at, _, _ in level)
+        self.bytes = sum(len(at) + len(v) for level in levels for _, at, v, _ in level)
+        self.most = float(np.abs(forward).max(initial=0))
 
     @staticmethod
     def build(ids: np.ndarray, c: np.ndarray, shares: tuple[float, ...] = LEVELS) -> Segments:
@@ -57,34 +52,42 @@ class Segments:
         there = size[size > 0]
         cuts = np.unique(np.quantile(there, [1 - s for s in shares], method="lower"))[::-1] if len(there) else np.zeros(0)
         level = (size[:, :, None] < cuts).sum(2) if len(cuts) else np.zeros(c.shape, int)
-        out = []
+        out, rest, left = [], [], []
         for k in range(len(cuts) + 1):
             in_it = (level == k) & (size > 0)
             found = [(d, np.flatnonzero(in_it[:, d])) for d in range(c.shape[1])]
-            out.append([(d, at, c[at, d]) for d, at in found if len(at)])
-        return Segments(ids, c.shape[1], [x for x in out if x])
+            if segments := [(d, at.astype("<u4").tobytes(), (v := _narrow(c[at, d])).tobytes(), v.dtype.str) for d, at in found if len(at)]:
+                unread = (level >= k) & (size > 0)
+                out.append(segments)
+                rest.append((np.where(unread, np.minimum(size, 1e150), 0) ** 2).sum(1))  # larger ones are scored without bounds
+                left.append(unread.sum(1).astype("<i4"))
+        return Segments(ids, _narrow(c), out, rest, left)
 
     def rows(self) -> list[tuple[int, int, bytes, bytes, str]]:
-        """(level, dimension, places, components, their type): the stored form; ids are level -1, with the width as dimension."""
-        out = [(-1, self.width, self.ids.astype("<i8").tobytes(), b"", "")]
+        """(level, dimension, places, components, their type): the stored form.  Level -1 has the ids and the forward store, with
+        the width as dimension; dimension -1 of a level has the norms before it."""
+        out = [(-1, self.width, self.ids.astype("<i8").tobytes(), self.forward.tobytes(), self.forward.dtype.str)]
         for k, level in enumerate(self.levels):
-            for d, at, v in level:
-                v = _narrow(v)
-                out.append((k, d, at.astype("<u4").tobytes(), v.tobytes(), v.dtype.str))
+            out.append((k, -1, self.rest[k].tobytes(), self.left[k].tobytes(), ""))
+            out += [(k, *segment) for segment in level]
         return out
 
     @staticmethod
     def read(rows: pd.DataFrame) -> Segments:
-        ids, width, levels = np.zeros(0, np.int64), 0, {}
+        ids, forward, levels, rest, left = np.zeros(0, np.int64), np.zeros((0, 0)), [], [], []
         for k, d, at, v, kind in rows.sort_values(["level", "dim"])[["level", "dim", "places", "impacts", "kind"]].itertuples(index=False):
             if k < 0:
-                ids, width = np.frombuffer(at, "<i8"), d
+                ids, forward = np.frombuffer(at, "<i8"), np.frombuffer(v, kind).reshape(-1, d) if d else np.zeros((len(at) // 8, 0))
+            elif d < 0:
+                levels.append([])
+                rest.append(np.frombuffer(at, "<f8"))
+                left.append(np.frombuffer(v, "<i4"))
             else:
-                levels.setdefault(k, []).append((d, np.frombuffer(at, "<u4"), np.frombuffer(v, kind)))
-        return Segments(ids, width, [levels[k] for k in sorted(levels)])
+                levels[-1].append((d, at, v, kind))
+        return Segments(ids, forward, levels, rest, left)
 
-    def search(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-        """((places, scores) of each query's k best, best first, ties to the smaller id; postings read).
+    def search(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
+        """((places, scores) of each query's k best, best first, ties to the smaller id; postings read; bytes of segments decoded).
 
         A row of the query's own id is no candidate.  Scores are exact: 64-bit where no sum can pass them; otherwise all
         candidates are scored in Python's whole numbers, and cut to the range of a long.
@@ -93,17 +96,18 @@ class Segments:
         q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
         own = np.searchsorted(self.ids, q_ids)
         own = np.where((own < n) & (self.ids[np.minimum(own, n - 1)] == q_ids), own, -1)
-        top = float(np.abs(q).max(initial=0)) * float(np.abs(self.c).max(initial=0)) * width
+        top = float(np.abs(q).max(initial=0)) * self.most * width
         kind = np.float32 if top < 1 << 24 else np.float64  # sums of whole numbers, exact in float32 below 2 ** 24
         safe = top * (2.0**-20 if kind is np.float32 else width * 2.0**-50)  # rounding of sums and bounds
         whole = np.int64 if top < 1 << 62 else object
-        c, qx = (np.array([[int(y) for y in r] for r in x], object).reshape(x.shape) if whole is object else x.astype(np.int64) for x in (self.c, q))
+        exact = lambda x: np.array([[int(y) for y in r] for r in x], object).reshape(x.shape) if whole is object else x.astype(np.int64)
+        qx = exact(q)
         out: list = [None] * len(q)
-        read, kk = 0, min(k, n - (own >= 0).any())
+        read, loaded, kk = 0, 0, min(k, n - (own >= 0).any())
 
         def close(i: int, at: np.ndarray) -> None:
             at = at[at != own[i]]
-            s = c[at, : self.width] @ qx[i, : self.width] if len(at) else np.zeros(0, np.int64)
+            s = exact(self.forward[at]) @ qx[i, : self.width] if len(at) else np.zeros(0, np.int64)
             if len(at) > k and whole is not object:
                 bar = np.partition(s, len(s) - k)[len(s) - k]
                 # Of those at the bar the first suffice, since ids ascend with the place.
@@ -116,24 +120,28 @@ class Segments:
         if whole is object:  # no bound on floating sums: every candidate is a possible member
             for i in range(len(q)):
                 close(i, np.arange(n))
-            return out, self.total * len(q)
+            return out, self.total * len(q), self.bytes
         # norms[m]: of the m largest components of each query, a little up
         norms = np.sqrt(np.concatenate([np.zeros((len(q), 1)), np.cumsum(np.sort(q**2, 1)[:, ::-1], 1)], 1)).T * (1 + 1e-5)
         open_ = np.arange(len(q))
         partial, qt = np.zeros((n, len(q)), kind), np.ascontiguousarray(q.T.astype(kind))
-        pad = -n % GROUP
+        # Groups are there for speed; a block with few of them has one for each candidate.
+        group = max(1, min(GROUP, n // (4 * max(kk, 1))))
+        pad = -n % group
         for level, segments in enumerate(self.levels):
-            for d, at, v in segments:
+            for d, at, v, form in segments:
+                at, v = np.frombuffer(at, "<u4"), np.frombuffer(v, form)
                 partial[at] += v.astype(kind)[:, None] * qt[d]
                 read += len(at) * len(open_)
-            if level == len(self.levels) - 1 or kk <= 0 or n < 4 * GROUP * kk or self.left[level + 1].mean() > 0.4 * width:
+                loaded += at.nbytes + v.nbytes
+            if level == len(self.levels) - 1 or kk <= 0:
                 continue
             slack = norms[np.ix_(self.left[level + 1], open_)].astype(kind) * np.sqrt(self.rest[level + 1])[:, None].astype(kind) + kind(safe)
             low = partial - slack
             mine = np.flatnonzero(own[open_] >= 0)
             low[own[open_[mine]], mine] = -np.inf
             # The k-th best of the groups' best proven scores is a score that k candidates have.
-            best = np.pad(low, ((0, pad), (0, 0)), constant_values=-np.inf).reshape(-1, GROUP, len(open_)).max(1)
+            best = np.pad(low, ((0, pad), (0, 0)), constant_values=-np.inf).reshape(-1, group, len(open_)).max(1)
             bar = np.partition(best, len(best) - kk, 0)[len(best) - kk]
             possible = partial + slack >= bar - kind(safe)
             done = possible.sum(0) <= max(4 * k, n // 16)
@@ -149,7 +157,7 @@ class Segments:
                 p[own[i]] = -np.inf
             bar = np.partition(p, n - k)[n - k] if n > k else -np.inf
             close(i, np.flatnonzero(p >= bar - 2 * safe))
-        return out, read
+        return out, read, loaded
 
 
 def _matrix(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -178,27 +186,27 @@ def build_index(vectors: DataFrame, block: int, shares: tuple[float, ...] = LEVE
 
 
 def search_index(index: DataFrame, blocks: int, queries: DataFrame, k: int = 20, query_block: int = 1024, with_work: bool = False) -> DataFrame:
-    """query_id, rank, vec_id, score of each row of `queries` (vec_id, v).  `with_work` gives postings read and held by block pair instead."""
+    """query_id, rank, vec_id, score of each row of `queries` (vec_id, v).  `with_work` gives postings read and held, and bytes of segments decoded and held, by block pair instead."""
     parts = max(1, -(-queries.count() // query_block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select(every(blocks).alias("cb"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("qb"), "vec_id", "v")
     held = index.withColumn("qb", every(parts))
 
     def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        found, read, full = [(np.zeros(0, np.int64),) * 3], 0, 0
+        found, read, full, loaded, held_bytes = [(np.zeros(0, np.int64),) * 3], 0, 0, 0, 0
         if len(q) and len(g):
             s = Segments.read(g)
             ids, x = _matrix(q)
             for a in range(0, len(ids), 128):
-                got, n = s.search(x[a : a + 128], ids[a : a + 128], k)
-                read, full = read + n, full + s.total * len(got)
+                got, n, m = s.search(x[a : a + 128], ids[a : a + 128], k)
+                read, full, loaded, held_bytes = read + n, full + s.total * len(got), loaded + m, held_bytes + s.bytes
                 found += [(np.full(len(at), ids[a + i]), s.ids[at], v) for i, (at, v) in enumerate(got)]
         if with_work:
-            return pd.DataFrame({"postings_read": [read], "postings_held": [full]})
+            return pd.DataFrame({"postings_read": [read], "postings_held": [full], "bytes_read": [loaded], "bytes_held": [held_bytes]})
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     ship(index.sparkSession)
-    out = asked.groupBy("cb", "qb").cogroup(held.groupBy("cb", "qb")).applyInPandas(run, "postings_read long, postings_held long" if with_work else "query_id long, vec_id long, score long")
+    out = asked.groupBy("cb", "qb").cogroup(held.groupBy("cb", "qb")).applyInPandas(run, "postings_read long, postings_held long, bytes_read long, bytes_held long" if with_work else "query_id long, vec_id long, score long")
     if with_work:
         return out
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

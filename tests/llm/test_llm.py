@@ -592,16 +592,21 @@ def test_topk_stops_on_proof(spark):
     x[100:160] = x[40]
     ids = np.arange(3000) * 3
     s = topk.Segments.read(topk.pd.DataFrame(topk.Segments.build(ids, x).rows(), columns=["level", "dim", "places", "impacts", "kind"]))
-    assert (s.c == x).all() and s.total == (x != 0).sum()
-    got, read = s.search(x[:200], ids[:200], 20)
+    assert (s.forward == x).all() and s.total == (x != 0).sum()
+    got, read, loaded = s.search(x[:200], ids[:200], 20)
+    assert 0 < loaded <= s.bytes
     assert 0 < read < 0.9 * s.total * 200
     full = (x @ x[:200].T).astype(int)
     for i, (at, score) in enumerate(got):
         assert list(zip(score, at)) == [(-v, j) for v, j in sorted((-int(full[j, i]), j) for j in range(3000) if j != i)[:20]]
-    emb = topk.quantised(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
-    index, blocks = topk.build_index(emb, 8192)
-    work = topk.search_index(index, blocks, emb.filter("vec_id % 20 = 0"), with_work=True).collect()
-    assert sum(r["postings_read"] for r in work) < 0.95 * sum(r["postings_held"] for r in work)
+    small = topk.Segments.build(ids[:1000], x[:1000])  # blocks of any size stop
+    got, read, _ = small.search(x[:50], ids[:50], 20)
+    assert read < small.total * 50 and all(list(score) == sorted((x[:1000] @ x[i])[np.arange(1000) != i].astype(int), reverse=True)[:20] for i, (_, score) in enumerate(got))
+    for sf in ("sf0.01", "sf0.1"):
+        emb = topk.quantised(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"))
+        index, blocks = topk.build_index(emb, 8192)
+        work = topk.search_index(index, blocks, emb.filter("vec_id % 20 = 0"), with_work=True).collect()
+        assert sum(r["postings_read"] for r in work) < 0.97 * sum(r["postings_held"] for r in work)
 
 
 def test_topk_large_components(spark):
