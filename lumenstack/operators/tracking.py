@@ -284,12 +284,60 @@ def contours(u: np.ndarray, rounds: int = 500, spring: float = 0.3, pull: float
     return walls[0], walls[1]
 
 
-def contour_walls(lines: DataFrame, key: str) -> DataFrame:
-    """(key, t, lower, upper, diameter) by elastic contours over each key's whole line scan."""
+def local_contours(u: np.ndarray, window: int = 2, rounds: int = 500, spring: float = 0.25, pull: float = 1.0, damping: float = 0.25, flat: float = 0.005, steady: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) walls as elastic contours, each column judged by the means inside and outside of its own surroundings.
+
+    The means of a column are over the `window` columns on both sides of it, from running sums along both axes, so a step
+    costs as much as the image has pixels whatever the window.  A wall moves to where the brightness is as far from one mean
+    as from the other; where a column has no contrast it is drawn to the mean wall.  Positions are integrated with damping
+    until the line through the last `steady` mean movements has been flat for as many steps.
+    """
+    n, m = u.shape
+    walls = np.array([np.full(m, float(x)) for x in guess_walls(u.mean(1))])
+    last, col = walls.copy(), np.arange(m)
+    above = np.concatenate([np.zeros((1, m)), np.cumsum(u, 0)])
+    first, end = np.maximum(col - window, 0), np.minimum(col + window + 1, m)
+
+    def around(x: np.ndarray) -> np.ndarray:
+        run = np.concatenate([[0.0], np.cumsum(x)])
+        return run[end] - run[first]
+
+    moved: list[float] = []
+    rested, steps = 0, np.arange(steady) - (steady - 1) / 2
+    for _ in range(rounds):
+        lo, hi = np.minimum(np.floor(walls[0]).astype(int) + 1, n), np.ceil(walls[1]).astype(int)
+        hi = np.maximum(hi, lo)
+        held, size = above[hi, col] - above[lo, col], (hi - lo).astype(float)
+        c1 = around(held) / np.maximum(around(size), 1e-12)
+        c2 = around(above[-1] - held) / np.maximum(around(n - size), 1e-12)
+        region = np.abs(u - c1) - np.abs(u - c2)
+        most = np.abs(region).max(0)
+        some = most > 1e-12
+        force = np.zeros_like(walls)
+        for i, sign in ((0, 1.0), (1, -1.0)):
+            at = np.clip(walls[i], 0, n - 1)
+            k = np.minimum(at.astype(int), n - 2)
+            value = region[k, col] * (1 - (at - k)) + region[k + 1, col] * (at - k)
+            p = np.pad(walls[i], 1, "edge")
+            force[i] = sign * pull * np.where(some, value / np.where(some, most, 1), 0) + spring * (p[:-2] + p[2:] - 2 * walls[i]) + spring * np.where(some, 0, walls[i].mean() - walls[i])
+        new = np.clip((2 - damping) * walls - (1 - damping) * last + 0.25 * np.clip(force, -2, 2), 0, n - 1)
+        walls, last = np.sort(new, 0), walls
+        moved.append(float(np.abs(walls - last).mean()))
+        if len(moved) > steady:
+            slope = float(steps @ np.array(moved[-steady:])) / float(steps @ steps)
+            rested = rested + 1 if abs(slope) < flat and moved[-1] < 10 * flat else 0
+            if rested > steady:
+                break
+    return walls[0], walls[1]
+
+
+def contour_walls(lines: DataFrame, key: str, window: int | None = None) -> DataFrame:
+    """(key, t, lower, upper, diameter) by elastic contours over each key's whole line scan; with a `window`, by the means around each line."""
 
     def one(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
-        lo, hi = contours(np.stack(g["v"].to_numpy()).astype(float).T)
+        u = np.stack(g["v"].to_numpy()).astype(float).T
+        lo, hi = contours(u) if window is None else local_contours(u, window)
         return pd.DataFrame({key: k[0], "t": g["t"], "lower": lo, "upper": hi, "diameter": hi - lo})
 
     return lines.groupBy(key).applyInPandas(one, f"{key} {dict(lines.dtypes)[key]}, t long, lower double, upper double, diameter double")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lumenstack.operators import cluster, forest, register, spatial, tracking
-from lumenstack.sources import images, ranges
+from lumenstack.sources import images, ranges, synthetic
 
 F = forest.F
 
@@ -292,3 +292,20 @@ def test_follow_template(spark):
         assert got == {k: (2 + 2 * k, 3 * k) for k in range(6)} | {6: (0, 0)}
     near = {r["t"]: (r["row"], r["col"]) for r in tracking.follow_template(frames, t, (6, 6), 1).collect()}
     assert near[2] == (6, 6) and all(5 <= a <= 7 and 5 <= b <= 7 for a, b in near.values()) and 7 not in near
+
+
+def test_local_contours(spark):
+    """Where a vessel fades along the scan, walls by the means around each line are within a pixel and those by global means are not."""
+    lines = synthetic.vessel(spark, 120, 40, 10, 28)
+    rows = [(r["seq"], r["t"], [v * (0.15 + 2.0 * r["t"] / 119) + 0.3 * r["t"] / 119 for v in r["v"]]) for r in lines.collect()]
+    faded = spark.createDataFrame(rows, "seq int, t long, v array<double>")
+    even = {r["t"]: r for r in tracking.contour_walls(lines, "seq", 2).collect()}
+    local = {r["t"]: r for r in tracking.contour_walls(faded, "seq", 2).collect()}
+    whole = {r["t"]: r for r in tracking.contour_walls(faded, "seq").collect()}
+    truth = {0: synthetic.ar1(120, 0.9, 0) * 0.3 + 10, 1: synthetic.ar1(120, 0.9, 1) * 0.3 + 28}
+    off = lambda got: np.array([[abs(got[t][c] - truth[i][t]) for t in range(120)] for i, c in enumerate(("lower", "upper"))])
+    assert off(even).max() < 1 and off(local).max() < 1.0 < off(whole).max() and all(r["diameter"] == r["upper"] - r["lower"] for r in local.values())
+    flat = np.ones((30, 9))
+    flat[10:20, :4] = 5
+    lo, hi = tracking.local_contours(flat, 0)  # columns without contrast keep near the others
+    assert np.abs(lo[:3] - 9.5).max() < 1.5 and np.abs(lo - lo.mean()).max() < 6 and (lo <= hi).all()
