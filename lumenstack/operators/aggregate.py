@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ REDUCE = {
 }
 
 
+Reduction = str | Callable[[Column], Column]
+
+
+def reduction(how: Reduction) -> Callable[[Column], Column]:
+    """A reduction by its name, or as a function from a column to an aggregate."""
+    return how if callable(how) else REDUCE[how]
+
+
 def mean_frame(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*PIXEL).agg(F.avg("value").alias("value"))
 
@@ -21,9 +31,9 @@ def max_project(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*PIXEL).agg(F.max("value").alias("value"))
 
 
-def time_project(cells: DataFrame, how: str) -> DataFrame:
-    """Any named reduction of each pixel's trace."""
-    return cells.groupBy(*PIXEL).agg(REDUCE[how]("value").alias("value"))
+def time_project(cells: DataFrame, how: Reduction) -> DataFrame:
+    """Any reduction of each pixel's trace, by name or as a function of the column."""
+    return cells.groupBy(*PIXEL).agg(reduction(how)(F.col("value")).alias("value"))
 
 
 def shape(cells: DataFrame) -> DataFrame:
@@ -100,15 +110,15 @@ def roi_trace(cells: DataFrame, rois: DataFrame) -> DataFrame:
     return cells.join(held.select("tag", "row", "col"), PIXEL).groupBy("tag", "t").agg(F.avg("value").alias("value"))
 
 
-def mask_reduce(cells: DataFrame, mask: DataFrame, how: str = "mean") -> DataFrame:
+def mask_reduce(cells: DataFrame, mask: DataFrame, how: Reduction = "mean") -> DataFrame:
     """One value per frame, of the pixels in `mask` (row, col)."""
-    return cells.join(mask.select(*PIXEL), PIXEL, "left_semi").groupBy("t").agg(REDUCE[how]("value").alias("value"))
+    return cells.join(mask.select(*PIXEL), PIXEL, "left_semi").groupBy("t").agg(reduction(how)(F.col("value")).alias("value"))
 
 
-def softmask_reduce(cells: DataFrame, weights: DataFrame, how: str = "mean") -> DataFrame:
+def softmask_reduce(cells: DataFrame, weights: DataFrame, how: Reduction = "mean") -> DataFrame:
     """One value per frame, of value * weight where the weight is positive."""
     held = weights.filter("weight > 0").select(*PIXEL, "weight")
-    return cells.join(held, PIXEL).groupBy("t").agg(REDUCE[how](F.col("value") * F.col("weight")).alias("value"))
+    return cells.join(held, PIXEL).groupBy("t").agg(reduction(how)(F.col("value") * F.col("weight")).alias("value"))
 
 
 def simple_snr(cells: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,21 +52,29 @@ DISTANCES = {
 }
 
 
-def pairwise(points: DataFrame, queries: DataFrame, how: str = "euclidean") -> DataFrame:
+Distance = str | Callable[[Column, Column], Column]
+
+
+def distance(how: Distance) -> Callable[[Column, Column], Column]:
+    """A distance by its name, or as a function of two array columns."""
+    return how if callable(how) else DISTANCES[how]
+
+
+def pairwise(points: DataFrame, queries: DataFrame, how: Distance = "euclidean") -> DataFrame:
     """(a, b, distance) of each point to each of a stated set of queries, which is small enough to send."""
     q = queries.select(F.col("id").alias("b"), F.col("x").alias("_y"))
     if q.count() > 10_000:
         raise ValueError("too many queries for one pass; search in blocks")
-    return points.crossJoin(F.broadcast(q)).filter(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b", DISTANCES[how](F.col("x"), F.col("_y")).alias("distance"))
+    return points.crossJoin(F.broadcast(q)).filter(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b", distance(how)(F.col("x"), F.col("_y")).alias("distance"))
 
 
-def assign(points: DataFrame, centres: DataFrame, how: str = "euclidean") -> DataFrame:
+def assign(points: DataFrame, centres: DataFrame, how: Distance = "euclidean") -> DataFrame:
     """`points` with label and distance of the nearest centre (label, c); ties to the smaller label.
 
     Centres are a few, so they travel as one array and nothing is shuffled.
     """
     all_ = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_cs")))
-    best = F.array_min(F.transform("_cs", lambda s: F.struct(DISTANCES[how](F.col("x"), s["c"]).alias("d"), s["label"].alias("label"))))
+    best = F.array_min(F.transform("_cs", lambda s: F.struct(distance(how)(F.col("x"), s["c"]).alias("d"), s["label"].alias("label"))))
     return points.crossJoin(all_).withColumn("_b", best).withColumns({"label": F.col("_b.label"), "distance": F.col("_b.d")}).drop("_cs", "_b")
 
 
@@ -274,10 +282,10 @@ def select_points(assigned: DataFrame, label: int) -> DataFrame:
     return assigned.filter(F.col("label") == label)
 
 
-def farthest(assigned: DataFrame, queries: DataFrame, how: str = "euclidean") -> DataFrame:
+def farthest(assigned: DataFrame, queries: DataFrame, how: Distance = "euclidean") -> DataFrame:
     """(label, b, distance): from each of a stated set of queries (id, x), which is small enough to send, the farthest point of each cluster."""
     q = queries.select(F.col("id").alias("b"), F.col("x").alias("_y"))
-    return assigned.crossJoin(F.broadcast(q)).groupBy("label", "b").agg(F.max(DISTANCES[how](F.col("x"), F.col("_y"))).alias("distance"))
+    return assigned.crossJoin(F.broadcast(q)).groupBy("label", "b").agg(F.max(distance(how)(F.col("x"), F.col("_y"))).alias("distance"))
 
 
 def diameters(assigned: DataFrame, block: int = 2048) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,12 +28,16 @@ def _rank(value: str, keys: list[str]) -> Column:
     return F.rank().over(w) + (ties - 1) / 2
 
 
-def xcorrmap(cells: DataFrame, signal: DataFrame, how: str = "pearson") -> DataFrame:
-    """Per pixel, the correlation with `signal` (t, s): pearson, spearman or the raw dot product."""
-    both = cells.join(signal, "t")
+def xcorrmap(cells: DataFrame, signal: DataFrame, how: str | Callable[[Column, Column], Column] = "pearson", norm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Per pixel, the correlation with `signal` (t, s): pearson, spearman, the raw dot product, or a function of the two columns
+    that gives an aggregate.  `norm` is a function of the cells that is applied first."""
+    both = (norm(cells) if norm else cells).join(signal, "t")
     if how == "spearman":
         both = both.withColumns({"value": _rank("value", PIXEL), "s": _rank("s", PIXEL)})
-    score = F.sum(F.col("value") * F.col("s")) if how == "dot" else pearson("value", "s")
+    if callable(how):
+        score = how(F.col("value"), F.col("s"))
+    else:
+        score = F.sum(F.col("value") * F.col("s")) if how == "dot" else pearson("value", "s")
     return both.groupBy(*PIXEL).agg(score.alias("value"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import ship
-from .aggregate import REDUCE
+from .aggregate import Reduction, reduction
 from .graph import connected_components, written
 
 CROSS = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
@@ -327,12 +327,12 @@ def normal_of(x0: float, y0: float, x1: float, y1: float) -> tuple[float, float]
     return (y1 - y0) / n, (x0 - x1) / n
 
 
-def line_projection(cells: DataFrame, segment: tuple[float, float, float, float], how: str = "mean") -> DataFrame:
+def line_projection(cells: DataFrame, segment: tuple[float, float, float, float], how: Reduction = "mean") -> DataFrame:
     """(t, i, value): positive cells of each frame reduced over lines at right angles to a segment, i pixels along it."""
     x0, y0, x1, y1 = segment
     n = max(((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5, 1e-9)
     along = (F.col("col") - x0) * ((x1 - x0) / n) + (F.col("row") - y0) * ((y1 - y0) / n)
-    return cells.filter("value > 0").groupBy("t", F.floor(along + 0.5).alias("i")).agg(REDUCE[how]("value").alias("value"))
+    return cells.filter("value > 0").groupBy("t", F.floor(along + 0.5).alias("i")).agg(reduction(how)(F.col("value")).alias("value"))
 
 
 def region_linsize(labelled: DataFrame) -> DataFrame:

@@ -834,7 +834,7 @@ def event_kalman(s, d):
 
 
 def _all() -> None:
-    from . import details, structures  # noqa: F401  they register their queries
+    from . import details, exchange, structures  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -214,13 +214,13 @@ def read_mlf(spark: SparkSession, path: str, h: int, w: int, header: int, what:
 
 
 def read_lasaf(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a text export with `;` between fields and decimal commas, as doubles; `part` counts off at the largest time gap."""
+    """Rows of a text export with `;` between fields and decimal commas, as doubles; `part` counts off at the largest time gap, the last of equal ones."""
     raw = spark.read.option("sep", ";").option("header", True).csv(path)
     names = [c.strip() for c in raw.columns]
     x = raw.toDF(*names).select(*[F.replace(F.col(f"`{c}`"), F.lit(","), F.lit(".")).cast("double").alias(c) for c in names])
     w = Window.partitionBy(F.input_file_name()).orderBy(names[0])
     gap = x.withColumn("_f", F.input_file_name()).withColumn("_g", F.col(f"`{names[0]}`") - F.lag(f"`{names[0]}`").over(w))
-    top = gap.groupBy("_f").agg(F.max_by(F.col(f"`{names[0]}`"), "_g").alias("_at"))
+    top = gap.groupBy("_f").agg(F.max_by(F.col(f"`{names[0]}`"), F.struct("_g", F.col(f"`{names[0]}`"))).alias("_at"))
     return gap.join(top, "_f").withColumn("part", (F.col(f"`{names[0]}`") >= F.col("_at")).cast("int")).drop("_f", "_g", "_at")
 
 
