@@ -431,21 +431,55 @@ class SuffixStore:
     Each of `parts` parts of the buckets has its own family.  A batch adds one table: a row for each level that is new, with
     the numbers of the stored levels merged into it, which are then read no more.  As any later text may repeat a place that
     is unique so far, all contexts are held.
+
+    The folder is all that there is of a store: whoever opens it finds the batches that were committed, which a marker
+    written last says, and what an unfinished batch left is written anew.  A batch that has a name and was committed under it
+    is not added again; its runs are read back.  One batch is added at a time, and all with the same settings and parts.
     """
 
     def __init__(self, spark: SparkSession, path: str, parts: int = 64):
         self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
-        self.batches: list[str] = []
+
+    def _files(self):
+        there = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return there, there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def batches(self) -> dict[str, tuple[str, str]]:
+        """Committed batches by their path, in order: (name, what they were made with)."""
+        there, files = self._files()
+        if not files.exists(there):
+            return {}
+        done = sorted(x.getPath().getName() for x in files.listStatus(there) if x.getPath().getName().endswith(".done"))
+        lines = {x: self.spark.read.text(f"{self.path}/{x}").orderBy(F.monotonically_increasing_id()).collect() for x in done}
+        return {f"{self.path}/{x.removesuffix('.done')}": (lines[x][0]["value"], lines[x][1]["value"]) for x in done}
+
+    def _commit(self, path: str, name: str, made_with: str) -> None:
+        _, files = self._files()
+        out = files.create(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.done"), False)
+        try:
+            out.write(bytearray(f"{name}\n{made_with}\n".encode()))
+        finally:
+            out.close()
 
     def levels(self) -> DataFrame:
         """The levels in force: part, number, data, ends, starts, merged."""
         schema = "part int, number long, data binary, ends binary, starts binary, merged array<long>"
-        all_ = self.spark.read.schema(schema).parquet(*self.batches) if self.batches else self.spark.createDataFrame([], schema)
+        paths = [f"{b}-levels" for b in self.batches()]
+        all_ = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return all_.join(all_.select("part", F.explode("merged").alias("number")), ["part", "number"], "left_anti")
 
-    def add(self, rows: DataFrame, s: Settings) -> DataFrame:
+    def add(self, rows: DataFrame, s: Settings, name: str | None = None) -> DataFrame:
         """`repeated_runs` of the contexts of a batch, against themselves and all batches before; the batch is then stored."""
-        number = len(self.batches)
+        made_with = f"{self.parts} parts, {s}"
+        before = self.batches()
+        for path, (was, how) in before.items():
+            if how != made_with:
+                raise ValueError(f"the store was made with {how}")
+            if was == name:
+                return self.spark.read.schema(RUN + ", kind string").parquet(path).filter("kind = 'runs'").drop("kind")
+        if name is not None and (not name or "\n" in name):
+            raise ValueError("a batch's name is one line")
+        number = len(before)
         kind = RUN + ", part int, number long, data binary, ends binary, starts binary, merged array<long>"
         names = [c.split()[0] for c in kind.split(", ")]
         i8 = lambda x: np.asarray(x, "<i8").tobytes()
@@ -468,10 +502,10 @@ class SuffixStore:
         placed = rows.withColumn("part", F.pmod(bucket(s), F.lit(self.parts)).cast("int"))
         both = placed.groupBy("part").cogroup(self.levels().groupBy("part")).applyInPandas(run, kind)
         path = f"{self.path}/batch-{number:06d}"
-        both.withColumn("kind", F.when(F.col("part").isNull(), "runs").otherwise("levels")).write.partitionBy("kind").option("maxRecordsPerFile", 100_000).parquet(path)
+        both.withColumn("kind", F.when(F.col("part").isNull(), "runs").otherwise("levels")).write.mode("overwrite").partitionBy("kind").option("maxRecordsPerFile", 100_000).parquet(path)
         there = self.spark.read.schema(kind + ", kind string").parquet(path)
-        there.filter("kind = 'levels'").select("part", "number", "data", "ends", "starts", "merged").write.parquet(f"{path}-levels")
-        self.batches.append(f"{path}-levels")
+        there.filter("kind = 'levels'").select("part", "number", "data", "ends", "starts", "merged").write.mode("overwrite").parquet(f"{path}-levels")
+        self._commit(path, name or f"batch {number}", made_with)
         return there.filter("kind = 'runs'").select("doc_id", "text_id", "start", "stop")
 
 
@@ -483,7 +517,7 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
     return batch.column("_row").field("text")
 
 
-def removals(docs: DataFrame, s: Settings = Settings(), store: SuffixStore | None = None) -> DataFrame:
+def removals(docs: DataFrame, s: Settings = Settings(), store: SuffixStore | None = None, batch: str | None = None) -> DataFrame:
     """(doc_id, _row, _cuts) of each row of `docs`: _row holds its columns, _cuts is null or [{start, stop}] in bytes of
     the text, which may overlap, in no order.
 
@@ -502,7 +536,7 @@ def removals(docs: DataFrame, s: Settings = Settings(), store: SuffixStore | Non
         there = list_anchors(long, s, np.zeros(0, np.uint64)).select("row_key", "place")
     places = there.groupBy("row_key").agg(F.collect_list("place").alias("places"))
     rows = contexts(packed.join(places, "row_key"), s)
-    runs = store.add(rows, s) if store else repeated_runs(rows.repartition(_partitions(docs), bucket(s)).sortWithinPartitions("doc_id", "text_id", "start"), s)
+    runs = store.add(rows, s, batch) if store else repeated_runs(rows.repartition(_partitions(docs), bucket(s)).sortWithinPartitions("doc_id", "text_id", "start"), s)
     cuts = runs.groupBy(F.xxhash64("doc_id", "text_id").alias("row_key")).agg(F.collect_list(F.struct("doc_id", "text_id", "start", "stop")).alias("_cuts"))
     mine = F.filter("_cuts", lambda c: (c["doc_id"] == F.col("doc_id")) & (c["text_id"] == F.col("text_id")))
     return packed.join(cuts, "row_key", "left").select("doc_id", "_row", mine.alias("_cuts"))
@@ -532,10 +566,11 @@ def _left(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int, int]]:
         yield data, *cut_bytes(data, [(c["start"], c["stop"]) for c in cuts.as_py() or ()])
 
 
-def remove_repeats(docs: DataFrame, s: Settings = Settings(), store: SuffixStore | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, s: Settings = Settings(), store: SuffixStore | None = None, batch: str | None = None) -> DataFrame:
     """`docs` without repeated strings: same columns, text and n_chars (where there) changed.
 
-    With a store, `docs` is a further batch: strings of the batches before are cut too, and the store then holds this one.
+    With a store, `docs` is a further batch: strings of the batches before are cut too, and the store then holds this one.  A
+    batch that is given again under its name has the outcome that it had.
 
     Characters cut in part go whole.  A document repeated as a row is one document: neither row is the earlier one.  A
     null text stays null.  Unlike texts under one doc_id are documents of their own, in the order of their hashes.
@@ -550,7 +585,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), store: SuffixStore
             put = {"text": new, "n_chars": [None if t is None else len(t) for t in new]}
             yield pa.RecordBatch.from_arrays([pa.array(put[c], rows.field(c).type) if c in put else rows.field(c) for c in names], names)
 
-    return arrow_map(removals(docs, s, store), run, docs.schema)
+    return arrow_map(removals(docs, s, store, batch), run, docs.schema)
 
 
 def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

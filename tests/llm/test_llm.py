@@ -829,14 +829,45 @@ def test_suffix_store(spark, tmp_path, settings):
     some = lambda n: "".join(rng.choice("abc \n") for _ in range(n))
     base = [some(300) for _ in range(4)]
     texts = [some(rng.randint(0, 60)) + rng.choice(base)[rng.randint(0, 150) :] + some(rng.randint(0, 200)) + rng.choice(["", *base]) for _ in range(50)] + ODD
-    store = suffix_dedup.SuffixStore(spark, str(tmp_path / "levels"), 3)
+    path = str(tmp_path / "levels")
     df, got = docs_of(spark, texts), {}
     for a, b in ((0, 20), (20, 25), (25, 25), (25, 60)):
+        store = suffix_dedup.SuffixStore(spark, path, 3)  # opened anew for each batch
         batch = df.filter(f"doc_id >= {a} and doc_id < {b}")
-        got |= {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(batch, settings, store).collect()}
+        got |= {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(batch, settings, store, f"{a} to {b}").collect()}
     assert got == {i: None if texts[i] is None else b.decode("utf-8", "ignore") for i, (_, _, _, b) in brute_repeats(texts).items()}
     live = store.levels().collect()
     assert any(r["merged"] for r in live) and max(Counter(r["part"] for r in live).values()) <= 16
+    # A batch given again has the outcome that it had, and is not held twice.
+    again = suffix_dedup.remove_repeats(df.filter("doc_id >= 20 and doc_id < 25"), settings, store, "20 to 25").collect()
+    assert {r["doc_id"]: r["text"] for r in again} == {i: got[i] for i in range(20, 25)} and len(store.batches()) == 4
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(df, settings, suffix_dedup.SuffixStore(spark, path, 4))
+
+
+def test_suffix_store_of_two_processes(spark, tmp_path):
+    """Another process adds the first batch, and leaves an unfinished one behind; this one goes on from its folder."""
+    import os
+    import subprocess
+    import sys
+
+    path, texts = str(tmp_path / "levels"), ["the quick brown fox " * 9 + str(i) for i in range(4)]
+    code = f"""
+from pyspark.sql import SparkSession
+from lumenstack.llm import suffix_dedup
+spark = SparkSession.builder.master("local[1]").config("spark.sql.shuffle.partitions", "1").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/other").getOrCreate()
+docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate({texts[:2]!r})], {DOCS!r})
+suffix_dedup.remove_repeats(docs, suffix_dedup.Settings(), suffix_dedup.SuffixStore(spark, {path!r}, 2), "first").collect()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env=os.environ | {"PYTHONPATH": root})
+    store = suffix_dedup.SuffixStore(spark, path, 2)
+    assert [v[0] for v in store.batches().values()] == ["first"]
+    os.makedirs(f"{path}/batch-000001-levels")  # no marker: it does not count and is written over
+    rest = docs_of(spark, texts).filter("doc_id >= 2")
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(rest, suffix_dedup.Settings(), store, "second").collect()}
+    want = brute_repeats(texts)
+    assert got == {i: want[i][3].decode() for i in (2, 3)} and len(suffix_dedup.SuffixStore(spark, path, 2).batches()) == 2
 
 
 # The pipeline
