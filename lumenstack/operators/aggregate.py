@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
+
 PIXEL = ["row", "col"]
 #: Reductions by name; all are partial aggregates, but for the exact percentiles.
 REDUCE = {
@@ -48,12 +53,17 @@ def global_std(cells: DataFrame) -> DataFrame:
     return cells.agg(F.stddev_pop("value").alias("std"))
 
 
-def quantiles(df: DataFrame, qs: list[float], value: str = "value", bins: int = 4096) -> list[float | None]:
+#: Values that a last round of exact quantiles may fetch.
+FETCHED = 65_536
+
+
+def quantiles(df: DataFrame, qs: list[float], value: str = "value", bins: int = 4096, fetched: int = FETCHED) -> list[float | None]:
     """Exact quantiles of a column, with linear interpolation; nulls and NaN are left out, None where nothing is left.
 
-    Each round counts the values by equal bins of the range in which a rank lies, and goes on in its bin, from the least to
-    the greatest value there, until these are equal.  A round sends `bins` rows for each range that is still open, so no task
-    holds the distinct values; ranges shrink by the number of bins, and a few rounds do.
+    Each round counts the values by equal bins of the ranges in which ranks lie, and goes on in their bins, from the least to
+    the greatest value there, until these are equal or all that is left in open bins is at most `fetched` values, which are
+    fetched.  A round sends `bins` rows for each range that is still open, so no task holds the distinct values; ranges shrink
+    by the number of bins, and a few rounds do.  After the first, rounds read a table of the values in open bins alone.
     """
     v = F.col(value).cast("double")
     df = df.filter(v.isNotNull() & ~F.isnan(v)).select(v.alias("_v"))
@@ -61,25 +71,34 @@ def quantiles(df: DataFrame, qs: list[float], value: str = "value", bins: int =
     if not n:
         return [None] * len(qs)
     ranks = {r for q in qs for r in (int(q * (n - 1)), min(n - 1, int(q * (n - 1)) + 1))}
-    open_, found = {r: (low, high, 0) for r in ranks}, {}  # rank: the range it lies in, and how many values are below that
-    while True:
-        for r in [r for r, (a, b, _) in open_.items() if a == b]:
+    open_, found, held = {r: (low, high, 0, n) for r in ranks}, {}, []  # rank: the range it lies in, and how many values are below that and in it
+    for round_ in itertools.count():
+        for r in [r for r, (a, b, _, _) in open_.items() if a == b]:
             found[r] = open_.pop(r)[0]
         if not open_:
             break
-        spans = sorted({(a, b) for a, b, _ in open_.values()})
-        each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(spans)])
-        x = df.filter((F.col("_v") >= min(a for a, _ in spans)) & (F.col("_v") <= max(b for _, b in spans)))
-        x = x.select("_v", F.explode(F.filter(each, lambda s: (F.col("_v") >= s["a"]) & (F.col("_v") <= s["b"]))).alias("s"))
+        spans = sorted({(a, b, m) for a, b, _, m in open_.values()})
+        inside = functools.reduce(lambda x, y: x | y, [(F.col("_v") >= a) & (F.col("_v") <= b) for a, b, _ in spans])
+        x = df.filter(inside)
+        if sum(m for _, _, m in spans) <= fetched:
+            left = sorted(r[0] for r in x.collect())
+            for r, (a, _, below, _) in open_.items():
+                found[r] = left[bisect.bisect_left(left, a) + r - below]
+            break
+        if round_ == 1:
+            df = x = written(x, "open-bins", held)
+        each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b, _) in enumerate(spans)])
+        # Ranges do not overlap, so a value has one.
+        x = x.select("_v", F.filter(each, lambda s: (F.col("_v") >= s["a"]) & (F.col("_v") <= s["b"]))[0].alias("s"))
         # Halves, as the range itself may be beyond a double; two bins where it is too small to be halved.
         part = F.try_divide(F.col("_v") / 2 - F.col("s.a") / 2, F.col("s.b") / 2 - F.col("s.a") / 2) * bins
         k = F.least(F.coalesce(F.floor(part), (F.col("_v") > F.col("s.a")).cast("long") * bins), F.lit(bins - 1))
         rows = sorted(map(tuple, x.groupBy(F.col("s.i").alias("i"), k.alias("k")).agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).collect()))
-        for r, (a, b, below) in open_.items():
+        for r, (a, b, below, size) in open_.items():
             for i, _, m, first, last in rows:
-                if spans[i] == (a, b):
+                if spans[i] == (a, b, size):
                     if r < below + m:
-                        open_[r] = (first, last, below)
+                        open_[r] = (first, last, below, m)
                         break
                     below += m
     out = []

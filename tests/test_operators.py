@@ -361,7 +361,8 @@ def test_quantiles_exact(spark):
     for x in (rng.normal(size=999), np.floor(rng.normal(size=500) * 3), np.array([4.0]), np.array([1.0, 1.0]), rng.normal(size=60) * 10.0 ** rng.integers(-30, 30, 60), np.array([-1.7e308, 0.0, 1.7e308, 5e-324])):
         df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (math.nan,)], "value double")
         for bins in (3, 4096):
-            assert aggregate.quantiles(df, qs, bins=bins) == pytest.approx([v for v in np.quantile(x, qs)], rel=1e-12) or np.abs(x).max() > 1e300
+            assert aggregate.quantiles(df, qs) == aggregate.quantiles(df, qs, bins=bins, fetched=0)
+            assert aggregate.quantiles(df, qs, bins=bins, fetched=3) == pytest.approx([v for v in np.quantile(x, qs)], rel=1e-12) or np.abs(x).max() > 1e300
     assert aggregate.quantiles(df.limit(0), [0.5]) == [None]
 
 
