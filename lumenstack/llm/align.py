@@ -1,23 +1,22 @@
 """Alignment of two tokenizers: which tokens of one stand for the bytes of which tokens of the other, and how often.
 
-Cumulative ends of both token sequences are merged by two pointers; where both end, a group ends.  All tokens of one side
-of a group are linked to all of the other.  A count belongs to a pair of ids: how many texts hold it linked.
-
-Both vocabularies end a token wherever a letter, mark, digit, punctuation or symbol is followed by a blank, whatever else
-the text holds (checked when they are loaded), so no group reaches across such a place.  A task aligns each stretch
-between two of them once and keeps it in a bounded table.  Texts are gathered into blocks; a block has a dictionary of the
-pairs that its texts hold and, for each text, their places in it.  Spark groups the dictionaries' rows by pair, joins the
-counts and the highest of each left id back to them, and each block's counts to the block.  So the rows that are shuffled
-are the different pairs of a block, not the links of each text.
+Cumulative ends of both token sequences are merged; where both end, a group ends.  All tokens of one side of a group are
+linked to all of the other.  A count belongs to a pair of ids: how many texts hold it linked.
+
+The merge is one of sorted arrays: each end of the left side is led to its place among those of the right, both pointers
+only moving on, for all ends in one pass.  Both vocabularies end a token wherever a letter, mark, digit, punctuation or
+symbol is followed by a blank, whatever else the text holds (checked when they are loaded), so long texts are taken in
+parts between such places.  Texts are gathered into blocks; a block has a dictionary of the pairs that its texts hold and,
+for each text, their places in it.  Spark groups the dictionaries' rows by pair, joins the counts and the highest of each
+left id back to them, and each block's counts to the block.  So the rows that are shuffled are the different pairs of a
+block, not the links of each text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from typing import NamedTuple
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,122 +24,93 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, table, written
-from .token_count import byte_level, pieces
+from .token_count import STABLE, byte_level, pieces
 
 #: Links of texts with so many different pairs in sum, or so many texts, make a block; one text is never divided.
 BLOCK_LINKS, BLOCK_TEXTS = 2_000_000, 20_000
-#: Stretches that a task keeps, those that it keeps the links of at most so long, and those that it takes of a text at once.
-KEEP, KEEP_BYTES, AT_ONCE = 400_000, 400, 100_000
-
-
-class Stretch(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    #: `a1,a2|b1;...`, and (pair, how often) of the links as 64-bit integers; a pair is a * 2^32 + b.
-    said: str
-    links: bytes
-
-
-def groups(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(a from, a to, b from, b to) of each group, by two pointers over the cumulative ends."""
-    i = j = first_i = first_j = 0
-    while i < len(ends_a) and j < len(ends_b):
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            # Tokens without bytes that follow belong to the group that ends here.
-            while i < len(ends_a) and ends_a[i] == ends_a[i - 1]:
-                i += 1
-            while j < len(ends_b) and ends_b[j] == ends_b[j - 1]:
-                j += 1
-            yield first_i, i, first_j, j
-            first_i, first_j = i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-
-
-def align(a: list[int], b: list[int], bytes_a, bytes_b) -> Stretch:
-    """The groups and links of two token sequences over the same bytes."""
-    said, links, n_links = [], Counter(), 0
-    ends_a, ends_b = (list(itertools.accumulate(len(said_by[t]) for t in ids)) for ids, said_by in ((a, bytes_a), (b, bytes_b)))
-    for i, k, j, m in groups(ends_a, ends_b):
-        left, right = a[i:k], b[j:m]
-        said.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-        n_links += (k - i) * (m - j)
-        if k - i == m - j == 1:
-            links[left[0] << 32 | right[0]] += 1
-            continue
-        right = Counter(right).items()
-        for x, n in Counter(left).items():
-            for y, o in right:
-                links[x << 32 | y] += n * o
-    return Stretch(len(a), len(b), len(said), n_links, ";".join(said), np.array(list(links.items()), "<i8").tobytes())
+#: Characters of a text that are taken at once, where it has a place to part it, and links of a group that are written out one by one.
+AT_ONCE, SMALL_GROUP = 500_000, 1024
+
+
+def merge(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of each side lie before each end that both have."""
+    at = np.searchsorted(ends_b, ends_a)
+    both = ends_b[at] == ends_a
+    return np.flatnonzero(both) + 1, at[both] + 1
 
 
 class Aligner:
-    """Both vocabularies, and the stretches that this process has met."""
+    """Both vocabularies."""
 
     def __init__(self, a_path: str, b_path: str):
         import regex
 
-        encoding, self.bytes_a, _ = byte_level(a_path)
+        self.encoding, bytes_a, _ = byte_level(a_path)
         self.model, self.bytes_b = pieces(b_path)
-        self.encode_a = encoding.encode_ordinary
+        self.bytes_a = [bytes_a.get(i, b"") for i in range(max(bytes_a) + 1)]
         self.blank = [self.model.piece_to_id("▁")]
-        # Blanks and what follows up to the next blank, and on while that blank follows what is not certain to end a token.
-        self.split = regex.compile(r" +(?:[^ ]++(?<![\p{L}\p{M}\p{N}\p{P}\p{S}]) +)*+[^ ]*+")
-        self.met: dict[str, Stretch | None] = {}
-
-    def stretches(self, parts: Iterable[str]) -> Iterator[Stretch | None]:
-        """Of each part, which begins with a blank; none where the tokens' bytes are not those of the text."""
-        parts = list(parts)
-        for b, part in zip(self.model.encode([p[1:] for p in parts], num_threads=1), parts, strict=True):
-            a, b, data = self.encode_a(part), b if len(part) > 1 else self.blank, part.encode()
-            same = b"".join([self.bytes_a[t] for t in a]) == data == b"".join([self.bytes_b[t] for t in b])
-            yield align(a, b, self.bytes_a, self.bytes_b) if same else None
+        self.len_a, self.len_b = (np.array([len(x) for x in said], np.int64) for said in (self.bytes_a, self.bytes_b))
+        if not all(bytes_a.values()) or not all(self.bytes_b):
+            raise ValueError("a token without bytes belongs to no group")
+        text = lambda n, after: np.array([f"{i}{after}" for i in range(n)], object)
+        self.said_a = text(len(self.len_a), ","), text(len(self.len_a), "|")
+        self.said_b = text(len(self.len_b), ","), text(len(self.len_b), ";")
+        self.place = regex.compile(STABLE)
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text from one place that surely ends a token to the next, each part long enough."""
+        start = 0
+        while (m := self.place.search(text, start + AT_ONCE)) if len(text) - start > AT_ONCE else None:
+            yield text[start : m.end()]
+            start = m.end()
+        yield text[start:]
 
     def text(self, text: str) -> tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links), the groups' digest, the pairs in ascending order and how often each is linked."""
-        found = self._over(text, False) if text else None
-        if found is None and text:
-            found = self._over(text, True)  # what is odd in a part may be right in the whole
-        return found or ((0, 0, 0, 0), "", np.zeros(0, "<i8"), np.zeros(0, "<i8"))
-
-    def _over(self, text: str, whole: bool):
-        text, met = " " + text, self.met
-        if whole:
-            parts: Iterable[list[str]] = [[text]]
-        elif len(text) < 1_000_000:
-            parts = [self.split.findall(text)]
-        else:
-            parts = map(list, itertools.batched((m.group() for m in self.split.finditer(text)), AT_ONCE))
-        sha, total, pairs, times, first = hashlib.sha256(), np.zeros(4, np.int64), [], [], True
-        for batch in parts:
-            count = Counter(batch)
-            new = [p for p in count if p not in met]
-            here = dict(zip(new, self.stretches(new), strict=True))
-            if len(met) > KEEP:
-                here |= {p: met[p] for p in count if p in met}
-                met.clear()
-            met.update((p, s) for p, s in here.items() if s is None or len(s.links) + len(p) <= KEEP_BYTES)
-            get = {p: here[p] if p in here else met[p] for p in count} if here else met
-            held = [get[p] for p in count]
-            if None in held:
-                return None
-            n = np.fromiter(count.values(), np.int64, len(count))
-            total += n @ np.array([s[:4] for s in held], np.int64)
-            sha.update((";" * (not first) + ";".join([get[p].said for p in batch])).encode())
-            first = False
-            links = np.frombuffer(b"".join([s.links for s in held]), "<i8").reshape(-1, 2)
-            pairs.append(links[:, 0])
-            times.append(links[:, 1] * np.repeat(n, [len(s.links) // 16 for s in held]))
+        nothing = (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not text:
+            return nothing
+        sha, total, pairs, times, before = hashlib.sha256(), np.zeros(4, np.int64), [], [], ""
+        for part in self.parts(" " + text):
+            if (got := self.aligned(part)) is None:
+                return nothing
+            total += got[0]
+            sha.update((before + got[1]).encode())
+            before = ";"
+            pairs.append(got[2])
+            times.append(got[3])
             if len(pairs) > 1:
                 merged = _summed(np.concatenate(pairs), np.concatenate(times))
                 pairs, times = [merged[0]], [merged[1]]
-        return (tuple(total.tolist()), sha.hexdigest(), *_summed(pairs[0], times[0]))
+        return tuple(total.tolist()), sha.hexdigest(), pairs[0], times[0]
+
+    def aligned(self, part: str) -> tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray] | None:
+        """The same of a part, which begins with a blank, with the groups in full; none where the tokens' bytes are not the part's."""
+        a = self.encoding.encode_to_numpy(part, disallowed_special=()).astype(np.int64)
+        b = self.model.encode(part[1:], num_threads=1) if len(part) > 1 else self.blank
+        data = part.encode()
+        if b"".join([self.bytes_a[t] for t in a.tolist()]) != data or b"".join([self.bytes_b[t] for t in b]) != data:
+            return None
+        b = np.array(b, np.int64)
+        to_a, to_b = merge(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        from_b = to_b - n_b
+        # Each side's tokens go behind those of the other side before them; the last of a group is followed by another mark.
+        said = np.empty(len(a) + len(b), object)
+        at_a, at_b = np.arange(len(a)) + np.repeat(from_b, n_a), np.arange(len(b)) + np.repeat(to_a, n_b)
+        said[at_a], said[at_b] = self.said_a[0][a], self.said_b[0][b]
+        said[at_a[to_a - 1]], said[at_b[to_b - 1]] = self.said_a[1][a[to_a - 1]], self.said_b[1][b[to_b - 1]]
+        n_links = n_a * n_b
+        # Groups of a few links: every token of the left side beside every one of the right.
+        small = n_links <= SMALL_GROUP
+        left = np.flatnonzero(np.repeat(small, n_a))
+        each = np.repeat(n_b, n_a)[left]
+        right = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(from_b, n_a)[left], each)
+        pairs, times = np.unique(np.repeat(a[left], each) << 32 | b[right], return_counts=True)
+        for g in np.flatnonzero(~small):
+            (x, n), (y, m) = (np.unique(ids[to[g] - k[g] : to[g]], return_counts=True) for ids, to, k in ((a, to_a, n_a), (b, to_b, n_b)))
+            pairs, times = _summed(np.concatenate([pairs, (x[:, None] << 32 | y).ravel()]), np.concatenate([times, (n[:, None] * m).ravel()]))
+        return (len(a), len(b), len(to_a), int(n_links.sum())), "".join(said.tolist())[:-1], pairs, times
 
 
 def _summed(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
