@@ -37,6 +37,11 @@ def to_frames(cells: DataFrame, fill: float | None = None) -> DataFrame:
     return g.select("t", "h", "w", F.transform(F.array_sort(filled), lambda x: x["value"]).alias("data"))
 
 
+def shuffled(traces: DataFrame, seed: int = 0) -> DataFrame:
+    """Traces in a random order of pixels, the same for one seed: a sort by hash, over all tasks."""
+    return traces.orderBy(F.xxhash64(F.lit(seed), "row", "col"), "row", "col")
+
+
 def traces_to_cells(traces: DataFrame) -> DataFrame:
     return traces.select(F.posexplode("v").alias("_t", "value"), "row", "col").select(F.col("_t").cast("long").alias("t"), "row", "col", "value")
 

@@ -188,6 +188,34 @@ def interpolate(traces: DataFrame, times: int) -> DataFrame:
     return map_traces(traces, one, "v array<double>")
 
 
+def refined_lag(traces: DataFrame, signal: np.ndarray, dt: float = 1.0) -> DataFrame:
+    """(row, col, lag, value): the place between samples, and height, of the highest peak of each trace's correlation with a signal.
+
+    Both are taken as deviations from their means over their standard deviations; the correlation at every lag is smoothed by
+    two scales of the starlet, and peaks are those of the spline through it.  A positive lag is a trace that comes first.  A
+    trace without deviation, or without a peak, has nulls.
+    """
+    from .wavelet import starlet
+
+    s = np.asarray(signal, float)
+    s = (s - s.mean()) / s.std() / len(s)
+
+    def one(v: np.ndarray) -> Iterator[tuple]:
+        if len(v) != len(s) or v.std() == 0:
+            yield None, None
+            return
+        x = starlet(np.correlate(s, (v - v.mean()) / v.std(), "full"), 2)[-1]
+        up, _ = extrema(x)
+        if not len(up):
+            yield None, None
+            return
+        height = spline(np.arange(len(x), dtype=float), x, up)
+        k = int(height.argmax())
+        yield float((up[k] - (len(s) - 1)) * dt), float(height[k])
+
+    return map_traces(traces, one, "lag double, value double")
+
+
 def _sift(v: np.ndarray, most: int = 200) -> np.ndarray:
     """One mode: the mean of the envelopes is taken off until the mode is symmetric enough."""
     x, h = np.arange(len(v), dtype=float), v

@@ -111,11 +111,31 @@ def _shrink(soft: bool):
     return lambda z: F.when(F.abs(z["w"]) > z["th"], z["w"] - F.signum(z["w"]) * z["th"] if soft else z["w"]).otherwise(0.0)
 
 
-def support(coefs: DataFrame, sigma: float | Column, k: float, table: tuple[float, ...] = SIGMA_1D, modulus: bool = True) -> DataFrame:
-    """`coefs` with supp: 1 where significant; the approximation always is."""
-    th = F.element_at(F.array(*map(F.lit, table)), F.least(F.col("level") + 1, F.lit(len(table))).cast("int")) * k * sigma
+def support(coefs: DataFrame, sigma: float | Column, k: float | list, table: tuple[float, ...] = SIGMA_1D, modulus: bool = True, neg: bool = False, level_of_rest: int | None = None) -> DataFrame:
+    """`coefs` with supp: 1 where significant; the approximation, which is `level_of_rest` where that is given, always is.
+
+    `k` is in deviations of a level's noise: one number, or for each level a number or a band (low, high], in which a coefficient
+    is significant.  `neg` asks for less than the threshold instead of more, and then leaves the approximation out; bands are
+    as they are.  Without `modulus` the sign counts.
+    """
+    scale = F.element_at(F.array(*map(F.lit, table)), F.least(F.col("level") + 1, F.lit(len(table))).cast("int")) * sigma
     v = F.abs("value") if modulus else F.col("value")
-    return coefs.withColumn("supp", (v > th).cast("int"))
+
+    def beyond(t) -> Column:
+        if isinstance(t, (tuple, list)):
+            return (v > t[0] * scale) & (v <= t[1] * scale)
+        return v < t * scale if neg else v > t * scale
+
+    if isinstance(k, list):
+        # Levels beyond the list are as its last.
+        hit = beyond(k[-1])
+        for j in range(len(k) - 2, -1, -1):
+            hit = F.when(F.col("level") == j, beyond(k[j])).otherwise(hit)
+    else:
+        hit = beyond(k)
+    if level_of_rest is not None:
+        hit = F.when(F.col("level") == level_of_rest, F.lit(not neg)).otherwise(hit)
+    return coefs.withColumn("supp", hit.cast("int"))
 
 
 def represent_support(coefs: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,6 +174,19 @@ def starlet2d(x: np.ndarray, level: int) -> np.ndarray:
     return np.array([*out, x])
 
 
+def starlet(x: np.ndarray, level: int) -> np.ndarray:
+    """Details, then the approximation, of an array of any number of dimensions."""
+    check_level(level, min(x.shape))
+    out = []
+    for j in range(level):
+        c = x
+        for axis in range(x.ndim):
+            c = sum(w * np.take(c, _mirror(c.shape[axis], 2**j, d), axis) for d, w in zip(range(-2, 3), B3, strict=True))
+        out.append(x - c)
+        x = c
+    return np.array([*out, x])
+
+
 def median2d(x: np.ndarray, s: int) -> np.ndarray:
     """Median of the (2s + 1)-square, mirrored at the edges."""
     p = np.pad(x, s, "reflect" if s < min(x.shape) else "symmetric")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+
 from ..functions.curves import tanh_spike
 
 
@@ -77,3 +81,21 @@ def noise_levels(spark: SparkSession, level: int, n: int = 1024, repeats: int =
     x = spark.range(repeats).mapInPandas(one, "row int, col int, v array<double>")
     c = coefficients(decompose1d(x, level, n), level, ["row"]).filter(F.col("level") < level)
     return c.groupBy("level", "row").agg(F.stddev_pop("value").alias("s")).groupBy("level").agg(F.avg("s").alias("sigma"))
+
+
+def noise_table(spark: SparkSession, level: int, size: tuple[int, ...] = (256, 256), repeats: int = 64, seed: int = 0, transform: Callable[[np.ndarray, int], np.ndarray] | None = None) -> DataFrame:
+    """(level, sigma): the same for arrays of any number of dimensions, and any transform to details and an approximation (the starlet).
+
+    A task draws and transforms one array after another; only a deviation for each level leaves it.
+    """
+    from ..operators.wavelet import starlet
+
+    make = transform or starlet
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(j, float(w.std())) for i in b["id"] for j, w in enumerate(make(np.random.default_rng([seed, int(i)]).normal(size=size), level)[:-1])]
+            yield pd.DataFrame(rows, columns=["level", "s"])
+
+    ship(spark)
+    return spark.range(repeats).mapInPandas(run, "level long, s double").groupBy("level").agg(F.avg("s").alias("sigma"))

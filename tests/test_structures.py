@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from lumenstack.operators import cluster, forest, register, spatial, tracking
+from lumenstack.operators import cluster, forest, layout, register, spatial, tracking, wavelet
 from lumenstack.sources import images, ranges, synthetic
 
 F = forest.F
@@ -309,3 +309,38 @@ def test_local_contours(spark):
     flat[10:20, :4] = 5
     lo, hi = tracking.local_contours(flat, 0)  # columns without contrast keep near the others
     assert np.abs(lo[:3] - 9.5).max() < 1.5 and np.abs(lo - lo.mean()).max() < 6 and (lo <= hi).all()
+
+
+def test_noise_tables(spark):
+    """White noise gives the published deviations in two and three dimensions, and for the hybrid of medians and the starlet."""
+    for size, want, n in (((96, 96), wavelet.SIGMA_2D, 3), ((24, 24, 24), wavelet.SIGMA_3D, 2)):
+        got = {r["level"]: r["sigma"] for r in synthetic.noise_table(spark, n, size, 8).collect()}
+        assert all(got[j] == pytest.approx(want[j], rel=0.1) for j in range(n))
+    got = {r["level"]: r["sigma"] for r in synthetic.noise_table(spark, 2, (64, 64), 6, transform=wavelet.hybrid_pyramid).collect()}
+    assert all(got[j] == pytest.approx(wavelet.SIGMA_MEDIAN_2[j], rel=0.1) for j in range(2))
+    x = np.random.default_rng(0).normal(size=(20, 17))
+    assert np.allclose(wavelet.starlet(x, 3), wavelet.starlet2d(x, 3))
+
+
+def test_supports_of_every_kind(spark):
+    values = [-3.0, -1.0, -0.2, 0.0, 0.2, 1.0, 3.0]
+    df = spark.createDataFrame([(j, v) for j in range(3) for v in values], "level long, value double")
+    of = lambda **k: {(r["level"], r["value"]): r["supp"] for r in wavelet.support(df, 1.0, table=(1.0, 0.5), **k).collect()}
+    scale = {0: 1.0, 1: 0.5, 2: 0.5}
+    for modulus in (True, False):
+        m = abs if modulus else float
+        assert of(k=1.0, modulus=modulus) == {(j, v): int(m(v) > scale[j]) for j in scale for v in values}
+        assert of(k=1.0, modulus=modulus, neg=True, level_of_rest=2) == {(j, v): int(m(v) < scale[j]) if j < 2 else 0 for j in scale for v in values}
+        assert of(k=[0.5, (1.0, 2.0)], modulus=modulus, level_of_rest=2) == {(j, v): 1 if j == 2 else int(m(v) > 0.5) if j == 0 else int(0.5 < m(v) <= 1.0) for j in scale for v in values}
+
+
+def test_refined_lag_and_order(spark):
+    t = np.arange(128.0)
+    bump = lambda at: np.exp(-((t - at) ** 2) / 60)
+    rows = [(0, k, bump(50 + d).tolist()) for k, d in enumerate((0.0, 7.4, -12.7))] + [(1, 0, [1.0] * 128)]
+    df = spark.createDataFrame(rows, "row int, col int, v array<double>")
+    got = {(r["row"], r["col"]): (r["lag"], r["value"]) for r in tracking.refined_lag(df, bump(50)).collect()}
+    assert got[1, 0] == (None, None) and all(abs(got[0, k][0] + d) < 0.15 and got[0, k][1] > 0.8 for k, d in enumerate((0.0, 7.4, -12.7)))
+    many = spark.range(300).selectExpr("cast(id div 20 as int) as row", "cast(id % 20 as int) as col", "array(1.0D) as v")
+    one, two = ([(r["row"], r["col"]) for r in layout.shuffled(many, seed).collect()] for seed in (1, 2))
+    assert one == [(r["row"], r["col"]) for r in layout.shuffled(many, 1).collect()] and one != two != sorted(two) and sorted(one) == sorted(two)
