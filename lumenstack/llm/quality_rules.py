@@ -8,7 +8,6 @@ change the verdict.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -102,35 +101,38 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def measure_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 1000) -> tuple[list[float], dict[tuple[bool, ...], int]]:
-    """(seconds that each rule takes over the sample, how often each combination of verdicts is met there).
+def _clock() -> Column:
+    """Nanoseconds now, read anew for each row."""
+    return F.expr("reflect('java.lang.System', 'nanoTime')")
+
+
+def measure_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 1000, repeats: int = 8) -> tuple[list[float], dict[tuple[bool, ...], int]]:
+    """(nanoseconds that each rule takes over the sample, how often each combination of verdicts is met there).
 
     The sample is one in so many rows, by hash of their first column and text, that about `sample_rows` are in it.  It is
-    written once, so what is timed does not read the corpus.  A rule's time is that of a job which evaluates it alone over
-    the sample's words, the better of two runs so that compiling does not count, less that of a job which only finds the
-    words.  No more than 2 ** rules combinations, and never more than the sample has rows, reach the driver.
+    written once, so what is timed does not read the corpus.  In one job, the clock is read between the rules of every row,
+    which are evaluated as the cascade evaluates them, from words that are found before; each row is timed `repeats` times and
+    the least counts, so that compiling, collecting garbage and being scheduled do not.  What reading the clock takes is
+    taken off.  No more than 2 ** rules combinations, and never more than the sample has rows, reach the driver.
     """
     every = max(1, docs.count() // sample_rows)
     held = docs.select(*{c: F.col(c) for c in (docs.columns[0], "text")}.values())
-    sample = written(held.filter(F.pmod(F.xxhash64(*held.columns), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")).alias("text")).repartition(4), "rule-sample")
+    sample = held.filter(F.pmod(F.xxhash64(*held.columns), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")).alias("text"))
+    sample = written(sample.repartition(4).withColumn("row", F.monotonically_increasing_id()), "rule-sample")
     over = lambda f: let(words_of(F.col("text")), lambda w: f(Stats.of_words(F.col("text"), w)))
-
-    def seconds(f: Callable[[Stats], Column]) -> float:
-        took = []
-        for _ in range(2):
-            start = time.perf_counter()
-            sample.agg(F.count_if(over(f))).collect()
-            took.append(time.perf_counter() - start)
-        return min(took)
-
-    idle = seconds(lambda x: x.n_words < 0)
-    costs = [max(seconds(r.rejects) - idle, 0.02 * idle) for r in rules]
+    read = over(lambda x: F.array(_clock(), _clock(), *[c for r in rules for c in (r.rejects(x).cast("string"), _clock())]))
+    timed = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).select("row", read.alias("at"))
+    at = lambda i: F.get("at", F.lit(i)).cast("long")
+    took = [at(1) - at(0), *[at(2 * i + 3) - at(2 * i + 1) for i in range(len(rules))]]
+    least = timed.groupBy("row").agg(*[F.min(c).alias(f"t{i}") for i, c in enumerate(took)])
+    idle, *sums = [x or 0 for x in least.agg(*[F.sum(f"t{i}") for i in range(len(rules) + 1)]).first()]
+    costs = [float(max(x - idle, 1)) for x in sums]
     verdicts = over(lambda x: F.array(*[F.coalesce(r.rejects(x), F.lit(False)) for r in rules]))
     return costs, {tuple(r["v"]): r["n"] for r in sample.groupBy(verdicts.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 1000) -> list[Rule]:
-    """Greedy order by rejection per cost among documents that the rules before it keep; costs are timed, so it may differ from run to run."""
+    """Greedy order by rejection per cost among documents that the rules before it keep; costs are timed, so rules of nearly like worth may change places."""
     costs, left = measure_rules(docs, rules, sample_rows)
     rest, out = list(range(len(rules))), []
     while rest:

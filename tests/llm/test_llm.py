@@ -170,6 +170,10 @@ def test_rules_are_ordered_by_measured_cost(spark):
     assert costs[0] > 3 * costs[1] and sum(seen.values()) == len(texts)
     for shuffled in (rules, rules[::-1]):
         assert quality_rules.order_rules(docs_of(spark, texts), shuffled)[0].name == "fast"
+    # The default rules have one order in every call, the dear ones after cheap ones that reject as many.
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    orders = [[r.name for r in quality_rules.order_rules(docs, rules)] for rules in (quality_rules.default_rules(), *[quality_rules.default_rules()[::-1]] * 2, *[quality_rules.default_rules()] * 2)]
+    assert all(o == orders[0] for o in orders) and orders[0][0] == "few_words" and orders[0].index("symbols") < orders[0].index("repeated_words")
     # A sample holds rows of every part of the table, and about as many as asked for.
     _, some = quality_rules.measure_rules(docs_of(spark, texts), rules[1:], 50)
     assert 20 < sum(some.values()) < 110
