@@ -1,10 +1,12 @@
 """Packing of token pieces into sequences by exact complements, then best fit.
 
 The plan is made from the histogram of piece lengths alone, which has as many entries as a sequence has tokens, however
-many pieces there are.  Lengths that complete each other are consumed first; the longer ones of the rest are packed best fit,
-and the gaps they leave are looked up among the sums of one, two and three of the shorter lengths, each combination being
-consumed as often as counts and gaps allow.  What no combination fills exactly is packed best fit, longest first.  A plan is a list of patterns (lengths, how often); pieces take their
-places in it by their rank among the pieces of their length.
+many pieces there are.  An index holds, for each sum, how many pairs and triples of available lengths have it; it is kept
+up to date as lengths run out.  From the longest piece down, the gap that it leaves is looked up among the single lengths,
+then among the pairs, then among the triples, and a combination that fills it exactly is consumed as often as the counts
+allow.  The rest is packed best fit, longest first.  Very short lengths are worth more as fillers of the rest than inside
+combinations, so plans that spare more or fewer of them are compared, with best fit alone as the last.  A plan is a list
+of patterns (lengths, how often); pieces take their places in it by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -89,79 +91,92 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024,
     return arrow_map(docs.select("doc_id", "text"), run, PIECE + ", ids binary" * with_ids)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns that use each length as often as `counts` says, with the fewest sequences of a few cuts between long and short."""
-    return min((plan_by(counts, capacity, 3, capacity // k) for k in (2, 3, 4, 6, 8, 12, 16)), key=lambda p: sum(n for _, n in p))
-
+class Sums:
+    """How many pairs and triples of available lengths have each sum up to the capacity; a length counts in as often as it is there."""
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.left, self.pairs, self.triples = (np.zeros(capacity + 1, np.int64) for _ in range(3))
+        for k, n in counts.items():
+            self.put(k, n)
+
+    def put(self, k: int, n: int) -> None:
+        """`n` more pieces of length k; fewer, if negative."""
+        old, new = int(self.left[k]), int(self.left[k]) + n
+        sign, end = 1 if n > 0 else -1, len(self.left)
+        self.left[k] = 0
+        others = np.flatnonzero(self.left)
+        for twice in [v for v in (1, 2, 3) if min(old, new) < v <= max(old, new)][::sign]:  # the first, second and third piece of k
+            sums = others + twice * k
+            sums = sums[sums < end]
+            if twice == 1:
+                if sign < 0:
+                    self.pairs[sums] -= 1
+                self.triples[k:] += sign * self.pairs[: end - k]  # of other lengths only
+                if sign > 0:
+                    self.pairs[sums] += 1
+            elif twice == 2 and 2 * k < end:
+                self.pairs[2 * k] += sign
+                self.triples[sums] += sign
+            elif twice == 3 and 3 * k < end:
+                self.triples[3 * k] += sign
+        self.left[k] = new
+
+    def find(self, total: int, size: int, most: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """The combination of `size` lengths of that sum, none above `most`, with the longest first length; None if there is none beside the pieces `held`."""
+        by_size = self.left, self.pairs, self.triples
+        if not by_size[size - 1][total]:
+            return None
+        if size == 1:
+            return (total,) if total <= most and self.left[total] > held.count(total) else None
+        ks = np.arange(min(most, total - size + 1), (total - 1) // size, -1)
+        for k in map(int, ks[(self.left[ks] > 0) & (by_size[size - 2][total - ks] > 0)]):
+            if self.left[k] > held.count(k) and (rest := self.find(total - k, size - 1, k, (*held, k))):
+                return (k, *rest)
+        return None
 
-def plan_by(counts: dict[int, int], capacity: int, parts: int, short: int) -> list[tuple[tuple[int, ...], int]]:
-    """Exact complements by up to `parts` lengths.
 
-    Complements by one length are consumed first.  The other pieces longer than `short` are packed best fit, which leaves
-    gaps; sums of one length, then of two, then of three, that fill a gap exactly are consumed as often as the counts of
-    lengths and gaps allow, those with the longer lengths first.  The rest is packed best fit.  Short lengths are so spent
-    only where they complete a sequence.
-    """
-    left = [0] * (capacity + 1)
-    for k, n in counts.items():
-        left[k] = n
-    out: list[tuple[tuple[int, ...], int]] = [((capacity,), left[capacity])] if left[capacity] else []
-    left[capacity] = 0
-    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by gap: patterns, and how often
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns that use each length as often as `counts` says: the plan of fewest sequences, by exact sums where they tie with best fit alone."""
+    spared = [plan_by(counts, capacity, 3, max(1, capacity // k)) for k in (32, 16, 12, 8, 6, 5, 4, 3, 2)]
+    return min([*spared, plan_by(counts, capacity, 0, 1)], key=lambda p: sum(n for _, n in p))
 
-    def take(combo: tuple[int, ...], most: int) -> int:
-        times = min(most, *(left[k] // combo.count(k) for k in combo))
-        for k in combo if times else ():
-            left[k] -= times
-        return times
 
-    def sums(total: int, size: int, most: int) -> Iterator[tuple[int, ...]]:
-        """Combinations of `size` available lengths of that sum, longer ones first, none longer than `most`."""
-        if size == 1:
-            if 0 < total <= most and left[total]:
-                yield (total,)
-            return
-        for k in range(min(total - size + 1, most), (total - 1) // size, -1):
-            if left[k]:
-                for rest in sums(total - k, size - 1, k):
-                    yield (k, *rest)
-
-    def best_fit(lengths: range) -> None:
-        for k in lengths:
-            n, left[k] = left[k], 0
-            while n:
-                gap = next((g for g in range(k, capacity) if bins.get(g)), None)
-                if gap is None:
-                    each = capacity // k
-                    for size, times in ((each, n // each), (n % each, 1)):
-                        if size and times:
-                            bins.setdefault(capacity - size * k, []).append(((k,) * size, times))
-                    break
-                pattern, times = bins[gap].pop()
-                m = min(n, times)
-                if times > m:
-                    bins[gap].append((pattern, times - m))
-                bins.setdefault(gap - k, []).append(((*pattern, k), m))
-                n -= m
-
-    for longest in range(capacity - 1, (capacity - 1) // 2, -1):
-        if times := take((longest, capacity - longest), capacity * sum(counts.values())):
-            out.append(((longest, capacity - longest), times))
-    best_fit(range(capacity, short, -1))
+def plan_by(counts: dict[int, int], capacity: int, parts: int, spare: int) -> list[tuple[tuple[int, ...], int]]:
+    """Gaps filled exactly by up to `parts` lengths of `spare` tokens or more, then best fit of what is left."""
+    index = Sums({k: n for k, n in counts.items() if k >= spare and n}, capacity)
+    out: list[tuple[tuple[int, ...], int]] = []
     for size in range(1, parts + 1):
-        for gap in sorted(g for g in bins if g):
-            open_, bins[gap] = bins[gap], []
-            for pattern, times in open_:
-                for combo in sums(gap, size, gap):
-                    if m := take(combo, times):
-                        out.append(((*pattern, *combo), m))
-                        times -= m
-                        if not times:
-                            break
-                if times:
-                    bins[gap].append((pattern, times))
-    best_fit(range(short, 0, -1))
-    return out + [(p, t) for found in bins.values() for p, t in found]
+        for k in range(capacity - 1, 0, -1):
+            while index.left[k] and (combo := index.find(capacity - k, size, k, (k,))):
+                pattern = (k, *combo)
+                times = min(int(index.left[x]) // pattern.count(x) for x in pattern)
+                for x in set(pattern):
+                    index.put(x, -times * pattern.count(x))
+                out.append((pattern, times))
+    left = {k: int(index.left[k]) if k >= spare else n for k, n in counts.items()}
+    return out + best_fit(left, capacity)
+
+
+def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of best fit, longest pieces first; pieces of one length go into sequences of one gap together."""
+    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by gap: patterns, and how often
+    for k in sorted(left, reverse=True):
+        n = left[k]
+        while n:
+            gap = next((g for g in range(k, capacity) if bins.get(g)), None)
+            if gap is None:
+                each = capacity // k
+                for size, times in ((each, n // each), (n % each, 1)):
+                    if size and times:
+                        bins.setdefault(capacity - size * k, []).append(((k,) * size, times))
+                break
+            pattern, times = bins[gap].pop()
+            m = min(n, times)
+            if times > m:
+                bins[gap].append((pattern, times - m))
+            bins.setdefault(gap - k, []).append(((*pattern, k), m))
+            n -= m
+    return [(p, t) for found in bins.values() for p, t in found]
 
 
 def pack(parts: DataFrame, order: list[str], capacity: int = 1024) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out accuracy, on small tables with every odd case."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -431,11 +432,11 @@ def test_plan_uses_counts():
 
 def test_plan_by_depth():
     """Where only pairs or triples fill the gaps, each depth needs fewer sequences; where short pieces are scarce, none needs more."""
-    n = lambda counts, parts: sum(t for _, t in packing.plan_by(counts, 100, parts, 50))
+    n = lambda counts, parts: sum(t for _, t in packing.plan_by(counts, 100, parts, 1))
     assert [n({60: 30, 40: 30}, k) for k in range(4)] == [30] * 4
     pairs, triples = {70: 20, 13: 20, 17: 20, 19: 20}, {70: 20, 5: 20, 12: 20, 13: 20, 19: 20}
     assert n(pairs, 2) < n(pairs, 1) and n(triples, 3) < n(triples, 2) <= n(triples, 1)
-    assert (70, 17, 13) in [p for p, _ in packing.plan_by(pairs, 100, 2, 50)]
+    assert (70, 17, 13) in [p for p, _ in packing.plan_by(pairs, 100, 2, 1)]
     rng = random.Random(4)
     for _ in range(20):
         counts = {rng.randint(1, 99): rng.randint(1, 40) for _ in range(40)}
@@ -443,6 +444,42 @@ def test_plan_by_depth():
         assert -(-sum(k * c for k, c in counts.items()) // 100) <= best <= n(counts, 0)
 
 
+def test_sums_are_counted_as_lengths_run_out():
+    rng, top = random.Random(8), 40
+    counts = {k: rng.randint(1, 4) for k in rng.sample(range(1, top), 14)}
+    index = packing.Sums(counts, top)
+
+    def brute(size, total):
+        combos = itertools.combinations_with_replacement(sorted(counts), size)
+        return sorted(c for c in combos if sum(c) == total and all(c.count(k) <= counts[k] for k in c))
+
+    for _ in range(40):
+        for total in range(1, top + 1):
+            assert [index.pairs[total], index.triples[total]] == [len(brute(n, total)) for n in (2, 3)]
+            for size in (1, 2, 3):
+                got = index.find(total, size, top, ())
+                assert (tuple(sorted(got)) in brute(size, total)) if got else not brute(size, total)
+        k = rng.choice(sorted(counts))
+        n = rng.randint(-counts[k], 3)
+        index.put(k, n)
+        counts[k] += n
+
+
+def test_exact_sums_win_over_best_fit():
+    """Pieces cut from full sequences, with short fillers: exact sums need fewer sequences than best fit on some tables and more on none."""
+    rng, saved = random.Random(5), 0
+    for _ in range(25):
+        counts = Counter()
+        for _ in range(60):
+            cuts = sorted(rng.sample(range(1, 200), rng.choice([1, 2, 3])))
+            counts.update(b - a for a, b in zip([0, *cuts], [*cuts, 200], strict=True))
+        n = sum(t for _, t in packing.plan(counts, 200))
+        alone = sum(t for _, t in packing.plan_by(counts, 200, 0, 1))
+        assert 60 <= n <= alone
+        saved += alone - n
+    assert saved >= 5
+
+
 # 7
 
 
