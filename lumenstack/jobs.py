@@ -97,11 +97,15 @@ def apply_recipe(frames: DataFrame, warps: list[DataFrame]) -> DataFrame:
     return frames
 
 
+def read_parameters(spark: SparkSession, path: str) -> str:
+    """The text of a parameter file on any storage that Spark reads."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def main(argv: list[str]) -> None:
     """`parameters.json input output`: stabilised frames as Parquet and the recipe beside them, in folders named after the input."""
     spark = SparkSession.builder.getOrCreate()
-    with open(argv[0], encoding="utf-8") as f:
-        job = Stabiliser.of_json(f.read())
+    job = Stabiliser.of_json(read_parameters(spark, argv[0]))
     frames = images.open_seq(spark, argv[1], job.ch).select("t", "h", "w", "data")
     out, warps = job.run(frames)
     base = f"{argv[2].rstrip('/')}/{argv[1].rstrip('/').rsplit('/', 1)[-1]}{job.suffix()}"

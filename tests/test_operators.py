@@ -500,6 +500,8 @@ def test_stabiliser_job(spark, tmp_path):
     jobs.save_recipe(warps, path)
     again = jobs.apply_recipe(frames, jobs.load_recipe(spark, path))
     assert {r["t"]: r["data"] for r in again.collect()} == {r["t"]: r["data"] for r in out.collect()}
+    (tmp_path / "p.json").write_text('{"model": ["shifts"],\n "type": "recursive"}\n', encoding="utf-8")
+    assert jobs.Stabiliser.of_json(jobs.read_parameters(spark, f"file://{tmp_path}/p.json")) == jobs.Stabiliser(model=["shifts"], type="recursive")
     for bad in ({"model": ["none"]}, {"type": "none"}, {"smooth": [["none"]]}):
         with pytest.raises(ValueError):
             jobs.Stabiliser(**bad).run(frames)
