@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,27 +110,74 @@ def _euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _cityblock(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return sum((np.abs(x[:, [k]] - y[:, k]) for k in range(x.shape[1])), np.zeros((len(x), len(y))))
-
-
-#: Metrics of near pairs: all distances of two blocks, quickly; and those of given pairs, exactly.
+    out, one = (np.zeros((len(x), len(y)), x.dtype) for _ in range(2))
+    for k in range(x.shape[1]):
+        np.subtract(x[:, k : k + 1], y[:, k], out=one)
+        np.abs(one, out=one)
+        out += one
+    return out
+
+
+def _close_euclidean(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of rows of x and y that may be within eps, no pair of nearer ones left out: one product of matrices and one comparison."""
+    half = lambda v: (v**2).sum(1, keepdims=True) / 2
+    one = lambda v: np.ones((len(v), 1))
+    a, b = np.hstack([x, -half(x), one(x)]), np.hstack([y, one(y), -half(y)])
+    least = -((eps + 1e-6 * (1 + eps + np.abs(x).max(initial=0) + np.abs(y).max(initial=0))) ** 2) / 2
+    for k in range(0, len(a), 1024):
+        for m in range(0, len(b), 4096):
+            i, j = np.nonzero(a[k : k + 1024] @ b[m : m + 4096].T >= least)
+            yield i + k, j + m
+
+
+def _close_cityblock(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same, in single precision with as much room as its rounding asks for, by pieces that stay in a processor's cache."""
+    size = max(np.abs(x).max(initial=0), np.abs(y).max(initial=0))
+    kind = np.float32 if size < 1e30 else float
+    most = eps + 1e-6 * (1 + eps + (x.shape[1] + 1) * size)
+    a, b = x.astype(kind), np.asfortranarray(y.astype(kind))
+    for k in range(0, len(a), 64):
+        for m in range(0, len(b), 1024):
+            i, j = np.nonzero(_cityblock(a[k : k + 64], b[m : m + 1024]) <= most)
+            yield i + k, j + m
+
+
+#: Metrics of near pairs: all distances of two blocks, quickly; those of given pairs, exactly; and the pairs of two blocks that may be near.
 METRICS = {
-    "euclidean": (_euclidean, lambda x, y: np.sqrt(((x - y) ** 2).sum(1))),
-    "cityblock": (_cityblock, lambda x, y: np.abs(x - y).sum(1)),
+    "euclidean": (_euclidean, lambda x, y: np.sqrt(((x - y) ** 2).sum(1)), _close_euclidean),
+    "cityblock": (_cityblock, lambda x, y: np.abs(x - y).sum(1), _close_cityblock),
 }
-#: Pivots of a split, points of a cell that are not split further, rows of a cell that one task leads to their pivots, and splits at most.
-PIVOTS, LEAF, SLICE, DEPTH = 16, 1024, 20_000, 10
+#: Pivots of a split, points of a cell that are not split further, rows of a cell that one task leads to their pivots, splits at most,
+#: and rows (about) that tell what a split is worth.
+PIVOTS, LEAF, SLICE, DEPTH, TRIAL = 16, 1024, 20_000, 10, 2048
+#: Blocks that the rows of a cell are dealt into at most, unless one would have more than so many rows: a row goes to as many tasks.
+SHARE, MOST = 16, 32_768
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    column = column.combine_chunks()
+    if len(pc.unique(pc.list_value_length(column))) > 1:
+        raise ValueError("points must have one number of dimensions")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def near_cells(points: DataFrame, eps: float, metric: str = "euclidean", pivots: int = PIVOTS, leaf: int = LEAF) -> DataFrame:
+def _blocks(n: Column, block: int) -> Column:
+    """Blocks for n rows: of `block` rows each, or larger ones where those would be more than SHARE."""
+    return F.ceil(n / F.greatest(F.lit(block), F.least(F.ceil(n / SHARE), F.lit(MOST))))
+
+
+def near_cells(points: DataFrame, eps: float, metric: str = "euclidean", pivots: int = PIVOTS, leaf: int = LEAF, whole: bool = False) -> DataFrame:
     """(cell, guest, id, x): the leaves of a tree of pivots, so that each two points within eps meet in just one of them.
 
     A split takes some members of a cell for pivots.  A member goes to the nearest of them; where its distance to another
     exceeds that by at most 2 eps, which the triangle inequality asks of points within eps of each other, it is a guest there
     too, if that pivot has the greater number.  Guests of a cell are guests of all pivots within that bound.  A pair meets
     where one of it is a member and the other is a member or guest.  Guests farther from a pivot than its farthest member and
-    eps, or nearer than its nearest less eps, go.  Cells are split until they have at most `leaf` members, or until a split
-    leaves more than four fifths of the pairs to compare, as it must for copies.
+    eps, or nearer than its nearest less eps, go.  `whole` asks for guests at smaller numbers too: then all points within eps
+    of a member are in its cell.  Cells are split until they have at most `leaf` members, or until a split would leave more than
+    four fifths of the pairs to compare, as it must for copies and in many dimensions; some rows of the cell are led to its
+    pivots to see that, so a cell that is not worth a split is not copied.
 
     Pivots travel with slices of their cell's rows, so nothing is broadcast and no cell is one task's.  A split is a
     written table; the depth grows with the logarithm of the points.
@@ -137,97 +186,119 @@ def near_cells(points: DataFrame, eps: float, metric: str = "euclidean", pivots:
     spread = METRICS[metric][0]
     ship(points.sparkSession)
 
-    def led(g: pd.DataFrame) -> pd.DataFrame:
-        p = g[g["pivot"] >= 0].sort_values("pivot")
-        r = g[g["pivot"] < 0]
-        if not len(r):
-            return r[["cell", "guest", "id", "x", "d"]]
-        x, c = (np.stack(v["x"].to_numpy()).astype(float) for v in (r, p))
-        out = []
-        for k in range(0, len(r), 4096):
-            d = spread(x[k : k + 4096], c)
-            home, guest, part = d.argmin(1), r["guest"].to_numpy()[k : k + 4096], r.iloc[k : k + 4096]
-            near = d - d.min(1)[:, None] <= 2 * eps + 1e-6 * (1 + d)
-            at = np.arange(len(c))
-            i, j = np.nonzero(np.where(guest[:, None], near, (at == home[:, None]) | near & (at > home[:, None])))
-            out.append(pd.DataFrame({"cell": part["cell"].to_numpy()[i] * 64 + j + 1, "guest": guest[i] | (home[i] != j), "id": part["id"].to_numpy()[i], "x": part["x"].to_numpy()[i], "d": d[i, j]}))
-        return pd.concat(out)
+    def homes(x: np.ndarray, c: np.ndarray, guest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances to the pivots, the nearest, and where a row goes."""
+        d = spread(x, c)
+        home, near, at = d.argmin(1), d - d.min(1)[:, None] <= 2 * eps + 1e-6 * (1 + d), np.arange(len(c))
+        return d, home, np.where(guest[:, None], near, (at == home[:, None]) | near & (whole | (at > home[:, None])))
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = pa.Table.from_batches(batches)
+        c = _matrix(g.filter(pc.greater_equal(g["pivot"], 0)).sort_by("pivot")["x"])
+        rows = g.filter(pc.less(g["pivot"], 0)).select(["cell", "guest", "id", "x"])
+        for k in range(0, len(rows), 4096):
+            part = rows.slice(k, 4096).combine_chunks()
+            guest, cell = part["guest"].to_numpy(), part["cell"].to_numpy()
+            d, home, to = homes(_matrix(part["x"]), c, guest)
+            i, j = np.nonzero(to)
+            for m in range(0, len(i), 16_384):
+                a, b = i[m : m + 16_384], j[m : m + 16_384]
+                out = part.take(pa.array(a))
+                columns = [pa.array(cell[a] * 64 + b + 1), pa.array(guest[a] | (home[a] != b)), out["id"].combine_chunks(), out["x"].combine_chunks(), pa.array(d[a, b])]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "guest", "id", "x", "d"])
+
+    def tried(g: pd.DataFrame) -> pd.DataFrame:
+        """The share of a cell's pairs that its split would leave, by some of its rows."""
+        p, r = g[g["pivot"] >= 0].sort_values("pivot"), g[g["pivot"] < 0]
+        share = 0.0
+        if len(r) and not r["guest"].all():
+            x, c = (np.stack(v["x"].to_numpy()).astype(float) for v in (r, p))
+            guest = r["guest"].to_numpy()
+            d, home, to = homes(x, c, guest)
+            work = lambda mine, all_: mine * (all_ - (0 if whole else mine / 2))
+            left = 0.0
+            for j in range(len(c)):
+                mine = ~guest & (home == j)
+                if mine.any():
+                    left += work(mine.sum(), (to[:, j] & (mine | (d[:, j] <= d[mine, j].max() + eps) & (d[:, j] >= d[mine, j].min() - eps))).sum())
+            share = left / work((~guest).sum(), len(r))
+        return pd.DataFrame({"cell": g["cell"].iloc[:1], "share": [share]})
 
     schema = f"cell long, guest boolean, id {kind}, x array<double>"
     now = written(points.filter(F.col("x").isNotNull()).select(F.lit(0).cast("long").alias("cell"), F.lit(False).alias("guest"), "id", F.col("x").cast("array<double>").alias("x"), F.lit(0.0).alias("d")), "cells")
-    leaves, before = None, None
+    leaves = None
     for depth in range(DEPTH + 1):
         own = lambda c: F.when(~F.col("guest"), c)
         info = now.groupBy("cell").agg(F.count(own(F.lit(1))).alias("members"), F.count(F.lit(1)).alias("rows"), F.max(own(F.col("d"))).alias("far"), F.min(own(F.col("d"))).alias("near"))
-        info = info.filter("members > 0").withColumn("work", F.col("members").cast("double") * (F.col("rows") - F.col("members") / 2))
-        if before is not None:  # cells of a split that did not help are not split again
-            parent = F.floor((F.col("cell") - 1) / 64)
-            total = info.groupBy(parent.alias("parent")).agg(F.sum("work").alias("all")).join(before.select(F.col("cell").alias("parent"), F.col("work").alias("was")), "parent").select("parent", (F.col("all") > 0.8 * F.col("was")).alias("stuck"))
-            info = info.withColumn("parent", parent).join(total, "parent").drop("parent")
-        else:
-            info = info.withColumn("stuck", F.lit(False))
-        info = written(info.withColumn("split", (F.col("members") > leaf) & ~F.col("stuck") & F.lit(depth < DEPTH)), "cell-sizes")
-        kept = now.join(info, "cell").filter(~F.col("guest") | ((F.col("d") <= F.col("far") + eps + 1e-6 * (1 + F.col("d"))) & (F.col("d") >= F.col("near") - eps - 1e-6 * (1 + F.col("d")))))
+        info = written(info.filter("members > 0").withColumn("large", (F.col("members") > leaf) & F.lit(depth < DEPTH)), "cell-sizes")
+        near = ~F.col("guest") | ((F.col("d") <= F.col("far") + eps + 1e-6 * (1 + F.col("d"))) & (F.col("d") >= F.col("near") - eps - 1e-6 * (1 + F.col("d"))))
+        large = now.join(info.filter("large"), "cell").filter(near)
+        # About four times as many members as are needed are drawn by hash, and the first of them are the pivots.
+        draw = F.pmod(F.xxhash64(F.lit(depth), "id"), F.greatest(F.lit(1), F.floor(F.col("members") / (4 * pivots)))) == 0
+        order = Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
+        centre = large.filter(~F.col("guest") & draw).withColumn("pivot", F.row_number().over(order) - 1).filter(F.col("pivot") < pivots)
+        centre = written(centre.select("cell", "guest", "id", "x", "d", "pivot", F.ceil(F.col("rows") / SLICE).alias("slices")), "pivots")
+        some = large.filter(F.pmod(F.xxhash64(F.lit(-1 - depth), "id"), F.greatest(F.lit(1), F.floor(F.col("rows") / TRIAL))) == 0).select("cell", "guest", "x", F.lit(-1).alias("pivot"))
+        share = some.unionByName(centre.select("cell", "guest", "x", "pivot")).groupBy("cell").applyInPandas(tried, "cell long, share double")
+        info = written(info.join(share, "cell", "left").withColumn("split", F.coalesce(F.col("share") <= 0.8, F.lit(False))), "cell-splits")
+        kept = now.join(info, "cell").filter(near)
         done = kept.filter("not split").select("cell", "guest", "id", "x")
         leaves = done if leaves is None else leaves.unionByName(done)
         if info.filter("split").isEmpty():
             return written(leaves.select(*[f.split()[0] for f in schema.split(", ")]), "leaves")
-        rest = kept.filter("split").withColumn("slices", F.ceil(F.col("rows") / SLICE))
-        # About four times as many members as are needed are drawn by hash, and the first of them are the pivots.
-        draw = F.pmod(F.xxhash64(F.lit(depth), "id"), F.greatest(F.lit(1), F.floor(F.col("members") / (4 * pivots)))) == 0
-        order = Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
-        centre = rest.filter(~F.col("guest") & draw).withColumn("pivot", F.row_number().over(order) - 1).filter(F.col("pivot") < pivots)
-        centre = centre.select("cell", "guest", "id", "x", "d", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
-        rest = rest.select("cell", "guest", "id", "x", "d", F.lit(-1).alias("pivot"), F.pmod(F.xxhash64("id"), "slices").alias("slice"))
-        now = written(rest.unionByName(centre).groupBy("cell", "slice").applyInPandas(led, schema + ", d double"), "cells")
-        before = info
+        pick = ["cell", "guest", "id", "x", "pivot", "slice"]
+        centre = centre.join(info.filter("split").select("cell"), "cell", "left_semi").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        rest = kept.filter("split").withColumns({"pivot": F.lit(-1), "slice": F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / SLICE))})
+        now = written(rest.select(*pick).unionByName(centre.select(*pick)).repartition("cell", "slice").groupBy("cell", "slice").applyInArrow(led, schema + ", d double"), "cells")
 
 
 def near_pairs(points: DataFrame, eps: float, pivots: int = PIVOTS, block: int = 4096, metric: str = "euclidean", leaf: int = LEAF) -> DataFrame:
     """(a, b, distance) of points within eps, a < b, in any number of dimensions; metrics are euclidean, cityblock and pearson.
 
     Points meet in the leaves of a tree of pivots; the members and guests of a leaf are dealt into blocks by hash, whose pairs
-    are compared at once, and only hits leave them.  `pivots` (63 at most), `leaf` and `block` decide the work, not the
+    are compared at once, and only hits leave them, some at a time.  A block has `block` points, or more where a leaf would have
+    more than SHARE blocks, so that what is sent grows with the points and not with their square; from SHARE times MOST points
+    in one leaf on, blocks stay as large as they are.  `pivots` (63 at most), `leaf` and `block` decide the work, not the
     result.  The correlation distance 1 - r is half the squared distance of the points' unit vectors about their means;
-    points without any have no neighbours in it.  Ids are expected to be unique, points without coordinates have no
-    neighbours.
+    points without any have no neighbours in it.  Ids are expected to be unique, points without coordinates, or with
+    coordinates that are not finite, have no neighbours.
     """
     if metric == "pearson":
         from_mean = lambda x: _let(_sum(x) / F.size(x), lambda m: F.transform(x, lambda v: v - m))
         unit = _let(from_mean(F.col("x")), lambda c: _let(F.sqrt(dot(c, c)), lambda n: F.when(n > 0, F.transform(c, lambda v: v / n))))
         found = near_pairs(points.select("id", unit.alias("x")), math.sqrt(2 * eps) + 1e-9, pivots, block, "euclidean", leaf)
         return found.withColumn("distance", F.col("distance") * F.col("distance") / 2).filter(F.col("distance") <= eps)
-    kind, (spread, exact) = dict(points.dtypes)["id"], METRICS[metric]
+    kind, (_, exact, close) = dict(points.dtypes)["id"], METRICS[metric]
     cells = near_cells(points, eps, metric, min(pivots, 63), leaf)
-    n = lambda guest: F.ceil(F.count(F.when(F.col("guest") == guest, 1)) / block)
+    n = lambda guest: _blocks(F.count(F.when(F.col("guest") == guest, 1)), block)
     mine = cells.join(cells.groupBy("cell").agg(n(False).alias("homes"), n(True).alias("guests")), "cell").withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))))
     # Block pairs (i, j): of members, i <= j; of members and guests, j counted on from the members' blocks.
     up = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k")), lambda i: F.struct(i.alias("i"), F.col("k").alias("j")))
     on = F.transform(F.filter(F.sequence(F.col("k"), F.col("homes") + F.col("guests")), lambda j: (j > F.col("k")) & (j < F.col("homes") + F.col("guests"))), lambda j: F.struct(F.col("k").alias("i"), j.alias("j")))
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1), lambda i: F.struct(i.alias("i"), (F.col("homes") + F.col("k")).alias("j")))
     tasks = mine.select("cell", F.explode(F.when(F.col("guest"), met).otherwise(F.concat(up, on))).alias("o"), F.when(F.col("guest"), F.col("homes") + F.col("k")).otherwise(F.col("k")).alias("at"), "id", "x")
-
-    def pairs(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        at, ids, x = g["at"].to_numpy(), g["id"].to_numpy(), np.stack(g["x"].to_numpy()).astype(float)
-        one, two = np.flatnonzero(at == key[1]), np.flatnonzero(at == key[2])
-        found = []
-        for k in range(0, len(one), 1024):
-            i = one[k : k + 1024]
-            d = spread(x[i], x[two])
-            r, c = np.nonzero(d <= eps + 1e-6 * (1 + eps + np.abs(x[i]).max()))
-            r, c = i[r], two[c]
-            if key[1] == key[2]:
-                r, c = r[r < c], c[r < c]
+    tasks = tasks.select("cell", F.col("o.i").alias("i"), F.col("o.j").alias("j"), "at", "id", "x")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = pa.Table.from_batches(batches)
+        at, ids, x, (i, j) = g["at"].to_numpy(), g["id"].to_numpy(), _matrix(g["x"]), (g[c][0].as_py() for c in "ij")
+        id_type = g.schema.field("id").type
+        del g
+        finite = np.isfinite(x).all(1)
+        one, two = np.flatnonzero(finite & (at == i)), np.flatnonzero(finite & (at == j))
+        centre = x[one].mean(0) if len(one) else 0.0
+        for r, c in close(x[one] - centre, x[two] - centre, eps):
+            r, c = (r[r < c], c[r < c]) if i == j else (r, c)
             for m in range(0, len(r), 1 << 16):
-                a, b = r[m : m + (1 << 16)], c[m : m + (1 << 16)]
+                a, b = one[r[m : m + (1 << 16)]], two[c[m : m + (1 << 16)]]
                 d = exact(x[a], x[b])
-                hit = d <= eps
-                found.append((np.minimum(ids[a], ids[b])[hit], np.maximum(ids[a], ids[b])[hit], d[hit]))
-        columns = [np.concatenate(v) for v in zip(*found, strict=True)] if found else [[]] * 3
-        return pd.DataFrame(dict(zip("a b distance".split(), columns, strict=True)))
+                a, b, d = a[d <= eps], b[d <= eps], d[d <= eps]
+                if len(d):
+                    ends = (pa.array(f(ids[a], ids[b]), id_type) for f in (np.minimum, np.maximum))
+                    yield pa.RecordBatch.from_arrays([*ends, pa.array(d)], names=["a", "b", "distance"])
 
-    return tasks.groupBy("cell", F.col("o.i").alias("i"), F.col("o.j").alias("j")).applyInPandas(pairs, f"a {kind}, b {kind}, distance double")
+    # Dealt out by block pair: a join by cell has put a whole cell in one place, which Spark would take for grouped already.
+    return tasks.repartition("cell", "i", "j").groupBy("cell", "i", "j").applyInArrow(pairs, f"a {kind}, b {kind}, distance double")
 
 
 def dbscan(points: DataFrame, eps: float, min_points: int, strict: bool = False, with_self: bool = True, metric: str = "euclidean") -> DataFrame:

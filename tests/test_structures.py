@@ -212,6 +212,23 @@ def test_pivot_tree_work_per_point(spark):
     assert work[1] < 2 * work[0] and work[1] < 1000
 
 
+def test_near_pairs_sent_rows(spark):
+    """In many dimensions no split helps: the cell stays whole, its block pairs are many tasks', and small blocks do not multiply it."""
+    x = np.random.default_rng(4).normal(0, 1, (1500, 48))
+    p = spark.createDataFrame(list(enumerate(x.tolist())), "id long, x array<double>")
+    assert cluster.near_cells(p, 7.0, leaf=40).count() == 1500
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = cluster.near_pairs(p, 7.0, 8, 4, leaf=40).select("a", "b", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert {(r["a"], r["b"]) for r in got} == set(zip(*(k.tolist() for k in np.nonzero(np.triu(d <= 7.0, 1))), strict=True)) and len(got) > 100
+    assert len({r["task"] for r in got}) > 1
+    sent = spark.range(1).select(*[cluster._blocks(F.lit(n), 4).alias(str(n)) for n in (0, 1, 9, 1500, 10_000_000)]).first()
+    assert tuple(sent) == (0, 1, 3, 16, 306)
+
+
 @pytest.mark.parametrize("block", [5, 2048])
 def test_diameters_brute(spark, block):
     rng = np.random.default_rng(3)
