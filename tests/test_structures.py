@@ -269,6 +269,41 @@ def test_quality_threshold_rounds_brute(spark):
     assert cluster.qt_clusters(p.limit(0), 1.5).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock"])
+def test_quality_threshold_growth_with_ties(metric):
+    """Scores with their slack take the points that exact distances take, on grids of equal distances too."""
+    exact, rng = cluster.METRICS[metric][1], np.random.default_rng(0)
+    for x, most in ((rng.integers(0, 6, (200, 2)), 3.0), (rng.integers(0, 5, (200, 3)) * 0.1 + 1000, 0.2), (rng.normal(size=(300, 3)), 1.5), (np.zeros((1, 2)), 1.0)):
+        x = np.unique(x, axis=0).astype(float)
+        for k in range(0, len(x), 7):
+            want, far, at = [], np.zeros(len(x)), k
+            while not want or far[at] < most:
+                want.append(at)
+                far = np.maximum(far, exact(x, x[[at]]))
+                far[want] = np.inf
+                at = int(far.argmin())
+            assert cluster._grow(x, x - x.mean(0), k, most, metric) == want
+
+
+def test_quality_threshold_holds_no_pairs(spark):
+    """Where all points are near one another, what is written grows with the points and not with their pairs."""
+    x = np.random.default_rng(6).normal(0, 1, (600, 24))
+    graph_written, rows = cluster.written, []
+
+    def written(df, name, *a):
+        out = graph_written(df, name, *a)
+        rows.append(out.count())
+        return out
+
+    cluster.written = written
+    try:
+        got = cluster.qt_clusters(spark.createDataFrame(list(enumerate(x.tolist())), "id long, x array<double>"), 9.0, 2)
+        assert {r["label"] for r in got.select("label").distinct().collect()} >= {0, 1}
+    finally:
+        cluster.written = graph_written
+    assert max(rows) <= 600
+
+
 def test_cubic_warps():
     """The spline passes through the pixels, is exact for cubics inside, and holds the nearest value outside."""
     rng = np.random.default_rng(0)
