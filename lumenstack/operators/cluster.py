@@ -365,7 +365,8 @@ def diameters(assigned: DataFrame, block: int = 2048) -> DataFrame:
     From the centre to the farthest point, from that to the farthest, and once more, gives a distance that the diameter has at
     least.  Two points farther apart have radii about the centre that exceed it in sum, so those whose radius and the greatest
     one do not are left out.  The others are dealt into blocks by radius, and only pairs of blocks whose greatest radii exceed
-    it are compared, each pair of blocks by a task.  Points are (id, x) with a label; those without coordinates count for nothing.
+    it are compared, each pair of blocks by a task.  A block has `block` points, or more where a label would have more than
+    SHARE blocks and one for each band.  Points are (id, x) with a label; those without coordinates count for nothing.
     """
     p = assigned.filter(F.col("x").isNotNull()).select("label", "id", F.col("x").cast("array<double>").alias("x"))
     centre = p.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
@@ -380,7 +381,9 @@ def diameters(assigned: DataFrame, block: int = 2048) -> DataFrame:
     outer = p.join(ends.select("label", "most", "least"), "label").filter(F.col("r") + F.col("most") >= F.col("least") - slack)
     # Bands of equal width in radius; a band has as many blocks as its points ask for.
     band = outer.withColumn("band", F.least(F.lit(15), F.floor(16 * F.coalesce(F.try_divide(F.col("most") - F.col("r"), 2 * F.col("most") - F.col("least")), F.lit(0.0)))).cast("int"))
-    sizes = written(band.groupBy("label", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.max("r").alias("top"), F.first("least").alias("least"), F.first("most").alias("most")), "bands")
+    sizes = band.groupBy("label", "band").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("top"), F.first("least").alias("least"), F.first("most").alias("most"))
+    room = F.greatest(F.lit(block), F.least(F.ceil(F.sum("n").over(Window.partitionBy("label")) / SHARE), F.lit(MOST)))
+    sizes = written(sizes.withColumn("blocks", F.ceil(F.col("n") / room)).drop("n"), "bands")
     each = sizes.select("label", "band", "top", "least", "most", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
     other = each.select("label", F.col("band").alias("band2"), F.col("top").alias("top2"), F.col("k").alias("k2"))
     # Pairs of blocks, not of points; as many as the work asks for.
@@ -402,7 +405,7 @@ def diameters(assigned: DataFrame, block: int = 2048) -> DataFrame:
         return pd.DataFrame({"label": g["label"].iloc[:1], "diameter": [top]})
 
     ship(assigned.sparkSession)
-    found = both.groupBy("label", "pair").applyInPandas(one, f"label {dict(assigned.dtypes)['label']}, diameter double")
+    found = both.repartition("label", "pair").groupBy("label", "pair").applyInPandas(one, f"label {dict(assigned.dtypes)['label']}, diameter double")
     return found.unionByName(ends.select("label", F.col("least").alias("diameter"))).groupBy("label").agg(F.max("diameter").alias("diameter"))
 
 

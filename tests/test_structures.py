@@ -239,6 +239,24 @@ def test_diameters_brute(spark, block):
     assert cluster.diameters(spark.createDataFrame(rows[:0], "label long, id long, x array<double>")).count() == 0
 
 
+def test_diameters_sent_rows(spark):
+    """Small blocks do not multiply the points: a label has at most 16 blocks and one for each of its 16 bands."""
+    x = np.random.default_rng(9).normal(0, 1, (1000, 32))
+    tables, graph_written = {}, cluster.written
+
+    def written(df, name, *a):
+        tables[name] = graph_written(df, name, *a)
+        return tables[name]
+
+    cluster.written = written
+    try:
+        got = cluster.diameters(spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "label long, id long, x array<double>"), 2).first()[1]
+    finally:
+        cluster.written = graph_written
+    assert got == pytest.approx(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)).max())
+    assert 4 < tables["bands"].agg(F.sum("blocks")).first()[0] <= 32
+
+
 def test_quality_threshold_rounds_brute(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(c, 0.5, (40, 2)) for c in ((0, 0), (3, 1), (8, 8))] + [np.ones((9, 2))])
