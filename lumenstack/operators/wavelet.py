@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,14 +203,25 @@ def median_pyramid(x: np.ndarray, level: int, s: int = 2) -> np.ndarray:
     return np.array([*out, x])
 
 
+#: Values or result rows that a frame kernel holds, besides those of one frame, before it hands them on.
+HELD = 1 << 16
+
+
 def map_frames(frames: DataFrame, fn, schema: str) -> DataFrame:
-    """`fn(t, image)` yields result tuples; frames are independent, so no shuffle."""
+    """`fn(t, image)` yields result tuples; frames are independent, so no shuffle, and results go on some at a time."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for t, h, w, d in zip(b["t"], b["h"], b["w"], b["data"], strict=True) for r in fn(t, np.asarray(d, float).reshape(h, w))]
-            yield pd.DataFrame(rows, columns=names)
+            rows: list[tuple] = []
+            for t, h, w, d in zip(b["t"], b["h"], b["w"], b["data"], strict=True):
+                for r in fn(t, np.asarray(d, float).reshape(h, w)):
+                    rows.append(r)
+                    if len(rows) >= HELD:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return frames.mapInPandas(run, schema)
 
@@ -218,12 +230,27 @@ def decompose2d(frames: DataFrame, level: int, kind: str = "starlet") -> DataFra
     """(t, level, row, col, value) of each frame; kind is starlet, median or hybrid."""
     kernel = {"starlet": starlet2d, "median": median_pyramid, "hybrid": hybrid_pyramid}[kind]
 
-    def one(t: int, x: np.ndarray):
-        for j, w in enumerate(kernel(x, level)):
-            for (r, c), v in np.ndenumerate(w):
-                yield t, j, r, c, v
+    def batch(done: list[tuple]) -> pa.RecordBatch:
+        at = [np.indices(w.shape).reshape(3, -1) for _, w in done]
+        level, row, col = (np.concatenate([a[k] for a in at]) for k in range(3))
+        t = pa.array([t for t, _ in done], pa.int64()).take(pa.array(np.repeat(np.arange(len(done)), [w.size for _, w in done])))
+        columns = [t, pa.array(level, pa.int64()), pa.array(row.astype("int32")), pa.array(col.astype("int32")), pa.array(np.concatenate([w.ravel() for _, w in done]))]
+        return pa.RecordBatch.from_arrays(columns, names=["t", "level", "row", "col", "value"])
 
-    return map_frames(frames, one, "t long, level long, row int, col int, value double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done, held = [], 0
+            for k in range(len(b)):
+                h, w, data = b["h"][k].as_py(), b["w"][k].as_py(), b["data"][k].values.to_numpy(zero_copy_only=False)
+                done.append((b["t"][k].as_py(), kernel(data.astype(float).reshape(h, w), level)))
+                held += done[-1][1].size
+                if held >= HELD:
+                    yield batch(done)
+                    done, held = [], 0
+            if done:
+                yield batch(done)
+
+    return frames.select(F.col("t").cast("long").alias("t"), "h", "w", "data").mapInArrow(run, "t long, level long, row int, col int, value double")
 
 
 def decompose3d(cells: DataFrame, level: int, frames: int, temporal_only: bool = False) -> DataFrame:

@@ -414,3 +414,44 @@ def test_refined_lag_and_order(spark):
     many = spark.range(300).selectExpr("cast(id div 20 as int) as row", "cast(id % 20 as int) as col", "array(1.0D) as v")
     one, two = ([(r["row"], r["col"]) for r in layout.shuffled(many, seed).collect()] for seed in (1, 2))
     assert one == [(r["row"], r["col"]) for r in layout.shuffled(many, 1).collect()] and one != two != sorted(two) and sorted(one) == sorted(two)
+
+
+@pytest.mark.parametrize("kind", ["median", "hybrid", "starlet"])
+def test_frame_kernels_hand_on_some_at_a_time(spark, kind):
+    """A batch of many frames comes out in pieces of a bounded number of values."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(2).normal(0, 1, (900, 8, 8))
+
+    class Frames:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, fn, schema):
+            b = pa.RecordBatch.from_pydict({"t": list(range(len(x))), "h": [8] * len(x), "w": [8] * len(x), "data": [v.ravel().tolist() for v in x]})
+            return [b.to_pandas() for b in fn(iter([b]))]
+
+        def mapInPandas(self, fn, schema):
+            return self.mapInArrow(lambda bs: (pa.RecordBatch.from_pandas(o) for o in fn(b.to_pandas() for b in bs)), schema)
+
+    out = wavelet.decompose2d(Frames(), 2, kind)
+    assert sum(map(len, out)) == 900 * 192 and max(map(len, out)) <= (1 << 16) + 192
+    kernel = {"median": wavelet.median_pyramid, "hybrid": wavelet.hybrid_pyramid, "starlet": wavelet.starlet2d}[kind]
+    got = np.concatenate([o["value"].to_numpy() for o in out]).reshape(900, 3, 8, 8)
+    assert np.allclose(got, [kernel(v, 2) for v in x])
+    one = out[0].iloc[192:384]
+    assert set(one["t"]) == {1} and one[["level", "row", "col"]].to_numpy().tolist() == np.argwhere(np.ones((3, 8, 8))).tolist()
+    many = wavelet.map_frames(Frames(), lambda t, v: [(t, k) for k in range(100)], "t long, k long")
+    assert sum(map(len, many)) == 90_000 and max(map(len, many)) <= 1 << 16
+
+
+def test_lasaf_part_files(spark, tmp_path):
+    """One export in part files: the gap lies between two of them; equal times, and the last of equal gaps."""
+    for k, rows in enumerate(("0,0;1,5\n1,0;2,5\n", "9,0;3,5\n9,0;4,5\n", "17,0;5,5\n18,0;6,5\n")):
+        (tmp_path / f"p{k}.txt").write_text("Axis; A\n" + rows)
+    got = sorted(map(tuple, images.read_lasaf(spark, str(tmp_path), parts=True).collect()))
+    assert got == [(0.0, 1.5, 0), (1.0, 2.5, 0), (9.0, 3.5, 0), (9.0, 4.5, 0), (17.0, 5.5, 1), (18.0, 6.5, 1)]
+    each = sorted(map(tuple, images.read_lasaf(spark, str(tmp_path)).collect()))
+    assert [r[2] for r in each] == [0, 1, 1, 1, 0, 1]
+    plan = images.read_lasaf(spark, str(tmp_path), parts=True)._jdf.queryExecution().toString()
+    assert "Window" not in plan.split("== Physical Plan ==")[1].split("BroadcastExchange")[0]
