@@ -67,11 +67,11 @@ def sequences_exported(s, d):
 @query(f"""WITH x AS (SELECT l_orderkey * 8 + l_linenumber AS k, l_extendedprice AS price FROM lineitem), g AS (SELECT *, k - lag(k) OVER (ORDER BY k) AS gap FROM x), m AS (SELECT arg_max(k, (coalesce(gap, -1), k)) AS edge FROM g)
 SELECT k::DOUBLE AS k, {R.format('price')} AS price, (k >= edge)::INTEGER AS part FROM g, m""")
 def lasaf_exported(s, d):
-    """One export of numbered readings, decimal commas and all, cut at its widest gap (the last of equal ones)."""
+    """One export of numbered readings in part files, decimal commas and all, cut at its widest gap (the last of equal ones)."""
     path = _path(s, "lasaf")
     x = table(s, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), F.col("l_extendedprice").alias("price"))
-    x.select(*[F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")).alias(c) for c in x.columns]).coalesce(1).write.csv(path, sep=";", header=True)
-    return rounded(images.read_lasaf(s, path), "price")
+    x.select(*[F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")).alias(c) for c in x.columns]).write.csv(path, sep=";", header=True)
+    return rounded(images.read_lasaf(s, path, parts=True), "price")
 
 
 # Trackers.

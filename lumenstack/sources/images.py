@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from ..functions.curves import natural_key
+from ..operators.graph import written
 from . import tiff
 
 FRAMES = "path string, k long, ch int, h int, w int, data array<double>"
@@ -213,15 +214,23 @@ def read_mlf(spark: SparkSession, path: str, h: int, w: int, header: int, what:
     return frames_of(spark, path, decode).select("path", F.col("k").alias("t"), "ch", "h", "w", "data")
 
 
-def read_lasaf(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a text export with `;` between fields and decimal commas, as doubles; `part` counts off at the largest time gap, the last of equal ones."""
+def read_lasaf(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """Rows of a text export with `;` between fields and decimal commas, as doubles; `part` counts off at the largest time gap, the last of equal ones.
+
+    Each file is an export of its own, or with `parts` all files of `path` are one.  Gaps lie between different times, so those
+    are sorted by ranges, a task each; a range's first time is set against the last of the range before.
+    """
     raw = spark.read.option("sep", ";").option("header", True).csv(path)
     names = [c.strip() for c in raw.columns]
     x = raw.toDF(*names).select(*[F.replace(F.col(f"`{c}`"), F.lit(","), F.lit(".")).cast("double").alias(c) for c in names])
-    w = Window.partitionBy(F.input_file_name()).orderBy(names[0])
-    gap = x.withColumn("_f", F.input_file_name()).withColumn("_g", F.col(f"`{names[0]}`") - F.lag(f"`{names[0]}`").over(w))
-    top = gap.groupBy("_f").agg(F.max_by(F.col(f"`{names[0]}`"), F.struct("_g", F.col(f"`{names[0]}`"))).alias("_at"))
-    return gap.join(top, "_f").withColumn("part", (F.col(f"`{names[0]}`") >= F.col("_at")).cast("int")).drop("_f", "_g", "_at")
+    x = x.withColumn("_f", F.lit("") if parts else F.input_file_name())
+    times = x.select("_f", F.col(f"`{names[0]}`").alias("_t")).distinct().repartitionByRange("_f", "_t")
+    times = written(times.withColumn("_r", F.spark_partition_id()), "times")
+    inside = times.select("_f", "_t", (F.col("_t") - F.lag("_t").over(Window.partitionBy("_f", "_r").orderBy("_t"))).alias("_g"))
+    ends = times.groupBy("_f", "_r").agg(F.min("_t").alias("_t"), F.max("_t").alias("_last"))
+    first = ends.select("_f", "_t", (F.col("_t") - F.lag("_last").over(Window.partitionBy("_f").orderBy("_r"))).alias("_g"))
+    top = inside.unionByName(first).groupBy("_f").agg(F.max_by("_t", F.struct("_g", "_t")).alias("_at"))  # a row a file
+    return x.join(F.broadcast(top), "_f").withColumn("part", (F.col(f"`{names[0]}`") >= F.col("_at")).cast("int")).drop("_f", "_at")
 
 
 def leica_properties(spark: SparkSession, path: str) -> DataFrame:
