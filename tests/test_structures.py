@@ -212,6 +212,16 @@ def test_pivot_tree_work_per_point(spark):
     assert work[1] < 2 * work[0] and work[1] < 1000
 
 
+@pytest.mark.parametrize("scale,eps", [(0.1, 7.0), (100.0, 2.0), (1e32, 1e33), (0.1, 100.0)])
+def test_cityblock_leaves_no_near_pair_out(scale, eps):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(0, scale, (150, 64)), rng.normal(0, scale, (1100, 64))
+    y[:9] = x[:9] + rng.uniform(0, eps / 65, (9, 64))
+    got = {(int(a), int(b)) for i, j in cluster._close_cityblock(x, y, eps) for a, b in zip(i, j, strict=True)}
+    want = set(zip(*(k.tolist() for k in np.nonzero(np.abs(x[:, None] - y).sum(-1) <= eps)), strict=True))
+    assert len(want) >= 9 and want <= got
+
+
 def test_near_pairs_sent_rows(spark):
     """In many dimensions no split helps: the cell stays whole, its block pairs are many tasks', and small blocks do not multiply it."""
     x = np.random.default_rng(4).normal(0, 1, (1500, 48))
