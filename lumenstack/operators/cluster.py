@@ -119,14 +119,22 @@ def _cityblock(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _close_euclidean(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of rows of x and y that may be within eps, no pair of nearer ones left out: one product of matrices and one comparison."""
+    """(i, j) of rows of x and y that may be within eps, no pair of nearer ones left out: products of matrices and one comparison each.
+
+    In single precision where its rounding, for which there is room in either, is small beside eps.
+    """
     half = lambda v: (v**2).sum(1, keepdims=True) / 2
     one = lambda v: np.ones((len(v), 1))
-    a, b = np.hstack([x, -half(x), one(x)]), np.hstack([y, one(y), -half(y)])
-    least = -((eps + 1e-6 * (1 + eps + np.abs(x).max(initial=0) + np.abs(y).max(initial=0))) ** 2) / 2
-    for k in range(0, len(a), 1024):
-        for m in range(0, len(b), 4096):
-            i, j = np.nonzero(a[k : k + 1024] @ b[m : m + 4096].T >= least)
+    hx, hy = half(x), half(y)
+    top = hx.max(initial=0) + hy.max(initial=0)
+    error = lambda kind: 2 * (x.shape[1] + 8) * np.finfo(kind).eps * top
+    kind = np.float32 if top < 1e30 and eps < 1e15 and error(np.float32) <= 0.005 * eps**2 else float
+    a, b = np.hstack([x, -hx, one(x)]).astype(kind, copy=False), np.hstack([y, one(y), -hy]).astype(kind, copy=False)
+    least = kind(-((eps + 1e-6 * (1 + eps + np.abs(x).max(initial=0) + np.abs(y).max(initial=0))) ** 2) / 2 - error(kind))
+    for k in range(0, len(a), 256):
+        for m in range(0, len(b), 2048):
+            near = ~(a[k : k + 256] @ b[m : m + 2048].T < least)  # what overflows may be near
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
             yield i + k, j + m
 
 
@@ -153,6 +161,8 @@ METRICS = {
 #: Pivots of a split, points of a cell that are not split further, rows of a cell that one task leads to their pivots, splits at most,
 #: and rows (about) that tell what a split is worth.
 PIVOTS, LEAF, SLICE, DEPTH, TRIAL = 16, 1024, 20_000, 10, 2048
+#: Rows of a block that are compared with as many at a time, numbers that exact distances are taken of at a time, and pairs that leave a task at a time.
+PIECE, EXACT, HITS = 10_000, 1 << 19, 1 << 16
 #: Blocks that the rows of a cell are dealt into at most, unless one would have more than so many rows: a row goes to as many tasks.
 SHARE, MOST = 16, 32_768
 
@@ -170,6 +180,53 @@ def _blocks(n: Column, block: int) -> Column:
     return F.ceil(n / F.greatest(F.lit(block), F.least(F.ceil(n / SHARE), F.lit(MOST))))
 
 
+def near_rows(batches: Iterator[pa.RecordBatch], eps: float, metric: str) -> Iterator[pa.RecordBatch]:
+    """(a, b, distance) of a pair of blocks (i, j), whose rows (i, j, at, id, x) come in any order.
+
+    The blocks' rows are held once, in the pieces they come in; a piece is compared with a piece, so that nothing else grows
+    with the blocks or with the hits.
+    """
+    _, exact, close = METRICS[metric]
+    one, two, found, n, dims = [], [], [], 0, set()
+
+    def told() -> pa.RecordBatch:
+        a, b, d = (np.concatenate(v) for v in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([*(pa.array(f(a, b), id_type) for f in (np.minimum, np.maximum)), pa.array(d)], names=["a", "b", "distance"])
+
+    for whole in batches:
+        id_type = whole.schema.field("id").type
+        for k in range(0, len(whole), PIECE):
+            g = whole.slice(k, PIECE)
+            at, ids, x, (i, j) = g["at"].to_numpy(), g["id"].to_numpy(zero_copy_only=False), _matrix(pa.chunked_array([g["x"]])), (g[c][0].as_py() for c in "ij")
+            dims.add(x.shape[1])
+            finite = np.isfinite(x).all(1)
+            for side, block in ((one, i), (two, j)) if i != j else ((one, i),):
+                if (rows := finite & (at == block)).any():
+                    side.append((ids[rows], x[rows]))
+    if len(dims) > 1:
+        raise ValueError("points must have one number of dimensions")
+    two = one if i == j else two
+    for p, (ids, x) in enumerate(one):
+        centre, step = x.mean(0), max(1, EXACT // max(1, x.shape[1]))
+        for q, (ids2, y) in enumerate(two):
+            if two is one and q < p:
+                continue
+            for r, c in close(x - centre, y - centre, eps):
+                r, c = (r[r < c], c[r < c]) if two is one and p == q else (r, c)
+                for m in range(0, len(r), step):
+                    a, b = r[m : m + step], c[m : m + step]
+                    d = exact(x[a], y[b])
+                    hit = d <= eps
+                    if hit.any():
+                        found.append((ids[a[hit]], ids2[b[hit]], d[hit]))
+                        n += len(found[-1][2])
+                    if n >= HITS:
+                        yield told()
+                        found, n = [], 0
+    if n:
+        yield told()
+
+
 def near_cells(points: DataFrame, eps: float, metric: str = "euclidean", pivots: int = PIVOTS, leaf: int = LEAF, whole: bool = False) -> DataFrame:
     """(cell, guest, id, x): the leaves of a tree of pivots, so that each two points within eps meet in just one of them.
 
@@ -271,7 +328,7 @@ def near_pairs(points: DataFrame, eps: float, pivots: int = PIVOTS, block: int =
         unit = _let(from_mean(F.col("x")), lambda c: _let(F.sqrt(dot(c, c)), lambda n: F.when(n > 0, F.transform(c, lambda v: v / n))))
         found = near_pairs(points.select("id", unit.alias("x")), math.sqrt(2 * eps) + 1e-9, pivots, block, "euclidean", leaf)
         return found.withColumn("distance", F.col("distance") * F.col("distance") / 2).filter(F.col("distance") <= eps)
-    kind, (_, exact, close) = dict(points.dtypes)["id"], METRICS[metric]
+    kind = dict(points.dtypes)["id"]
     cells = near_cells(points, eps, metric, min(pivots, 63), leaf)
     n = lambda guest: _blocks(F.count(F.when(F.col("guest") == guest, 1)), block)
     mine = cells.join(cells.groupBy("cell").agg(n(False).alias("homes"), n(True).alias("guests")), "cell").withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))))
@@ -283,22 +340,7 @@ def near_pairs(points: DataFrame, eps: float, pivots: int = PIVOTS, block: int =
     tasks = tasks.select("cell", F.col("o.i").alias("i"), F.col("o.j").alias("j"), "at", "id", "x")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = pa.Table.from_batches(batches)
-        at, ids, x, (i, j) = g["at"].to_numpy(), g["id"].to_numpy(), _matrix(g["x"]), (g[c][0].as_py() for c in "ij")
-        id_type = g.schema.field("id").type
-        del g
-        finite = np.isfinite(x).all(1)
-        one, two = np.flatnonzero(finite & (at == i)), np.flatnonzero(finite & (at == j))
-        centre = x[one].mean(0) if len(one) else 0.0
-        for r, c in close(x[one] - centre, x[two] - centre, eps):
-            r, c = (r[r < c], c[r < c]) if i == j else (r, c)
-            for m in range(0, len(r), 1 << 16):
-                a, b = one[r[m : m + (1 << 16)]], two[c[m : m + (1 << 16)]]
-                d = exact(x[a], x[b])
-                a, b, d = a[d <= eps], b[d <= eps], d[d <= eps]
-                if len(d):
-                    ends = (pa.array(f(ids[a], ids[b]), id_type) for f in (np.minimum, np.maximum))
-                    yield pa.RecordBatch.from_arrays([*ends, pa.array(d)], names=["a", "b", "distance"])
+        return near_rows(batches, eps, metric)
 
     # Dealt out by block pair: a join by cell has put a whole cell in one place, which Spark would take for grouped already.
     return tasks.repartition("cell", "i", "j").groupBy("cell", "i", "j").applyInArrow(pairs, f"a {kind}, b {kind}, distance double")

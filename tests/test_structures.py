@@ -1,8 +1,10 @@
 """Frame ranges against whole reads, tiled regions and the object forest against plain searches."""
 
 import os
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenstack.operators import cluster, forest, layout, register, spatial, tracking, wavelet
@@ -222,6 +224,54 @@ def test_cityblock_leaves_no_near_pair_out(scale, eps):
     assert len(want) >= 9 and want <= got
 
 
+@pytest.mark.parametrize("scale,eps", [(0.1, 1.1), (0.1, 0.01), (1e4, 9e4), (1e-9, 1e-8), (1e20, 1e21), (0.0, 0.0), (1e160, 1e161)])
+def test_euclidean_leaves_no_near_pair_out(scale, eps):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(0, 1, (300, 64)) * scale, rng.normal(0, 1, (2100, 64)) * scale
+    y[:9] = x[:9]
+    y[9:18] = x[9:18] + eps / 8 * (1 - 1e-9)
+    got = [(int(a), int(b)) for i, j in cluster._close_euclidean(x, y, eps) for a, b in zip(i, j, strict=True)]
+    want = set(zip(*(k.tolist() for k in np.nonzero(np.stack([np.hypot.reduce(v - y, axis=1) for v in x]) <= eps)), strict=True))
+    assert len(want) >= 18 and want <= set(got) and len(got) == len(set(got))
+
+
+def _block_rows(x, i, j, step=5000):
+    """Rows of blocks i and j, dealt out by turns, as the batches of a task."""
+    for k in range(0, len(x), step):
+        n = len(x[k : k + step])
+        at = np.where(np.arange(k, k + n) % 2, i, j)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.full(n, j)), pa.array(at), pa.array(np.arange(k, k + n)), pa.array(list(x[k : k + n]))], names=["i", "j", "at", "id", "x"])
+
+
+@pytest.mark.parametrize("i,j", [(0, 0), (0, 1)])
+def test_near_rows_in_pieces(i, j):
+    """Each pair of two blocks once, whatever pieces the rows come in; a block without finite rows has no pairs."""
+    x = np.random.default_rng(3).normal(0, 1, (400, 3))
+    x[7, 1] = np.nan
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    a, b = np.nonzero(np.triu(d <= 0.4, 1))
+    want = sorted((int(p), int(q)) for p, q in zip(a, b, strict=True) if i == j or (p + q) % 2)
+    for step in (400, 64, 1):
+        got = pa.Table.from_batches(cluster.near_rows(_block_rows(x, i, j, step), 0.4, "euclidean"))
+        assert sorted(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == want and len(want) > 100
+    x[::2] = np.inf
+    assert i == j or not list(cluster.near_rows(_block_rows(x, i, j), 0.4, "euclidean"))
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_near_rows_hold_blocks_once(copies):
+    """A task needs its blocks' rows once and a fixed room beside them, however many of their pairs are near."""
+    x = np.random.default_rng(3).normal(0, 1, (5000 if copies else 30_000, 64))
+    x[:2500] = x[0] if copies else x[:2500]
+    tracemalloc.start()
+    try:
+        n = sum(len(g) for g in cluster.near_rows(_block_rows(x, 0, 1), 8.0, "euclidean"))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < x.nbytes + 40e6 and n > (1250**2 if copies else 10_000) - 1
+
+
 def test_near_pairs_sent_rows(spark):
     """In many dimensions no split helps: the cell stays whole, its block pairs are many tasks', and small blocks do not multiply it."""
     x = np.random.default_rng(4).normal(0, 1, (1500, 48))
