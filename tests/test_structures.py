@@ -382,6 +382,14 @@ def test_quality_threshold_holds_no_pairs(spark):
     assert max(rows) <= 600
 
 
+def test_quality_threshold_query_leaves_no_point(spark):
+    """The query goes on until every vector has a cluster."""
+    from lumenstack.plans import registry
+
+    sizes = {r["label"]: r["count"] for r in registry.queries()["qt_clusters"](spark, "/root/testdata/sf0.001").groupBy("label").count().collect()}
+    assert sorted(sizes) == list(range(len(sizes))) and len(sizes) > 3 and sum(sizes.values()) == 500
+
+
 def test_cubic_warps():
     """The spline passes through the pixels, is exact for cubics inside, and holds the nearest value outside."""
     rng = np.random.default_rng(0)
