@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 
 from lumenstack.operators import cluster, forest, layout, register, spatial, tracking, wavelet
@@ -390,6 +391,80 @@ def test_quality_threshold_query_leaves_no_point(spark):
     assert sorted(sizes) == list(range(len(sizes))) and len(sizes) > 3 and sum(sizes.values()) == 500
 
 
+def _quality_threshold(x, ids, most):
+    """Labels by id, of a plain search over all distances."""
+    x, ids = x[np.argsort(ids)], np.sort(ids)
+    d, left, label = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), np.ones(len(x), bool), {}
+    for turn in range(len(x)):
+        best = []
+        for s in np.flatnonzero(left):
+            mine, far = [s], np.where(left, d[s], np.inf)
+            far[s] = np.inf
+            while far.min() < most:
+                mine.append(far.argmin())
+                far = np.maximum(far, d[mine[-1]])
+                far[mine] = np.inf
+            best = mine if len(mine) > len(best) else best
+        label |= {int(ids[k]): turn for k in best}
+        left[best] = False
+        if not left.any():
+            return label
+
+
+def test_quality_threshold_parts(spark, monkeypatch):
+    """Parts that do not touch have their rounds together, small ones are ended by a task, and labels are those of one search over all."""
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(c, s, (n, 2)) for c, s, n in (((0, 0), 0.8, 40), ((30, 0), 1.5, 30), ((0, 40), 0.3, 12), ((60, 60), 0.5, 9))] + [rng.integers(0, 4, (25, 2)) + 100.0, rng.uniform(200, 300, (12, 2))])
+    ids = rng.permutation(1000)[: len(x)]
+    want, whole = _quality_threshold(x, ids, 1.3), cluster.near_cells
+    monkeypatch.setattr(cluster, "near_cells", lambda p, eps, metric, whole_=True, **k: whole(p, eps, metric, 6, 8, True))
+    p = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, x array<double>")
+    monkeypatch.setattr(cluster, "DEALT", 4)
+    for rest, rounds in ((14, None), (1, 2)):
+        monkeypatch.setattr(cluster, "REST", rest)
+        got = {r["id"]: r["label"] for r in cluster.qt_clusters(p, 1.3, rounds).collect()}
+        assert got == {i: k if rounds is None or k < rounds else -1 for i, k in want.items()}
+
+
+def test_quality_threshold_of_odd_vectors_as_in_sql(spark, tmp_path):
+    """Null vectors have no cluster, those that are not finite have their own, copies too."""
+    import duckdb
+
+    from lumenstack.plans import registry
+
+    v = np.random.default_rng(12).normal(0, 1, (40, 3)).round(1).tolist()
+    v += v[:6] + [None, None, [np.nan, 0, 0], [np.nan, 0, 0], [np.inf, 1, 1], [np.inf, 1, 1], [-np.inf, 0, 0], [1e18, 0, 0], [-1e18, 0, 0], [0.0, 0.0, 0.0], [-0.0, 0.0, 0.0]]
+    pa.parquet.write_table(pa.table({"vec_id": pa.array(range(100, 100 + len(v)), pa.int64()), "embedding": pa.array(v, pa.list_(pa.float32()))}), f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = dict(con.execute(f"SELECT id, label FROM ({registry.oracle_sql()['qt_clusters']})").fetchall())
+    got = {r["id"]: r["label"] for r in registry.queries()["qt_clusters"](spark, str(tmp_path)).collect()}
+    assert got == want and sorted(k for k, n in got.items() if n < 0) == [146, 147]
+
+
+@pytest.mark.parametrize("size,most", [(1.0, 4.0), (1e8, 4e8), (1e160, 4e160)])
+def test_quality_threshold_grows_seeds_together(size, most):
+    """Seeds grown together have the candidates that they have alone; one is skipped only where a smaller seed has the same."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(0, 1, (400, 5)) * size
+    exact = cluster.METRICS["euclidean"][1]
+    with np.errstate(over="ignore"):
+        growth = cluster._Growth(x, x - x.mean(0), most, "euclidean")
+        every, some = dict(growth.together(np.arange(400), False)), dict(growth.together(np.arange(400), True))
+    skipped = [s for s in some if some[s] is None]
+    assert len(every) == len(some) == 400 and (size > 1e100 or len(skipped) > 40)
+    assert all(any(set(every[t]) == set(every[s]) for t in every[s] if t < s) for s in skipped) and all(v is None or v == every[s] for s, v in some.items())
+    for s in range(0, 400, 40) if size < 1e100 else ():
+        want, far = [], np.zeros(400)
+        at = s
+        while not want or far[at] < most:
+            want.append(at)
+            far = np.maximum(far, exact(x, x[[at]]))
+            far[want] = np.inf
+            at = int(far.argmin())
+        assert every[s] == want
+
+
 def test_cubic_warps():
     """The spline passes through the pixels, is exact for cubics inside, and holds the nearest value outside."""
     rng = np.random.default_rng(0)
